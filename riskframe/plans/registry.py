@@ -31,6 +31,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
     # Importing the plan modules fills the registry.
     from riskframe.plans import (  # noqa: F401
         dataset,
+        evaluation,
     )
 
     return REGISTRY
