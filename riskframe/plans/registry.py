@@ -32,6 +32,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
     from riskframe.plans import (  # noqa: F401
         dataset,
         evaluation,
+        drift,
     )
 
     return REGISTRY
