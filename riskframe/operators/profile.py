@@ -217,7 +217,8 @@ def box_stats(df: DataFrame, cols, exact: bool = True) -> DataFrame:
 
 def corr_with_target(df: DataFrame, cols, target: str = "target") -> DataFrame:
     """Pearson (point-biserial for 0/1 targets) of each column with the target; NULL pairs ignored."""
-    long = long_numeric(df, cols, ids=[F.col(target).cast("double").alias("__y")])
+    src = df.select(F.col(target).cast("double").alias("__y"), *cols)
+    long = long_numeric(src, cols, ids=["__y"])
     return long.groupBy("column").agg(F.corr("value", "__y").alias("corr")).orderBy(F.desc("corr"), "column")
 
 
@@ -300,14 +301,12 @@ def score_hist(df: DataFrame, bins: int = 30, prob: str = "prob") -> tuple[DataF
     binned = src.select(equal_width_left_closed("p", F.lit(0.0), F.lit(1.0), bins).alias("bin")).filter(F.col("bin").isNotNull())
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    step = F.lit(1.0 / bins)
     hist = spine.join(counts, "bin", "left").select(
         "bin",
-        (F.col("bin").cast("double") * F.lit(1.0) / F.lit(float(bins))).alias("range_start"),
-        F.when(F.col("bin") == bins - 1, F.lit(1.0)).otherwise((F.col("bin") + 1).cast("double") / F.lit(float(bins))).alias("range_end"),
+        (F.col("bin").cast("double") * F.lit(1.0 / bins)).alias("range_start"),
+        F.when(F.col("bin") == bins - 1, F.lit(1.0)).otherwise((F.col("bin") + 1).cast("double") * F.lit(1.0 / bins)).alias("range_end"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
-    del step
     summary = src.agg(F.avg("p").alias("mean"), F.percentile("p", 0.5).alias("median"))
     return hist, summary
 

@@ -96,7 +96,7 @@ def q_split(spark, sf):
 
 _PREPARED_SELECT = (
     "SELECT loan_id, term, loan_amnt, annual_inc, dti, revol_util, mths_since_last_delinq, purpose, "
-    "addr_state, verification_status, emp_length, target, split, "
+    "addr_state, verification_status, emp_length, last_pymnt_d, target, split, "
     "CAST(date_diff('day', CAST(earliest_cr_line AS DATE), CAST(issue_d AS DATE)) AS DOUBLE) / 365.25 AS credit_age_yrs, "
     "CAST(fico_range_low + fico_range_high AS DOUBLE) / 2 AS fico_mid FROM labelled"
 )

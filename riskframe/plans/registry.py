@@ -33,6 +33,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
         dataset,
         evaluation,
         drift,
+        profile,
     )
 
     return REGISTRY

@@ -84,6 +84,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.round(F.lit(300) * F.avg("l_discount"), 6).alias("dti"),
             F.round(F.lit(1000) * F.avg("l_tax"), 6).alias("revol_util"),
+            F.max("l_shipdate").alias("last_pymnt_d"),
         )
     )
     j = (
@@ -111,6 +112,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("addr_state"),
         F.col("o_orderpriority").alias("verification_status"),
         _emp_length(ck % 12).alias("emp_length"),
+        "last_pymnt_d",
     )
 
 
@@ -228,8 +230,8 @@ _AMBIGUOUS = ", ".join(f"'{s}'" for s in LabelSpec().ambiguous)
 
 CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "li": (
-        "SELECT l_orderkey, round(300 * avg(l_discount), 6) AS dti, round(1000 * avg(l_tax), 6) AS revol_util "
-        "FROM lineitem GROUP BY l_orderkey",
+        "SELECT l_orderkey, round(300 * avg(l_discount), 6) AS dti, round(1000 * avg(l_tax), 6) AS revol_util, "
+        "max(l_shipdate) AS last_pymnt_d FROM lineitem GROUP BY l_orderkey",
         (),
     ),
     "loans": (
@@ -244,7 +246,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
   600 + (c.c_custkey * 37 % 50) * 5 AS fico_range_low,
   600 + (c.c_custkey * 37 % 50) * 5 + 4 AS fico_range_high,
   c.c_mktsegment AS purpose, n.n_name AS addr_state, o.o_orderpriority AS verification_status,
-  {_emp_sql('c.c_custkey % 12')} AS emp_length
+  {_emp_sql('c.c_custkey % 12')} AS emp_length, li.last_pymnt_d
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey
 LEFT JOIN li ON o.o_orderkey = li.l_orderkey""",
