@@ -34,6 +34,12 @@ def split_default_rates(spark, sf):
     return class_balance(B.labelled(spark, sf), "target", by="split")
 
 
+@register("S3_dataset_build", oracle("SELECT * FROM labelled", "labelled"))
+def q_build(spark, sf):
+    """The full dataset build (window, label, split, derived columns) computed from the raw tables."""
+    return B.build_labelled(spark, sf)
+
+
 @register("P1_snapshot_date", oracle("SELECT max(issue_d) AS snapshot_date FROM loans", "loans"))
 def q_snapshot(spark, sf):
     return prep.snapshot_frame(B.loans(spark, sf), "issue_d")
@@ -56,7 +62,7 @@ def q_loan_age(spark, sf):
     return prep.loan_age_months(B.loans(spark, sf), "issue_d").select("loan_id", "loan_age_months")
 
 
-@register("P4_drop_leakage", oracle("SELECT * FROM loans", "loans"))
+@register("P4_drop_leakage", oracle("SELECT * EXCLUDE (last_pymnt_d) FROM loans", "loans"))
 def q_drop_leakage(spark, sf):
     return prep.drop_leakage(B.loans(spark, sf), specs.LEAKAGE_COLUMNS)
 
