@@ -34,6 +34,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
         evaluation,
         drift,
         profile,
+        features,
     )
 
     return REGISTRY
