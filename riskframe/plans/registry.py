@@ -35,6 +35,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
         drift,
         profile,
         features,
+        health,
     )
 
     return REGISTRY
