@@ -36,6 +36,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
         profile,
         features,
         health,
+        relational,
     )
 
     return REGISTRY
