@@ -37,6 +37,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
         features,
         health,
         relational,
+        checks,
     )
 
     return REGISTRY
