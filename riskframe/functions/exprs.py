@@ -16,6 +16,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def round6(x, digits: int = 6) -> Column:
+    """Half-up rounding as floor(x * 10^d + 0.5) / 10^d: plain IEEE steps, so two engines
+    that hold the same double produce the same rounded double."""
+    scale = float(10 ** digits)
+    return F.floor(_c(x) * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+
+
 def credit_age_yrs(issue_d="issue_d", earliest="earliest_cr_line") -> Column:
     """F1: whole days between the two dates / 365.25."""
     return F.datediff(F.to_date(_c(issue_d)), F.to_date(_c(earliest))).cast("double") / F.lit(365.25)

@@ -26,6 +26,15 @@ def _y(y: str) -> Column:
     return F.col(y).cast("bigint")
 
 
+def _group(df: DataFrame, keys):
+    """Ungrouped metrics run as one constant group: totals join on the key instead of
+    scalar subqueries (which Spark rejects inside aggregates over model output)."""
+    keys = list(keys)
+    if keys:
+        return keys, df, []
+    return ["__g"], df.withColumn("__g", F.lit(0)), ["__g"]
+
+
 def score_histogram(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     """(keys..., p, pos, neg): one row per distinct score per group (map-side combined)."""
     return df.filter(F.col(p).isNotNull()).groupBy(*keys, F.col(p).cast("double").alias("__p")).agg(
@@ -36,16 +45,13 @@ def score_histogram(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
 def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", keys=(), buckets: int = 4096,
                     skip_one_class: bool = False) -> DataFrame:
     """E1 + E2: exact ROC-AUC (ties count half) and average precision per group."""
-    keys = list(keys)
+    keys, df, drop = _group(df, keys)
     hist = score_histogram(df, y, p, keys)
     cum = running_sums(hist, "__p", ["pos", "neg"], keys, descending=True, buckets=buckets)
-    if keys:
-        totals = hist.groupBy(*keys).agg(F.sum("pos").alias("__tot_pos"), F.sum("neg").alias("__tot_neg"))
-        cum = cum.join(totals, keys)
-        P, N = F.col("__tot_pos"), F.col("__tot_neg")
-    else:
-        P, N = hist.agg(F.sum("pos")).scalar(), hist.agg(F.sum("neg")).scalar()
-    Pd, Nd = P.cast("double"), N.cast("double")
+    totals = hist.groupBy(*keys).agg(F.sum("pos").alias("__tot_pos"), F.sum("neg").alias("__tot_neg"))
+    cum = cum.join(totals, keys)
+    P, N = F.col("__tot_pos"), F.col("__tot_neg")
+    Pd = P.cast("double")
     ap_term = F.col("pos").cast("double") / Pd * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     auc_term = F.col("pos").cast("double") * (N - F.col("cum_neg") + F.col("neg").cast("double") * F.lit(0.5))
     agg = cum.groupBy(*keys).agg(
@@ -63,7 +69,7 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", keys=(), buckets:
     )
     if skip_one_class:
         out = out.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    return out
+    return out.drop(*drop)
 
 
 def roc_auc(df, y="y", p="p", keys=()) -> DataFrame:
@@ -130,31 +136,25 @@ def cost_curve(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     Rows collapse to a <= 100-bucket histogram of grid ranks first; the
     cumulative sums then run over <= 99 rows per group.
     """
-    keys = list(keys)
+    keys, df, drop = _group(df, keys)
     k = grid_rank(F.col(p).cast("double"))
     hist = df.filter(F.col(p).isNotNull()).groupBy(*keys, k.alias("k")).agg(
         F.sum(_y(y)).alias("pos"), (F.count(F.lit(1)) - F.sum(_y(y))).alias("neg"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(specs.GRID_POINTS - 1))).alias("i")
-    if keys:
-        spine = hist.select(*keys).distinct().select(*keys, grid)
-    else:
-        spine = df.sparkSession.range(1).select(grid)
+    spine = hist.select(*keys).distinct().select(*keys, grid)
     j = spine.join(hist.withColumnRenamed("k", "i"), keys + ["i"], "left").fillna(0, subset=["pos", "neg"])
     # k <= i  <=>  p < t_i  (predicted negative); at most 99 rows per group in this window.
     w = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     j = j.withColumns({"fn": F.sum("pos").over(w).cast("bigint"), "__neg_le": F.sum("neg").over(w)})
-    if keys:
-        j = j.join(hist.groupBy(*keys).agg(F.sum("neg").alias("__Nall"), F.sum("pos").alias("__Pall")), keys)
-        nall, pall = F.col("__Nall"), F.col("__Pall")
-    else:
-        nall, pall = hist.agg(F.sum("neg")).scalar(), hist.agg(F.sum("pos")).scalar()
+    j = j.join(hist.groupBy(*keys).agg(F.sum("neg").alias("__nall"), F.sum("pos").alias("__pall")), keys)
+    nall, pall = F.col("__nall"), F.col("__pall")
     return j.select(
         *keys, "i", grid_value(F.col("i")).alias("threshold"),
         (nall - F.col("__neg_le")).cast("bigint").alias("fp"),
         "fn",
         (pall - F.col("fn")).cast("bigint").alias("tp"),
         F.col("__neg_le").cast("bigint").alias("tn"),
-    )
+    ).drop(*drop)
 
 
 def tune_threshold(df: DataFrame, y: str = "y", p: str = "p", costs: CostSpec = CostSpec(), keys=()) -> DataFrame:
@@ -169,11 +169,16 @@ def tune_threshold(df: DataFrame, y: str = "y", p: str = "p", costs: CostSpec =
 
 def evaluate(df: DataFrame, y: str = "y", p: str = "p", split: str = "split", costs: CostSpec = CostSpec(),
              tune_on: str = "val") -> DataFrame:
-    """Tune the threshold on one split, then score every split at it."""
-    t = tune_threshold(df.filter(F.col(split) == tune_on), y, p, costs).select("threshold").scalar()
+    """Tune the threshold on one split, then score every split at it.
+
+    The tuned threshold (one row) is attached by a join on a constant key, so it
+    is an ordinary column of the scoring aggregate.
+    """
+    t = tune_threshold(df.filter(F.col(split) == tune_on), y, p, costs).select("threshold").withColumn("__g", F.lit(0))
+    scored = df.withColumn("__g", F.lit(0)).join(F.broadcast(t), "__g").drop("__g")
     rank = ranking_metrics(df, y, p, [split])
-    thr = threshold_metrics(df, y, p, t, [split])
-    return rank.join(thr, split).withColumn("threshold", t)
+    thr = threshold_metrics(scored, y, p, F.col("threshold"), [split, "threshold"])
+    return rank.join(thr, split)
 
 
 def calibration(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, keys=()) -> DataFrame:
@@ -188,19 +193,16 @@ def calibration(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, keys=
 
 def recall_at_precision(df: DataFrame, y: str = "y", p: str = "p", min_precision: float = 0.8, keys=()) -> DataFrame:
     """Largest recall over the PR curve with precision >= min_precision (0 if none)."""
-    keys = list(keys)
+    keys, df, drop = _group(df, keys)
     hist = score_histogram(df, y, p, keys)
     cum = running_sums(hist, "__p", ["pos", "neg"], keys, descending=True)
-    if keys:
-        cum = cum.join(hist.groupBy(*keys).agg(F.sum("pos").alias("__tot_pos")), keys)
-        P = F.col("__tot_pos")
-    else:
-        P = hist.agg(F.sum("pos")).scalar()
+    cum = cum.join(hist.groupBy(*keys).agg(F.sum("pos").alias("__tot_pos")), keys)
+    P = F.col("__tot_pos")
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
     rec = F.col("cum_pos").cast("double") / P
     return cum.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(prec >= F.lit(min_precision), rec)), F.lit(0.0)).alias("max_recall")
-    )
+    ).drop(*drop)
 
 
 def accuracy_f1(df: DataFrame, y: str = "y", p: str = "p", t: float = 0.5, keys=()) -> DataFrame:
@@ -258,10 +260,10 @@ def threshold_penalty(df: DataFrame, y: str, p: str, fixed_t: float, ratios, fp_
     opt = r.groupBy(*keys, "ratio").agg(F.min("cost").alias("cost_opt"))
     yy = _y(y)
     pred = F.col(p) >= F.lit(float(fixed_t))
-    fixed = df.groupBy(*keys).agg(
+    gk, gdf, drop = _group(df, keys)
+    fixed = gdf.groupBy(*gk).agg(
         F.count_if(pred & (yy == 0)).alias("__fp"), F.count_if(~pred & (yy == 1)).alias("__fn"))
-    j = opt.join(fixed, keys) if keys else opt.withColumns({
-        "__fp": fixed.select("__fp").scalar(), "__fn": fixed.select("__fn").scalar()})
+    j = opt.withColumn("__g", F.lit(0)).join(fixed, gk).drop(*drop) if not keys else opt.join(fixed, keys)
     assumed = F.col("__fp").cast("double") * F.lit(fp_cost) + F.col("__fn").cast("double") * F.col("ratio") * F.lit(fp_cost)
     return j.select(*keys, "ratio", "cost_opt", assumed.alias("cost_assumed"),
                     ((assumed - F.col("cost_opt")) / F.col("cost_opt") * F.lit(100.0)).alias("penalty_pct"))

@@ -77,7 +77,9 @@ def fit_lr(df: DataFrame, features, y: str = "target", c: float = 1.0, balanced:
         data = data.join(F.broadcast(cls), y).withColumn("__w", F.lit(float(n)) / (F.lit(2.0) * F.col("__nc")))
         weight_col = "__w"
     lr = LogisticRegression(featuresCol="features", labelCol=y, regParam=1.0 / (c * n), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, weightCol=weight_col)
+                            standardization=False, maxIter=max_iter)
+    if weight_col:
+        lr = lr.setWeightCol(weight_col)
     return lr.fit(data.withColumn(y, F.col(y).cast("double")))
 
 
@@ -149,22 +151,31 @@ def search(train: DataFrame, folds: DataFrame, features, y: str, candidates, key
     """
     from riskframe.operators.metrics import average_precision
 
+    from pyspark import StorageLevel
+
     spark = train.sparkSession
     fold_ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())  # <= k rows
+    # Iterative fits re-read their input many times: keep the fold-tagged matrix on executors
+    # (memory, spilling to disk) for the duration of the search only.
+    tagged = train.join(folds, key).persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(ci_params):
         ci, params = ci_params
         aps = []
         for f in fold_ids:
-            tr = train.join(folds.filter((F.col("fold") == f) & (F.col("part") == "train")).select(key), key, "left_semi")
-            te = train.join(folds.filter((F.col("fold") == f) & (F.col("part") == "test")).select(key), key, "left_semi")
+            tr = tagged.filter((F.col("fold") == f) & (F.col("part") == "train")).drop("fold", "part")
+            te = tagged.filter((F.col("fold") == f) & (F.col("part") == "test")).drop("fold", "part")
             model = fit_fn(tr, features, y, **params)
             scored = score(te, model, features)
             aps.append(average_precision(scored, y, "p").select("pr_auc").first()[0])
         return (ci, str(params), float(sum(aps) / len(aps)))
 
-    with ThreadPoolExecutor(max_workers=max_parallel) as pool:
-        results = list(pool.map(run, list(enumerate(candidates))))
+    try:
+        with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+            results = list(pool.map(run, list(enumerate(candidates))))
+    finally:
+        tagged.unpersist()
+    # One row per candidate (a bounded summary of the fits).
     return spark.createDataFrame(results, "candidate int, params string, mean_pr_auc double")
 
 

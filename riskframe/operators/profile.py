@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import bracket as bracket_expr
-from riskframe.functions.exprs import month_ordinal
+from riskframe.functions.exprs import month_ordinal, round6
 from riskframe.operators.binning import equal_width_left_closed, equal_width_right_closed, linspace_edge
 
 
@@ -54,7 +54,7 @@ def class_balance(df: DataFrame, target: str = "target", by: str | None = None)
     aggs = [
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(F.col(target)).cast("bigint").alias("n_bad"),
-        F.round(F.avg(F.col(target)), 6).alias("default_rate"),
+        round6(F.avg(F.col(target))).alias("default_rate"),
     ]
     return df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
 

@@ -26,22 +26,19 @@ def running_sums(hist: DataFrame, order_col: str, sum_cols, keys=(), descending:
     ``order_col`` must be unique within each key (aggregate first).
     """
     keys = list(keys)
+    drop = []
+    if not keys:  # one constant group (keeps the plan free of scalar subqueries)
+        hist, keys, drop = hist.withColumn("__rg", F.lit(0)), ["__rg"], ["__rg"]
     sum_cols = list(sum_cols)
     v = F.col(order_col).cast("double")
-    if keys:
-        rng = hist.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-        hb = hist.join(rng, keys)
-        lo, hi = F.col("__lo"), F.col("__hi")
-    else:
-        lo, hi = hist.agg(F.min(v)).scalar(), hist.agg(F.max(v)).scalar()
-        hb = hist
+    rng = hist.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    hb = hist.join(rng, keys)
+    lo, hi = F.col("__lo"), F.col("__hi")
     raw = F.floor((v - lo) / (hi - lo) * F.lit(float(buckets))).cast("int")
     b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.greatest(raw, F.lit(0)), F.lit(buckets - 1)))
     if descending:
         b = F.lit(buckets - 1) - b
-    hb = hb.withColumn("__b", b)
-    if keys:
-        hb = hb.drop("__lo", "__hi")
+    hb = hb.withColumn("__b", b).drop("__lo", "__hi")
 
     # Level 1: bucket totals and their exclusive prefix (<= buckets rows per key).
     tot = hb.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
@@ -54,5 +51,5 @@ def running_sums(hist: DataFrame, order_col: str, sum_cols, keys=(), descending:
     inner = hb.withColumns({f"__i_{c}": F.sum(c).over(wi) for c in sum_cols})
     out = inner.join(offs, keys + ["__b"])
     return out.withColumns({f"{prefix}{c}": F.col(f"__o_{c}") + F.col(f"__i_{c}") for c in sum_cols}).drop(
-        "__b", *[f"__o_{c}" for c in sum_cols], *[f"__i_{c}" for c in sum_cols]
+        "__b", *drop, *[f"__o_{c}" for c in sum_cols], *[f"__i_{c}" for c in sum_cols]
     )

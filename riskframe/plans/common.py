@@ -8,9 +8,11 @@ from pyspark.sql.types import DoubleType, FloatType
 
 
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column (engines differ in the last bits of sums)."""
+    """Round every floating column half-up (engines differ in the last bits of sums)."""
+    from riskframe.functions.exprs import round6
+
     return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
+        round6(F.col(f.name), digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
         for f in df.schema.fields
     ])
 

@@ -38,6 +38,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
         health,
         relational,
         checks,
+        models,
     )
 
     return REGISTRY

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe import specs
+from riskframe.functions.exprs import round6
 from riskframe.specs import ColumnRoles, LabelSpec, SplitSpec
 
 # Split ranges, window and as-of time for the driver-table binding.
@@ -82,8 +83,8 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
         .agg(
-            F.round(F.lit(300) * F.avg("l_discount"), 6).alias("dti"),
-            F.round(F.lit(1000) * F.avg("l_tax"), 6).alias("revol_util"),
+            round6(F.lit(300) * F.avg("l_discount")).alias("dti"),
+            round6(F.lit(1000) * F.avg("l_tax")).alias("revol_util"),
             F.max("l_shipdate").alias("last_pymnt_d"),
         )
     )
@@ -129,7 +130,7 @@ def build_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prep.label_loans(df, LabelSpec())
     df = prep.temporal_split(df, SPLITS)
     return df.withColumns({
-        "credit_age_yrs": F.round(F.datediff(F.to_date("issue_d"), F.to_date("earliest_cr_line")) / F.lit(365.25), 6),
+        "credit_age_yrs": round6(F.datediff(F.to_date("issue_d"), F.to_date("earliest_cr_line")) / F.lit(365.25)),
         "fico_mid": (F.col("fico_range_low") + F.col("fico_range_high")) / F.lit(2.0),
     })
 
@@ -320,8 +321,48 @@ FROM events""",
 }
 
 
+def half_up_rounding(sql: str) -> str:
+    """Rewrite every ``round(X, 6)`` as ``floor((X) * 1000000.0 + 0.5) / 1000000.0`` (same steps as ``round6``)."""
+    out, i = [], 0
+    low = sql.lower()
+    while True:
+        j = low.find("round(", i)
+        if j < 0 or (j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k, last_comma = 0, j + 5, -1
+        while k < len(sql):
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif ch == "," and depth == 1:
+                last_comma = k
+            k += 1
+        inner = sql[j + 6:last_comma] if last_comma > 0 else None
+        digits = sql[last_comma + 1:k].strip() if last_comma > 0 else ""
+        if inner is not None and digits == "6":
+            out.append(sql[i:j])
+            out.append(f"(floor(({half_up_rounding(inner)}) * 1000000.0 + 0.5) / 1000000.0)")
+        else:
+            out.append(sql[i:j])
+            out.append("round(" + half_up_rounding(sql[j + 6:k]) + ")")
+        i = k + 1
+
+
 def oracle(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
-    """``WITH <needed CTEs in dependency order> [, extra CTEs] <body>``."""
+    """``WITH <needed CTEs in dependency order> [, extra CTEs] <body>`` with half-up 6-place rounding."""
+    return half_up_rounding(_with(body, *names, extra=extra))
+
+
+def _with(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
     order: list[str] = []
 
     def visit(n: str) -> None:
