@@ -39,6 +39,7 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
         relational,
         checks,
         models,
+        streaming,
     )
 
     return REGISTRY
