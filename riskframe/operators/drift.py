@@ -175,8 +175,8 @@ def flagged(report: DataFrame) -> DataFrame:
 
 
 def top_drift(report: DataFrame, k: int = 10) -> DataFrame:
-    """Top-k features by PSI (the limit is the feature)."""
-    return report.orderBy(F.desc("PSI"), "feature").limit(k)
+    """Top-k features by PSI (the limit is the feature); PSI equal to 12 decimals is a tie, broken by name."""
+    return report.orderBy(F.round(F.col("PSI"), 12).desc(), "feature", "target_label").limit(k)
 
 
 def drift_summary(reference: DataFrame, live: DataFrame, numeric=(), categorical=(), min_live: int = specs.MIN_LIVE_SAMPLE_SIZE,

@@ -52,7 +52,8 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", keys=(), buckets:
     cum = cum.join(totals, keys)
     P, N = F.col("__tot_pos"), F.col("__tot_neg")
     Pd = P.cast("double")
-    ap_term = F.col("pos").cast("double") / Pd * F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
+    # one-class groups (P = 0 or N = 0) give NULL instead of failing; they are undefined, not zero
+    ap_term = F.try_divide(F.col("pos").cast("double") * F.col("cum_pos"), Pd * (F.col("cum_pos") + F.col("cum_neg")))
     auc_term = F.col("pos").cast("double") * (N - F.col("cum_neg") + F.col("neg").cast("double") * F.lit(0.5))
     agg = cum.groupBy(*keys).agg(
         F.sum(ap_term).alias("pr_auc"),
@@ -62,7 +63,7 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", keys=(), buckets:
     )
     out = agg.select(
         *keys,
-        (F.col("__auc") / (F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))).alias("roc_auc"),
+        F.try_divide(F.col("__auc"), F.col("n_pos").cast("double") * F.col("n_neg").cast("double")).alias("roc_auc"),
         "pr_auc",
         F.col("n_pos").cast("bigint").alias("n_pos"),
         F.col("n_neg").cast("bigint").alias("n_neg"),
@@ -199,7 +200,7 @@ def recall_at_precision(df: DataFrame, y: str = "y", p: str = "p", min_precision
     cum = cum.join(hist.groupBy(*keys).agg(F.sum("pos").alias("__tot_pos")), keys)
     P = F.col("__tot_pos")
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    rec = F.col("cum_pos").cast("double") / P
+    rec = F.try_divide(F.col("cum_pos").cast("double"), P.cast("double"))
     return cum.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(prec >= F.lit(min_precision), rec)), F.lit(0.0)).alias("max_recall")
     ).drop(*drop)

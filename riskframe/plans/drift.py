@@ -167,7 +167,7 @@ def q_flagged(spark, sf):
 @register(
     "O4_top_drift",
     report_sql(_REF, _VALTEST, NUM, CAT,
-               select="SELECT feature, round(PSI, 6) AS PSI, drift_level, target_label FROM rep ORDER BY PSI DESC, feature LIMIT 10"),
+               select="SELECT feature, round(PSI, 6) AS PSI, drift_level, target_label FROM rep ORDER BY round(PSI, 12) DESC, feature, target_label LIMIT 10"),
 )
 def q_top(spark, sf):
     return r6(D.top_drift(D.drift_report_many(_train(spark, sf), _valtest(spark, sf), NUM, CAT), 10))

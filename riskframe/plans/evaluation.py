@@ -232,7 +232,7 @@ def q_brier_ref(spark, sf):
     return r6(M.brier_reference(_scored(spark, sf), "y", ["split"]))
 
 
-_RATIO_VALUES = ", ".join(f"({r!r})" for r in RATIOS)
+_RATIO_VALUES = ", ".join(f"({r!r}::DOUBLE)" for r in RATIOS)
 
 
 @register(

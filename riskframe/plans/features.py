@@ -98,7 +98,7 @@ def q_nan_count(spark, sf):
     return M.nan_count(wide)
 
 
-_ORD = "CASE " + " ".join(f"WHEN emp_length = '{v}' THEN {float(i)}" for i, v in enumerate(specs.EMP_LENGTH_LEVELS)) + " END"
+_ORD = "CAST(CASE " + " ".join(f"WHEN emp_length = '{v}' THEN {i}" for i, v in enumerate(specs.EMP_LENGTH_LEVELS)) + " END AS DOUBLE)"
 
 
 @register("M6_ordinal_encoding", oracle(f"SELECT loan_id, {_ORD} AS ord__emp_length FROM labelled", "labelled"))

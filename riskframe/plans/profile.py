@@ -114,7 +114,7 @@ _QS = [0.01, 0.05, 0.5, 0.95, 0.99]
 @register(
     "A8_quantiles",
     oracle(" UNION ALL ".join(
-        f"SELECT '{c}' AS column, {q!r} AS q, round(quantile_cont(CAST({c} AS DOUBLE), {q!r}), 6) AS value FROM labelled"
+        f"SELECT '{c}' AS column, {q!r}::DOUBLE AS q, round(quantile_cont(CAST({c} AS DOUBLE), {q!r}), 6) AS value FROM labelled"
         for c in ["annual_inc", "dti"] for q in _QS), "labelled"),
 )
 def q_quantiles(spark, sf):
