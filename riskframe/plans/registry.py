@@ -40,6 +40,8 @@ def load_all() -> dict[str, tuple[Builder, str | None]]:
         checks,
         models,
         streaming,
+        functions,
+        io,
     )
 
     return REGISTRY

@@ -94,22 +94,19 @@ def write_splits(df: DataFrame, path: str, split: str = "split", target: str = "
     return df.sparkSession.read.json(f"{path}/receipt")
 
 
-def outputs_exist(spark: SparkSession, *paths: str) -> bool:
-    """True only if every output can be read."""
-    for p in paths:
+def outputs_exist(spark: SparkSession, outputs: dict[str, str]) -> bool:
+    """True only if every output (path -> format) can be opened."""
+    for path, fmt in outputs.items():
         try:
-            spark.read.parquet(p).schema  # noqa: B018
+            spark.read.format(fmt).load(path).schema  # noqa: B018
         except AnalysisException:
-            try:
-                spark.read.json(p).schema  # noqa: B018
-            except AnalysisException:
-                return False
+            return False
     return True
 
 
 def build_dataset(spark: SparkSession, build: Callable[[], DataFrame], path: str, force_rebuild: bool = False):
     """S3 + S4: skip the build when all outputs exist, unless forced."""
-    if not force_rebuild and outputs_exist(spark, f"{path}/splits", f"{path}/receipt"):
+    if not force_rebuild and outputs_exist(spark, {f"{path}/splits": "parquet", f"{path}/receipt": "json"}):
         return load_splits(spark, path)
     write_splits(build(), path)
     return load_splits(spark, path)
