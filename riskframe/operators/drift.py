@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from riskframe import specs
 from riskframe.functions.exprs import drift_level
 from riskframe.operators.binning import right_closed_bin
+from riskframe.operators.windowing import quantile_arrays
 
 KIND_VALUE, KIND_UNSEEN, KIND_MISSING = 0, 1, 2
 
@@ -34,10 +35,6 @@ def _levels(bins: int) -> list[float]:
     return [i * (1 / bins) for i in range(1, bins)]
 
 
-def _pct(v: Column, qs, exact: bool) -> Column:
-    if exact:
-        return F.percentile(v, F.array(*[F.lit(q) for q in qs]))
-    return F.percentile_approx(v, list(qs), 100000)
 
 
 def _long_num(df: DataFrame, cols, extra=()) -> DataFrame:
@@ -64,8 +61,8 @@ def numeric_edges(reference: DataFrame, cols, bins: int = 10, exact: bool = True
     (one (-inf, inf] bin).
     """
     long = _long_num(reference, cols)
-    q = long.groupBy("feature").agg(_pct(F.col("value"), _levels(bins), exact).alias("q"))
-    return q.select("feature", F.coalesce(F.array_distinct("q"), F.array().cast("array<double>")).alias("inner"))
+    q = quantile_arrays(long, ["feature"], "value", _levels(bins), exact)
+    return q.select("feature", F.coalesce(F.array_distinct("__q"), F.array().cast("array<double>")).alias("inner"))
 
 
 def _share(n, total):
@@ -266,5 +263,5 @@ def inject_drift(df: DataFrame, key: str, share: float = 0.3, seed: int = 42, in
 def equal_frequency_counts(df: DataFrame, col: str, n: int = 10, exact: bool = True) -> DataFrame:
     """``qcut``-style counts: edges are the column's own quantiles, lowest bin closed."""
     v = F.col(col).cast("double")
-    inner = df.agg(F.array_distinct(_pct(v, _levels(n), exact))).scalar()
+    inner = quantile_arrays(df.select(v.alias("__x")), [], "__x", _levels(n), exact).select(F.array_distinct("__q")).scalar()
     return df.filter(v.isNotNull()).groupBy(right_closed_bin(v, inner, n - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

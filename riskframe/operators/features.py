@@ -16,17 +16,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.profile import long_numeric, long_text
+from riskframe.operators.windowing import quantile_arrays
+from riskframe.session import cut_lineage
 
 MISSING = "missing"
 
 
-def _median(v: Column, exact: bool) -> Column:
-    return F.percentile(v, F.lit(0.5)) if exact else F.percentile_approx(v, 0.5, 100000)
 
 
 def fit_median(train: DataFrame, cols, exact: bool = True) -> DataFrame:
-    """M1: (feature, median) of the non-null train values (linear interpolation)."""
-    return long_numeric(train, cols).groupBy(F.col("column").alias("feature")).agg(_median(F.col("value"), exact).alias("median"))
+    """M1: (feature, median) of the non-null train values (linear interpolation; distributed exact by default)."""
+    long = long_numeric(train, cols).withColumnRenamed("column", "feature")
+    q = quantile_arrays(long, ["feature"], "value", [0.5], exact)
+    return q.select("feature", F.element_at("__q", 1).alias("median"))
 
 
 def fit_scaler(train: DataFrame, cols, medians: DataFrame | None = None, exact: bool = True) -> DataFrame:
@@ -71,7 +73,10 @@ def fit(train: DataFrame, numeric, categorical, exact: bool = True) -> DataFrame
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # Fitting is an action (like an ML Estimator): the small stats frame is
+    # checkpointed to the shared folder so transforms and iterative learners
+    # never re-run the fitting job.
+    return cut_lineage(out)
 
 
 def output_name(kind: Column, feature: Column, category: Column) -> Column:

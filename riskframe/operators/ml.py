@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.exprs import sigmoid
 from riskframe.operators import features as M
 from riskframe.operators.profile import long_numeric
+from riskframe.session import cut_lineage
 
 # ------------------------------------------------------------------ scorecard
 
@@ -41,7 +42,7 @@ def fit_scorecard(train: DataFrame, numeric, y: str = "target") -> DataFrame:
     long = long_numeric(train.select(F.col(y).cast("double").alias("__y"), *numeric), numeric, ids=["__y"])
     long = long.withColumnRenamed("column", "feature").join(F.broadcast(stats.select("feature", "median")), "feature")
     w = long.groupBy("feature").agg(F.corr(F.coalesce(F.col("value"), F.col("median")), F.col("__y")).alias("weight"))
-    return stats.join(w, "feature").fillna(0.0, subset=["weight"])
+    return cut_lineage(stats.join(w, "feature").fillna(0.0, subset=["weight"]))
 
 
 def scorecard_contributions(df: DataFrame, card: DataFrame, key: str, numeric) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.exprs import bracket as bracket_expr
 from riskframe.functions.exprs import month_ordinal, round6
 from riskframe.operators.binning import equal_width_left_closed, equal_width_right_closed, linspace_edge
+from riskframe.operators.windowing import quantile_arrays
 
 
 def long_numeric(df: DataFrame, cols, ids=()) -> DataFrame:
@@ -25,10 +26,6 @@ def long_text(df: DataFrame, cols, ids=()) -> DataFrame:
     return df.select(*ids, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(list(ids), list(cols), "column", "value")
 
 
-def _pct(cols_value: Column, qs, exact: bool) -> Column:
-    if exact:
-        return F.percentile(cols_value, F.array(*[F.lit(float(q)) for q in qs]))
-    return F.percentile_approx(cols_value, [float(q) for q in qs], 100000)
 
 
 def null_rates(df: DataFrame, cols=None) -> DataFrame:
@@ -99,17 +96,16 @@ def rate_histogram(df: DataFrame, target: str, col: str, n: int = 10) -> tuple[D
 
 
 def describe(df: DataFrame, cols, exact: bool = True) -> DataFrame:
-    """Count, mean, std (ddof 1), min, quartiles, max per column (one shuffle)."""
+    """Count, mean, std (ddof 1), min, quartiles, max per column (moments in one aggregate)."""
     long = long_numeric(df, cols)
-    q = _pct(F.col("value"), [0.25, 0.5, 0.75], exact)
+    q = quantile_arrays(long, ["column"], "value", [0.25, 0.5, 0.75], exact)
     return long.groupBy("column").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
-        q.alias("__q"),
         F.max("value").alias("max"),
-    ).select(
+    ).join(q, "column").select(
         "column", "count", "mean", "std", "min",
         F.col("__q")[0].alias("p25"), F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"), "max",
     )
@@ -118,7 +114,7 @@ def describe(df: DataFrame, cols, exact: bool = True) -> DataFrame:
 def quantiles(df: DataFrame, cols, qs, exact: bool = True) -> DataFrame:
     """(column, q, value) with linear interpolation, NULLs ignored."""
     long = long_numeric(df, cols)
-    agg = long.groupBy("column").agg(_pct(F.col("value"), qs, exact).alias("__q"))
+    agg = quantile_arrays(long, ["column"], "value", qs, exact)
     levels = F.array(*[F.lit(float(x)) for x in qs])
     return agg.select("column", F.posexplode(F.arrays_zip(levels.alias("q"), F.col("__q").alias("v"))).alias("pos", "z")).select(
         "column", F.col("z.q").alias("q"), F.col("z.v").alias("value")
@@ -203,7 +199,7 @@ def kde(df: DataFrame, col: str, grid_points: int = 50, by: str | None = None) -
 def box_stats(df: DataFrame, cols, exact: bool = True) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers clipped to data, outlier counts per column."""
     long = long_numeric(df, cols).filter(F.col("value").isNotNull())
-    q = long.groupBy("column").agg(_pct(F.col("value"), [0.25, 0.5, 0.75], exact).alias("__q")).select(
+    q = quantile_arrays(long, ["column"], "value", [0.25, 0.5, 0.75], exact).select(
         "column", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
     q = q.withColumns({"lo_fence": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),
                        "hi_fence": F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))})
@@ -273,7 +269,7 @@ def same_null_rows(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def overview(df: DataFrame, as_of, ts: str = "logged_at", prob: str = "prob", pred: str = "pred", exact: bool = True) -> DataFrame:
     """Totals, recent counts, prediction split, score percentiles and time range in one aggregate."""
-    q = _pct(F.col(prob), [0.5, 0.9, 0.95, 0.99], exact)
+    q = quantile_arrays(df.select(F.col(prob).alias("__p")), [], "__p", [0.5, 0.9, 0.95, 0.99], exact).select("__q").scalar()
     now = F.lit(as_of)
     return df.agg(
         F.count(F.lit(1)).alias("total_logged"),
@@ -281,13 +277,12 @@ def overview(df: DataFrame, as_of, ts: str = "logged_at", prob: str = "prob", pr
         F.count_if(F.col(ts) >= now - F.expr("INTERVAL 1 HOURS")).cast("bigint").alias("requests_last_1h"),
         F.count_if(F.col(pred) == 0).cast("bigint").alias("n_pred_0"),
         F.count_if(F.col(pred) == 1).cast("bigint").alias("n_pred_1"),
-        q.alias("__q"),
         F.max(prob).alias("p_max"),
         F.min(ts).alias("first_logged"),
         F.max(ts).alias("last_logged"),
     ).select(
         "total_logged", "requests_last_24h", "requests_last_1h", "n_pred_0", "n_pred_1",
-        F.col("__q")[0].alias("p50"), F.col("__q")[1].alias("p90"), F.col("__q")[2].alias("p95"), F.col("__q")[3].alias("p99"),
+        q[0].alias("p50"), q[1].alias("p90"), q[2].alias("p95"), q[3].alias("p99"),
         "p_max", "first_logged", "last_logged",
         # Predicted default rate = 100 * n1 / max(1, n0 + n1)
         (F.lit(100.0) * F.col("n_pred_1") / F.greatest(F.lit(1), F.col("n_pred_0") + F.col("n_pred_1"))).alias("predicted_default_rate"),
@@ -307,7 +302,8 @@ def score_hist(df: DataFrame, bins: int = 30, prob: str = "prob") -> tuple[DataF
         F.when(F.col("bin") == bins - 1, F.lit(1.0)).otherwise((F.col("bin") + 1).cast("double") * F.lit(1.0 / bins)).alias("range_end"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
-    summary = src.agg(F.avg("p").alias("mean"), F.percentile("p", 0.5).alias("median"))
+    median = quantile_arrays(src, [], "p", [0.5]).select("__q").scalar()[0]
+    summary = src.agg(F.avg("p").alias("mean"), median.alias("median"))
     return hist, summary
 
 

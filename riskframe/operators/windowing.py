@@ -1,26 +1,57 @@
-"""Ordered running sums without a single-partition window (two-level prefix sum).
-
-A global ``Window.orderBy`` (no partition) moves every row into one task. Here
-the ordered values are cut into at most ``buckets`` equal-width, monotone
-buckets per group; bucket totals (at most ``buckets`` rows per group) are
-cumulated in a small window, and each bucket then cumulates its own rows in a
-window partitioned by (group, bucket). The result is exact: bucketing is a
-monotone function of the order value, so bucket order never contradicts value
-order.
-
-The input is normally an already-aggregated histogram (one row per distinct
-order value per group), so a single hot value costs one row however many
-records carry it.
+"""Ordered running sums and exact quantiles without a single-partition window.
+
+A global ``Window.orderBy`` (no partition) moves every row into one task, and
+Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
+one task. Both are replaced here by a two-level plan:
+
+1. per group, approximate equal-frequency bucket edges (``percentile_approx``,
+   at most ``buckets - 1`` values per group) and a bucket index found by a
+   binary search over those edges (log2(buckets) steps per row);
+2. bucket totals (at most ``buckets`` rows per group) are cumulated in a small
+   window, and each bucket cumulates its own rows in a window partitioned by
+   (group, bucket).
+
+Bucketing is monotone in the ordered value, so the result is exact. Inputs are
+normally already-aggregated histograms (one row per distinct value per group),
+so a single hot value costs one row however many records carry it, and the
+equal-frequency edges keep every bucket near ``distinct values / buckets`` rows
+even for heavy-tailed values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _levels(buckets: int) -> list[float]:
+    return [i / buckets for i in range(1, buckets)]
+
+
+def search_sorted(value: Column, edges: Column, size: int) -> Column:
+    """Number of elements of the ascending array ``edges`` (length ``size``) that are < value.
+
+    Binary search (lower bound) as a fold over the log2(size+1) step sizes, so
+    the per-row work is logarithmic in the number of edges; NULL edges count as
+    +infinity.
+    """
+    steps = []
+    s = 1
+    while s <= size:
+        steps.append(s)
+        s *= 2
+    steps = list(reversed(steps))
+
+    def step(idx, st):
+        nxt = idx + st
+        probe = F.try_element_at(edges, nxt)
+        return F.when((nxt <= F.lit(size)) & F.coalesce(probe < value, F.lit(False)), nxt).otherwise(idx)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step)
+
+
 def running_sums(hist: DataFrame, order_col: str, sum_cols, keys=(), descending: bool = False,
-                 buckets: int = 4096, prefix: str = "cum_") -> DataFrame:
+                 buckets: int = 1024, prefix: str = "cum_") -> DataFrame:
     """Inclusive running sums ``cum_<c>`` of ``sum_cols`` in ``order_col`` order within ``keys``.
 
     ``order_col`` must be unique within each key (aggregate first).
@@ -31,14 +62,13 @@ def running_sums(hist: DataFrame, order_col: str, sum_cols, keys=(), descending:
         hist, keys, drop = hist.withColumn("__rg", F.lit(0)), ["__rg"], ["__rg"]
     sum_cols = list(sum_cols)
     v = F.col(order_col).cast("double")
-    rng = hist.groupBy(*keys).agg(F.min(v).alias("__lo"), F.max(v).alias("__hi"))
-    hb = hist.join(rng, keys)
-    lo, hi = F.col("__lo"), F.col("__hi")
-    raw = F.floor((v - lo) / (hi - lo) * F.lit(float(buckets))).cast("int")
-    b = F.when(hi == lo, F.lit(0)).otherwise(F.least(F.greatest(raw, F.lit(0)), F.lit(buckets - 1)))
+    # Level 0: equal-frequency edges per group (<= buckets - 1 doubles per group).
+    edges = hist.groupBy(*keys).agg(F.percentile_approx(v, _levels(buckets), 10 * buckets).alias("__edges"))
+    hb = hist.join(edges, keys)
+    b = search_sorted(v, F.col("__edges"), buckets - 1)
     if descending:
         b = F.lit(buckets - 1) - b
-    hb = hb.withColumn("__b", b).drop("__lo", "__hi")
+    hb = hb.withColumn("__b", b).drop("__edges")
 
     # Level 1: bucket totals and their exclusive prefix (<= buckets rows per key).
     tot = hb.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
@@ -53,3 +83,53 @@ def running_sums(hist: DataFrame, order_col: str, sum_cols, keys=(), descending:
     return out.withColumns({f"{prefix}{c}": F.col(f"__o_{c}") + F.col(f"__i_{c}") for c in sum_cols}).drop(
         "__b", *drop, *[f"__o_{c}" for c in sum_cols], *[f"__i_{c}" for c in sum_cols]
     )
+
+
+def exact_quantiles(long: DataFrame, keys, value: str, qs, buckets: int = 1024) -> DataFrame:
+    """Exact linear-interpolation quantiles of ``value`` per group, as (keys..., q, quantile).
+
+    Same definition as Spark's ``percentile``: position = q * (n - 1), result =
+    (hi - position) * v[lo] + (position - lo) * v[hi] over the sorted non-null
+    values. Computed from the (group, value) histogram with two-level running
+    counts, so no task ever holds all values of a group. Each histogram row
+    emits only the target positions it covers (at most 2 per level).
+    """
+    keys = list(keys)
+    drop = []
+    src = long.filter(F.col(value).isNotNull())
+    if not keys:
+        src, keys, drop = src.withColumn("__qg", F.lit(0)), ["__qg"], ["__qg"]
+    hist = src.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    cum = running_sums(hist, "__v", ["__n"], keys, buckets=buckets)
+    totals = hist.groupBy(*keys).agg(F.sum("__n").alias("__N"))
+    levels = F.array(*[F.lit(float(q)) for q in qs])
+    targets = totals.select(*keys, "__N", F.posexplode(levels).alias("__qi", "q")).withColumn(
+        "__pos", (F.col("__N") - F.lit(1)).cast("double") * F.col("q"))
+    targets = targets.withColumns({"__lo": F.floor("__pos"), "__hi": F.ceil("__pos")})
+    want = targets.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list(F.array("__lo", "__hi")))).alias("__want"))
+    # positions covered by a histogram row: [cum - n, cum - 1]
+    hit = cum.join(F.broadcast(want), keys).select(
+        *keys, "__v", F.explode(F.filter("__want", lambda j: (j >= F.col("cum___n") - F.col("__n")) & (j < F.col("cum___n")))).alias("__j"))
+    lo_v = hit.select(*keys, F.col("__j").alias("__lo"), F.col("__v").alias("__vlo"))
+    hi_v = hit.select(*keys, F.col("__j").alias("__hi"), F.col("__v").alias("__vhi"))
+    j = targets.join(lo_v, keys + ["__lo"]).join(hi_v, keys + ["__hi"])
+    pos, lo, hi = F.col("__pos"), F.col("__lo"), F.col("__hi")
+    interp = F.when((hi == lo) | (F.col("__vlo") == F.col("__vhi")), F.col("__vlo")).otherwise(
+        (hi.cast("double") - pos) * F.col("__vlo") + (pos - lo.cast("double")) * F.col("__vhi"))
+    return j.select(*keys, "__qi", "q", interp.alias("quantile")).drop(*drop)
+
+
+def quantile_arrays(long: DataFrame, keys, value: str, qs, exact: bool = True, buckets: int = 1024) -> DataFrame:
+    """(keys..., __q array<double>) in the order of ``qs``: exact distributed or ``percentile_approx``."""
+    keys = list(keys)
+    if not exact:
+        return long.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), [float(q) for q in qs], 100000).alias("__q"))
+    eq = exact_quantiles(long, keys, value, qs, buckets)
+    ks = keys if keys else []
+    agg = eq.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("__qi", "quantile"))).alias("__s"))
+    out = agg.select(*ks, F.transform("__s", lambda s: s["quantile"]).alias("__q"))
+    if keys:
+        # groups with no non-null value get no quantiles: keep them with NULL
+        groups = long.select(*keys).distinct()
+        out = groups.join(out, keys, "left")
+    return out

@@ -38,8 +38,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Only when the session has none (local tests) a fresh scratch folder is
     created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="riskframe-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", path)
