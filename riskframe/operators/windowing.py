@@ -24,10 +24,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Largest group (distinct ordered values) one task may hold; above it the two-level plan is used.
+LOCAL_GROUP_LIMIT = 200_000
+
+
 def _levels(buckets: int) -> list[float]:
     return [i / buckets for i in range(1, buckets)]
 
 
+def largest_group(df: DataFrame, keys) -> int:
+    """Rows of the largest group (a one-number aggregate read back to choose the plan)."""
+    keys = list(keys)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")) if keys else df.agg(F.count(F.lit(1)).alias("__c"))
+    v = counts.agg(F.max("__c")).first()[0]
+    return int(v or 0)
+
+
 def search_sorted(value: Column, edges: Column, size: int) -> Column:
     """Number of elements of the ascending array ``edges`` (length ``size``) that are < value.
 
@@ -61,6 +73,11 @@ def running_sums(hist: DataFrame, order_col: str, sum_cols, keys=(), descending:
     if not keys:  # one constant group (keeps the plan free of scalar subqueries)
         hist, keys, drop = hist.withColumn("__rg", F.lit(0)), ["__rg"], ["__rg"]
     sum_cols = list(sum_cols)
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    if largest_group(hist, keys) <= LOCAL_GROUP_LIMIT:
+        # every group fits one task: one window per group
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return hist.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in sum_cols}).drop(*drop)
     v = F.col(order_col).cast("double")
     # Level 0: equal-frequency edges per group (<= buckets - 1 doubles per group).
     edges = hist.groupBy(*keys).agg(F.percentile_approx(v, _levels(buckets), 10 * buckets).alias("__edges"))
@@ -76,7 +93,6 @@ def running_sums(hist: DataFrame, order_col: str, sum_cols, keys=(), descending:
     offs = tot.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
 
     # Level 2: inside each bucket, in value order.
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     wi = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     inner = hb.withColumns({f"__i_{c}": F.sum(c).over(wi) for c in sum_cols})
     out = inner.join(offs, keys + ["__b"])
@@ -122,8 +138,14 @@ def exact_quantiles(long: DataFrame, keys, value: str, qs, buckets: int = 1024)
 def quantile_arrays(long: DataFrame, keys, value: str, qs, exact: bool = True, buckets: int = 1024) -> DataFrame:
     """(keys..., __q array<double>) in the order of ``qs``: exact distributed or ``percentile_approx``."""
     keys = list(keys)
+    v = F.col(value).cast("double")
     if not exact:
-        return long.groupBy(*keys).agg(F.percentile_approx(F.col(value).cast("double"), [float(q) for q in qs], 100000).alias("__q"))
+        return long.groupBy(*keys).agg(F.percentile_approx(v, [float(q) for q in qs], 100000).alias("__q"))
+    distinct = long.filter(v.isNotNull()).groupBy(*keys, v.alias("__dv")).agg(F.count(F.lit(1)).alias("__c"))
+    if largest_group(distinct, keys) <= LOCAL_GROUP_LIMIT:
+        # bounded groups: Spark's exact percentile keeps at most LOCAL_GROUP_LIMIT values per task
+        pct = F.percentile(v, F.array(*[F.lit(float(q)) for q in qs]))
+        return long.groupBy(*keys).agg(pct.alias("__q"))
     eq = exact_quantiles(long, keys, value, qs, buckets)
     ks = keys if keys else []
     agg = eq.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("__qi", "quantile"))).alias("__s"))

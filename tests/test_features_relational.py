@@ -48,7 +48,10 @@ def test_oof_target_encoding_brute_force(spark):
         assert abs(got[i] - (lam * g.mean() + (1 - lam) * m)) < 1e-12
 
 
-def test_global_position_with_hot_date(spark):
+def test_global_position_with_hot_date(spark, monkeypatch):
+    from riskframe.operators import windowing
+
+    monkeypatch.setattr(windowing, "LOCAL_GROUP_LIMIT", 0)
     base = datetime(2020, 1, 1)
     rows = [(i, base if i % 3 == 0 else base + timedelta(days=i % 7)) for i in range(600)]  # one date holds > 1/3
     df = spark.createDataFrame(rows, "id long, d timestamp_ntz")

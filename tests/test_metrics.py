@@ -38,15 +38,29 @@ def _df(spark, y, p, groups=None):
     return spark.createDataFrame(rows, "id long, y int, p double, g string")
 
 
+@pytest.fixture
+def two_level(monkeypatch):
+    """Force the distributed two-level plans even on small test data."""
+    from riskframe.operators import windowing
+
+    monkeypatch.setattr(windowing, "LOCAL_GROUP_LIMIT", 0)
+
+
 @pytest.mark.parametrize("buckets", [1, 7, 4096])
-def test_auc_ap_exact(spark, buckets):
+def test_auc_ap_exact(spark, buckets, two_level):
     y, p = _data()
     r = M.ranking_metrics(_df(spark, y, p), "y", "p", buckets=buckets).first()
     assert abs(r.roc_auc - _auc(y, p)) < 1e-12
     assert abs(r.pr_auc - _ap(y, p)) < 1e-12
 
 
-def test_grouped_with_hot_group(spark):
+def test_auc_ap_exact_local_plan(spark):
+    y, p = _data(9)
+    r = M.ranking_metrics(_df(spark, y, p), "y", "p").first()
+    assert abs(r.roc_auc - _auc(y, p)) < 1e-12 and abs(r.pr_auc - _ap(y, p)) < 1e-12
+
+
+def test_grouped_with_hot_group(spark, two_level):
     y, p = _data(1, 1200)
     groups = np.where(np.arange(1200) < 400, "hot", np.where(np.arange(1200) % 2 == 0, "a", "b"))
     out = {r.g: r for r in M.ranking_metrics(_df(spark, y, p, groups), "y", "p", ["g"], buckets=16).collect()}
@@ -64,7 +78,7 @@ def test_auc_invariant_under_monotone_map(spark):
     assert abs(a.roc_auc - b.roc_auc) < 1e-12 and abs(a.pr_auc - b.pr_auc) < 1e-12
 
 
-def test_running_sums_match_cumsum(spark):
+def test_running_sums_match_cumsum(spark, two_level):
     rng = np.random.default_rng(5)
     v = rng.permutation(500).astype(float)
     w = rng.integers(0, 5, 500)
@@ -120,3 +134,19 @@ def test_fairness_skips_one_class_segments(spark):
     out = {r.segment: r for r in M.fairness(df, "y", "p", 0.5, ["seg"]).collect()}
     assert set(out) == {"a"}
     assert out["a"].selection_rate == 0.5 and out["a"].tpr == 1.0 and out["a"].fpr == 0.0
+
+
+@pytest.mark.parametrize("force", [True, False])
+def test_exact_quantiles_match_numpy(spark, monkeypatch, force):
+    from riskframe.operators import windowing
+
+    if force:
+        monkeypatch.setattr(windowing, "LOCAL_GROUP_LIMIT", 0)
+    rng = np.random.default_rng(7)
+    vals = {"a": np.round(rng.lognormal(size=700), 3), "b": rng.integers(0, 5, 300).astype(float)}
+    rows = [(k, float(v)) for k, arr in vals.items() for v in arr] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: r["__q"] for r in windowing.quantile_arrays(df, ["k"], "v", qs).collect()}
+    for k, arr in vals.items():
+        assert np.allclose(got[k], np.quantile(arr, qs), rtol=0, atol=1e-12)
