@@ -141,8 +141,11 @@ def quantile_arrays(long: DataFrame, keys, value: str, qs, exact: bool = True, b
     v = F.col(value).cast("double")
     if not exact:
         return long.groupBy(*keys).agg(F.percentile_approx(v, [float(q) for q in qs], 100000).alias("__q"))
-    distinct = long.filter(v.isNotNull()).groupBy(*keys, v.alias("__dv")).agg(F.count(F.lit(1)).alias("__c"))
-    if largest_group(distinct, keys) <= LOCAL_GROUP_LIMIT:
+    # size check: HyperLogLog sketch of distinct values per group (a small shuffle of sketches)
+    nd = F.approx_count_distinct(v, 0.05).alias("__nd")
+    sizes = long.groupBy(*keys).agg(nd) if keys else long.agg(nd)
+    largest = sizes.agg(F.max("__nd")).first()[0] or 0
+    if largest * 1.2 <= LOCAL_GROUP_LIMIT:
         # bounded groups: Spark's exact percentile keeps at most LOCAL_GROUP_LIMIT values per task
         pct = F.percentile(v, F.array(*[F.lit(float(q)) for q in qs]))
         return long.groupBy(*keys).agg(pct.alias("__q"))
