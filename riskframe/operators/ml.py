@@ -180,6 +180,6 @@ def search(train: DataFrame, folds: DataFrame, features, y: str, candidates, key
     return spark.createDataFrame(results, "candidate int, params string, mean_pr_auc double")
 
 
-def pipeline_model(features, estimator) -> Pipeline:
+def savable_model(features, estimator) -> Pipeline:
     """A savable pipeline (assembler + estimator) for S16/L11 model storage."""
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), estimator])

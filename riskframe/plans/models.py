@@ -232,7 +232,7 @@ def q_registry(spark, sf):
 
         n = tr.count()
         est = LogisticRegression(featuresCol="features", labelCol="target", regParam=1.0 / (c * n), standardization=False)
-        model = L.pipeline_model(feats, est).fit(tr.withColumn("target", F.col("target").cast("double")))
+        model = L.savable_model(feats, est).fit(tr.withColumn("target", F.col("target").cast("double")))
         path = f"{base}/lr-c{c}"
         model.write().overwrite().save(path)
         val = model.transform(wide.filter(F.col("split") == "val")).withColumn(
