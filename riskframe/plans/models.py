@@ -246,3 +246,14 @@ def q_registry(spark, sf):
     scored = champion.transform(wide.filter(F.col("split") == "test")).withColumn(
         "p", F.element_at(vector_to_array(F.col("probability")), 2))
     return scored.select("loan_id", "p", F.lit(row["version"]).alias("version"), F.lit(row["path"]).alias("path"))
+
+
+@register("L7_tree_contributions_top5")
+def q_tree_contrib(spark, sf):
+    """TreeSHAP contributions (log-odds) of a GBT model for test loans, top 5 per loan (rows-only; additivity unit-tested)."""
+    from riskframe.operators import treeshap
+
+    wide, feats = matrix(spark, sf)
+    model = L.fit_gbt(wide.filter(F.col("split") == "train"), feats, "target", iters=20, depth=4)
+    contrib = treeshap.gbt_contributions(wide.filter(F.col("split") == "test"), model, feats, "loan_id", checkpoint_dir(spark))
+    return R.top_reasons(contrib.filter(F.col("feature") != "__base__"), 5)

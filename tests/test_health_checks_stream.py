@@ -84,3 +84,23 @@ def test_stream_dedupe_and_late_rows(spark, tmp_path):
     streamed = X.latest_per_key(spark, out2, ["window_start"]).agg(F.sum("count")).first()[0]
     with_dups = 60 + sum(1 for i in range(60) if i % 50 == 0 and i % 97 != 0)
     assert streamed < with_dups
+
+
+def test_gbt_treeshap_additivity(spark):
+    import math
+
+    from pyspark.ml.functions import vector_to_array
+
+    from riskframe.operators import treeshap
+    from riskframe.session import checkpoint_dir
+
+    rows = [(i, float(i % 7), float((i * 3) % 11), float(i % 4), int((i % 7) + (i % 4) > 5)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, target int")
+    feats = ["a", "b", "c"]
+    model = L.fit_gbt(df, feats, "target", iters=8, depth=3)
+    contrib = treeshap.gbt_contributions(df.limit(40), model, feats, "id", checkpoint_dir(spark))
+    total = {r.id: r.s for r in contrib.groupBy("id").agg(F.sum("value").alias("s")).collect()}
+    prob = {r.id: r.p for r in model.transform(L.assemble(df.limit(40), feats))
+            .select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    for i, s in total.items():
+        assert abs(s - math.log(prob[i] / (1 - prob[i]))) < 1e-6
