@@ -8,6 +8,7 @@ several jobs share are written once to the shared checkpoint folder
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -21,6 +22,7 @@ from riskframe.session import checkpoint_dir
 
 
 _READERS: dict[tuple[str, str], DataFrame] = {}
+_BUILD_LOCK = threading.Lock()
 
 
 def stored_table(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame],
@@ -32,18 +34,19 @@ def stored_table(spark: SparkSession, name: str, source: str, build: Callable[[]
     key = hashlib.sha1(f"{name}|{source.rstrip('/')}".encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/riskframe-tables/{name}-{key}"
     memo = (spark.sparkContext.applicationId, path)
-    if memo in _READERS:
-        return _READERS[memo]
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException:
-        w = build().write.mode("overwrite")
-        if partition_by:
-            w = w.partitionBy(*partition_by)
-        w.parquet(path)
-        df = spark.read.parquet(path)
-    _READERS[memo] = df
-    return df
+    with _BUILD_LOCK:  # concurrent first uses in one process build the table once
+        if memo in _READERS:
+            return _READERS[memo]
+        try:
+            df = spark.read.parquet(path)
+        except AnalysisException:
+            w = build().write.mode("overwrite")
+            if partition_by:
+                w = w.partitionBy(*partition_by)
+            w.parquet(path)
+            df = spark.read.parquet(path)
+        _READERS[memo] = df
+        return df
 
 
 # ----------------------------------------------------------------- S1 / S2
