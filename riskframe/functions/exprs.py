@@ -16,6 +16,20 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def ts_lit(value) -> Column:
+    """A wall-clock TIMESTAMP_NTZ literal built from text, so it means the same instant
+    whatever the session time zone (a plain ``lit(datetime)`` is zone-dependent)."""
+    from datetime import date, datetime
+
+    if isinstance(value, Column):
+        return value
+    if isinstance(value, datetime):
+        return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+    if isinstance(value, date):
+        return F.lit(value.isoformat()).cast("timestamp_ntz")
+    return F.lit(str(value)).cast("timestamp_ntz")
+
+
 def round6(x, digits: int = 6) -> Column:
     """Half-up rounding as floor(x * 10^d + 0.5) / 10^d: plain IEEE steps, so two engines
     that hold the same double produce the same rounded double."""

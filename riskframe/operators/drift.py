@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe import specs
-from riskframe.functions.exprs import drift_level
+from riskframe.functions.exprs import drift_level, ts_lit
 from riskframe.operators.binning import right_closed_bin
 from riskframe.operators.windowing import quantile_arrays
 
@@ -230,7 +230,7 @@ def categorical_overlay(reference: DataFrame, live: DataFrame, col: str) -> Data
 
 def drift_history(snapshots: DataFrame, feature: str, days: int, as_of, ts: str = "computed_at") -> DataFrame:
     """Snapshots of one feature in the last ``days`` days, ascending (filters reach the scan)."""
-    lo = F.lit(as_of) - F.make_interval(days=F.lit(int(days)))
+    lo = ts_lit(as_of) - F.make_interval(days=F.lit(int(days)))
     return snapshots.filter((F.col("feature") == feature) & (F.col(ts) >= lo)).select(ts, "psi", "drift_level").orderBy(ts)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from riskframe import specs
+from riskframe.functions.exprs import ts_lit
 from riskframe.operators import prep
 
 
@@ -97,7 +98,7 @@ def hourly_traffic(df: DataFrame, as_of, hours: int = 48, ts: str = "logged_at")
 
     Rows count when ``start <= ts <= now + 1h``; the spine keeps hours start..now.
     """
-    now = F.date_trunc("hour", F.lit(as_of)).cast("timestamp_ntz")
+    now = F.date_trunc("hour", ts_lit(as_of)).cast("timestamp_ntz")
     start = now - F.make_dt_interval(hours=F.lit(hours - 1))
     t = F.col(ts).cast("timestamp_ntz")
     inwin = df.filter((t >= start) & (t <= now + F.expr("INTERVAL 1 HOUR")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from riskframe import specs
-from riskframe.functions.exprs import month_ordinal
+from riskframe.functions.exprs import month_ordinal, ts_lit
 from riskframe.specs import ColumnRoles, LabelSpec, SplitSpec
 
 
@@ -31,13 +31,13 @@ def snapshot_frame(df: DataFrame, date: str = "issue_d") -> DataFrame:
 
 def loan_age_months(df: DataFrame, date: str = "issue_d", as_of=None, name: str = "loan_age_months") -> DataFrame:
     """Calendar-month ordinal difference between as_of (default snapshot) and date."""
-    ref = snapshot_date(df, date) if as_of is None else F.lit(as_of)
+    ref = snapshot_date(df, date) if as_of is None else ts_lit(as_of)
     return df.withColumn(name, month_ordinal(ref) - month_ordinal(F.col(date)))
 
 
 def observation_window(df: DataFrame, date: str = "issue_d", months: int = 24, as_of=None) -> DataFrame:
     """Keep rows at least ``months`` calendar months older than as_of."""
-    ref = snapshot_date(df, date) if as_of is None else F.lit(as_of)
+    ref = snapshot_date(df, date) if as_of is None else ts_lit(as_of)
     return df.filter(month_ordinal(ref) - month_ordinal(F.col(date)) >= F.lit(months))
 
 
@@ -76,7 +76,7 @@ def split_column(spec: SplitSpec) -> Column:
     d = F.col(spec.date)
     expr = None
     for name, lo, hi in spec.ranges:
-        cond = (d >= F.lit(lo)) & (d <= F.lit(hi))
+        cond = (d >= ts_lit(lo)) & (d <= ts_lit(hi))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr
 
@@ -168,9 +168,9 @@ def filter_log(df: DataFrame, pred=None, min_prob=None, max_prob=None, purpose=N
     if addr_state is not None:
         conds.append(F.col("addr_state") == F.lit(addr_state))
     if date_from is not None:
-        conds.append(F.col(ts) >= F.lit(date_from))
+        conds.append(F.col(ts) >= ts_lit(date_from))
     if date_to is not None:
-        conds.append(F.col(ts) <= F.lit(date_to))
+        conds.append(F.col(ts) <= ts_lit(date_to))
     return df.filter(reduce(lambda a, b: a & b, conds)) if conds else df
 
 
@@ -207,7 +207,7 @@ def flag_outliers(df: DataFrame, rules: dict | None = None, key: str = "request_
 def status_counts(df: DataFrame, start, end, date: str = "issue_d", status: str = "loan_status") -> DataFrame:
     """Status counts of rows strictly inside (start, end)."""
     return (
-        df.filter((F.col(date) > F.lit(start)) & (F.col(date) < F.lit(end)))
+        df.filter((F.col(date) > ts_lit(start)) & (F.col(date) < ts_lit(end)))
         .groupBy(status)
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -221,7 +221,7 @@ def complete_cases(df: DataFrame, cols) -> DataFrame:
 def recent_counts(df: DataFrame, as_of, ts: str = "logged_at", hours=(24, 1)) -> DataFrame:
     """Counts of rows within the last N hours of ``as_of`` (explicit parameter)."""
     return df.agg(*[
-        F.count_if(F.col(ts) >= F.lit(as_of) - F.expr(f"INTERVAL {int(h)} HOURS")).cast("bigint").alias(f"last_{h}h")
+        F.count_if(F.col(ts) >= ts_lit(as_of) - F.expr(f"INTERVAL {int(h)} HOURS")).cast("bigint").alias(f"last_{h}h")
         for h in hours
     ])
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import bracket as bracket_expr
-from riskframe.functions.exprs import month_ordinal, round6
+from riskframe.functions.exprs import month_ordinal, round6, ts_lit
 from riskframe.operators.binning import equal_width_left_closed, equal_width_right_closed, linspace_edge
 from riskframe.operators.windowing import quantile_arrays
 
@@ -270,7 +270,7 @@ def same_null_rows(df: DataFrame, a: str, b: str) -> DataFrame:
 def overview(df: DataFrame, as_of, ts: str = "logged_at", prob: str = "prob", pred: str = "pred", exact: bool = True) -> DataFrame:
     """Totals, recent counts, prediction split, score percentiles and time range in one aggregate."""
     q = quantile_arrays(df.select(F.col(prob).alias("__p")), [], "__p", [0.5, 0.9, 0.95, 0.99], exact).select("__q").scalar()
-    now = F.lit(as_of)
+    now = ts_lit(as_of)
     return df.agg(
         F.count(F.lit(1)).alias("total_logged"),
         F.count_if(F.col(ts) >= now - F.expr("INTERVAL 24 HOURS")).cast("bigint").alias("requests_last_24h"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.functions.exprs import amortised_payment, apr_bucket, clamp, js_round, risk_score, years_ago
+from riskframe.functions.exprs import amortised_payment, apr_bucket, clamp, js_round, risk_score, ts_lit, years_ago
 
 
 def expand_profile(inputs: DataFrame, as_of, key: str = "id") -> DataFrame:
@@ -25,7 +25,7 @@ def expand_profile(inputs: DataFrame, as_of, key: str = "id") -> DataFrame:
         (c("fico_range_low") + F.lit(4)).alias("fico_range_high"),
         risk.alias("risk_score"),
         apr.alias("apr"),
-        years_ago(F.lit(as_of), c("credit_history_years")).alias("earliest_cr_line"),
+        years_ago(ts_lit(as_of), c("credit_history_years")).alias("earliest_cr_line"),
     )
     step2 = step1.withColumns({
         "installment": amortised_payment("loan_amnt", c("apr"), "term_months"),

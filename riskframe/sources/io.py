@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from riskframe import specs
-from riskframe.functions.exprs import parse_month
+from riskframe.functions.exprs import parse_month, ts_lit
 from riskframe.session import checkpoint_dir
 
 
@@ -160,7 +160,7 @@ def append_snapshot(report: DataFrame, path: str, as_of, n_ref: Column, n_live:
     """Append drift snapshot rows, partitioned by snapshot date."""
     (report.select("feature", F.col("PSI").alias("psi"), "drift_level", F.col("target_label"),
                    n_ref.cast("int").alias("reference_size"), n_live.cast("int").alias("live_size"),
-                   F.lit(as_of).cast("timestamp_ntz").alias("computed_at"))
+                   ts_lit(as_of).alias("computed_at"))
      .withColumn("snapshot_date", F.to_date("computed_at"))
      .write.mode("append").partitionBy("snapshot_date").parquet(path))
 
