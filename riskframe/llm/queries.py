@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact_dedup, source_mix
+from riskframe.llm import chat, exact_dedup, fingerprints, source_mix
 from riskframe.llm.common import LOWER, UPPER, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+@_query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_versions(read_table(spark, sf_dir, "documents"))
+
+
 @_query("op5_mix_sources", """
 WITH RECURSIVE
 sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
