@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact_dedup, fingerprints, language_id, secrets, source_mix
+from riskframe.llm import chat, exact_dedup, fingerprints, language_id, quality, secrets, source_mix
 from riskframe.llm.common import LOWER, UPPER, held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,15 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+@_query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.fit_quality(docs, labels, "quality", ~held_out(F.col("doc_id"), 3, 1))
+    rows = docs.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "text")
+    scored = quality.score_quality(rows, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @_query("op7_chat_format", """
 WITH c AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS ts, count(*) AS n FROM conversations GROUP BY conv_id),
      f AS (SELECT ts, n, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY ts, n),
