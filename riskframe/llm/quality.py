@@ -22,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from riskframe.llm.common import ship_by_value
+from riskframe.llm.common import labelled_sample, ship_by_value
 
 ship_by_value(__name__)
 
@@ -38,19 +38,6 @@ SIZE = 2 * DIMS + 1
 HALF_TOKENS = 16.0
 
 
-def labelled_sample(labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", max_per_label: int = 2500) -> DataFrame:
-    """(id, y): at most ``max_per_label`` usable ids of each class, chosen by a hash of the id.
-
-    Several labels of one id are averaged and rounded (a tie counts as 1). Ranks are taken in 32 hash buckets first.
-    """
-    one = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(
-        (F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("y"))
-    one = one.withColumn("h", F.xxhash64("id")).withColumn("b", F.pmod("h", F.lit(32)))
-    first = one.withColumn("r", F.row_number().over(Window.partitionBy("y", "b").orderBy("h", "id"))).filter(F.col("r") <= max_per_label)
-    top = first.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "id"))).filter(F.col("r") <= max_per_label)
-    return top.select("id", "y")
-
-
 def index_vectors() -> np.ndarray:
     """(BUCKETS, DIMS) sparse random vectors of unit length, from a fixed seed."""
     rng = np.random.default_rng(11)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact_dedup, fingerprints, language_id, quality, secrets, source_mix
+from riskframe.llm import chat, exact_dedup, fingerprints, language_id, quality, secrets, source_mix, toxicity
 from riskframe.llm.common import LOWER, UPPER, held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(docs.select("doc_id", "text"), secrets.corpus_words(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"),
                         "spans", "n_novel")
+
+
+@_query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.fit_examples(docs, labels, "toxic", ~held_out(F.col("doc_id"), 4, 2))
+    rows = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text")
+    scored = toxicity.score_toxicity(rows, model).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
