@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact_dedup, fingerprints, language_id, quality, secrets, source_mix, toxicity
+from riskframe.llm import chat, exact_dedup, fingerprints, language_id, quality, secrets, sentencepiece_codec, source_mix, toxicity
 from riskframe.llm.common import LOWER, UPPER, held_out, read_table
 
+#: Vocabulary file of the public BPE tokenizer; any other SentencePiece model may be given by path.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -102,6 +106,12 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "spans", "n_novel")
 
 
+@_query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.load_pieces(PIECE_MODEL)).drop("text")
+
+
 @_query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
