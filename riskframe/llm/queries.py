@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact_dedup, fingerprints, language_id, quality, secrets, sentencepiece_codec, source_mix, toxicity
+from riskframe.llm import chat, exact_dedup, fingerprints, language_id, minhash_dedup, quality, secrets, sentencepiece_codec, source_mix, toxicity
 from riskframe.llm.common import LOWER, UPPER, held_out, read_table
 
 #: Vocabulary file of the public BPE tokenizer; any other SentencePiece model may be given by path.
@@ -51,6 +51,26 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_versions(read_table(spark, sf_dir, "documents"))
 
 
+@_query("op4_near_dedup", f"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [[ws[1]]]
+        ELSE list_transform(range(1, len(ws)), lambda i: [ws[i], ws[i + 1]]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+rep AS (SELECT min(doc_id) AS rep, gs FROM (SELECT doc_id, list(g ORDER BY g) AS gs FROM s GROUP BY doc_id) GROUP BY gs),
+cls AS (SELECT x.doc_id, rep.rep FROM (SELECT doc_id, list(g ORDER BY g) AS gs FROM s GROUP BY doc_id) AS x JOIN rep USING (gs)),
+r AS (SELECT s.* FROM s WHERE doc_id IN (SELECT rep FROM rep)),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM r AS a JOIN r AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+near AS (SELECT a, b FROM links JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+reach AS (SELECT rep AS x, rep AS y FROM rep UNION SELECT reach.x, near.b FROM reach JOIN near ON near.a = reach.y),
+comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, w.doc_id) AS component_id, w.doc_id = coalesce(comp.c, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN cls USING (doc_id) LEFT JOIN comp ON comp.x = cls.rep
+""")
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.label_near_copies(read_table(spark, sf_dir, "documents"), words=2)
+
+
 @_query("op5_mix_sources", """
 WITH RECURSIVE
 sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),

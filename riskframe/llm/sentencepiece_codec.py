@@ -22,8 +22,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.llm.common import ship_by_value
@@ -272,12 +274,8 @@ def encode_documents(docs: DataFrame, pieces: Pieces, text_col: str = "text", ve
 
 def decode_documents(docs: DataFrame, pieces: Pieces, ids_col: str = "token_ids") -> DataFrame:
     """``docs`` plus decoded text; NULL ids give NULL, no ids the empty text."""
-    from pyspark.sql import functions as F
-
     @F.pandas_udf("string")
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(pieces)
         for batch in batches:
             yield pd.Series([None if x is None else codec.decode(np.asarray(x, np.int64)) for x in batch], dtype=object)
