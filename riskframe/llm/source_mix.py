@@ -120,6 +120,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     )
 
 
-def in_mix_order(docs: DataFrame, **options) -> DataFrame:
+def in_mix_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """``docs`` (same columns, all rows), sorted into the mix."""
-    return mix_sources(docs, **options).orderBy("mix_slot", "mix_offset").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"))
+    return mix_sources(rows, "__id", "__source", **options).orderBy("mix_slot", "mix_offset").select("__row.*")
