@@ -145,7 +145,7 @@ def strip_prefix(feature="feature") -> Column:
 def humanise(feature="feature") -> Column:
     """``num__annual_inc`` -> ``Annual Inc`` (word-initial capitals, rest kept)."""
     words = F.split(F.regexp_replace(strip_prefix(feature), "_", " "), " ", -1)
-    cap = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20)))
+    cap = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w))))
     return F.array_join(cap, " ")
 
 

@@ -7,7 +7,7 @@ so a pipeline can gate on them without extra passes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DateType,
@@ -28,7 +28,10 @@ KINDS = {
 
 
 def schema_checks(df: DataFrame, required: dict, leakage=()) -> DataFrame:
-    """V1 (present), V2 (logical kind), V6 (no leakage column): schema only, no job."""
+    """V1 (present), V2 (logical kind), V6 (no leakage column), each with the column's number of values.
+
+    ``n_values`` counts the non-null values of a column that is there (one aggregate over the table); 0 otherwise.
+    """
     fields = {f.name: f.dataType for f in df.schema.fields}
     rows = []
     for col, kind in required.items():
@@ -38,7 +41,17 @@ def schema_checks(df: DataFrame, required: dict, leakage=()) -> DataFrame:
         rows.append(("V2_logical_type", None, col, 0 if ok else 1, ok))
     for col in leakage:
         rows.append(("V6_no_leakage", None, col, 1 if col in fields else 0, col not in fields))
-    return df.sparkSession.createDataFrame(rows, "check string, split string, column string, n_violations int, ok boolean")
+    return _with_values(df, rows)
+
+
+def _with_values(df: DataFrame, rows: list[tuple]) -> DataFrame:
+    """Check rows from a schema, joined with the number of non-null values that each of the columns holds."""
+    checks = df.sparkSession.createDataFrame(rows, "check string, split string, column string, n_violations long, ok boolean")
+    names = sorted({r[2] for r in rows if r[2] in df.columns})
+    if not names:
+        return checks.withColumn("n_values", F.lit(0).cast("bigint"))
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in names]).unpivot([], names, "column", "n_values")
+    return checks.join(counts, "column", "left").select(*checks.columns, F.coalesce("n_values", F.lit(0)).cast("bigint").alias("n_values"))
 
 
 def data_checks(df: DataFrame, split: str, target: str, ranges: dict, domains: dict, ordered=(),
@@ -75,17 +88,17 @@ def data_checks(df: DataFrame, split: str, target: str, ranges: dict, domains: d
     long = wide.unpivot([split, *[e for e in ("__ext", "__rate") if e in wide.columns]], names, "__k", "n_violations")
     key = F.split(meta[F.col("__k")], r"\|")
     out = long.select(key[0].alias("check"), F.col(split).alias("split"), key[1].alias("column"),
-                      F.col("n_violations").cast("int").alias("n_violations"), (F.col("n_violations") == 0).alias("ok"))
+                      F.col("n_violations").cast("bigint").alias("n_violations"), (F.col("n_violations") == 0).alias("ok"))
     parts = [out]
     if extreme:
         c, bound, share = extreme
         ok = F.coalesce(F.col("__ext") < F.lit(share), F.lit(True))
         parts.append(wide.select(F.lit("V11_extreme_share").alias("check"), F.col(split).alias("split"), F.lit(c).alias("column"),
-                                 F.when(ok, 0).otherwise(1).alias("n_violations"), ok.alias("ok")))
+                                 F.when(ok, 0).otherwise(1).cast("bigint").alias("n_violations"), ok.alias("ok")))
     lo, hi = rate_bounds
     ok = (F.col("__rate") >= F.lit(lo)) & (F.col("__rate") <= F.lit(hi))
     parts.append(wide.select(F.lit("V12_default_rate_range").alias("check"), F.col(split).alias("split"), F.lit(target).alias("column"),
-                             F.when(ok, 0).otherwise(1).alias("n_violations"), ok.alias("ok")))
+                             F.when(ok, 0).otherwise(1).cast("bigint").alias("n_violations"), ok.alias("ok")))
     res = parts[0]
     for p in parts[1:]:
         res = res.unionByName(p)
@@ -98,7 +111,7 @@ def row_count_matches(df: DataFrame, receipt: DataFrame, split: str = "split") -
     j = counts.join(receipt.select(F.col(split), F.col("rows").alias("__r")), split, "full_outer")
     ok = F.coalesce(F.col("__n") == F.col("__r"), F.lit(False))
     return j.select(F.lit("V4_row_count").alias("check"), F.col(split).alias("split"), F.lit(None).cast("string").alias("column"),
-                    F.abs(F.coalesce(F.col("__n"), F.lit(0)) - F.coalesce(F.col("__r"), F.lit(0))).cast("int").alias("n_violations"),
+                    F.abs(F.coalesce(F.col("__n"), F.lit(0)) - F.coalesce(F.col("__r"), F.lit(0))).cast("bigint").alias("n_violations"),
                     ok.alias("ok"))
 
 
@@ -111,7 +124,7 @@ def unexpected_null_columns(df: DataFrame, split: str, allowed: dict, cols=None)
     allow = df.sparkSession.createDataFrame([(s, c) for s, cs in allowed.items() for c in cs] or [("", "")], f"{split} string, column string")
     bad = fn.join(allow, [split, "column"], "left_anti")
     return bad.select(F.lit("V7_unexpected_all_null").alias("check"), F.col(split).alias("split"), "column",
-                      F.lit(1).alias("n_violations"), F.lit(False).alias("ok"))
+                      F.lit(1).cast("bigint").alias("n_violations"), F.lit(False).alias("ok"))
 
 
 def temporal_order(df: DataFrame, date: str, split: str, order) -> DataFrame:
@@ -124,7 +137,7 @@ def temporal_order(df: DataFrame, date: str, split: str, order) -> DataFrame:
     j = a.join(b, "__i")
     ok = F.col("__a_hi") < F.col("__b_lo")
     return j.select(F.lit("V13_temporal_order").alias("check"), F.concat(F.col("__a"), F.lit("<"), F.col("__b")).alias("split"),
-                    F.lit(date).alias("column"), F.when(ok, 0).otherwise(1).alias("n_violations"), ok.alias("ok"))
+                    F.lit(date).alias("column"), F.when(ok, 0).otherwise(1).cast("bigint").alias("n_violations"), ok.alias("ok"))
 
 
 def rows_conserved(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -132,7 +145,7 @@ def rows_conserved(before: DataFrame, after: DataFrame) -> DataFrame:
     nb, na = before.agg(F.count(F.lit(1))).scalar(), after.agg(F.count(F.lit(1))).scalar()
     return before.sparkSession.range(1).select(
         F.lit("V15_rows_conserved").alias("check"), F.lit(None).cast("string").alias("split"), F.lit(None).cast("string").alias("column"),
-        F.abs(nb - na).cast("int").alias("n_violations"), (nb == na).alias("ok"))
+        F.abs(nb - na).cast("bigint").alias("n_violations"), (nb == na).alias("ok"))
 
 
 def segment_ordering(df: DataFrame, split: str, col: str, low: str, high: str, target: str = "target") -> DataFrame:
@@ -142,32 +155,32 @@ def segment_ordering(df: DataFrame, split: str, col: str, low: str, high: str, t
         F.avg(F.when(F.col(col) == high, F.col(target).cast("double"))).alias("__hi"))
     ok = F.coalesce(F.col("__lo") < F.col("__hi"), F.lit(False))
     return g.select(F.lit("V16_segment_ordering").alias("check"), F.col(split).alias("split"), F.lit(col).alias("column"),
-                    F.when(ok, 0).otherwise(1).alias("n_violations"), ok.alias("ok"))
+                    F.when(ok, 0).otherwise(1).cast("bigint").alias("n_violations"), ok.alias("ok"))
 
 
-def sorted_by(df: DataFrame, date: str, key: str) -> DataFrame:
-    """After sorting by (date, key), no row has a later date than its successor.
+def sorted_by(df: DataFrame, date: str, order: str) -> DataFrame:
+    """Rows taken by the unique column ``order`` (a file position or id) have no later date than their successor.
 
-    Positions come from the two-level position operator; each row is compared
+    Positions come from the two-level running count; each row is compared
     with the next position through an equi-join (no single-partition lag window).
     """
-    from riskframe.operators.relational import global_position
+    from riskframe.operators.windowing import running_sums
 
-    p = global_position(df.select(date, key), date, key)
+    p = running_sums(df.select(date, order).withColumn("__one", F.lit(1)), order, ["__one"]).select(date, F.col("cum___one").alias("position"))
     nxt = p.select((F.col("position") - 1).alias("position"), F.col(date).alias("__next"))
     bad = p.join(nxt, "position").filter(F.col(date) > F.col("__next"))
     n = bad.agg(F.count(F.lit(1))).scalar()
     return df.sparkSession.range(1).select(F.lit("V18_sorted_dates").alias("check"), F.lit(None).cast("string").alias("split"),
-                                           F.lit(date).alias("column"), n.cast("int").alias("n_violations"), (n == 0).alias("ok"))
+                                           F.lit(date).alias("column"), n.cast("bigint").alias("n_violations"), (n == 0).alias("ok"))
 
 
 def column_order(df: DataFrame, spec) -> DataFrame:
-    """Column order and arity equal the spec (schema only)."""
+    """Column order and arity equal the spec, with each column's number of values."""
     have = df.columns
     rows = [("V19_column_order", None, c, 0 if i < len(have) and have[i] == c else 1, i < len(have) and have[i] == c)
             for i, c in enumerate(spec)]
     rows.append(("V19_column_count", None, None, abs(len(have) - len(spec)), len(have) == len(spec)))
-    return df.sparkSession.createDataFrame(rows, "check string, split string, column string, n_violations int, ok boolean")
+    return _with_values(df, rows)
 
 
 # ------------------------------------------------------------------ requests
@@ -210,15 +223,32 @@ def validate_requests(raw: DataFrame, json_col: str, numeric, nullable=(), dates
     return valid, quarantined
 
 
-def response_contract(scores: DataFrame, reasons: DataFrame, t: float, k: int = 5) -> DataFrame:
-    """Per scored id: pred in {0,1}, p in [0,1], exactly k reasons in descending |value|, pred = (p >= t)."""
-    w = Window.partitionBy("id").orderBy("rank")
-    r = reasons.withColumn("__prev", F.lag(F.abs(F.col("value"))).over(w))
-    per = r.groupBy("id").agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__prev") < F.abs(F.col("value"))).alias("__unsorted"))
-    j = scores.join(per, "id", "left")
-    bad = (~F.col("pred").isin(0, 1) | (F.col("p") < 0) | (F.col("p") > 1) | (F.coalesce(F.col("__n"), F.lit(0)) != k)
-           | (F.coalesce(F.col("__unsorted"), F.lit(0)) > 0) | (F.col("pred") != (F.col("p") >= F.lit(t)).cast("int")))
-    n = j.agg(F.count_if(bad)).scalar()
-    return scores.sparkSession.range(1).select(F.lit("V20_response_contract").alias("check"), F.lit(None).cast("string").alias("split"),
-                                               F.lit(None).cast("string").alias("column"), n.cast("int").alias("n_violations"), (n == 0).alias("ok"))
+def response_contract(responses: DataFrame, t: float, k: int = 5) -> DataFrame:
+    """V20 over (p, pred, reasons array): pred in {0,1}, p in [0,1], exactly k reasons in descending |value|, pred = (p >= t)."""
+    size = F.transform("reasons", lambda r: F.round(F.abs(r["value"]), 12))
+    unsorted = F.exists(F.sequence(F.lit(1), F.greatest(F.size("reasons") - 1, F.lit(1))),
+                        lambda i: F.coalesce(F.get(size, i - 1) < F.get(size, i), F.lit(False)))
+    bad = (~F.col("pred").isin(0, 1) | (F.col("p") < 0) | (F.col("p") > 1) | (F.coalesce(F.size("reasons"), F.lit(0)) != k)
+           | unsorted | (F.col("pred") != (F.col("p") >= F.lit(t)).cast("int")))
+    n = responses.agg(F.count_if(bad)).scalar()
+    return responses.sparkSession.range(1).select(F.lit("V20_response_contract").alias("check"), F.lit(None).cast("string").alias("split"),
+                                               F.lit(None).cast("string").alias("column"), n.cast("bigint").alias("n_violations"), (n == 0).alias("ok"))
 
+
+
+def scoring_sanity(scored: DataFrame, optional, y: str = "target", p: str = "p") -> DataFrame:
+    """Rows with a NULL optional field are scored all the same, and defaulters score above the others on average.
+
+    One row per optional field (n_rows = rows where it is NULL, n_violations = those without a score) and one for the order.
+    """
+    aggs = []
+    for c in optional:
+        gone = F.col(c).isNull()
+        aggs += [F.count_if(gone).cast("bigint").alias(f"{c}__n"), F.count_if(gone & F.col(p).isNull()).cast("bigint").alias(f"{c}__v")]
+    lift = F.avg(F.when(F.col(y) == 1, F.col(p))) > F.avg(F.when(F.col(y) == 0, F.col(p)))
+    one = scored.agg(*aggs, F.count(F.lit(1)).alias("__n"), F.coalesce(lift, F.lit(False)).alias("__ok"))
+    rows = [F.struct(F.lit("V21_null_optional_scored").alias("check"), F.lit(c).alias("column"), F.col(f"{c}__n").alias("n_rows"),
+                     F.col(f"{c}__v").alias("n_violations"), (F.col(f"{c}__v") == 0).alias("ok")) for c in optional]
+    rows.append(F.struct(F.lit("V21_risk_order").alias("check"), F.lit(y).alias("column"), F.col("__n").alias("n_rows"),
+                         F.when(F.col("__ok"), 0).otherwise(1).cast("bigint").alias("n_violations"), F.col("__ok").alias("ok")))
+    return one.select(F.inline(F.array(*rows)))

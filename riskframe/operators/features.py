@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.profile import long_numeric, long_text
-from riskframe.operators.windowing import quantile_arrays
+from riskframe.operators.windowing import quantile_arrays, running_sums
 from riskframe.session import cut_lineage
 
 MISSING = "missing"
@@ -52,9 +52,10 @@ def fill_missing(df: DataFrame, cols, token: str = MISSING) -> DataFrame:
 def fit_onehot(train: DataFrame, cols) -> DataFrame:
     """M4: (feature, category, position) from train after the 'missing' fill, lexical order."""
     long = long_text(fill_missing(train, cols), cols).select(F.col("column").alias("feature"), F.col("value").alias("category"))
-    vocab = long.distinct()
-    w = Window.partitionBy("feature").orderBy("category")  # one partition per feature, <= vocabulary rows
-    return vocab.withColumn("position", F.row_number().over(w) - 1)
+    vocab = long.distinct().withColumn("__one", F.lit(1))
+    # a two-level running count: a feature with very many levels is not ranked by one task
+    ranked = running_sums(vocab, "category", ["__one"], ["feature"])
+    return ranked.select("feature", "category", (F.col("cum___one") - 1).alias("position"))
 
 
 def fit(train: DataFrame, numeric, categorical, exact: bool = True) -> DataFrame:
@@ -98,7 +99,7 @@ def transform_long(df: DataFrame, stats: DataFrame, key: str, numeric, categoric
         cs = stats.filter(F.col("kind") == "cat").select("feature", "category")
         cl = long_text(fill_missing(df, categorical), categorical, ids=[key]).select(
             key, F.col("column").alias("feature"), F.col("value").alias("category"))
-        hit = cl.join(F.broadcast(cs), ["feature", "category"])
+        hit = cl.join(cs, ["feature", "category"])  # broadcast only if its measured size allows
         parts.append(hit.select(key, F.concat(F.lit("cat__"), F.col("feature"), F.lit("_"), F.col("category")).alias("name"),
                                 F.lit(1.0).alias("value")))
     out = parts[0]
@@ -107,19 +108,25 @@ def transform_long(df: DataFrame, stats: DataFrame, key: str, numeric, categoric
     return out
 
 
-def transform_wide(df: DataFrame, stats: DataFrame, keep, numeric, categorical) -> DataFrame:
+def transform_wide(df: DataFrame, stats: DataFrame, keep, numeric, categorical, max_columns: int = 5000) -> DataFrame:
     """M5 wide form: ``num__x`` and ``cat__c_v`` double columns (remainder dropped except ``keep``).
 
-    Numeric statistics enter as scalar subqueries (merged by the optimizer into
-    one aggregate); the one-hot column list is the fitted vocabulary, read once.
+    Numeric statistics enter as one map (a scalar subquery). The one-hot columns
+    are the fitted vocabulary, which is read to the driver only after its size is
+    checked against ``max_columns``; a larger vocabulary belongs in the long form.
     """
+    whole = stats.filter(F.col("kind") == "num").agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("median", "mean", "std")))).alias("m")).scalar()
+    if numeric:
+        df = df.withColumn("__stats", whole)
     cols = [F.col(k) for k in keep]
-    ns = stats.filter(F.col("kind") == "num")
     for c in numeric:
-        one = ns.filter(F.col("feature") == c)
-        med, mean, std = one.select("median").scalar(), one.select("mean").scalar(), one.select("std").scalar()
-        cols.append(((F.coalesce(F.col(c).cast("double"), med) - mean) / std).alias(f"num__{c}"))
-    vocab = stats.filter(F.col("kind") == "cat").select("feature", "category").orderBy("feature", "category").collect()
+        e = F.col("__stats")[c]
+        cols.append(((F.coalesce(F.col(c).cast("double"), e["median"]) - e["mean"]) / e["std"]).alias(f"num__{c}"))
+    levels = stats.filter(F.col("kind") == "cat").select("feature", "category")
+    if levels.limit(max_columns + 1).count() > max_columns:
+        raise ValueError(f"more than {max_columns} one-hot levels: use transform_long")
+    vocab = levels.orderBy("feature", "category").collect()
     filled = {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in categorical}
     for r in vocab:
         cols.append(F.when(filled[r["feature"]] == F.lit(r["category"]), F.lit(1.0)).otherwise(F.lit(0.0))

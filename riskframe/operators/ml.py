@@ -45,17 +45,34 @@ def fit_scorecard(train: DataFrame, numeric, y: str = "target") -> DataFrame:
     return cut_lineage(stats.join(w, "feature").fillna(0.0, subset=["weight"]))
 
 
+def scorecard_rows(df: DataFrame, card: DataFrame, key: str, numeric) -> DataFrame:
+    """L7 (linear), one row per record: id and ``contributions`` = array of (feature ``num__x``, value).
+
+    value = weight * standardised x. The card (one entry per feature) enters as one map, a scalar subquery,
+    so a record is scored where it lies: no unpivot, no join, no shuffle.
+    """
+    entry = F.struct("feature", F.struct("median", "mean", "std", "weight"))
+    whole = card.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+
+    def value(c):
+        e = F.col("__card")[c]
+        z = (F.coalesce(F.col(c).cast("double"), e["median"]) - e["mean"]) / e["std"]
+        return F.struct(F.lit(f"num__{c}").alias("feature"), (e["weight"] * z).alias("value"))
+
+    rows = df.select(F.col(key).alias("id"), *numeric).withColumn("__card", whole)
+    return rows.select("id", F.array(*[value(c) for c in numeric]).alias("contributions"))
+
+
 def scorecard_contributions(df: DataFrame, card: DataFrame, key: str, numeric) -> DataFrame:
-    """L7 (linear): (id, feature, value) with value = weight * standardised x, names ``num__x``."""
-    long = long_numeric(df, numeric, ids=[key]).withColumnRenamed("column", "feature").join(F.broadcast(card), "feature")
-    z = (F.coalesce(F.col("value"), F.col("median")) - F.col("mean")) / F.col("std")
-    return long.select(F.col(key).alias("id"), F.concat(F.lit("num__"), F.col("feature")).alias("feature"),
-                       (F.col("weight") * z).alias("value"))
+    """L7 (linear), long: (id, feature, value)."""
+    return scorecard_rows(df, card, key, numeric).select("id", F.inline("contributions"))
 
 
-def scorecard_scores(contrib: DataFrame, base: float = 0.0) -> DataFrame:
-    """L6 for the scorecard: margin = base + sum of contributions, probability = sigmoid(margin)."""
-    return contrib.groupBy("id").agg((F.lit(base) + F.sum("value")).alias("margin")).withColumn("p", sigmoid(F.col("margin")))
+def scorecard_scores(rows: DataFrame, base: float = 0.0, with_contributions: bool = False) -> DataFrame:
+    """L6 for the scorecard, from ``scorecard_rows``: margin = base + sum of contributions, p = sigmoid(margin)."""
+    margin = F.aggregate("contributions", F.lit(float(base)), lambda s, c: s + c["value"])
+    kept = ["contributions"] if with_contributions else []
+    return rows.select("id", margin.alias("margin"), *kept).withColumn("p", sigmoid(F.col("margin")))
 
 
 # ------------------------------------------------------------------ learners

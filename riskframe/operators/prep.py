@@ -153,6 +153,15 @@ def columns_by_kind(df: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+def kind_counts(df: DataFrame) -> DataFrame:
+    """P13 as rows (kind, column, n_values): the logical kind of every column and its number of non-null values."""
+    kinds = [(k, c) for k, cs in columns_by_kind(df).items() for c in cs]
+    named = df.sparkSession.createDataFrame(kinds, "kind string, column string")
+    cols = [c for _, c in kinds]
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).unpivot([], cols, "column", "n_values")
+    return named.join(counts, "column").select("kind", "column", "n_values")
+
+
 def filter_log(df: DataFrame, pred=None, min_prob=None, max_prob=None, purpose=None, addr_state=None,
                date_from=None, date_to=None, ts: str = "logged_at") -> DataFrame:
     """Optional ANDed filters (all pushable to Parquet)."""

@@ -152,8 +152,12 @@ def density_hist(df: DataFrame, col: str, n: int = 50, by: str | None = None) ->
     keys = [by] if by else []
     src = df.filter(F.col(col).isNotNull())
     stats = src.groupBy(*keys).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(F.lit(1)).alias("total"))
-    joined = src.join(F.broadcast(stats), keys) if keys else src.withColumns({
+    joined = src.join(stats, keys) if keys else src.withColumns({
         "lo": src.agg(F.min(col)).scalar(), "hi": src.agg(F.max(col)).scalar(), "total": src.agg(F.count(F.lit(1))).scalar()})
+    # a constant column gets the range value +- 0.5, as numpy's histogram has it
+    widened = {"lo": F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")),
+               "hi": F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi"))}
+    joined, stats = joined.withColumns(widened), stats.withColumns(widened)
     binned = joined.withColumn("bin", equal_width_left_closed(col, "lo", "hi", n))
     counts = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     grid = stats.select(*keys, "lo", "hi", "total", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin"))
@@ -170,9 +174,9 @@ def density_hist(df: DataFrame, col: str, n: int = 50, by: str | None = None) ->
 def kde(df: DataFrame, col: str, grid_points: int = 50, by: str | None = None) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth) on an even grid over each group's range.
 
-    Exact sum over all rows: each row emits one term per grid point and the
-    terms are summed with map-side partial aggregation, so the shuffle carries
-    only (group, grid point) partial sums.
+    Exact sum over all rows in one pass: the group's kernel sums are ``grid_points``
+    aggregates with map-side partial aggregation, so no row is multiplied. A constant
+    column has no bandwidth: its density is NULL.
     """
     keys = [by] if by else []
     src = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("x"))
@@ -180,20 +184,20 @@ def kde(df: DataFrame, col: str, grid_points: int = 50, by: str | None = None) -
         F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("total"), F.stddev_samp("x").alias("sd")
     ).withColumn("h", F.col("sd") * F.pow(F.col("total").cast("double"), F.lit(-0.2)))
     g = grid_points
-    step = (F.col("hi") - F.col("lo")) / F.lit(float(g - 1))
+    stats = stats.withColumn("step", (F.col("hi") - F.col("lo")) / F.lit(float(g - 1)))
     if keys:
-        rows = src.join(F.broadcast(stats), keys)  # one row per group
+        rows = src.join(stats, keys)
     else:
-        rows = src.withColumns({c: stats.select(c).scalar() for c in ("lo", "hi", "h", "total")})
-    terms = rows.select(*keys, "x", "lo", "h", "total", step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(g - 1))).alias("gi"))
-    gx = F.col("gi").cast("double") * F.col("step") + F.col("lo")
-    z = (gx - F.col("x")) / F.col("h")
-    dens = terms.groupBy(*keys, "gi").agg(
-        F.first(gx).alias("x"),
-        F.sum(F.exp(F.lit(-0.5) * z * z)).alias("__s"),
-        F.first(F.col("total") * F.col("h")).alias("__nh"),
-    )
-    return dens.select(*keys, "gi", "x", (F.col("__s") / (F.col("__nh") * F.lit((2 * 3.141592653589793) ** 0.5))).alias("density"))
+        rows = src.withColumns({c: stats.select(c).scalar() for c in ("lo", "h", "total", "step")})
+    at = lambda i: F.lit(float(i)) * F.col("step") + F.col("lo")
+    z = [F.try_divide(at(i) - F.col("x"), F.col("h")) for i in range(g)]
+    sums = rows.groupBy(*keys).agg(
+        *[F.sum(F.exp(F.lit(-0.5) * d * d)).alias(f"__s{i}") for i, d in enumerate(z)],
+        F.first("lo").alias("lo"), F.first("step").alias("step"), (F.first("total") * F.first("h")).alias("__nh"))
+    points = F.array(*[F.struct(F.lit(i).alias("gi"), at(i).alias("x"), F.col(f"__s{i}").alias("s")) for i in range(g)])
+    out = sums.select(*keys, "__nh", F.explode(points).alias("__p"))
+    return out.select(*keys, F.col("__p.gi").alias("gi"), F.col("__p.x").alias("x"), F.try_divide(
+        F.col("__p.s"), F.col("__nh") * F.lit((2 * 3.141592653589793) ** 0.5)).alias("density"))
 
 
 def box_stats(df: DataFrame, cols, exact: bool = True) -> DataFrame:

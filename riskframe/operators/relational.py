@@ -31,8 +31,8 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, on) -> DataFrame:
-    """Attach a fitted stats frame keyed by ``on`` (bounded: one row per key)."""
-    return df.join(F.broadcast(stats), on, "left")
+    """Attach a fitted stats frame keyed by ``on``; Spark broadcasts it when its measured size is small."""
+    return df.join(stats, on, "left")
 
 
 def align_counts(ref: DataFrame, live: DataFrame, col: str) -> DataFrame:
@@ -70,7 +70,7 @@ def explain_join(reasons: DataFrame, lookup: DataFrame, feature: str = "feature"
     from riskframe.functions.exprs import humanise, strip_prefix
 
     r = reasons.withColumn("__base", strip_prefix(F.col(feature)))
-    j = r.join(F.broadcast(lookup.withColumnRenamed("feature", "__base")), "__base", "left")
+    j = r.join(lookup.withColumnRenamed("feature", "__base"), "__base", "left")
     w = Window.partitionBy("id")
     mx = F.max(F.abs(F.col(value))).over(w)
     ratio = F.abs(F.col(value)) / F.when(mx == 0, F.lit(1.0)).otherwise(mx)
@@ -126,19 +126,21 @@ def sort_by_date(df: DataFrame, date: str, key: str) -> DataFrame:
     return df.orderBy(F.col(date).asc_nulls_last(), F.col(key))
 
 
-def global_position(df: DataFrame, date: str, key: str, buckets: int = 4096) -> DataFrame:
-    """0-based position of each row in (date, key) order without a single-partition window.
+def global_position(df: DataFrame, date: str, key: str, buckets: int = 256) -> DataFrame:
+    """0-based position of each row in (date, key) order, NULL dates last, without a single-partition window.
 
-    Per-date counts give each date's offset (a window over at most one row per
-    date); the rank inside a date comes from the two-level running sum over the
-    key, so even a date holding a third of all rows is split into key buckets.
+    Per-date counts give each date's offset and the rank inside a date is a
+    running count over the key; both are two-level running sums, so neither many
+    distinct timestamps nor a date holding a third of all rows meets in one task.
     """
     day_counts = df.groupBy(date).agg(F.count(F.lit(1)).alias("__n"))
-    wd = Window.orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = day_counts.select(date, F.coalesce(F.sum("__n").over(wd), F.lit(0)).alias("__off"))
+    dated = running_sums(day_counts.filter(F.col(date).isNotNull()), date, ["__n"], buckets=buckets)
+    offsets = dated.select(F.struct(date).alias("__day"), (F.col("cum___n") - F.col("__n")).alias("__off"))
+    all_dated = day_counts.filter(F.col(date).isNotNull()).agg(F.coalesce(F.sum("__n"), F.lit(0))).scalar()
     ones = df.withColumn("__one", F.lit(1))
-    ranked = running_sums(ones, key, ["__one"], keys=[date], buckets=buckets)
-    return ranked.join(offsets, date).withColumn("position", F.col("__off") + F.col("cum___one") - 1).drop("__one", "cum___one", "__off")
+    ranked = running_sums(ones, key, ["__one"], keys=[date], buckets=buckets).withColumn("__day", F.struct(date))
+    placed = ranked.join(offsets, "__day", "left")
+    return placed.withColumn("position", F.coalesce("__off", all_dated) + F.col("cum___one") - 1).drop("__one", "cum___one", "__off", "__day")
 
 
 def time_folds(df: DataFrame, date: str, key: str, k: int = 5) -> DataFrame:
@@ -178,6 +180,45 @@ def top_reasons(contrib: DataFrame, k: int = 5, id_col: str = "id", feature: str
     return contrib.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def top_reason_rows(rows: DataFrame, k: int = 5) -> DataFrame:
+    """W3 + W4 where the contributions lie: ``contributions`` become ``reasons``, the k strongest (feature, value, rank, ratio, magnitude).
+
+    Order as in ``top_reasons``; ratio is relative to the record's strongest reason. Nothing is unpivoted or shuffled.
+    """
+    strength = lambda c: F.round(F.abs(c["value"]), 12)
+    first = lambda a, b: F.when(strength(a) > strength(b), -1).when(strength(a) < strength(b), 1).when(
+        a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0)
+    best = F.slice(F.array_sort("contributions", first), 1, k)
+    other = [c for c in rows.columns if c != "contributions"]
+    top = rows.select(*other, best.alias("__best")).withColumn("__max", F.array_max(F.transform("__best", lambda c: F.abs(c["value"]))))
+
+    def reason(c, i):
+        ratio = F.abs(c["value"]) / F.when(F.col("__max") == 0, F.lit(1.0)).otherwise(F.col("__max"))
+        return F.struct(c["feature"].alias("feature"), c["value"].alias("value"), (i + 1).alias("rank"), ratio.alias("ratio"),
+                        reason_strength(ratio).alias("magnitude"))
+
+    return top.select(*other, F.transform("__best", reason).alias("reasons"))
+
+
+def explain_rows(reasons: DataFrame, lookup: DataFrame) -> DataFrame:
+    """J9 + L8 on ``top_reason_rows``: one row per reason with label, direction, magnitude and sentence.
+
+    The lookup (one entry per feature) enters as one map, so the reasons are neither joined nor shuffled.
+    """
+    from riskframe.functions.exprs import humanise, strip_prefix
+
+    entry = F.struct("feature", F.struct("label", "up", "down"))
+    texts = lookup.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+    r = reasons.withColumn("__texts", texts).select("id", "__texts", F.inline("reasons"))
+    r = r.withColumn("__t", F.try_element_at("__texts", strip_prefix(F.col("feature"))))
+    up = F.col("value") > 0
+    label = F.coalesce(F.col("__t.label"), humanise(F.col("feature")))
+    generic = F.concat(label, F.when(up, F.lit(" increased")).otherwise(F.lit(" decreased")), F.lit(" the estimated risk."))
+    sentence = F.coalesce(F.when(up, F.col("__t.up")).otherwise(F.col("__t.down")), generic)
+    return r.select("id", "feature", "value", label.alias("label"), F.when(up, F.lit("up")).otherwise(F.lit("down")).alias("direction"),
+                    "magnitude", sentence.alias("sentence"))
+
+
 def reason_magnitude(contrib: DataFrame, id_col: str = "id", value: str = "value") -> DataFrame:
     """|value| relative to the strongest reason of the same id (max 0 -> 1)."""
     mx = F.max(F.abs(F.col(value))).over(Window.partitionBy(id_col))
@@ -190,7 +231,8 @@ def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
     A distributed top-k (the sample size is the feature); ties broken by key.
     """
-    h = (F.col(key) * F.lit(2654435761) + F.lit(seed)) % F.lit(1000003)
+    m = 1000003
+    h = ((F.col(key) % F.lit(m)) * F.lit(2654435761 % m) + F.lit(seed)) % F.lit(m)  # reduced first: no overflow for any key
     return df.orderBy(h, F.col(key)).limit(n)
 
 

@@ -2,7 +2,7 @@
 
 A global ``Window.orderBy`` (no partition) moves every row into one task, and
 Spark's exact ``percentile`` aggregate keeps every distinct value of a group in
-one task. Both are replaced here by a two-level plan:
+one task. Both are replaced here by one two-level plan, the same at every size:
 
 1. per group, approximate equal-frequency bucket edges (``percentile_approx``,
    at most ``buckets - 1`` values per group) and a bucket index found by a
@@ -11,11 +11,12 @@ one task. Both are replaced here by a two-level plan:
    window, and each bucket cumulates its own rows in a window partitioned by
    (group, bucket).
 
-Bucketing is monotone in the ordered value, so the result is exact. Inputs are
+Bucketing is monotone in the ordered value, and rows inside a bucket are ordered
+by the value itself, so the result is exact for every orderable type. Group keys
+are compared as one struct, so NULL keys form groups of their own. Inputs are
 normally already-aggregated histograms (one row per distinct value per group),
-so a single hot value costs one row however many records carry it, and the
-equal-frequency edges keep every bucket near ``distinct values / buckets`` rows
-even for heavy-tailed values.
+so a single hot value costs one row however many records carry it. Nothing here
+runs a job while the plan is built.
 """
 
 from __future__ import annotations
@@ -24,20 +25,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# Largest group (distinct ordered values) one task may hold; above it the two-level plan is used.
-LOCAL_GROUP_LIMIT = 200_000
-
-
 def _levels(buckets: int) -> list[float]:
     return [i / buckets for i in range(1, buckets)]
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Rows of the largest group (a one-number aggregate read back to choose the plan)."""
-    keys = list(keys)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__c")) if keys else df.agg(F.count(F.lit(1)).alias("__c"))
-    v = counts.agg(F.max("__c")).first()[0]
-    return int(v or 0)
+def _rank_value(df: DataFrame, col: str) -> Column:
+    """A double that never decreases when the column's value grows (ties are fine: they share a bucket)."""
+    kind = dict(df.dtypes)[col]
+    c = F.col(col)
+    if kind == "string":  # the first six bytes, as UTF-8 strings are ordered by their bytes
+        return F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind == "timestamp_ntz":
+        return c.cast("timestamp").cast("double")
+    if kind == "boolean":
+        return c.cast("int").cast("double")
+    return c.cast("double")
 
 
 def search_sorted(value: Column, edges: Column, size: int) -> Column:
@@ -62,99 +66,70 @@ def search_sorted(value: Column, edges: Column, size: int) -> Column:
     return F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), step)
 
 
+def _group(keys) -> Column:
+    """The group keys as one struct: equal in joins even where fields are NULL."""
+    keys = list(keys)
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+
+
 def running_sums(hist: DataFrame, order_col: str, sum_cols, keys=(), descending: bool = False,
-                 buckets: int = 1024, prefix: str = "cum_") -> DataFrame:
+                 buckets: int = 256, prefix: str = "cum_", total_prefix: str | None = None) -> DataFrame:
     """Inclusive running sums ``cum_<c>`` of ``sum_cols`` in ``order_col`` order within ``keys``.
 
-    ``order_col`` must be unique within each key (aggregate first).
+    ``order_col`` must be unique within each key (aggregate first); NULL comes
+    first (last when descending). With ``total_prefix`` the group totals are added too.
     """
-    keys = list(keys)
-    drop = []
-    if not keys:  # one constant group (keeps the plan free of scalar subqueries)
-        hist, keys, drop = hist.withColumn("__rg", F.lit(0)), ["__rg"], ["__rg"]
     sum_cols = list(sum_cols)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    if largest_group(hist, keys) <= LOCAL_GROUP_LIMIT:
-        # every group fits one task: one window per group
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return hist.withColumns({f"{prefix}{c}": F.sum(c).over(w) for c in sum_cols}).drop(*drop)
-    v = F.col(order_col).cast("double")
+    rows = hist.withColumns({"__rk": _group(keys), "__rv": _rank_value(hist, order_col)})
     # Level 0: equal-frequency edges per group (<= buckets - 1 doubles per group).
-    edges = hist.groupBy(*keys).agg(F.percentile_approx(v, _levels(buckets), 10 * buckets).alias("__edges"))
-    hb = hist.join(edges, keys)
-    b = search_sorted(v, F.col("__edges"), buckets - 1)
+    edges = rows.groupBy("__rk").agg(F.percentile_approx("__rv", _levels(buckets), 10 * buckets).alias("__edges"))
+    b = search_sorted(F.col("__rv"), F.coalesce("__edges", F.array().cast("array<double>")), buckets - 1)
     if descending:
         b = F.lit(buckets - 1) - b
-    hb = hb.withColumn("__b", b).drop("__edges")
+    hb = rows.join(edges, "__rk").withColumn("__b", b).drop("__edges", "__rv")
 
     # Level 1: bucket totals and their exclusive prefix (<= buckets rows per key).
-    tot = hb.groupBy(*keys, "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
-    wb = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select(*keys, "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0)).alias(f"__o_{c}") for c in sum_cols])
+    tot = hb.groupBy("__rk", "__b").agg(*[F.sum(c).alias(f"__t_{c}") for c in sum_cols])
+    wk = Window.partitionBy("__rk")
+    wb = wk.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = [F.sum(f"__t_{c}").over(wk).alias(f"{total_prefix}{c}") for c in sum_cols] if total_prefix else []
+    offs = tot.select("__rk", "__b", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0)).alias(f"__o_{c}") for c in sum_cols], *totals)
 
     # Level 2: inside each bucket, in value order.
-    wi = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    wi = Window.partitionBy("__rk", "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     inner = hb.withColumns({f"__i_{c}": F.sum(c).over(wi) for c in sum_cols})
-    out = inner.join(offs, keys + ["__b"])
+    out = inner.join(offs, ["__rk", "__b"])
     return out.withColumns({f"{prefix}{c}": F.col(f"__o_{c}") + F.col(f"__i_{c}") for c in sum_cols}).drop(
-        "__b", *drop, *[f"__o_{c}" for c in sum_cols], *[f"__i_{c}" for c in sum_cols]
+        "__rk", "__b", *[f"__o_{c}" for c in sum_cols], *[f"__i_{c}" for c in sum_cols]
     )
 
 
-def exact_quantiles(long: DataFrame, keys, value: str, qs, buckets: int = 1024) -> DataFrame:
-    """Exact linear-interpolation quantiles of ``value`` per group, as (keys..., q, quantile).
+def quantile_arrays(long: DataFrame, keys, value: str, qs, exact: bool = True, buckets: int = 256) -> DataFrame:
+    """(keys..., __q array<double>) in the order of ``qs``: exact linear interpolation, or ``percentile_approx``.
 
-    Same definition as Spark's ``percentile``: position = q * (n - 1), result =
-    (hi - position) * v[lo] + (position - lo) * v[hi] over the sorted non-null
-    values. Computed from the (group, value) histogram with two-level running
-    counts, so no task ever holds all values of a group. Each histogram row
-    emits only the target positions it covers (at most 2 per level).
+    Exact: position = q * (n - 1) over the sorted non-null values of the group;
+    result = (hi - position) * v[lo] + (position - lo) * v[hi], as Spark's
+    ``percentile`` has it, from running counts of the (group, value) histogram.
+    A group without a non-null value gets NULLs. Without keys there is one row.
     """
     keys = list(keys)
-    drop = []
-    src = long.filter(F.col(value).isNotNull())
-    if not keys:
-        src, keys, drop = src.withColumn("__qg", F.lit(0)), ["__qg"], ["__qg"]
-    hist = src.groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    cum = running_sums(hist, "__v", ["__n"], keys, buckets=buckets)
-    totals = hist.groupBy(*keys).agg(F.sum("__n").alias("__N"))
-    levels = F.array(*[F.lit(float(q)) for q in qs])
-    targets = totals.select(*keys, "__N", F.posexplode(levels).alias("__qi", "q")).withColumn(
-        "__pos", (F.col("__N") - F.lit(1)).cast("double") * F.col("q"))
-    targets = targets.withColumns({"__lo": F.floor("__pos"), "__hi": F.ceil("__pos")})
-    want = targets.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list(F.array("__lo", "__hi")))).alias("__want"))
-    # positions covered by a histogram row: [cum - n, cum - 1]
-    hit = cum.join(F.broadcast(want), keys).select(
-        *keys, "__v", F.explode(F.filter("__want", lambda j: (j >= F.col("cum___n") - F.col("__n")) & (j < F.col("cum___n")))).alias("__j"))
-    lo_v = hit.select(*keys, F.col("__j").alias("__lo"), F.col("__v").alias("__vlo"))
-    hi_v = hit.select(*keys, F.col("__j").alias("__hi"), F.col("__v").alias("__vhi"))
-    j = targets.join(lo_v, keys + ["__lo"]).join(hi_v, keys + ["__hi"])
-    pos, lo, hi = F.col("__pos"), F.col("__lo"), F.col("__hi")
-    interp = F.when((hi == lo) | (F.col("__vlo") == F.col("__vhi")), F.col("__vlo")).otherwise(
-        (hi.cast("double") - pos) * F.col("__vlo") + (pos - lo.cast("double")) * F.col("__vhi"))
-    return j.select(*keys, "__qi", "q", interp.alias("quantile")).drop(*drop)
-
-
-def quantile_arrays(long: DataFrame, keys, value: str, qs, exact: bool = True, buckets: int = 1024) -> DataFrame:
-    """(keys..., __q array<double>) in the order of ``qs``: exact distributed or ``percentile_approx``."""
-    keys = list(keys)
     v = F.col(value).cast("double")
     if not exact:
         return long.groupBy(*keys).agg(F.percentile_approx(v, [float(q) for q in qs], 100000).alias("__q"))
-    # size check: HyperLogLog sketch of distinct values per group (a small shuffle of sketches)
-    nd = F.approx_count_distinct(v, 0.05).alias("__nd")
-    sizes = long.groupBy(*keys).agg(nd) if keys else long.agg(nd)
-    largest = sizes.agg(F.max("__nd")).first()[0] or 0
-    if largest * 1.2 <= LOCAL_GROUP_LIMIT:
-        # bounded groups: Spark's exact percentile keeps at most LOCAL_GROUP_LIMIT values per task
-        pct = F.percentile(v, F.array(*[F.lit(float(q)) for q in qs]))
-        return long.groupBy(*keys).agg(pct.alias("__q"))
-    eq = exact_quantiles(long, keys, value, qs, buckets)
-    ks = keys if keys else []
-    agg = eq.groupBy(*ks).agg(F.array_sort(F.collect_list(F.struct("__qi", "quantile"))).alias("__s"))
-    out = agg.select(*ks, F.transform("__s", lambda s: s["quantile"]).alias("__q"))
-    if keys:
-        # groups with no non-null value get no quantiles: keep them with NULL
-        groups = long.select(*keys).distinct()
-        out = groups.join(out, keys, "left")
-    return out
+    hist = long.groupBy(*keys, v.alias("__v")).agg(F.count_if(v.isNotNull()).alias("__n"))
+    cum = running_sums(hist, "__v", ["__n"], keys, buckets=buckets, total_prefix="__all")
+    first, last = F.col("cum___n") - F.col("__n"), F.col("cum___n")
+    aggs = [F.max("__all__n").alias("__N")]
+    for i, q in enumerate(qs):
+        pos = (F.col("__all__n") - 1).cast("double") * F.lit(float(q))
+        for side, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            aggs.append(F.max(F.when((at >= first) & (at < last), F.col("__v"))).alias(f"__{side}{i}"))
+    found = cum.groupBy(*keys).agg(*aggs)
+    out = []
+    for i, q in enumerate(qs):
+        pos = (F.col("__N") - 1).cast("double") * F.lit(float(q))
+        lo, hi, a, b = F.floor(pos).cast("double"), F.ceil(pos).cast("double"), F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        out.append(F.when((lo == hi) | (a == b), a).otherwise((hi - pos) * a + (pos - lo) * b))
+    q = F.when(F.col("__N") > 0, F.array(*out))
+    return found.select(*keys, q.alias("__q"))

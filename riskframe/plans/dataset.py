@@ -122,6 +122,13 @@ def q_split_xy(spark, sf):
     return y
 
 
+@register("P9_split_features", oracle("SELECT loan_id, loan_amnt, annual_inc, term, purpose FROM labelled", "labelled"))
+def q_split_x(spark, sf):
+    lab = B.labelled(spark, sf).select("loan_id", "loan_amnt", "annual_inc", "term", "purpose", "target")
+    x, _y = prep.split_xy(lab, "loan_id", "target")
+    return x
+
+
 @register("P10_prepare_split", oracle(_PREPARED_SELECT, "labelled"))
 def q_prepare(spark, sf):
     roles = B.LOAN_ROLES.__class__(**{**B.LOAN_ROLES.__dict__, "drop": PREP_DROP})
@@ -139,17 +146,32 @@ def q_regime(spark, sf):
 @register(
     "P12_all_null_columns",
     oracle(
-        "SELECT column_name AS column FROM (SELECT 'annual_inc' AS column_name, count(annual_inc) AS n FROM labelled WHERE split = 'train' AND annual_inc IS NULL "
-        "UNION ALL SELECT 'dti', count(dti) FROM labelled WHERE split = 'train' AND annual_inc IS NULL "
-        "UNION ALL SELECT 'emp_length', count(emp_length) FROM labelled WHERE split = 'train' AND annual_inc IS NULL "
-        "UNION ALL SELECT 'purpose', count(purpose) FROM labelled WHERE split = 'train' AND annual_inc IS NULL) t WHERE n = 0",
+        "SELECT column_name AS column FROM (SELECT 'annual_inc' AS column_name, count(annual_inc) AS n FROM labelled WHERE split = 'train' "
+        "UNION ALL SELECT 'income_in_test', count(annual_inc) FILTER (WHERE split = 'test') FROM labelled WHERE split = 'train' "
+        "UNION ALL SELECT 'emp_length', count(emp_length) FROM labelled WHERE split = 'train' "
+        "UNION ALL SELECT 'purpose', count(purpose) FROM labelled WHERE split = 'train') t WHERE n = 0",
         "labelled",
     ),
 )
 def q_all_null(spark, sf):
-    # The null-income slice of train: annual_inc is fully null there, the others are not.
-    df = B.labelled(spark, sf).filter((F.col("split") == "train") & F.col("annual_inc").isNull())
-    return prep.all_null_columns(df, ["annual_inc", "dti", "emp_length", "purpose"])
+    # income_in_test is filled in the test split only, so all of train has NULL there.
+    df = _with_test_only_column(B.labelled(spark, sf)).filter(F.col("split") == "train")
+    return prep.all_null_columns(df, ["annual_inc", "income_in_test", "emp_length", "purpose"])
+
+
+def _with_test_only_column(df):
+    return df.withColumn("income_in_test", F.when(F.col("split") == "test", F.col("annual_inc")))
+
+
+@register(
+    "P12_drop_all_null",
+    oracle("SELECT split, loan_id, annual_inc, purpose FROM labelled", "labelled"),
+)
+def q_drop_all_null(spark, sf):
+    # The column that is all-NULL in train goes from every split, also from test, where it has values.
+    lab = _with_test_only_column(B.labelled(spark, sf)).select("split", "loan_id", "annual_inc", "purpose", "income_in_test")
+    parts, _gone = prep.drop_all_null(*[lab.filter(F.col("split") == s) for s in ("train", "val", "test")])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _LOG_FILTER = dict(pred=1, min_prob=0.2, max_prob=0.9, purpose="click",

@@ -159,8 +159,11 @@ def q_load_log(spark, sf):
     return load_prediction_log(raw, ["mths_since_last_delinq"], ["issue_d"]).select("request_id", "mths_since_last_delinq", "issue_d", "target")
 
 
-@register("P13_columns_by_kind")
+_KINDS = {"number": ["loan_id", "loan_amnt", "annual_inc", "dti", "target"], "string": ["term", "purpose", "emp_length"],
+          "datetime": ["issue_d", "last_pymnt_d"]}
+
+
+@register("P13_columns_by_kind", oracle(" UNION ALL ".join(
+    f"SELECT '{k}' AS kind, '{c}' AS column, count({c}) AS n_values FROM labelled" for k, cs in _KINDS.items() for c in cs), "labelled"))
 def q_kinds(spark, sf):
-    """Columns of the stored split table by logical kind (schema only; rows-only)."""
-    kinds = prep.columns_by_kind(B.labelled(spark, sf))
-    return spark.createDataFrame([(k, c) for k, cs in kinds.items() for c in cs], "kind string, column string")
+    return prep.kind_counts(B.labelled(spark, sf).select(*[c for cs in _KINDS.values() for c in cs]))

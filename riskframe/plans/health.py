@@ -71,12 +71,15 @@ def q_h6(spark, sf):
     return r6(H.burst_ratio(_logs(spark, sf)))
 
 
-@register("H6_burst_ratio_sparse_users", oracle(
-    _BURST.replace("FROM logs", "FROM logs WHERE request_id IN (SELECT event_id FROM events WHERE user_id < 5)"), "logs"))
+@register("H6_burst_ratio_daily_batches", oracle(
+    _BURST.replace("FROM logs", "FROM (SELECT date_trunc('day', logged_at) + INTERVAL 3 HOUR AS logged_at FROM logs) b"), "logs"))
 def q_h6_sparse(spark, sf):
-    # A subset of users leaves gaps in the hourly record (B3 binding rule).
-    logs = _logs(spark, sf).join(B.table(spark, sf, "events").select(F.col("event_id").alias("request_id"), "user_id"), "request_id")
-    return r6(H.burst_ratio(logs.filter(F.col("user_id") < 5)))
+    # All records, as a nightly batch would log them (03:00 of their day): one active hour a day.
+    return r6(H.burst_ratio(_nightly(_logs(spark, sf))))
+
+
+def _nightly(logs):
+    return logs.withColumn("logged_at", (F.date_trunc("day", F.col("logged_at")).cast("timestamp_ntz") + F.expr("INTERVAL 3 HOUR")))
 
 
 def _outlier_count_sql() -> str:
@@ -119,14 +122,12 @@ def q_h8(spark, sf):
     oracle("""SELECT count(*) AS n_hours, count(*) FILTER (WHERE c > 0) AS nonzero_hours, count(*) > 0 AND count(*) FILTER (WHERE c > 0) / count(*) < 0.3 AS is_bursty
 FROM (SELECT h.hour_start, count(l.logged_at) AS c
 FROM (SELECT unnest(range(TIMESTAMP '2024-01-01 01:00:00', TIMESTAMP '2024-01-31 00:00:00' + INTERVAL 1 SECOND, INTERVAL 1 HOUR)) AS hour_start) h
-LEFT JOIN (SELECT * FROM logs WHERE request_id IN (SELECT event_id FROM events WHERE user_id < 5)) l ON date_trunc('hour', l.logged_at) = h.hour_start
+LEFT JOIN (SELECT date_trunc('day', logged_at) + INTERVAL 3 HOUR AS logged_at FROM logs) l ON date_trunc('hour', l.logged_at) = h.hour_start
   AND l.logged_at >= TIMESTAMP '2024-01-01 01:00:00' AND l.logged_at <= TIMESTAMP '2024-01-31 01:00:00'
 GROUP BY h.hour_start) x""", "logs"),
 )
 def q_h8_flag(spark, sf):
-    ev = B.table(spark, sf, "events").filter(F.col("user_id") < 5).select(F.col("event_id").alias("request_id"))
-    logs = _logs(spark, sf).join(ev, "request_id", "left_semi")
-    _buckets, flag = H.hourly_traffic(logs, B.LOG_AS_OF, 720)
+    _buckets, flag = H.hourly_traffic(_nightly(_logs(spark, sf)), B.LOG_AS_OF, 720)
     return flag.withColumn("n_hours", F.col("n_hours").cast("bigint"))
 
 

@@ -83,22 +83,36 @@ def q_report_csv(spark, sf):
     return r6(back)
 
 
-@register("S9_append_log", oracle("SELECT event_id AS request_id, CAST(ts AS DATE) AS log_date FROM events"))
+_LOG_COLS = ["request_id", "logged_at", "issue_d", "loan_amnt", "annual_inc", "dti", "revol_util", "pub_rec", "delinq_2yrs",
+             "mths_since_last_delinq", "mths_since_last_record", "fico_range_low", "fico_range_high", "earliest_cr_line", "term",
+             "purpose", "addr_state", "emp_length", "home_ownership", "pred", "prob"]
+
+
+@register("S9_append_log", oracle(
+    "SELECT request_id, logged_at, issue_d, loan_amnt, annual_inc, dti, term, purpose, addr_state, pred, round(prob, 6) AS prob, "
+    "CAST(logged_at AS DATE) AS log_date, "
+    "'{\"annual_inc\":' || CAST(pred AS VARCHAR) || ',\"dti\":' || CAST(1 - pred AS VARCHAR) || '}' AS reason_codes FROM logs", "logs"))
 def q_append_log(spark, sf):
-    logs = B.prediction_logs(spark, sf)
+    # Every input of the log in its fixed order, and the reason codes as JSON; two appends make one table.
+    reasons = F.to_json(F.create_map(F.lit("annual_inc"), F.col("pred"), F.lit("dti"), 1 - F.col("pred")))
+    logs = B.prediction_logs(spark, sf).withColumn("reason_codes", reasons)
     path = scratch(spark, "log-table")
-    spec = ["request_id", "logged_at", "loan_amnt", "annual_inc", "pred", "prob"]
+    spec = [*_LOG_COLS, "reason_codes"]
     IO.append_log(logs.filter(F.col("request_id") % 2 == 0), path, spec)
     IO.append_log(logs.filter(F.col("request_id") % 2 == 1), path, spec)
-    return spark.read.parquet(path).select("request_id", "log_date")
+    back = spark.read.parquet(path)
+    if back.columns != [*spec, "log_date"]:
+        raise ValueError("the log table has lost its column order")
+    return r6(back.select("request_id", "logged_at", "issue_d", "loan_amnt", "annual_inc", "dti", "term", "purpose", "addr_state", "pred",
+                          "prob", "log_date", "reason_codes"))
 
 
 @register(
     "S10_append_snapshot",
     report_sql("SELECT * FROM labelled WHERE split = 'train'", "SELECT *, 'live' AS target_label FROM logs", LIVE_NUM, LIVE_CAT,
                needs=("labelled", "logs"),
-               select="""SELECT feature, round(PSI, 6) AS psi, drift_level, target_label, CAST((SELECT count(*) FROM ref) AS INTEGER) AS reference_size,
-  CAST((SELECT count(*) FROM logs) AS INTEGER) AS live_size, TIMESTAMP '2024-01-31 00:00:00' AS computed_at FROM rep"""),
+               select="""SELECT feature, round(PSI, 6) AS psi, drift_level, target_label, (SELECT count(*) FROM ref) AS reference_size,
+  (SELECT count(*) FROM logs) AS live_size, TIMESTAMP '2024-01-31 00:00:00' AS computed_at FROM rep"""),
 )
 def q_snapshot(spark, sf):
     ref = B.labelled(spark, sf).filter(F.col("split") == "train")

@@ -236,12 +236,14 @@ def q_distinct(spark, sf):
 
 @register(
     "A19_fully_null_by_split",
-    oracle(_u("SELECT split, '{c}' AS column FROM labelled WHERE annual_inc IS NULL GROUP BY split HAVING count({c}) = 0",
-              ["annual_inc", "dti", "emp_length", "purpose"]), "labelled"),
+    oracle(_u("SELECT split, '{c}' AS column FROM labelled GROUP BY split HAVING count({c}) = 0",
+              ["annual_inc", "dti", "emp_length", "purpose"])
+           + " UNION ALL SELECT split, 'income_in_test' AS column FROM labelled GROUP BY split HAVING count(annual_inc) FILTER (WHERE split = 'test') = 0",
+           "labelled"),
 )
 def q_fully_null(spark, sf):
-    df = B.labelled(spark, sf).filter(F.col("annual_inc").isNull())
-    return A.fully_null(df.select("split", "annual_inc", "dti", "emp_length", "purpose"), "split")
+    df = B.labelled(spark, sf).withColumn("income_in_test", F.when(F.col("split") == "test", F.col("annual_inc")))
+    return A.fully_null(df.select("split", "annual_inc", "dti", "emp_length", "purpose", "income_in_test"), "split")
 
 
 _PAT = ["annual_inc", "dti", "emp_length", "mths_since_last_delinq"]

@@ -124,15 +124,15 @@ FROM te l, card c WHERE c.feature = '{c}'""", NUM)
 _CARD_CTES = {"tr": TRAIN, "te": "SELECT * FROM labelled WHERE split = 'test'", "med": _MED, "card": _CARD, "contrib": _CONTRIB}
 
 
-def _contrib(spark, sf):
+def _rows(spark, sf):
     lab = B.labelled(spark, sf)
     card = L.fit_scorecard(lab.filter(F.col("split") == "train"), NUM)
-    return L.scorecard_contributions(lab.filter(F.col("split") == "test"), card, "loan_id", NUM)
+    return L.scorecard_rows(lab.filter(F.col("split") == "test"), card, "loan_id", NUM)
 
 
 @register("L7_linear_contributions", oracle("SELECT id, feature, round(value, 6) AS value FROM contrib", "labelled", extra=_CARD_CTES))
 def q_contrib(spark, sf):
-    return r6(_contrib(spark, sf))
+    return r6(_rows(spark, sf).select("id", F.inline("contributions")))
 
 
 @register(
@@ -141,7 +141,7 @@ def q_contrib(spark, sf):
            extra=_CARD_CTES),
 )
 def q_scorecard(spark, sf):
-    return r6(L.scorecard_scores(_contrib(spark, sf)))
+    return r6(L.scorecard_scores(_rows(spark, sf)))
 
 
 _TOP5 = ("SELECT id, feature, value, CAST(row_number() OVER (PARTITION BY id ORDER BY round(abs(value), 12) DESC, feature) AS INTEGER) AS rank "
@@ -150,7 +150,7 @@ _TOP5 = ("SELECT id, feature, value, CAST(row_number() OVER (PARTITION BY id ORD
 
 @register("W3_top_reasons", oracle("SELECT id, feature, round(value, 6) AS value, rank FROM top5", "labelled", extra={**_CARD_CTES, "top5": _TOP5}))
 def q_top5(spark, sf):
-    return r6(R.top_reasons(_contrib(spark, sf), 5).withColumn("rank", F.col("rank").cast("int")))
+    return r6(R.top_reason_rows(_rows(spark, sf), 5).select("id", F.inline("reasons")).drop("ratio", "magnitude"))
 
 
 _MAG = """SELECT id, feature, value, rank, abs(value) / CASE WHEN max(abs(value)) OVER (PARTITION BY id) = 0 THEN 1
@@ -164,8 +164,7 @@ _MAG = """SELECT id, feature, value, rank, abs(value) / CASE WHEN max(abs(value)
 FROM mag""", "labelled", extra={**_CARD_CTES, "top5": _TOP5, "mag": _MAG}),
 )
 def q_mag(spark, sf):
-    top = R.top_reasons(_contrib(spark, sf), 5).withColumn("rank", F.col("rank").cast("int"))
-    return r6(R.reason_magnitude(top))
+    return r6(R.top_reason_rows(_rows(spark, sf), 5).select("id", F.inline("reasons")))
 
 
 def _lookup(spark):
@@ -191,19 +190,26 @@ FROM mag m LEFT JOIN lk k ON k.feature = regexp_replace(m.feature, '^(num|cat)__
            "labelled", extra={**_CARD_CTES, "top5": _TOP5, "mag": _MAG, "lk": _LOOKUP_SQL}),
 )
 def q_explain(spark, sf):
-    top = R.top_reasons(_contrib(spark, sf), 5).drop("rank")
-    return r6(R.explain_join(top, _lookup(spark)))
+    return r6(R.explain_rows(R.top_reason_rows(_rows(spark, sf), 5), _lookup(spark)))
 
 
-@register("U1_union_reports")
+_U1_COLS = ["term", "purpose", "addr_state", "emp_length"]
+
+
+@register("U1_union_reports", oracle(" UNION ALL ".join(
+    f"SELECT '{s}' AS target_label, '{c}' AS feature, count(*) AS n_rows, count({c}) AS n_values, count(DISTINCT {c}) AS n_levels "
+    f"FROM labelled WHERE split = '{s}'" for s in ("val", "test") for c in [*NUM, *_U1_COLS]), "labelled"))
 def q_union(spark, sf):
-    """Two separately built drift reports stacked by column name (rows-only; values checked by D3_D4)."""
+    # One report per split over every model column, the second with its columns in another order; stacked by name.
     lab = B.labelled(spark, sf)
-    tr = lab.filter(F.col("split") == "train")
-    num = ["loan_amnt", "annual_inc"]
-    a = D.drift_report(tr, lab.filter(F.col("split") == "val"), num, [], "val")
-    b = D.drift_report(tr, lab.filter(F.col("split") == "test"), num, [], "test")
-    return R.union_reports(a, b)
+
+    def report(split):
+        part = lab.filter(F.col("split") == split)
+        stats = [F.struct(F.lit(c).alias("feature"), F.count(F.lit(1)).alias("n_rows"), F.count(c).alias("n_values"),
+                          F.count_distinct(c).alias("n_levels")) for c in [*NUM, *_U1_COLS]]
+        return part.agg(F.array(*stats).alias("r")).select(F.lit(split).alias("target_label"), F.inline("r"))
+
+    return R.union_reports(report("val"), report("test").select("n_levels", "n_values", "n_rows", "feature", "target_label"))
 
 
 @register("U2_vocabulary", oracle("SELECT DISTINCT purpose AS value FROM labelled WHERE purpose IS NOT NULL", "labelled"))

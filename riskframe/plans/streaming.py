@@ -4,6 +4,7 @@ returns its sink read back as a batch DataFrame, so batch SQL can check it."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskframe.operators import drift as D
 from riskframe.operators import ml as L
@@ -20,7 +21,8 @@ DELAY = "30 days"  # covers the lateness of the held-back rows, so the stream eq
 def _events_stream(spark, sf, name):
     ev = B.table(spark, sf, "events")
     path = X.stage_event_files(spark, ev, X.scratch(spark, f"{name}-src"), 6)
-    return X.read_stream(spark, path, ev.schema, 1, event_time="ts")
+    schema = T.StructType([*ev.schema.fields, T.StructField("drop", T.IntegerType())])
+    return X.read_stream(spark, path, schema, 1, event_time="ts").drop("drop")
 
 
 def _run(spark, df, name, mode="append"):
@@ -122,13 +124,12 @@ def q_x1(spark, sf):
                                    enums={"term": [" 36 months", " 60 months"], "purpose": EVENT_TYPES})
 
     def score(valid):
-        contrib = L.scorecard_contributions(valid.withColumnRenamed("request_id", "rid"), card, "rid", SCORE_FEATS)
-        s = L.scorecard_scores(contrib)
+        s = L.scorecard_scores(L.scorecard_rows(valid, card, "request_id", SCORE_FEATS))
         return s.select(F.col("id").alias("request_id"), "p", (F.col("p") >= F.lit(0.5)).cast("int").alias("pred"))
 
-    log, quarantine, status = X.scratch(spark, "x1-log"), X.scratch(spark, "x1-q"), X.scratch(spark, "x1-status")
-    X.score_stream(stream, validate, score, log, quarantine, status, X.scratch(spark, "x1-ckpt"))
-    return r6(spark.read.parquet(log).drop("batch_id"))
+    scores, log = X.scratch(spark, "x1-scores"), X.scratch(spark, "x1-log")
+    X.score_stream(stream, validate, score, scores, log, X.scratch(spark, "x1-q"), X.scratch(spark, "x1-status"), X.scratch(spark, "x1-ckpt"))
+    return r6(spark.read.parquet(scores).drop("batch_id"))
 
 
 @register(

@@ -29,14 +29,15 @@ def get_spark(master: str | None = None, app: str = "riskframe", shuffle_partiti
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if master.startswith("local") and not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskframe-ckpt-"))  # one machine: its folder is shared
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) a fresh scratch folder is
-    created and registered.
+    Without one there is no place that executors share: an error, never a local folder.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -44,10 +45,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="riskframe-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -144,7 +144,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from riskframe.sources.io import stored_table
 
-    return stored_table(spark, f"labelled-v{LABELLED_VERSION}", sf_dir, lambda: build_labelled(spark, sf_dir), ["split"])
+    inputs = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "nation", "lineitem")]
+    return stored_table(spark, f"labelled-v{LABELLED_VERSION}", inputs, lambda: build_labelled(spark, sf_dir), ["split"])
 
 
 def score_expr(id_col="loan_id", target="target"):

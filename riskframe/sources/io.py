@@ -25,40 +25,63 @@ _READERS: dict[tuple[str, str], DataFrame] = {}
 _BUILD_LOCK = threading.Lock()
 
 
-def stored_table(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame],
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, whatever store the path is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def input_fingerprint(spark: SparkSession, paths) -> str:
+    """Digest of the names, sizes and modification times of all files under ``paths``."""
+    seen = []
+    for path in paths:
+        fs, p = _file_system(spark, path)
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` ended: Spark leaves ``_SUCCESS`` as its last step."""
+    fs, p = _file_system(spark, f"{path}/_SUCCESS")
+    return fs.exists(p)
+
+
+def stored_table(spark: SparkSession, name: str, inputs, build: Callable[[], DataFrame],
                  partition_by=None) -> DataFrame:
-    """Read ``name`` built from ``source`` from the shared checkpoint folder; build and write it first if absent.
+    """Read ``name``, built from the files under ``inputs``, from the shared checkpoint folder.
 
-    The reader (file listing, partition discovery) is kept per application.
+    The folder's name holds a fingerprint of the input files, so changed inputs
+    build a new table; a folder without a success marker is written again. The
+    reader (file listing, partition discovery) is kept per application.
     """
-    key = hashlib.sha1(f"{name}|{source.rstrip('/')}".encode()).hexdigest()[:16]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/riskframe-tables/{name}-{key}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/riskframe-tables/{name}-{input_fingerprint(spark, inputs)}"
     memo = (spark.sparkContext.applicationId, path)
     with _BUILD_LOCK:  # concurrent first uses in one process build the table once
         if memo in _READERS:
             return _READERS[memo]
-        try:
-            df = spark.read.parquet(path)
-        except AnalysisException:
+        if not is_complete(spark, path):
             w = build().write.mode("overwrite")
             if partition_by:
                 w = w.partitionBy(*partition_by)
             w.parquet(path)
-            df = spark.read.parquet(path)
-        _READERS[memo] = df
-        return df
+        _READERS[memo] = spark.read.parquet(path)
+        return _READERS[memo]
 
 
 # ----------------------------------------------------------------- S1 / S2
 
 
 def read_loans_csv(spark: SparkSession, path: str, columns, numeric=(), dates=(), null_tokens=None,
-                   encoding: str = "ISO-8859-1") -> DataFrame:
+                   encoding: str = "ISO-8859-1", quoted_newlines: bool = False) -> DataFrame:
     """Raw loan CSV with an explicit all-string schema, then typed.
 
     Null tokens are mapped to NULL on trimmed text, thousands separators are
     removed before ``try_cast`` (bad numbers become NULL), ``MMM-yyyy`` dates are
-    parsed and rows with an unparseable date are dropped (S2).
+    parsed and rows with an unparseable date are dropped (S2). Files are split
+    over tasks; only with ``quoted_newlines`` is a file read whole by one task.
     """
     tokens = list(null_tokens if null_tokens is not None else specs.NULL_TOKENS)
     schema = StructType([StructField(c, StringType(), True) for c in columns])
@@ -68,7 +91,7 @@ def read_loans_csv(spark: SparkSession, path: str, columns, numeric=(), dates=()
         .option("encoding", encoding)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", quoted_newlines)
         .csv(path)
     )
     cleaned = raw.select(*[F.when(F.trim(F.col(c)).isin(tokens) | F.col(c).isNull(), F.lit(None)).otherwise(F.col(c)).alias(c)
@@ -159,7 +182,7 @@ def append_log(df: DataFrame, path: str, spec, partition: str = "log_date", ts:
 def append_snapshot(report: DataFrame, path: str, as_of, n_ref: Column, n_live: Column) -> None:
     """Append drift snapshot rows, partitioned by snapshot date."""
     (report.select("feature", F.col("PSI").alias("psi"), "drift_level", F.col("target_label"),
-                   n_ref.cast("int").alias("reference_size"), n_live.cast("int").alias("live_size"),
+                   n_ref.cast("bigint").alias("reference_size"), n_live.cast("bigint").alias("live_size"),
                    ts_lit(as_of).alias("computed_at"))
      .withColumn("snapshot_date", F.to_date("computed_at"))
      .write.mode("append").partitionBy("snapshot_date").parquet(path))

@@ -45,7 +45,11 @@ LEAKAGE_COLUMNS = [
 RESOLVED_STATUSES = {"Fully Paid": 0, "Charged Off": 1}
 
 # Null tokens of the raw CSV reader (in addition to the empty string).
-NULL_TOKENS = ["NA", "N/A", "null", "NULL", "", " ", "None"]
+# The reader's own tokens and the default missing-value tokens of pandas' CSV reader.
+NULL_TOKENS = [
+    "", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 # Drift level cut points: psi < 0.1 stable, < 0.25 moderate, otherwise significant.
 DRIFT_STABLE_BELOW = 0.1

@@ -30,7 +30,8 @@ def stage_event_files(spark: SparkSession, events: DataFrame, out: str, n_files:
     written a second time in the next drop and every key % 97 == 0 held back to the last drop.
 
     Drops are equal-width time slices (no global ordering window); each drop is
-    its own write so file modification times follow the drop order.
+    its own folder ``drop=i``, written by all tasks that hold rows of it, one
+    drop after the other, so that file times follow the drop order.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
     lo, hi = events.agg(F.min(t)).scalar(), events.agg(F.max(t)).scalar()
@@ -43,7 +44,7 @@ def stage_event_files(spark: SparkSession, events: DataFrame, out: str, n_files:
         src_slices = [i - 1] if i < n_files - 1 else [i - 1, i]
         dup = q.filter(F.col("__slice").isin(src_slices) & (F.col(key) % 50 == 0) & ~late) if i > 0 else None
         drop = part if dup is None else part.unionByName(dup)
-        drop.drop("__slice").coalesce(1).write.mode("append").parquet(out)
+        drop.drop("__slice").withColumn("drop", F.lit(i)).write.mode("append").partitionBy("drop").parquet(out)
     return out
 
 
@@ -127,20 +128,28 @@ def running_scores(src: DataFrame, prob: str = "prob", bins: int = 30, threshold
 # ------------------------------------------------------------------ X1 / X4
 
 
-def score_stream(src: DataFrame, validate, score, log_path: str, quarantine_path: str, status_path: str, ckpt: str) -> None:
-    """Requests -> validation -> scoring -> log sink; a failed log write never fails scoring.
+def score_stream(src: DataFrame, validate, score, scores_path: str, log_path: str, quarantine_path: str, status_path: str,
+                 ckpt: str) -> None:
+    """Requests -> validation -> scoring -> scores, then the log; a failed log write never loses a score.
 
     ``validate(batch) -> (valid, bad)`` and ``score(valid) -> scored`` are batch
-    functions applied to each micro-batch. The log write is attempted after the
-    scores are computed; its failure is recorded in the status table.
+    functions applied to each micro-batch. Scores and quarantined requests are
+    written first, and a failure there stops the batch, which is then retried.
+    The log is written from the stored scores; its failure is recorded in the
+    status table, and the batch can be logged again from ``scores_path``.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        valid, bad = validate(batch)
-        scored = score(valid)
-        bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{quarantine_path}/batch_id={batch_id}")
+        at = f"batch_id={batch_id}"
+        batch.persist()  # read once for the valid and the rejected part
+        try:
+            valid, bad = validate(batch)
+            score(valid).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{scores_path}/{at}")
+            bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{quarantine_path}/{at}")
+        finally:
+            batch.unpersist()
         ok = True
         try:
-            scored.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+            batch.sparkSession.read.parquet(f"{scores_path}/{at}").write.mode("overwrite").parquet(f"{log_path}/{at}")
         except Exception:  # noqa: BLE001 - logging must not fail scoring
             ok = False
         batch.sparkSession.createDataFrame([(batch_id, ok)], "batch_id long, log_written boolean").write.mode("overwrite").parquet(
@@ -163,7 +172,7 @@ def snapshot_stream(src: DataFrame, reference: DataFrame, log_path: str, snapsho
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
         live = spark.read.parquet(log_path)
         rep = report_fn(reference, live)
-        rep.withColumns({"computed_at": F.lit(batch_id).cast("long"), "batch_id": F.lit(batch_id)}).write.mode("overwrite").parquet(
+        rep.withColumns({"computed_at": F.current_timestamp(), "batch_id": F.lit(batch_id)}).write.mode("overwrite").parquet(
             f"{snapshots_path}/batch_id={batch_id}")
 
     w = src.writeStream.option("checkpointLocation", ckpt).foreachBatch(handle)

@@ -48,10 +48,7 @@ def test_oof_target_encoding_brute_force(spark):
         assert abs(got[i] - (lam * g.mean() + (1 - lam) * m)) < 1e-12
 
 
-def test_global_position_with_hot_date(spark, monkeypatch):
-    from riskframe.operators import windowing
-
-    monkeypatch.setattr(windowing, "LOCAL_GROUP_LIMIT", 0)
+def test_global_position_with_hot_date(spark):
     base = datetime(2020, 1, 1)
     rows = [(i, base if i % 3 == 0 else base + timedelta(days=i % 7)) for i in range(600)]  # one date holds > 1/3
     df = spark.createDataFrame(rows, "id long, d timestamp_ntz")
@@ -60,6 +57,20 @@ def test_global_position_with_hot_date(spark, monkeypatch):
     assert all(got[r[0]] == i for i, r in enumerate(order))
 
 
+def test_global_position_puts_null_dates_last_and_takes_text_keys(spark):
+    base = datetime(2020, 1, 1)
+    rows = [(f"req-{i:03d}", None if i % 5 == 0 else base + timedelta(hours=i % 9)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, d timestamp_ntz")
+    got = {r.id: r.position for r in R.global_position(df, "d", "id", buckets=8).collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or base, r[0]))
+    assert len(got) == 120 and all(got[r[0]] == i for i, r in enumerate(order))
+
+
+def test_sample_hash_does_not_overflow(spark):
+    df = spark.createDataFrame([(2**62 + i,) for i in range(50)] + [(i,) for i in range(50)], "k long")
+    assert len({r.k for r in R.sample_n(df, "k", 20).collect()}) == 20
+
+
 def test_time_folds_expanding(spark):
     base = datetime(2020, 1, 1)
     rows = [(i, base + timedelta(days=i)) for i in range(60)]
@@ -88,3 +99,20 @@ def test_sample_is_deterministic(spark):
     a = [r.k for r in R.sample_n(df, "k", 10, 7).collect()]
     b = [r.k for r in R.sample_n(df.repartition(7), "k", 10, 7).collect()]
     assert a == b and len(a) == 10
+
+
+def test_onehot_with_very_many_levels(spark):
+    import pytest
+
+    from riskframe.operators import features as M
+
+    df = spark.range(60_000).selectExpr("id", "concat('employer ', id) as c", "cast(id % 7 as double) as x")
+    vocab = M.fit_onehot(df, ["c"])
+    assert vocab.count() == 60_000
+    order = sorted(f"employer {i}" for i in range(60_000))
+    got = {r.category: r.position for r in vocab.filter("position < 5 or position > 59990").collect()}
+    assert all(order[p] == c for c, p in got.items())
+    stats = M.fit(df, ["x"], ["c"])
+    assert M.transform_long(df, stats, "id", ["x"], ["c"]).count() == 120_000
+    with pytest.raises(ValueError, match="transform_long"):
+        M.transform_wide(df, stats, ["id"], ["x"], ["c"])

@@ -53,7 +53,7 @@ def test_scorecard_contributions_add_up(spark):
     df = spark.createDataFrame(rows, "id long, a double, b double, target int")
     card = L.fit_scorecard(df, ["a", "b"])
     contrib = L.scorecard_contributions(df, card, "id", ["a", "b"])
-    scores = L.scorecard_scores(contrib)
+    scores = L.scorecard_scores(L.scorecard_rows(df, card, "id", ["a", "b"]))
     j = contrib.groupBy("id").agg(F.sum("value").alias("s")).join(scores, "id")
     assert j.filter(F.abs(F.col("s") - F.col("margin")) > 1e-12).count() == 0
 
@@ -63,7 +63,7 @@ def test_risk_ordering(spark):
     df = spark.createDataFrame(rows, "id long, dti double, target int")
     card = L.fit_scorecard(df, ["dti"])
     fixture = spark.createDataFrame([(1, 5.0), (2, 45.0)], "id long, dti double")  # low-risk, high-risk
-    s = {r.id: r.p for r in L.scorecard_scores(L.scorecard_contributions(fixture, card, "id", ["dti"])).collect()}
+    s = {r.id: r.p for r in L.scorecard_scores(L.scorecard_rows(fixture, card, "id", ["dti"])).collect()}
     assert s[1] < s[2]
 
 
@@ -104,3 +104,78 @@ def test_gbt_treeshap_additivity(spark):
             .select("id", vector_to_array("probability")[1].alias("p")).collect()}
     for i, s in total.items():
         assert abs(s - math.log(prob[i] / (1 - prob[i]))) < 1e-6
+
+
+def test_scores_survive_a_failed_log_write(spark, tmp_path):
+    src = X.scratch(spark, "t-x1")
+    spark.createDataFrame([(i, float(i)) for i in range(20)], "id long, v double").write.parquet(src)
+    stream = spark.readStream.schema("id long, v double").parquet(src)
+    blocked = tmp_path / "log"
+    blocked.write_text("a file stands where the log folder should be")
+    scores, status = X.scratch(spark, "t-scores"), X.scratch(spark, "t-status")
+    X.score_stream(stream, lambda b: (b.filter("id % 5 <> 0"), b.filter("id % 5 = 0")), lambda v: v.selectExpr("id", "v / 20 as p"),
+                   scores, str(blocked), X.scratch(spark, "t-q"), status, X.scratch(spark, "t-ck3"))
+    assert sorted(r.id for r in spark.read.parquet(scores).collect()) == [i for i in range(20) if i % 5]
+    assert [r.log_written for r in spark.read.parquet(status).collect()] == [False]
+
+
+def test_stored_table_follows_its_inputs_and_rewrites_half_written_folders(spark, tmp_path):
+    import shutil
+
+    from riskframe.sources import io as IO
+
+    src, built = tmp_path / "in.parquet", []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(str(src))
+
+    spark.range(5).write.parquet(str(src))
+    name = f"t{tmp_path.name}"
+    assert IO.stored_table(spark, name, [str(src)], build).count() == 5 and IO.stored_table(spark, name, [str(src)], build).count() == 5
+    assert len(built) == 1
+    shutil.rmtree(src)
+    spark.range(9).write.parquet(str(src))
+    assert IO.stored_table(spark, name, [str(src)], build).count() == 9 and len(built) == 2
+    path = next(p for _, p in IO._READERS if name in p and IO.input_fingerprint(spark, [str(src)]) in p)
+    fs, marker = IO._file_system(spark, f"{path}/_SUCCESS")
+    fs.delete(marker, False)
+    IO._READERS.clear()
+    assert IO.stored_table(spark, name, [str(src)], build).count() == 9 and len(built) == 3
+
+
+def test_checkpoint_folder_is_required(spark, monkeypatch):
+    import pytest
+
+    from riskframe import session
+
+    class Bare:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Bare)
+
+
+def test_csv_null_tokens_of_pandas(spark, tmp_path):
+    from riskframe.sources import io as IO
+
+    f = tmp_path / "x.csv"
+    f.write_text("a,b\nNaN,1\n#N/A,nan\nn/a,2\nkept,\"1,000\"\n")
+    rows = IO.read_loans_csv(spark, str(f), ["a", "b"], numeric=["b"]).collect()
+    assert [(r.a, r.b) for r in rows] == [(None, 1.0), (None, None), (None, 2.0), ("kept", 1000.0)]
+
+
+def test_constant_columns_in_density_and_kde(spark):
+    import numpy as np
+
+    from riskframe.operators import profile as A
+
+    df = spark.createDataFrame([(3.0,)] * 8, "x double")
+    hist = A.density_hist(df, "x", 4).orderBy("bin").collect()
+    want, edges = np.histogram([3.0] * 8, 4, density=True)
+    assert [r.density for r in hist] == want.tolist() and [r.lower for r in hist] == edges[:-1].tolist()
+    assert {r.density for r in A.kde(df, "x", 5).collect()} == {None}

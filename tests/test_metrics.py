@@ -38,29 +38,15 @@ def _df(spark, y, p, groups=None):
     return spark.createDataFrame(rows, "id long, y int, p double, g string")
 
 
-@pytest.fixture
-def two_level(monkeypatch):
-    """Force the distributed two-level plans even on small test data."""
-    from riskframe.operators import windowing
-
-    monkeypatch.setattr(windowing, "LOCAL_GROUP_LIMIT", 0)
-
-
 @pytest.mark.parametrize("buckets", [1, 7, 4096])
-def test_auc_ap_exact(spark, buckets, two_level):
+def test_auc_ap_exact(spark, buckets):
     y, p = _data()
     r = M.ranking_metrics(_df(spark, y, p), "y", "p", buckets=buckets).first()
     assert abs(r.roc_auc - _auc(y, p)) < 1e-12
     assert abs(r.pr_auc - _ap(y, p)) < 1e-12
 
 
-def test_auc_ap_exact_local_plan(spark):
-    y, p = _data(9)
-    r = M.ranking_metrics(_df(spark, y, p), "y", "p").first()
-    assert abs(r.roc_auc - _auc(y, p)) < 1e-12 and abs(r.pr_auc - _ap(y, p)) < 1e-12
-
-
-def test_grouped_with_hot_group(spark, two_level):
+def test_grouped_with_hot_group(spark):
     y, p = _data(1, 1200)
     groups = np.where(np.arange(1200) < 400, "hot", np.where(np.arange(1200) % 2 == 0, "a", "b"))
     out = {r.g: r for r in M.ranking_metrics(_df(spark, y, p, groups), "y", "p", ["g"], buckets=16).collect()}
@@ -78,7 +64,7 @@ def test_auc_invariant_under_monotone_map(spark):
     assert abs(a.roc_auc - b.roc_auc) < 1e-12 and abs(a.pr_auc - b.pr_auc) < 1e-12
 
 
-def test_running_sums_match_cumsum(spark, two_level):
+def test_running_sums_match_cumsum(spark):
     rng = np.random.default_rng(5)
     v = rng.permutation(500).astype(float)
     w = rng.integers(0, 5, 500)
@@ -136,17 +122,50 @@ def test_fairness_skips_one_class_segments(spark):
     assert out["a"].selection_rate == 0.5 and out["a"].tpr == 1.0 and out["a"].fpr == 0.0
 
 
-@pytest.mark.parametrize("force", [True, False])
-def test_exact_quantiles_match_numpy(spark, monkeypatch, force):
+def test_running_sums_keep_null_groups_and_null_values(spark):
+    rows = [(None, None, 5), (None, 2.0, 1), (None, 1.0, 2), ("a", 3.0, 4), ("a", None, 7)]
+    df = spark.createDataFrame(rows, "k string, v double, w long")
+    up = {(r.k, r.v): (r.cum_w, r.all_w) for r in running_sums(df, "v", ["w"], ["k"], total_prefix="all_").collect()}
+    assert up == {(None, None): (5, 8), (None, 1.0): (7, 8), (None, 2.0): (8, 8), ("a", None): (7, 11), ("a", 3.0): (11, 11)}
+    down = {(r.k, r.v): r.cum_w for r in running_sums(df, "v", ["w"], ["k"], descending=True, buckets=2).collect()}
+    assert down == {(None, 2.0): 1, (None, 1.0): 3, (None, None): 8, ("a", 3.0): 4, ("a", None): 11}
+
+
+def test_running_sums_order_text_dates_and_times(spark):
+    import datetime as dt
+    import uuid
+
+    rng = np.random.default_rng(8)
+    ids = [str(uuid.UUID(bytes=rng.bytes(16))) for _ in range(300)] + ["", "é", "request-1", "request-10", "request-2"]
+    day = [dt.date(2020, 1, 1) + dt.timedelta(days=int(i)) for i in rng.permutation(len(ids))]
+    df = spark.createDataFrame([(a, b, dt.datetime.combine(b, dt.time(3)), 1) for a, b in zip(ids, day)], "s string, d date, t timestamp, w long")
+    for col, order in (("s", sorted(ids, key=lambda x: x.encode())), ("d", sorted(day)), ("t", [dt.datetime.combine(x, dt.time(3)) for x in sorted(day)])):
+        got = {r[col]: r.cum_w for r in running_sums(df, col, ["w"], buckets=16).collect()}
+        assert [got[x] for x in order] == list(range(1, len(ids) + 1))
+
+
+def test_plans_are_built_without_running_a_job(spark):
+    from riskframe.operators import windowing
+
+    seen = []
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    df = spark.range(1000).selectExpr("id % 3 k", "cast(id as double) v", "1 w")
+    seen.append(windowing.quantile_arrays(df, ["k"], "v", [0.5]))
+    seen.append(running_sums(df, "v", ["w"], ["k"]))
+    assert set(tracker.getJobIdsForGroup(None)) == before and len(seen) == 2
+
+
+def test_exact_quantiles_match_numpy(spark):
     from riskframe.operators import windowing
 
-    if force:
-        monkeypatch.setattr(windowing, "LOCAL_GROUP_LIMIT", 0)
     rng = np.random.default_rng(7)
     vals = {"a": np.round(rng.lognormal(size=700), 3), "b": rng.integers(0, 5, 300).astype(float)}
-    rows = [(k, float(v)) for k, arr in vals.items() for v in arr] + [("a", None)]
+    vals[None] = rng.normal(size=50)
+    rows = [(k, float(v)) for k, arr in vals.items() for v in arr] + [("a", None), ("only null", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     qs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     got = {r.k: r["__q"] for r in windowing.quantile_arrays(df, ["k"], "v", qs).collect()}
+    assert got.pop("only null") is None
     for k, arr in vals.items():
         assert np.allclose(got[k], np.quantile(arr, qs), rtol=0, atol=1e-12)
