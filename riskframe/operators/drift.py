@@ -228,9 +228,29 @@ def categorical_overlay(reference: DataFrame, live: DataFrame, col: str) -> Data
     )
 
 
+def feature_detail(reference: DataFrame, live: DataFrame, feature: str, numeric, categorical) -> DataFrame:
+    """The overlay of one feature with its drift value and level; only that feature is read.
+
+    Numeric features give bins, categorical ones their categories; a feature that is neither gives an empty frame.
+    """
+    if feature in numeric:
+        overlay, rep = numeric_overlay(reference, live, feature), drift_report(reference, live, [feature], [], "live")
+    elif feature in categorical:
+        overlay, rep = categorical_overlay(reference, live, feature), drift_report(reference, live, [], [feature], "live")
+    else:
+        return live.sparkSession.createDataFrame([], "feature string, psi double, drift_level string")
+    one = rep.select("feature", F.col("PSI").alias("psi"), "drift_level")
+    return overlay.withColumn("feature", F.lit(feature)).join(one, "feature")
+
+
 def drift_history(snapshots: DataFrame, feature: str, days: int, as_of, ts: str = "computed_at") -> DataFrame:
-    """Snapshots of one feature in the last ``days`` days, ascending (filters reach the scan)."""
+    """Snapshots of one feature in the last ``days`` days, ascending.
+
+    The filters reach the scan; a table partitioned by ``snapshot_date`` is read only for those days.
+    """
     lo = ts_lit(as_of) - F.make_interval(days=F.lit(int(days)))
+    if "snapshot_date" in snapshots.columns:
+        snapshots = snapshots.filter(F.col("snapshot_date") >= F.to_date(lo))
     return snapshots.filter((F.col("feature") == feature) & (F.col(ts) >= lo)).select(ts, "psi", "drift_level").orderBy(ts)
 
 

@@ -240,12 +240,20 @@ def q_cat_overlay(spark, sf):
 
 
 def daily_snapshots(spark, sf):
-    """Snapshot table derived by Spark: live drift of each logged day vs the train reference."""
+    """Stored snapshot table, partitioned by day: live drift of each logged day vs the train reference."""
+    from riskframe.sources.io import stored_table
+
+    inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "nation", "lineitem", "events")]
+    return stored_table(spark, f"snapshots-v{B.LABELLED_VERSION}", inputs, lambda: _build_snapshots(spark, sf), ["snapshot_date"])
+
+
+def _build_snapshots(spark, sf):
     live = _live(spark, sf).withColumn("day", F.to_date("logged_at"))
     rep = D.drift_report_by(_train(spark, sf), live, LIVE_NUM, LIVE_CAT, label="day")
     return rep.select(
         (F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).alias("computed_at"),
-        "feature", F.col("PSI").alias("psi"), "drift_level", F.lit("live").alias("target_label"))
+        "feature", F.col("PSI").alias("psi"), "drift_level", F.lit("live").alias("target_label")).withColumn(
+        "snapshot_date", F.to_date("computed_at"))
 
 
 @register(

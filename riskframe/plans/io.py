@@ -168,9 +168,20 @@ FROM ({_DETAIL_EDGES}) x, range(0, 10) b(bucket), rep r WHERE b.bucket <= len(x.
 def q_detail(spark, sf):
     ref = B.labelled(spark, sf).filter(F.col("split") == "train")
     live = B.prediction_logs(spark, sf)
-    rep = D.drift_report(ref, live, LIVE_NUM, LIVE_CAT, "live").filter(F.col("feature") == "annual_inc")
-    overlay = D.numeric_overlay(ref, live, "annual_inc").withColumn("bucket", F.col("bucket").cast("int"))
-    # one report row for the feature: attached by its name
-    detail = overlay.withColumn("feature", F.lit("annual_inc")).join(
-        rep.select("feature", F.col("PSI").alias("psi"), "drift_level"), "feature")
-    return r6(detail)
+    detail = D.feature_detail(ref, live, "annual_inc", LIVE_NUM, LIVE_CAT)
+    return r6(detail.withColumn("bucket", F.col("bucket").cast("int")))
+
+
+@register(
+    "D9_feature_detail_categorical",
+    report_sql("SELECT * FROM labelled WHERE split = 'train'", "SELECT *, 'live' AS target_label FROM logs", LIVE_NUM, LIVE_CAT,
+               needs=("labelled", "logs"), select="""SELECT coalesce(a.category, l.category) AS category, 'emp_length' AS feature,
+  round(coalesce(a.n, 0) / (SELECT count(emp_length) FROM ref), 6) AS reference_pct,
+  round(coalesce(l.n, 0) / (SELECT count(emp_length) FROM logs), 6) AS live_pct, (a.n IS NULL AND l.n > 0) AS unseen,
+  round((SELECT PSI FROM rep WHERE feature = 'emp_length'), 6) AS psi, (SELECT drift_level FROM rep WHERE feature = 'emp_length') AS drift_level
+FROM (SELECT emp_length AS category, count(*) AS n FROM ref WHERE emp_length IS NOT NULL GROUP BY 1) a
+FULL OUTER JOIN (SELECT emp_length AS category, count(*) AS n FROM logs WHERE emp_length IS NOT NULL GROUP BY 1) l ON a.category = l.category"""),
+)
+def q_detail_categorical(spark, sf):
+    ref = B.labelled(spark, sf).filter(F.col("split") == "train")
+    return r6(D.feature_detail(ref, B.prediction_logs(spark, sf), "emp_length", LIVE_NUM, LIVE_CAT))

@@ -22,7 +22,7 @@ from riskframe.session import checkpoint_dir
 
 
 _READERS: dict[tuple[str, str], DataFrame] = {}
-_BUILD_LOCK = threading.Lock()
+_BUILD_LOCK = threading.RLock()  # a build may itself read a stored table
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -11,7 +11,6 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SQLS = entry.oracle_sql()
-SLOW = ("_stream",)
 
 
 def _norm(v):
@@ -44,7 +43,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in SQLS if not any(s in n for s in SLOW)])
+@pytest.mark.parametrize("name", list(SQLS))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]

@@ -131,3 +131,12 @@ def test_level_crosstab_zero_fill(spark):
     r = D.level_crosstab(rep).first()
     assert (r.stable, r.moderate, r.significant) == (1, 0, 1)
     assert F is not None
+
+
+def test_feature_detail_of_an_unknown_feature_is_empty(spark):
+    from riskframe.operators import drift as D
+
+    df = spark.range(50).selectExpr("cast(id as double) as x", "concat('c', id % 3) as c")
+    assert D.feature_detail(df, df, "nothing", ["x"], ["c"]).count() == 0
+    assert D.feature_detail(df, df, "x", ["x"], ["c"]).count() == 10
+    assert {r.category for r in D.feature_detail(df, df, "c", ["x"], ["c"]).collect()} == {"c0", "c1", "c2"}
