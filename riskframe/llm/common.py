@@ -20,6 +20,29 @@ def ship_by_value(module: str) -> None:
 ship_by_value(__name__)
 
 
+def give_back() -> None:
+    """At the end of a task: return freed memory to the system, as a Python worker lives on and serves later stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it frees by itself or not at all
+        pass
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let Arrow batches hold at most ``most`` bytes in this session, so that long texts do not add up in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

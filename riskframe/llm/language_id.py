@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from riskframe.llm.common import held_out, ship_by_value
+from riskframe.llm.common import give_back, held_out, ship_by_value
 
 ship_by_value(__name__)
 
@@ -109,6 +109,7 @@ def identify_language(docs: DataFrame, dictionaries: dict[str, bytes], text_col:
         one = classify(dictionaries, block_chars, scale)
         for batch in texts:
             yield pd.DataFrame([one(t) for t in batch], columns=["lang_pred", "score", "margin"])
+        give_back()
 
     added = ("lang_pred", "score", "margin", "rejected")
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in added]

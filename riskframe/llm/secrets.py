@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from riskframe.llm.common import ship_by_value
+from riskframe.llm.common import give_back, ship_by_value
 
 ship_by_value(__name__)
 
@@ -128,6 +128,7 @@ def scan_secrets(docs: DataFrame, words: list[str], text_col: str = "text", min_
 
         for batch in texts:
             yield pd.DataFrame([one(t) for t in batch], columns=["n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans"])
+        give_back()
 
     added = ("n_assign", "n_access", "n_hex", "n_novel", "base_spans", "spans")
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in added]
