@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import exact_dedup, minhash_dedup, quality, sentencepiece_codec, source_mix
-from riskframe.llm.common import held_out, read_table
+from riskframe.llm.common import held_out, read_table, small_batches
 from riskframe.llm.queries import PIECE_MODEL
 from riskframe.session import checkpoint_dir
 
@@ -25,9 +25,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without usable labels nothing is known against a document, and all stay.
     """
+    small_batches(spark)
     model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"), "quality", ~held_out(F.col("doc_id"), 3, 1))
-    scored = docs.select(F.struct("*").alias("__row"), "text")
-    return quality.score_quality(scored, model).filter(F.col("score") >= 0.5).select("__row.*")
+    return docs.filter(quality.scorer(model)(F.col("text")) >= 0.5)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

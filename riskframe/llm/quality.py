@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from riskframe.llm.common import labelled_sample, ship_by_value
+from riskframe.llm.common import give_back, labelled_sample, ship_by_value
+from riskframe.session import cut_lineage
 
 ship_by_value(__name__)
 
@@ -52,7 +53,7 @@ def bucket(token: str) -> int:
 
 
 def neighbour_sums(words: dict[str, int]):
-    """Pandas function (texts) -> one row: sums of the neighbours' index vectors per known word, as bytes."""
+    """Pandas function (texts) -> (row, v): the task's sum of the neighbours' index vectors of each known word it has met."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = index_vectors()
         total = np.zeros((len(words), DIMS), np.float64)
@@ -64,7 +65,9 @@ def neighbour_sums(words: dict[str, int]):
                 for at, other in ((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None))):
                     known = rows[at] >= 0
                     np.add.at(total, rows[at][known], vec[other][known])
-        yield pd.DataFrame({"sums": [total.tobytes()]})
+        met = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"row": met, "v": pd.Series(list(total[met]), dtype=object)})
+        give_back()
 
     return run
 
@@ -84,7 +87,7 @@ def pool(text: str | None, rows: dict[str, int], table: np.ndarray, index: np.nd
             if p is None:
                 b = bucket(w)
                 p = (rows.get(w, known + b), b)
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen[w] = p
             ids.append(p)
@@ -185,14 +188,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label_col: str, usable: Colu
     sample = labelled_sample(labels, label_col, usable, id_col, max_per_label)
     shares = labels.filter(usable & F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(sample), "id")
-    texts = texts.select("t", "y").coalesce(4)  # a bounded sample: four sums of word vectors reach the driver
+    texts = cut_lineage(texts.select("t", "y").repartition(4))  # a bounded sample, read from the documents once
     counts = texts.select(F.explode(F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"), F.lit(0))).alias("w"))
     top = counts.groupBy("w").count().filter(F.col("count") >= min_count).orderBy(F.col("count").desc(), "w").limit(max_words).collect()
     rows = {r["w"]: k for k, r in enumerate(top)}
     index = index_vectors()
     context = np.zeros((len(rows), DIMS))
-    for r in texts.select("t").mapInPandas(neighbour_sums(rows), "sums binary").collect():
-        context += np.frombuffer(r["sums"], np.float64).reshape(-1, DIMS)
+    sums = texts.select("t").mapInPandas(neighbour_sums(rows), "row long, v array<double>").groupBy("row").agg(
+        F.array(*[F.sum(F.col("v")[i]) for i in range(DIMS)]).alias("v"))
+    for r in sums.collect():  # at most ``max_words`` vectors
+        context[r["row"]] = np.round(r["v"], 9)
     context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
     own = index[[bucket(w) for w in rows]] if rows else np.zeros((0, DIMS), np.float32)
     model = Model(rows, (context + own).astype(np.float32), **fit_network(np.zeros((0, SIZE + 1)), np.zeros(0), 0.5))
@@ -210,17 +215,14 @@ def pooled_vector(model: Model):
         table, seen = model.table(index), {}
         for batch in texts:
             yield pd.Series([pool(t, model.rows, table, index, seen).tobytes() for t in batch], dtype=object)
+        seen.clear()
+        give_back()
 
     return run
 
 
-def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` plus score (0 to 1, higher: label 1 likelier).
-
-    * NULL and empty texts get the average text's score, the same for all of them.
-    * Repeated rows get equal scores; an empty table gives no rows; other columns pass through, and an existing
-      column named ``score`` is replaced.
-    """
+def scorer(model: Model):
+    """Column function: text -> score."""
     @pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = index_vectors()
@@ -228,6 +230,18 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for batch in texts:
             x = np.array([pool(t, model.rows, table, index, seen) for t in batch]).reshape(-1, SIZE + 1)
             yield pd.Series(model.scores(x))
+        seen.clear()
+        give_back()
+
+    return score
 
+
+def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` plus score (0 to 1, higher: label 1 likelier).
+
+    * NULL and empty texts get the average text's score, the same for all of them.
+    * Repeated rows get equal scores; an empty table gives no rows; other columns pass through, and an existing
+      column named ``score`` is replaced.
+    """
     keep = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
-    return docs.select(*keep, score(F.col(text_col)).alias("score"))
+    return docs.select(*keep, scorer(model)(F.col(text_col)).alias("score"))
