@@ -79,9 +79,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key is hot. Rows repeated with the same id and text collapse to one.
     """
     rows, classes, keys = _match(docs, id_col, text_col, keep, normalise, hash_fn)
-    a, b = rows.alias("a"), classes.alias("b")
-    on = F.col("a.__xid").eqNullSafe(F.col("b.__xkeep"))
-    for k in keys:
-        on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    stay = a.join(b, on, "left_semi")
-    return stay.dropDuplicates([*keys, "__xid"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    on = [*keys, "__xk"]  # the id as a struct: equal where NULL, and one partitioning for the join and the last step
+    kept = classes.select(*keys, F.struct(F.col("__xkeep").alias("id")).alias("__xk"))
+    stay = rows.select(*cols, *keys, F.struct(F.col("__xid").alias("id")).alias("__xk")).join(kept, on, "left_semi")
+    return stay.dropDuplicates(on).select(*cols)
