@@ -108,10 +108,15 @@ def fit_rf(df: DataFrame, features, y: str = "target", trees: int = 100, depth:
 
 
 def fit_gbt(df: DataFrame, features, y: str = "target", iters: int = 50, depth: int = 5, step: float = 0.1,
-            subsample: float = 1.0, seed: int = 42):
-    """L3: gradient-boosted trees with log loss (Spark margin is half the log-odds)."""
+            subsample: float = 1.0, seed: int = 42, min_instances: int = 1, min_gain: float = 0.0, feature_subset: str = "all",
+            max_bins: int = 32):
+    """L3: gradient-boosted trees with log loss (Spark margin is half the log-odds).
+
+    ``min_instances`` and ``min_gain`` bound a split, ``feature_subset`` names the features tried per split ("0.8", "sqrt", "all").
+    """
     gbt = GBTClassifier(featuresCol="features", labelCol=y, maxIter=iters, maxDepth=depth, stepSize=step,
-                        subsamplingRate=subsample, seed=seed)
+                        subsamplingRate=subsample, seed=seed, minInstancesPerNode=min_instances, minInfoGain=min_gain,
+                        featureSubsetStrategy=feature_subset, maxBins=max_bins)
     return gbt.fit(assemble(df, features).withColumn(y, F.col(y).cast("double")))
 
 

@@ -174,3 +174,31 @@ def q_combined(spark, sf):
     te_other = M.apply_target_encoding(lab.filter(F.col("split") != "train").select("loan_id", "addr_state"), enc, "addr_state", prior)
     te = te_tr.unionByName(te_other.drop("addr_state")).select("loan_id", F.lit("te__addr_state").alias("name"), F.col("te__addr_state").alias("value"))
     return base.unionByName(flags).unionByName(te)
+
+
+@register(
+    "M10_saved_state",
+    oracle("SELECT 'num' AS kind, feature, round(median, 6) AS median, round(mean, 6) AS mean, round(std, 6) AS std, CAST(NULL AS VARCHAR) AS category FROM sc "
+           "UNION ALL SELECT 'cat', feature, NULL, NULL, NULL, category FROM voc",
+           "labelled", extra={"tr": TRAIN, "med": _MED, "sc": _SCALER, "voc": _VOCAB}),
+)
+def q_saved_state(spark, sf):
+    # The fitted state written to the shared folder and read back, as a later scoring job does.
+    from riskframe.streaming.jobs import scratch
+
+    path = scratch(spark, "fitted-state")
+    M.save_stats(M.fit(_train(spark, sf), NUM, CAT), path)
+    return r6(M.load_stats(spark, path))
+
+
+@register(
+    "M10_check_columns",
+    oracle("SELECT c AS column, present, CASE WHEN present THEN (SELECT count(*) FROM labelled) ELSE 0 END AS n_rows "
+           "FROM (VALUES ('loan_id', true), ('num__annual_inc', true), ('num__dti', true), ('num__not_fitted', false)) v(c, present)", "labelled"),
+)
+def q_check_columns(spark, sf):
+    lab = B.labelled(spark, sf)
+    matrix = M.transform_wide(lab, M.fit(_train(spark, sf), ["annual_inc", "dti"], []), ["loan_id"], ["annual_inc", "dti"], [])
+    found = M.check_columns(matrix, ["loan_id", "num__annual_inc", "num__dti", "num__not_fitted"])
+    n = matrix.agg(F.count(F.lit(1))).scalar()
+    return found.withColumn("n_rows", F.when(F.col("present"), n).otherwise(0).cast("bigint"))
