@@ -7,12 +7,12 @@
    its members are compared with one hub; pairs are first compared signature batch
    by signature batch, and dropped as soon as the posterior probability of reaching
    the threshold falls below ``miss``; survivors are verified on their full sets.
-   Verified links are joined into components. Further star rounds with other hubs
-   look only at buckets that still hold several components.
+   Verified links are joined into components. Further star rounds, if asked for, take
+   other hubs and look only at buckets that still hold several components.
 3. What is still open is compared completely: the members of such a bucket are dealt
-   into blocks, pairs of blocks are compared inside tasks, and only pairs of
-   different components that survive the signature test leave the task. So no link
-   that shares a band is lost, and no group is expanded into all its pairs.
+   into blocks, pairs of blocks are compared and verified inside tasks, and only the
+   links that join different components leave the task. So no link that shares a
+   band is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from riskframe.llm.common import shuffle_partitions, ship_by_value
+from riskframe.llm.common import give_back, shuffle_partitions, ship_by_value
 from riskframe.llm.components import connected_components
 from riskframe.llm.shingles import Banding, at_least, intersection_size, shingle_set, survives, verification_steps
 from riskframe.session import cut_lineage
@@ -52,6 +52,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, banding: Banding) -> D
 
         for batch in texts:
             yield pd.DataFrame([one(t) for t in batch], columns=["node", "n", "sig", "bands"])
+        give_back()
 
     return docs.select(F.col(id_col).alias("id"), run(F.col(text_col)).alias("s")).select("id", "s.*")
 
@@ -76,8 +77,10 @@ def class_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
         for nodes, ts in batches:
             sets = [shingle_set(t, words).tobytes() for t in ts]
             yield pd.DataFrame({"set": sets, "same": [xxhash.xxh3_128_digest(s) == bytes(n) for s, n in zip(sets, nodes)]})
+        give_back()
 
-    made = texts.select("node", run("node", "t").alias("r")).filter("r.same")
+    # as if non-deterministic: else the filter would be pushed below and the sets be made twice
+    made = texts.select("node", run.asNondeterministic()("node", "t").alias("r")).filter("r.same")
     return made.groupBy("node").agg(F.first("r.set").alias("shingles"))
 
 
@@ -95,19 +98,20 @@ def likely(pairs: DataFrame, sigs: DataFrame, steps: list[tuple[int, int]]) -> D
     return pairs.join(left, "a").join(right, "b").filter(run("sa", "sb")).select("a", "b")
 
 
+def linked(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    if denominator * min(len(x), len(y)) < numerator * max(len(x), len(y)):
+        return False
+    inter = intersection_size(x, y)
+    return at_least(numerator, denominator, inter, len(x) + len(y) - inter)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Pairs (a, b) with denominator * |intersection| >= numerator * |union| on the full sets."""
     @pandas_udf("boolean")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        def linked(p, q):
-            x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            if denominator * min(len(x), len(y)) < numerator * max(len(x), len(y)):
-                return False
-            inter = intersection_size(x, y)
-            return at_least(numerator, denominator, inter, len(x) + len(y) - inter)
-
         for xs, ys in batches:
-            yield pd.Series([linked(p, q) for p, q in zip(xs, ys)])
+            yield pd.Series([linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), numerator, denominator) for p, q in zip(xs, ys)])
+        give_back()
 
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
@@ -130,49 +134,72 @@ def star_pairs(buckets: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def block_pairs(buckets: DataFrame, sigs: DataFrame, steps: list[tuple[int, int]], block: int) -> DataFrame:
-    """(a, b): all pairs of open buckets in different components that pass the sequential test.
+def block_links(buckets: DataFrame, classes: DataFrame, sets: DataFrame, steps: list[tuple[int, int]], numerator: int,
+                denominator: int, block: int, block_bytes: int = 1 << 24) -> DataFrame:
+    """(a, b): verified links between the components of open buckets, enough to join all that are linked.
 
-    A bucket of n members has ceil(n / block) blocks; every two of them meet in one group of at most
-    about 2 * block rows. Only surviving pairs leave a task.
+    A bucket is dealt into blocks of at most about ``block`` members and ``block_bytes`` bytes of sets; every two
+    blocks meet in one group. A pair that shares several bands is compared only where its first shared band is
+    the group's. It is verified on the full sets inside the task, unless its components are joined already, so
+    a task returns fewer links than it has components.
     """
-    sizes = buckets.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-    rows = buckets.join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    rows = rows.select("key", "node", "comp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    rows = rows.select("key", "node", "comp", "i", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
-    rows = rows.join(sigs.select("node", "sig"), "node")
-
-    def compare(group: list[tuple]) -> list[tuple[bytes, bytes]]:
-        nodes, comps, blocks, sig = zip(*group)
+    rows = buckets.join(classes.select("node", "n", "sig", "bands"), "node")
+    sizes = rows.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") * 8 / block_bytes)).cast("int").alias("nb"))
+    rows = rows.drop("n").join(sizes, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    rows = rows.select("key", "lo", "hi", "node", "comp", "i", "sig", "bands").join(sets, "node")
+
+    def compare(key: int, group: list[tuple]) -> list[tuple[bytes, bytes]]:
+        nodes, comps, blocks, sig, bands, full = zip(*group)
         m = np.frombuffer(b"".join(sig), np.uint8).reshape(len(nodes), -1)
-        _, c = np.unique(np.array([x.hex() for x in comps]), return_inverse=True)
-        blocks = np.array(blocks)
-        found = []
+        band = np.array(bands)
+        here = int(np.flatnonzero(band[0] == key)[0])
+        code = {x: k for k, x in enumerate(dict.fromkeys(comps))}
+        root = list(range(len(code)))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        c, blocks = np.array([code[x] for x in comps]), np.array(blocks)
+        apart, found = blocks.min() != blocks.max(), []
         for k in range(len(nodes) - 1):
             other = np.arange(k + 1, len(nodes))
             other = other[c[other] != c[k]]
-            if blocks.min() != blocks.max():
+            if apart:
                 other = other[blocks[other] != blocks[k]]
-            if len(other):
-                keep = other[survives(np.broadcast_to(m[k], (len(other), m.shape[1])), m[other], steps)]
-                found += [(min(nodes[k], nodes[x]), max(nodes[k], nodes[x])) for x in keep]
+            if here and len(other):
+                other = other[~(band[other, :here] == band[k, :here]).any(axis=1)]
+            if not len(other):
+                continue
+            other = other[survives(np.broadcast_to(m[k], (len(other), m.shape[1])), m[other], steps)]
+            x = np.frombuffer(full[k], np.uint64)
+            for o in other[np.argsort(-(m[other] == m[k]).sum(axis=1), kind="stable")]:
+                a, b = find(c[k]), find(c[o])
+                if a != b and linked(x, np.frombuffer(full[o], np.uint64), numerator, denominator):
+                    root[a] = b
+                    found.append((min(nodes[k], nodes[o]), max(nodes[k], nodes[o])))
         return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, group = None, []
 
         def done():
-            return pd.DataFrame(compare(group) if len(group) > 1 else [], columns=["a", "b"])
+            return pd.DataFrame(compare(name[0], group) if len(group) > 1 else [], columns=["a", "b"])
 
         for batch in batches:
-            for key, lo, hi, node, comp, i, sig in zip(*(batch[c] for c in ("key", "lo", "hi", "node", "comp", "i", "sig"))):
+            for key, lo, hi, *member in zip(*(batch[c] for c in ("key", "lo", "hi", "node", "comp", "i", "sig", "bands", "shingles"))):
                 if (key, lo, hi) != name:
                     if group:
                         yield done()
                     name, group = (key, lo, hi), []
-                group.append((bytes(node), bytes(comp), i, bytes(sig)))
+                group.append((bytes(member[0]), bytes(member[1]), *member[2:]))
         if group:
             yield done()
+        group.clear()
+        give_back()
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInPandas(run, "a binary, b binary").distinct()
@@ -185,7 +212,7 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias("c" + c))
     between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
         F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    moved = connected_components(between)
+    moved = connected_components(cut_lineage(between))
     step = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
     old = labels.join(step, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     new = moved.join(labels, "node", "left_anti")
@@ -197,7 +224,8 @@ def link_classes(docs: DataFrame, sketched: DataFrame, id_col: str, text_col: st
     """(node, component) of all classes that link to another one; None without any candidate."""
     members = cut_lineage(shared_bands(sketched))
     active = members.select("node").distinct()
-    sigs = cut_lineage(sketched.join(active, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
+    sigs = cut_lineage(sketched.join(active, "node", "left_semi").groupBy("node").agg(
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     sets = cut_lineage(class_sets(docs, sigs, id_col, text_col, banding.words))
     steps = verification_steps(banding.hashes, batch, numerator / denominator, miss)
     labels = None
@@ -206,10 +234,10 @@ def link_classes(docs: DataFrame, sketched: DataFrame, id_col: str, text_col: st
         if buckets.isEmpty():
             break
         if turn < star_rounds:
-            pairs = likely(star_pairs(buckets, turn), sigs, steps)
+            links = verified(likely(star_pairs(buckets, turn), sigs, steps), sets, numerator, denominator)
         else:
-            pairs = block_pairs(buckets, sigs, steps, block)
-        links = cut_lineage(verified(pairs, sets, numerator, denominator))
+            links = block_links(buckets, sigs, sets, steps, numerator, denominator, block)
+        links = cut_lineage(links)
         if not links.isEmpty():
             labels = _merge(labels, links)
     return labels
@@ -217,7 +245,7 @@ def link_classes(docs: DataFrame, sketched: DataFrame, id_col: str, text_col: st
 
 def label_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numerator: int = 80,
                       denominator: int = 100, bands: int = 30, rows: int = 5, batch: int = 30, miss: float = 1e-6,
-                      star_rounds: int = 3, block: int = 1024) -> DataFrame:
+                      star_rounds: int = 1, block: int = 1024) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id).
 
     Two texts are linked when denominator * |intersection| >= numerator * |union| of their shingle sets.
