@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import chat, exact_dedup, fingerprints, language_id, minhash_dedup, quality, secrets, sentencepiece_codec, source_mix, toxicity
-from riskframe.llm.common import LOWER, UPPER, held_out, read_table
+from riskframe.llm.common import LOWER, UPPER, held_out, read_table, small_batches
 
 #: Vocabulary file of the public BPE tokenizer; any other SentencePiece model may be given by path.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -40,6 +40,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op2_language_id")
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     dictionaries = language_id.fit_dictionaries(docs, modulus=4, remainder=2)
     rows = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text")
@@ -68,6 +69,7 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(comp.c, w.doc_id) AS c
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN cls USING (doc_id) LEFT JOIN comp ON comp.x = cls.rep
 """)
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return minhash_dedup.label_near_copies(read_table(spark, sf_dir, "documents"), words=2)
 
 
@@ -98,6 +100,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = quality.fit_quality(docs, labels, "quality", ~held_out(F.col("doc_id"), 3, 1))
     rows = docs.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "text")
@@ -120,6 +123,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op8_secret_scan")
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents")
     found = secrets.scan_secrets(docs.select("doc_id", "text"), secrets.corpus_words(docs))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"),
@@ -128,14 +132,15 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op9_sentencepiece")
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.load_pieces(PIECE_MODEL)).drop("text")
 
 
 @_query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    model = toxicity.fit_examples(docs, labels, "toxic", ~held_out(F.col("doc_id"), 4, 2))
     rows = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text")
-    scored = toxicity.score_toxicity(rows, model).drop("text")
+    scored = toxicity.fit_and_score(rows, labels, "toxic", ~held_out(F.col("doc_id"), 4, 2))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -18,8 +18,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from riskframe.llm.common import labelled_sample, ship_by_value
+from riskframe.llm.common import give_back, labelled_sample, ship_by_value
+from riskframe.session import cut_lineage
 
 ship_by_value(__name__)
 
@@ -40,11 +41,14 @@ STEMS = (3, 4, 5, 6, 7, 8, 9)
 class TermCounter:
     """text -> ({term number: occurrences}, words without a term) of the whole lower-cased text; remembers recent words."""
 
-    def __init__(self, terms: dict[str, int], remember: int = 300_000):
+    def __init__(self, terms: dict[str, int], remember: int = 150_000):
         self.terms, self.remember, self.seen = terms, remember, {}
+        self.heads = {t.rstrip("*")[:STEMS[0]] for t in terms}
 
     def of_word(self, w: str) -> tuple[int, ...]:
-        found = tuple(self.terms[s] for s in [w, *(w[:n] + "*" for n in STEMS if n < len(w))] if s in self.terms)
+        found: tuple[int, ...] = ()
+        if w[:STEMS[0]] in self.heads:
+            found = tuple(self.terms[s] for s in [w, *(w[:n] + "*" for n in STEMS if n < len(w))] if s in self.terms)
         if len(self.seen) >= self.remember:
             self.seen.clear()
         self.seen[w] = found
@@ -55,14 +59,14 @@ class TermCounter:
         rest = 0
         if text:
             get, of_word = self.seen.get, self.of_word
-            for w in WORD.findall(text.lower()):
+            for w, n in Counter(WORD.findall(text.lower())).items():
                 found = get(w)
                 if found is None:
                     found = of_word(w)
-                if found:
-                    counts.update(found)
-                else:
-                    rest += 1
+                for t in found:
+                    counts[t] += n
+                if not found:
+                    rest += n
         return dict(counts), rest
 
 
@@ -74,47 +78,45 @@ def unit_vector(counted: tuple[dict[int, int], int], idf: np.ndarray) -> list[tu
     return [(t, w / length) for t, w in raw] if length > 0 else []
 
 
-@dataclass
 class BlockMaxIndex:
-    """Postings of unit vectors by term, with the largest weight of every block of 64 examples."""
-
-    size: int
-    postings: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    maxima: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-
-    @classmethod
-    def build(cls, vectors: list[list[tuple[int, float]]]) -> BlockMaxIndex:
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for i, vec in enumerate(vectors):
-            for t, w in vec:
-                lists.setdefault(t, []).append((i, w))
-        out = cls(len(vectors))
-        for t, entries in lists.items():
-            at, w = np.array([i for i, _ in entries]), np.array([w for _, w in entries])
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            out.postings[t], out.maxima[t] = (at, w), (blocks, np.maximum.reduceat(w, first))
-        return out
+    """Unit vectors in blocks of 64 examples: per block its terms' postings, per term the largest weight of every block."""
+
+    def __init__(self, vectors: list[list[tuple[int, float]]], terms: int):
+        self.size = len(vectors)
+        self.maxima = np.zeros((terms, -(-self.size // BLOCK)))
+        self.rows: list[dict[int, int]] = []
+        self.weights: list[np.ndarray] = []
+        for b in range(self.maxima.shape[1]):
+            part = vectors[b * BLOCK:(b + 1) * BLOCK]
+            rows = {t: k for k, t in enumerate(sorted({t for vec in part for t, _ in vec}))}
+            weights = np.zeros((len(rows), BLOCK))
+            for i, vec in enumerate(part):
+                for t, w in vec:
+                    weights[rows[t], i] = w
+            self.maxima[list(rows), b] = weights.max(axis=1)
+            self.rows.append(rows)
+            self.weights.append(weights)
 
     def nearest(self, vec: list[tuple[int, float]], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine as (cosine, example), ties by example; ``without`` is left out."""
-        bound = np.zeros(self.size // BLOCK + 1)
-        for t, q in vec:
-            if t in self.maxima:
-                blocks, most = self.maxima[t]
-                bound[blocks] += q * most
+        """The k examples of largest positive cosine as (cosine, example), ties by example; ``without`` is left out.
+
+        Blocks are read by descending bound until none can hold a better example than the k-th best.
+        """
+        if not vec:
+            return []
+        bound = np.array([w for _, w in vec]) @ self.maxima[[t for t, _ in vec]]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-9):
+        for b in np.argsort(-bound, kind="stable").tolist():
+            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-9):
                 break
-            score = np.zeros(BLOCK)
-            for t, q in vec:
-                if t in self.postings:
-                    at, w = self.postings[t]
-                    lo, hi = np.searchsorted(at, (b * BLOCK, (b + 1) * BLOCK))
-                    score[at[lo:hi] - b * BLOCK] += q * w[lo:hi]
-            best += [(float(score[j]), int(b * BLOCK + j)) for j in np.flatnonzero(score > 0) if b * BLOCK + j != without]
-            best = sorted(best, key=lambda p: (-round(p[0], 12), p[1]))[:k]
-        return best
+            rows = self.rows[b]
+            here = [(rows[t], q) for t, q in vec if t in rows]
+            score = np.round(np.array([q for _, q in here]) @ self.weights[b][[r for r, _ in here]], 12)
+            floor = -best[-1][0] if len(best) == k else 0.0
+            hits = np.flatnonzero((score > 0) & (score >= floor)).tolist()
+            if hits:
+                best = sorted(best + [(-float(score[j]), b * BLOCK + j) for j in hits if b * BLOCK + j != without])[:k]
+        return [(-s, i) for s, i in best]
 
 
 @dataclass
@@ -123,7 +125,7 @@ class Examples:
 
     terms: dict[str, int]
     idf: np.ndarray
-    index: BlockMaxIndex
+    vectors: list[list[tuple[int, float]]]
     ids: list
     y: np.ndarray
     weight: np.ndarray
@@ -131,6 +133,12 @@ class Examples:
     slope: float = 0.0
     offset: float = 0.0
 
+    def __post_init__(self) -> None:
+        self.names, self.index = list(self.terms), BlockMaxIndex(self.vectors, len(self.terms))
+
+    def __reduce__(self):  # the index is built again where it is used
+        return Examples, (self.terms, self.idf, self.vectors, self.ids, self.y, self.weight, self.k, self.slope, self.offset)
+
     def vote(self, vec: list[tuple[int, float]], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
         """Mean of similarity times +-1 over the neighbours, each weighted by its class's share and its similarity; 0 without any."""
         near = self.index.nearest(vec, self.k, without)
@@ -140,9 +148,8 @@ class Examples:
     def score(self, counts: tuple[dict[int, int], int]) -> tuple[float, float, list, list[str]]:
         vec = unit_vector(counts, self.idf)
         v, near = self.vote(vec)
-        names = list(self.terms)
         score = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.slope * v + self.offset))))
-        return score, near[0][0] if near else 0.0, [self.ids[i] for _, i in near[:3]], [names[t] for t, _ in vec]
+        return score, near[0][0] if near else 0.0, [self.ids[i] for _, i in near[:3]], [self.names[t] for t, _ in vec]
 
 
 def association(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
@@ -171,23 +178,33 @@ def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return float(max(0.0, beta[0])), float(beta[1])
 
 
-def document_frequencies(docs: DataFrame, text_col: str, terms: dict[str, int]) -> dict[int, int]:
-    """Number of documents that hold each term, over all documents."""
-    @pandas_udf("array<int>")
-    def held(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def count_terms(docs: DataFrame, terms: dict[str, int], text_col: str = "text") -> DataFrame:
+    """The other columns of ``docs`` and ``__terms`` = struct(t, n, rest): the terms of each whole text, their numbers, other words."""
+    @pandas_udf("t array<int>, n array<int>, rest int")
+    def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = TermCounter(terms)
         for batch in texts:
-            yield pd.Series([sorted(counter(t)[0]) for t in batch], dtype=object)
+            rows = [counter(t) for t in batch]
+            yield pd.DataFrame({"t": [list(c) for c, _ in rows], "n": [list(c.values()) for c, _ in rows], "rest": [r for _, r in rows]})
+        counter.seen.clear()
+        give_back()
 
-    rows = docs.select(F.explode(held(F.col(text_col))).alias("t")).groupBy("t").count().collect()  # at most one row per term
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "__terms")], count(F.col(text_col)).alias("__terms"))
+
+
+def document_frequencies(counted: DataFrame) -> dict[int, int]:
+    """Number of documents that hold each term, over all documents."""
+    rows = counted.select(F.explode("__terms.t").alias("t")).groupBy("t").count().collect()  # at most one row per term
     return {r["t"]: r["count"] for r in rows}
 
 
 def fit_examples(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text",
-                 max_per_label: int = 2500, max_terms: int = 4096, min_association: float = 14.0, k: int = 15) -> Examples:
+                 max_per_label: int = 2500, max_terms: int = 4096, min_association: float = 14.0, k: int = 15,
+                 counted: Callable[[dict[str, int]], DataFrame] | None = None) -> Examples:
     """Index at most ``2 * max_per_label`` labelled rows for which ``usable`` (an expression on ``labels``) holds.
 
-    Equal texts are one example (the smallest id, the rounded mean label).
+    Equal texts are one example (the smallest id, the rounded mean label). ``counted`` may give a table of all
+    documents' terms (see ``count_terms``), so that the texts are read once for frequencies and scores.
     """
     sample = labelled_sample(labels, label_col, usable, id_col, max_per_label)
     texts = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).join(F.broadcast(sample), "id")
@@ -204,7 +221,8 @@ def fit_examples(docs: DataFrame, labels: DataFrame, label_col: str, usable: Col
         F.col("a") >= min_association)
     names = [r["w"] for r in tied.orderBy(F.col("a").desc(), "w").limit(max_terms).select("w").collect()]
     terms = {w: t for t, w in enumerate(names)}
-    df, n = document_frequencies(docs, text_col, terms) if terms else {}, docs.count()
+    table = counted(terms) if counted else count_terms(docs.select(F.col(text_col).alias("text")), terms)
+    df, n = document_frequencies(table), docs.count()
     idf = np.array([math.log((n + 1) / (df.get(t, 0) + 1)) + 1.0 for t in range(len(terms))])
 
     @pandas_udf("array<array<double>>")
@@ -221,27 +239,46 @@ def fit_examples(docs: DataFrame, labels: DataFrame, label_col: str, usable: Col
     shares = labels.filter(usable & F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0
     rate = y.mean() if len(y) else 0.5
     weight = np.where(y == 1, shares / max(rate, 1e-9), (1 - shares) / max(1 - rate, 1e-9))
-    model = Examples(terms, idf, BlockMaxIndex.build(vecs), [i for _, i, _ in rows], y, weight, k)
+    model = Examples(terms, idf, vecs, [i for _, i, _ in rows], y, weight, k)
     votes = np.array([model.vote(v, i)[0] for i, v in enumerate(vecs)])
     model.slope, model.offset = calibrate(votes, y, weight)
     return model
 
 
+def score_counted(counted: DataFrame, model: Examples, id_type: str = "bigint") -> DataFrame:
+    """A ``count_terms`` table plus score, nearest, evidence_ids and evidence_terms, without ``__terms``."""
+    @pandas_udf(f"score double, nearest double, evidence_ids array<{id_type}>, evidence_terms array<string>")
+    def score(terms: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ts, ns, rests in terms:
+            rows = [model.score((dict(zip(t.tolist(), n.tolist())), r)) for t, n, r in zip(ts, ns, rests)]
+            yield pd.DataFrame(rows, columns=["score", "nearest", "evidence_ids", "evidence_terms"])
+        give_back()
+
+    added = ("score", "nearest", "evidence_ids", "evidence_terms")
+    keep = [F.col(f"`{c}`") for c in counted.columns if c not in (*added, "__terms")]
+    scored = counted.select(*keep, score("__terms.t", "__terms.n", "__terms.rest").alias("__p"))
+    return scored.select(*keep, *[F.col(f"__p.{c}") for c in added])
+
+
 def score_toxicity(docs: DataFrame, model: Examples, text_col: str = "text", id_type: str = "bigint") -> DataFrame:
-    """``docs`` plus score (0 to 1, higher: label 1 likelier), nearest (largest cosine), evidence_ids (up to three
-    nearest examples) and evidence_terms (the text's terms in the index).
+    """The other columns of ``docs`` plus score (0 to 1, higher: label 1 likelier), nearest (largest cosine),
+    evidence_ids (up to three nearest examples) and evidence_terms (the text's terms in the index).
 
     * NULL and empty texts, and texts without any term of the index, have no neighbour: vote 0, the lowest evidence.
     * Equal cosines are ordered by example; without labels every score is the same small constant.
-    * Repeated rows get equal scores; an empty table gives no rows; other columns pass through, and existing columns
-      named like an added one are replaced.
+    * Repeated rows get equal scores; an empty table gives no rows; existing columns named like an added one are replaced.
     """
-    @pandas_udf(f"score double, nearest double, evidence_ids array<{id_type}>, evidence_terms array<string>")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = TermCounter(model.terms)
-        for batch in texts:
-            yield pd.DataFrame([model.score(counter(t)) for t in batch], columns=["score", "nearest", "evidence_ids", "evidence_terms"])
+    return score_counted(count_terms(docs, model.terms, text_col), model, id_type)
 
-    added = ("score", "nearest", "evidence_ids", "evidence_terms")
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    return docs.select(*keep, score(F.col(text_col)).alias("__p")).select(*keep, *[F.col(f"__p.{c}") for c in added])
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text",
+                  **options) -> DataFrame:
+    """``fit_examples`` and ``score_toxicity`` in one pass over the texts: their terms are counted once and stored."""
+    stored: list[DataFrame] = []
+
+    def counted(terms: dict[str, int]) -> DataFrame:
+        stored.append(cut_lineage(count_terms(docs, terms, text_col)))
+        return stored[0]
+
+    model = fit_examples(docs, labels, label_col, usable, id_col, text_col, counted=counted, **options)
+    return score_counted(stored[0], model, dict(docs.dtypes)[id_col])

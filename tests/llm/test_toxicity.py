@@ -47,7 +47,7 @@ def test_block_max_search_is_exact():
 def test_frequencies_count_every_document(docs_of):
     rows = [(i, "idiot here" if i % 3 else "idiotic Idiot") for i in range(30)] + [(99, None)]
     terms = {"idiot": 0, "idiot*": 1, "here": 2}
-    assert X.document_frequencies(docs_of(rows), "text", terms) == {0: 30, 1: 10, 2: 20}
+    assert X.document_frequencies(X.count_terms(docs_of(rows), terms)) == {0: 30, 1: 10, 2: 20}
 
 
 def test_inflected_forms_edge_rows_and_evidence(spark, docs_of):
