@@ -18,6 +18,7 @@ Characters without a piece are written as byte pieces (or the unknown piece).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.llm.common import ship_by_value
+from riskframe.llm.common import give_back, ship_by_value
 
 ship_by_value(__name__)
 
@@ -103,12 +104,20 @@ class WordEncoder:
 
     def __init__(self, pieces: Pieces):
         self.p = pieces
-        self.longest = max((len(t) for t in pieces.ids), default=1)
         self.by_text = pieces.ids
-        self.fits: dict[tuple[int, int], bool] = {}
+        # trie of the pieces read backwards: character -> [next node, piece that begins here or OTHER]
+        self.back: dict[str, list] = {}
+        for text, piece in pieces.ids.items():
+            node = self.back
+            for k, ch in enumerate(reversed(text), 1):
+                step = node.setdefault(ch, [{}, OTHER])
+                if k == len(text):
+                    step[1] = piece
+                node = step[0]
+        self.fits: dict[int, bool] = {}  # both pieces in one number
         self.word = ""
         # per prefix length: state, piece that ends there, start of that piece
-        self.state: list = [None]
+        self.state: list = [0.0]
         self.piece: list[int] = [OTHER]
         self.start: list[int] = [0]
         self.penalty = min(pieces.score, default=0.0) - 10.0
@@ -119,10 +128,7 @@ class WordEncoder:
         Undo the later of the two pieces' last merges, again and again, and look whether the parts that
         then touch would have merged earlier than the merge just undone (at equal rank the left merge goes first).
         """
-        key = (a, b)
-        known = self.fits.get(key)
-        if known is not None:
-            return known
+        key = a << 32 | b
         p, limit, strict, stays = self.p, -float("inf"), True, True
         while True:
             joined = self.by_text.get(p.text[a] + p.text[b])
@@ -135,48 +141,53 @@ class WordEncoder:
                 limit, strict, a = p.score[a], True, p.right[a]
             else:
                 limit, strict, b = p.score[b], False, p.left[b]
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > 300_000:
             self.fits.clear()
         self.fits[key] = stays
         return stays
 
-    def extend(self, word: str, end: int) -> None:
-        """Append the state of ``word[:end]``."""
-        get = self.by_text.get
-        if self.p.kind == "bpe":
-            for start in range(max(0, end - self.longest), end):
-                t = get(word[start:end])
-                if t is not None and (start == 0 or self.piece[start] == OTHER or self.boundary_stays(self.piece[start], t)):
-                    self.state.append(None)
-                    self.piece.append(t)
-                    self.start.append(start)
-                    return
-            best, piece, at = None, OTHER, end - 1
-        else:
-            best, piece, at = self.state[end - 1] + self.penalty, OTHER, end - 1
-            for start in range(max(0, end - self.longest), end):
-                t = get(word[start:end])
-                if t is not None and self.state[start] + self.p.score[t] > best:
-                    best, piece, at = self.state[start] + self.p.score[t], t, start
-        self.state.append(best)
-        self.piece.append(piece)
-        self.start.append(at)
-
     def encode(self, word: str) -> list[int]:
-        shared, most = 0, min(len(word), len(self.word))
-        while shared < most and word[shared] == self.word[shared]:
+        old, shared, most = self.word, 0, min(len(word), len(self.word))
+        while shared < most and word[shared] == old[shared]:
             shared += 1
-        if not self.word:
-            self.state[0] = 0.0
-        del self.state[shared + 1:], self.piece[shared + 1:], self.start[shared + 1:]
+        state, piece, begin = self.state, self.piece, self.start
+        del state[shared + 1:], piece[shared + 1:], begin[shared + 1:]
         self.word = word
+        back, fits, bpe, score = self.back, self.fits.get, self.p.kind == "bpe", self.p.score
         for end in range(shared + 1, len(word) + 1):
-            self.extend(word, end)
+            at, node = end, back
+            found = []  # starts and pieces of the pieces that end here, shortest first
+            while at:
+                at -= 1
+                step = node.get(word[at])
+                if step is None:
+                    break
+                node, t = step
+                if t >= 0:
+                    found.append((at, t))
+            best, last, start = None, OTHER, end - 1
+            if bpe:
+                for at, t in reversed(found):
+                    before = piece[at]
+                    if before >= 0 and at:
+                        stays = fits(before << 32 | t)
+                        if not (self.boundary_stays(before, t) if stays is None else stays):
+                            continue
+                    last, start = t, at
+                    break
+            else:
+                best = state[end - 1] + self.penalty
+                for at, t in reversed(found):
+                    if state[at] + score[t] > best:
+                        best, last, start = state[at] + score[t], t, at
+            state.append(best)
+            piece.append(last)
+            begin.append(start)
         out: list[int] = []
         end = len(word)
         while end > 0:
-            start, t = self.start[end], self.piece[end]
-            if t != OTHER:
+            start, t = begin[end], piece[end]
+            if t >= 0:
                 out.append(t)
             elif self.p.byte_ids:
                 out.extend(self.p.byte_ids[b] for b in reversed(word[start:end].encode("utf-8")))
@@ -190,8 +201,8 @@ class WordEncoder:
 class Codec:
     """Encodes and decodes whole texts, with a bounded memory of encoded words."""
 
-    def __init__(self, pieces: Pieces, remember: int = 300_000):
-        self.p, self.remember = pieces, remember
+    def __init__(self, pieces: Pieces, remember: int = 400_000):
+        self.p, self.remember, self.encoder = pieces, remember, WordEncoder(pieces)
         line = "" if "\n" in pieces.ids else "\n"
         self.words = re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + (f"|{line}" if line else ""))
         self.raw = [t.encode("utf-8") for t in pieces.text]
@@ -202,8 +213,8 @@ class Codec:
 
     def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.ends: list[int] = [0]
+        self.flat = array("i")  # read by numpy in place, however many words are remembered
+        self.ends = array("q", [0])
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts after each other, offsets of the texts)."""
@@ -211,12 +222,11 @@ class Codec:
         if len(self.code) > self.remember:
             self.forget()
         new = sorted({w for ws in split for w in ws} - self.code.keys())
-        encoder = WordEncoder(self.p)
         for w in new:
             self.code[w] = len(self.ends) - 1
-            self.flat.extend(encoder.encode(w))
+            self.flat.extend(self.encoder.encode(w))
             self.ends.append(len(self.flat))
-        code, ends, flat = self.code, np.array(self.ends, np.int64), np.array(self.flat, np.int32)
+        code, ends, flat = self.code, np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
         codes = np.array([code[w] for ws in split for w in ws], np.int64)
         size = ends[codes + 1] - ends[codes]
         at = np.concatenate([[0], np.cumsum(size)])
@@ -268,6 +278,8 @@ def encode_documents(docs: DataFrame, pieces: Pieces, text_col: str = "text", ve
                 yield pa.RecordBatch.from_arrays(
                     [part.column(k) for k in range(len(names))] + [pa.array(np.diff(ends), pa.int64()), lists, pa.array(same, pa.bool_())],
                     names=names + list(added))
+        codec.forget()
+        give_back()
 
     return docs.select(*[docs[f"`{n}`"] for n in names]).mapInArrow(run, schema)
 
