@@ -18,7 +18,6 @@ Characters without a piece are written as byte pieces (or the unknown piece).
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,19 +104,16 @@ class WordEncoder:
     def __init__(self, pieces: Pieces):
         self.p = pieces
         self.by_text = pieces.ids
-        # trie of the pieces read backwards: character -> [next node, piece that begins here or OTHER]
-        self.back: dict[str, list] = {}
-        for text, piece in pieces.ids.items():
-            node = self.back
-            for k, ch in enumerate(reversed(text), 1):
-                step = node.setdefault(ch, [{}, OTHER])
-                if k == len(text):
-                    step[1] = piece
-                node = step[0]
-        self.fits: dict[int, bool] = {}  # both pieces in one number
+        # every ending of a piece -> the piece it is, or OTHER: a longer look back stops at the first miss
+        self.endings: dict[str, int] = {}
+        for t in pieces.ids:
+            for k in range(len(t)):
+                self.endings.setdefault(t[k:], OTHER)
+        self.endings.update(pieces.ids)
+        self.fits: dict[tuple[int, int], bool] = {}
         self.word = ""
         # per prefix length: state, piece that ends there, start of that piece
-        self.state: list = [0.0]
+        self.state: list = [None]
         self.piece: list[int] = [OTHER]
         self.start: list[int] = [0]
         self.penalty = min(pieces.score, default=0.0) - 10.0
@@ -128,7 +124,7 @@ class WordEncoder:
         Undo the later of the two pieces' last merges, again and again, and look whether the parts that
         then touch would have merged earlier than the merge just undone (at equal rank the left merge goes first).
         """
-        key = a << 32 | b
+        key = (a, b)
         p, limit, strict, stays = self.p, -float("inf"), True, True
         while True:
             joined = self.by_text.get(p.text[a] + p.text[b])
@@ -141,53 +137,58 @@ class WordEncoder:
                 limit, strict, a = p.score[a], True, p.right[a]
             else:
                 limit, strict, b = p.score[b], False, p.left[b]
-        if len(self.fits) > 300_000:
+        if len(self.fits) > 1_000_000:
             self.fits.clear()
         self.fits[key] = stays
         return stays
 
+    def extend(self, word: str, end: int) -> None:
+        """Append the state of ``word[:end]``."""
+        get, at = self.endings.get, end - 1
+        t = get(word[at:end])
+        ending = []  # (start, piece) of the pieces that end here, shortest first
+        while t is not None:
+            if t != OTHER:
+                ending.append((at, t))
+            if at == 0:
+                break
+            at -= 1
+            t = get(word[at:end])
+        state, piece, start = None, OTHER, end - 1
+        if self.p.kind == "bpe":
+            for at, t in reversed(ending):
+                before = self.piece[at]
+                if at == 0 or before == OTHER:
+                    piece, start = t, at
+                    break
+                stays = self.fits.get((before, t))
+                if stays or (stays is None and self.boundary_stays(before, t)):
+                    piece, start = t, at
+                    break
+        else:
+            state = self.state[end - 1] + self.penalty
+            for at, t in reversed(ending):
+                if self.state[at] + self.p.score[t] > state:
+                    state, piece, start = self.state[at] + self.p.score[t], t, at
+        self.state.append(state)
+        self.piece.append(piece)
+        self.start.append(start)
+
     def encode(self, word: str) -> list[int]:
-        old, shared, most = self.word, 0, min(len(word), len(self.word))
-        while shared < most and word[shared] == old[shared]:
+        shared, most = 0, min(len(word), len(self.word))
+        while shared < most and word[shared] == self.word[shared]:
             shared += 1
-        state, piece, begin = self.state, self.piece, self.start
-        del state[shared + 1:], piece[shared + 1:], begin[shared + 1:]
+        if not self.word:
+            self.state[0] = 0.0
+        del self.state[shared + 1:], self.piece[shared + 1:], self.start[shared + 1:]
         self.word = word
-        back, fits, bpe, score = self.back, self.fits.get, self.p.kind == "bpe", self.p.score
         for end in range(shared + 1, len(word) + 1):
-            at, node = end, back
-            found = []  # starts and pieces of the pieces that end here, shortest first
-            while at:
-                at -= 1
-                step = node.get(word[at])
-                if step is None:
-                    break
-                node, t = step
-                if t >= 0:
-                    found.append((at, t))
-            best, last, start = None, OTHER, end - 1
-            if bpe:
-                for at, t in reversed(found):
-                    before = piece[at]
-                    if before >= 0 and at:
-                        stays = fits(before << 32 | t)
-                        if not (self.boundary_stays(before, t) if stays is None else stays):
-                            continue
-                    last, start = t, at
-                    break
-            else:
-                best = state[end - 1] + self.penalty
-                for at, t in reversed(found):
-                    if state[at] + score[t] > best:
-                        best, last, start = state[at] + score[t], t, at
-            state.append(best)
-            piece.append(last)
-            begin.append(start)
+            self.extend(word, end)
         out: list[int] = []
         end = len(word)
         while end > 0:
-            start, t = begin[end], piece[end]
-            if t >= 0:
+            start, t = self.start[end], self.piece[end]
+            if t != OTHER:
                 out.append(t)
             elif self.p.byte_ids:
                 out.extend(self.p.byte_ids[b] for b in reversed(word[start:end].encode("utf-8")))
@@ -201,7 +202,7 @@ class WordEncoder:
 class Codec:
     """Encodes and decodes whole texts, with a bounded memory of encoded words."""
 
-    def __init__(self, pieces: Pieces, remember: int = 400_000):
+    def __init__(self, pieces: Pieces, remember: int = 300_000):
         self.p, self.remember, self.encoder = pieces, remember, WordEncoder(pieces)
         line = "" if "\n" in pieces.ids else "\n"
         self.words = re.compile(f"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+" + (f"|{line}" if line else ""))
@@ -213,8 +214,8 @@ class Codec:
 
     def forget(self) -> None:
         self.code: dict[str, int] = {}
-        self.flat = array("i")  # read by numpy in place, however many words are remembered
-        self.ends = array("q", [0])
+        self.flat: list[int] = []
+        self.ends: list[int] = [0]
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts after each other, offsets of the texts)."""
@@ -226,7 +227,7 @@ class Codec:
             self.code[w] = len(self.ends) - 1
             self.flat.extend(self.encoder.encode(w))
             self.ends.append(len(self.flat))
-        code, ends, flat = self.code, np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32)
+        code, ends, flat = self.code, np.array(self.ends, np.int64), np.array(self.flat, np.int32)
         codes = np.array([code[w] for ws in split for w in ws], np.int64)
         size = ends[codes + 1] - ends[codes]
         at = np.concatenate([[0], np.cumsum(size)])
