@@ -2,15 +2,16 @@
 
 The examples are a bounded sample of labelled rows. A word's terms are the word
 itself and its proper beginnings of 3 to 9 characters (written with ``*``), so
-that inflected and compound forms share terms. Indexed terms are those that the
-examples tie to label 1 (signed log-likelihood ratio); document frequencies are
-counted over all documents. All other words count in a vector's length, each with
-weight 1, so that a chance hit in a long text has a small cosine. A text's nearest examples are found exactly: blocks
-of examples are visited by descending upper bound (sum over the text's terms of
-term weight times the block's largest weight) until no block can beat the k-th
-best. Similarity-weighted votes of the neighbours, calibrated by a logistic curve
-on leave-one-out votes, give the score; the neighbours and shared terms are its
-evidence. Every whole text is scored.
+that inflected and compound forms share terms. Every term of every example is
+indexed, with a TF-IDF weight (document frequencies over all documents) times an
+emphasis of 0.05 to 1 that grows with the term's tie to label 1. Words of a text that
+share no term with any example cannot match; they count in its length, each with
+weight 1. A text's nearest examples are found exactly: blocks of examples are read
+by descending upper bound (sum over the text's terms of term weight times the
+block's largest weight), and none that can beat the k-th best is left out.
+Similarity-weighted votes of the neighbours, calibrated by a logistic curve on
+leave-one-out votes, give the score; the neighbours and the terms that bind the
+text to them are its evidence. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,16 +29,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from riskframe.llm.common import give_back, labelled_sample, ship_by_value
-from riskframe.session import cut_lineage
 
 ship_by_value(__name__)
 
+
 WORD = re.compile(r"\w+")
 BLOCK = 64
 #: Lengths of word beginnings that are terms.
 STEMS = (3, 4, 5, 6, 7, 8, 9)
 
 
+def word_terms(w: str) -> list[str]:
+    """The word and its proper beginnings."""
+    return [w, *(w[:n] + "*" for n in STEMS if n < len(w))]
+
+
 class TermCounter:
     """text -> ({term number: occurrences}, words without a term) of the whole lower-cased text; remembers recent words."""
 
@@ -48,14 +54,14 @@ class TermCounter:
     def of_word(self, w: str) -> tuple[int, ...]:
         found: tuple[int, ...] = ()
         if w[:STEMS[0]] in self.heads:
-            found = tuple(self.terms[s] for s in [w, *(w[:n] + "*" for n in STEMS if n < len(w))] if s in self.terms)
+            found = tuple(self.terms[s] for s in word_terms(w) if s in self.terms)
         if len(self.seen) >= self.remember:
             self.seen.clear()
         self.seen[w] = found
         return found
 
     def __call__(self, text: str | None) -> tuple[dict[int, int], int]:
-        counts: Counter = Counter()
+        every: list[int] = []
         rest = 0
         if text:
             get, of_word = self.seen.get, self.of_word
@@ -63,69 +69,117 @@ class TermCounter:
                 found = get(w)
                 if found is None:
                     found = of_word(w)
-                for t in found:
-                    counts[t] += n
+                every += found if n == 1 else found * n
                 if not found:
                     rest += n
-        return dict(counts), rest
+        return dict(Counter(every)), rest
 
 
-def unit_vector(counted: tuple[dict[int, int], int], idf: np.ndarray) -> list[tuple[int, float]]:
-    """(term, weight) of (1 + ln tf) * idf over the vector's length (other words included), in term order."""
+def weighed(t: np.ndarray, tf: np.ndarray, rest: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms in order and their weights: (1 + ln tf) * idf (emphasis included) over the vector's length (other words included)."""
+    order = np.argsort(t)
+    t, tf = t[order], tf[order]
+    raw = (1.0 + np.log(tf)) * idf[t]
+    return t, raw / math.sqrt(float(raw @ raw) + rest) if len(t) else raw
+
+
+def counted_vector(counted: tuple[dict[int, int], int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts, rest = counted
-    raw = [(t, (1.0 + math.log(n)) * idf[t]) for t, n in sorted(counts.items())]
-    length = math.sqrt(sum(w * w for _, w in raw) + rest)
-    return [(t, w / length) for t, w in raw] if length > 0 else []
+    return weighed(np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts)), rest, idf)
+
+
+def unit_vector(counted: tuple[dict[int, int], int], idf: np.ndarray) -> list[tuple[int, float]]:
+    """``counted_vector`` as (term, weight) pairs."""
+    t, w = counted_vector(counted, idf)
+    return list(zip(t.tolist(), w.tolist()))
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, and the range that each belongs to."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) + (starts - (np.cumsum(sizes) - sizes))[owner], owner
+
+
+def _arrays(vec) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of a vector given so or as pairs."""
+    if isinstance(vec, tuple):
+        return vec
+    return np.array([t for t, _ in vec], np.int64), np.array([w for _, w in vec], np.float64)
 
 
 class BlockMaxIndex:
-    """Unit vectors in blocks of 64 examples: per block its terms' postings, per term the largest weight of every block."""
-
-    def __init__(self, vectors: list[list[tuple[int, float]]], terms: int):
-        self.size = len(vectors)
-        self.maxima = np.zeros((terms, -(-self.size // BLOCK)))
-        self.rows: list[dict[int, int]] = []
-        self.weights: list[np.ndarray] = []
-        for b in range(self.maxima.shape[1]):
-            part = vectors[b * BLOCK:(b + 1) * BLOCK]
-            rows = {t: k for k, t in enumerate(sorted({t for vec in part for t, _ in vec}))}
-            weights = np.zeros((len(rows), BLOCK))
-            for i, vec in enumerate(part):
-                for t, w in vec:
-                    weights[rows[t], i] = w
-            self.maxima[list(rows), b] = weights.max(axis=1)
-            self.rows.append(rows)
-            self.weights.append(weights)
-
-    def nearest(self, vec: list[tuple[int, float]], k: int, without: int = -1) -> list[tuple[float, int]]:
+    """Postings of unit vectors, by term and example; the postings of one term in a block of 64 examples are an entry with its largest weight."""
+
+    def __init__(self, vectors: list, terms: int):
+        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        parts = [_arrays(v) for v in vectors]
+        t = np.concatenate([np.empty(0, np.int64), *[p[0] for p in parts]])
+        w = np.concatenate([np.empty(0), *[p[1] for p in parts]])
+        e = np.repeat(np.arange(self.size), [len(p[0]) for p in parts]).astype(np.int64)
+        order = np.argsort(t, kind="stable")  # examples stay in order inside a term
+        t, self.weights, self.examples = t[order], w[order], e[order].astype(np.int32)
+        key = t * max(1, self.blocks) + self.examples // BLOCK
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        self.starts = np.append(starts, len(t)).astype(np.int32)
+        self.block = (self.examples[starts] // BLOCK).astype(np.int32)
+        self.largest = np.maximum.reduceat(self.weights, starts) if len(starts) else np.empty(0)
+        self.first = np.searchsorted(t[starts], np.arange(terms + 1)).astype(np.int32)
+
+    def _entries(self, vec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The vector's entries, the place of each one's term in the vector, and that term's weight."""
+        t, q = _arrays(vec)
+        at, owner = spread(self.first[t], self.first[t + 1])
+        return at, owner, q[owner]
+
+    def _postings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return spread(self.starts[at], self.starts[at + 1])
+
+    def nearest(self, vec, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties by example; ``without`` is left out.
 
-        Blocks are read by descending bound until none can hold a better example than the k-th best.
+        The blocks of the largest bounds are read first, then all others that can hold an example as good as the k-th best.
         """
-        if not vec:
+        if not len(vec) or not self.size:
             return []
-        bound = np.array([w for _, w in vec]) @ self.maxima[[t for t, _ in vec]]
+        at, _, q = self._entries(vec)
+        block = self.block[at]
+        bound = np.bincount(block, q * self.largest[at], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-9):
-                break
-            rows = self.rows[b]
-            here = [(rows[t], q) for t, q in vec if t in rows]
-            score = np.round(np.array([q for _, q in here]) @ self.weights[b][[r for r, _ in here]], 12)
+        for group in (order[:4], order[4:]):
             floor = -best[-1][0] if len(best) == k else 0.0
-            hits = np.flatnonzero((score > 0) & (score >= floor)).tolist()
-            if hits:
-                best = sorted(best + [(-float(score[j]), b * BLOCK + j) for j in hits if b * BLOCK + j != without])[:k]
+            group = group[(bound[group] > 0) & (bound[group] >= floor - 1e-9)]
+            if not len(group):
+                continue
+            chosen = np.zeros(self.blocks, bool)
+            chosen[group] = True
+            here = np.flatnonzero(chosen[block])
+            p, owner = self._postings(at[here])
+            score = np.round(np.bincount(self.examples[p], q[here][owner] * self.weights[p], minlength=self.size), 12)
+            hits = np.flatnonzero((score > 0) & (score >= floor))
+            hits = hits[hits != without]
+            hits = hits[np.argsort(-score[hits], kind="stable")[:k]]
+            best = sorted(best + [(-float(score[i]), int(i)) for i in hits])[:k]
         return [(-s, i) for s, i in best]
 
+    def shared(self, vec, examples: list[int]) -> np.ndarray:
+        """What each of the vector's terms adds to the cosines with these examples."""
+        at, owner, q = self._entries(vec)
+        here = np.flatnonzero(np.isin(self.block[at], np.array(examples, np.int32) // BLOCK))
+        p, o = self._postings(at[here])
+        hit = np.isin(self.examples[p], examples)
+        p, o = p[hit], here[o[hit]]
+        return np.bincount(owner[o], q[o] * self.weights[p], minlength=len(_arrays(vec)[0]))
+
 
 @dataclass
 class Examples:
-    """The fitted model: bounded by the number of examples and terms, whatever the size of the corpus."""
+    """The fitted model: bounded by the labelled examples and their words, whatever the size of the corpus."""
 
     terms: dict[str, int]
     idf: np.ndarray
-    vectors: list[list[tuple[int, float]]]
+    index: BlockMaxIndex
     ids: list
     y: np.ndarray
     weight: np.ndarray
@@ -134,30 +188,35 @@ class Examples:
     offset: float = 0.0
 
     def __post_init__(self) -> None:
-        self.names, self.index = list(self.terms), BlockMaxIndex(self.vectors, len(self.terms))
+        self.names = list(self.terms)
 
-    def __reduce__(self):  # the index is built again where it is used
-        return Examples, (self.terms, self.idf, self.vectors, self.ids, self.y, self.weight, self.k, self.slope, self.offset)
+    def vote(self, vec, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
+        """Mean of similarity times +-1 over the neighbours, each weighted by its class's share and its similarity.
 
-    def vote(self, vec: list[tuple[int, float]], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        """Mean of similarity times +-1 over the neighbours, each weighted by its class's share and its similarity; 0 without any."""
+        0, the lowest evidence, without any neighbour or if label 0 prevails: a text like clean ones is no less toxic than an empty one.
+        """
         near = self.index.nearest(vec, self.k, without)
         mass = sum(s * self.weight[i] for s, i in near)
-        return (sum(s * s * self.weight[i] * (2.0 * self.y[i] - 1.0) for s, i in near) / mass if mass > 0 else 0.0), near
+        total = sum(s * s * self.weight[i] * (2.0 * self.y[i] - 1.0) for s, i in near)
+        return (max(0.0, total / mass) if mass > 0 else 0.0), near
 
-    def score(self, counts: tuple[dict[int, int], int]) -> tuple[float, float, list, list[str]]:
-        vec = unit_vector(counts, self.idf)
+    def score(self, counts: tuple[dict[int, int], int], evidence: int = 3, shown: int = 20) -> tuple[float, float, list, list[str]]:
+        vec = counted_vector(counts, self.idf)
         v, near = self.vote(vec)
         score = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.slope * v + self.offset))))
-        return score, near[0][0] if near else 0.0, [self.ids[i] for _, i in near[:3]], [self.names[t] for t, _ in vec]
+        if not near:
+            return score, 0.0, [], []
+        part = self.index.shared(vec, [i for _, i in near[:evidence]])
+        top = [i for i in np.argsort(-part, kind="stable")[:shown].tolist() if part[i] > 0]
+        return score, near[0][0], [self.ids[i] for _, i in near[:evidence]], [self.names[vec[0][i]] for i in top]
 
 
-def association(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
-    """Signed log-likelihood ratio of a term's document counts in the two classes (positive: tied to label 1)."""
+def emphasis(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float, full: float = 14.0, least: float = 0.05) -> np.ndarray:
+    """A term's factor, ``least`` to 1 and never 0: the signed log-likelihood ratio of its counts in the classes (positive: tied to label 1) over ``full``."""
     n = pos + neg
-    e1, e0 = n * F.lit(n_pos / max(1.0, n_pos + n_neg)), n * F.lit(n_neg / max(1.0, n_pos + n_neg))
-    part = lambda o, e: F.when((o > 0) & (e > 0), o * F.log(o / e)).otherwise(F.lit(0.0))
-    return F.signum(pos - e1) * 2 * (part(pos, e1) + part(neg, e0))
+    e1, e0 = n * n_pos / max(1.0, n_pos + n_neg), n * n_neg / max(1.0, n_pos + n_neg)
+    part = lambda o, e: np.where((o > 0) & (e > 0), o * np.log(np.maximum(o, 1e-300) / np.maximum(e, 1e-300)), 0.0)
+    return np.clip(np.sign(pos - e1) * 2 * (part(pos, e1) + part(neg, e0)) / full, least, 1.0)
 
 
 def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
@@ -194,91 +253,80 @@ def count_terms(docs: DataFrame, terms: dict[str, int], text_col: str = "text")
 
 def document_frequencies(counted: DataFrame) -> dict[int, int]:
     """Number of documents that hold each term, over all documents."""
-    rows = counted.select(F.explode("__terms.t").alias("t")).groupBy("t").count().collect()  # at most one row per term
-    return {r["t"]: r["count"] for r in rows}
+    rows = counted.select(F.explode("__terms.t").alias("t")).groupBy("t").count().toArrow()  # at most one row per term
+    return dict(zip(rows["t"].to_pylist(), rows["count"].to_pylist()))
 
 
 def fit_examples(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text",
-                 max_per_label: int = 2500, max_terms: int = 4096, min_association: float = 14.0, k: int = 15,
-                 counted: Callable[[dict[str, int]], DataFrame] | None = None) -> Examples:
-    """Index at most ``2 * max_per_label`` labelled rows for which ``usable`` (an expression on ``labels``) holds.
+                 max_per_label: int = 2500, k: int = 15) -> Examples:
+    """Index all terms of at most ``2 * max_per_label`` labelled rows for which ``usable`` (an expression on ``labels``) holds.
 
-    Equal texts are one example (the smallest id, the rounded mean label). ``counted`` may give a table of all
-    documents' terms (see ``count_terms``), so that the texts are read once for frequencies and scores.
+    Equal texts are one example (the smallest id, the rounded mean label).
     """
     sample = labelled_sample(labels, label_col, usable, id_col, max_per_label)
-    texts = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t")).join(F.broadcast(sample), "id")
-    texts = texts.groupBy(F.md5(F.col("t").cast("binary")).alias("h")).agg(
-        F.min("id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y"), F.first("t").alias("t")).cache()
-    sizes = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
-    words = F.regexp_extract_all("t", F.lit(r"[\p{L}\p{N}\p{M}_]+"), F.lit(0))
-    stems = F.flatten(F.transform(F.array_distinct(words), lambda w: F.array(
-        w, *[F.when(F.length(w) > n, F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in STEMS])))
-    stems = F.array_distinct(F.filter(stems, lambda s: s.isNotNull()))
-    words = texts.select("y", F.explode(stems).alias("w"))
-    counts = words.groupBy("w").agg(F.sum("y").cast("double").alias("pos"), F.sum(1 - F.col("y")).cast("double").alias("neg"))
-    tied = counts.withColumn("a", association(F.col("pos"), F.col("neg"), sizes.get(1, 0), sizes.get(0, 0))).filter(
-        F.col("a") >= min_association)
-    names = [r["w"] for r in tied.orderBy(F.col("a").desc(), "w").limit(max_terms).select("w").collect()]
-    terms = {w: t for t, w in enumerate(names)}
-    table = counted(terms) if counted else count_terms(docs.select(F.col(text_col).alias("text")), terms)
-    df, n = document_frequencies(table), docs.count()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(sample), "id")
+    texts = texts.groupBy(F.md5(F.lower("t").cast("binary")).alias("h")).agg(
+        F.min("id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y"), F.min_by("t", F.struct("id", "t")).alias("t")).cache()
+
+    @pandas_udf("array<string>")
+    def all_terms(batch: pd.Series) -> pd.Series:
+        return pd.Series([sorted({s for w in set(WORD.findall(t.lower())) for s in word_terms(w)}) for t in batch], dtype=object)
+
+    names = texts.select(F.explode(all_terms("t")).alias("w")).distinct().toArrow()["w"].to_pylist()  # bounded by the examples' words
+    terms = {w: t for t, w in enumerate(sorted(names))}
+    df, n = document_frequencies(count_terms(docs.select(F.col(text_col).alias("text")), terms)), docs.count()
+    rows = count_terms(texts.select("id", "y", F.col("t").alias("text")), terms).select("id", "y", "__terms.*").toArrow()
+    texts.unpersist()
+    ids, ys = rows["id"].to_pylist(), rows["y"].to_pylist()
+    counts = [(t.values.to_numpy(), n.values.to_numpy(), r.as_py()) for t, n, r in zip(rows["t"], rows["n"], rows["rest"])]
+    holders = lambda lab: np.bincount(np.concatenate([np.empty(0, np.int32), *[c[0] for c, y in zip(counts, ys) if y == lab]]), minlength=len(terms))
+    pos, neg = holders(1), holders(0)
+    held = pos + neg
     idf = np.array([math.log((n + 1) / (df.get(t, 0) + 1)) + 1.0 for t in range(len(terms))])
+    idf = idf * emphasis(pos, neg, sum(ys), len(ys) - sum(ys))
+    vecs = [weighed(*c, idf) for c in counts]
+    del counts, rows
 
-    @pandas_udf("array<array<double>>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = TermCounter(terms)
-        for batch in batches:
-            yield pd.Series([[[float(t), w] for t, w in unit_vector(counter(x), idf)] for x in batch], dtype=object)
+    def likeness(v):  # like examples share blocks: the heaviest term that many hold
+        t, w = v
+        common = held[t] >= BLOCK
+        return int(t[common][np.argmax(w[common])]) if common.any() else -1
 
-    rows = texts.select("id", "y", vectors(F.col("t")).alias("v")).collect()  # at most 2 * max_per_label short vectors
-    texts.unpersist()
-    rows = sorted(((sorted(((int(t), w) for t, w in r["v"]), key=lambda p: p[0]), r["id"], r["y"]) for r in rows),
-                  key=lambda r: (max(r[0], key=lambda p: p[1])[0] if r[0] else -1, r[1]))  # like examples share blocks
-    vecs, y = [v for v, _, _ in rows], np.array([lab for _, _, lab in rows], float)
+    order = sorted(range(len(vecs)), key=lambda i: (likeness(vecs[i]), ids[i]))
+    vecs, y = [vecs[i] for i in order], np.array([ys[i] for i in order], float)
     shares = labels.filter(usable & F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0
     rate = y.mean() if len(y) else 0.5
     weight = np.where(y == 1, shares / max(rate, 1e-9), (1 - shares) / max(1 - rate, 1e-9))
-    model = Examples(terms, idf, vecs, [i for _, i, _ in rows], y, weight, k)
+    model = Examples(terms, idf, BlockMaxIndex(vecs, len(terms)), [ids[i] for i in order], y, weight, k)
     votes = np.array([model.vote(v, i)[0] for i, v in enumerate(vecs)])
     model.slope, model.offset = calibrate(votes, y, weight)
     return model
 
 
-def score_counted(counted: DataFrame, model: Examples, id_type: str = "bigint") -> DataFrame:
-    """A ``count_terms`` table plus score, nearest, evidence_ids and evidence_terms, without ``__terms``."""
-    @pandas_udf(f"score double, nearest double, evidence_ids array<{id_type}>, evidence_terms array<string>")
-    def score(terms: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for ts, ns, rests in terms:
-            rows = [model.score((dict(zip(t.tolist(), n.tolist())), r)) for t, n, r in zip(ts, ns, rests)]
-            yield pd.DataFrame(rows, columns=["score", "nearest", "evidence_ids", "evidence_terms"])
-        give_back()
-
-    added = ("score", "nearest", "evidence_ids", "evidence_terms")
-    keep = [F.col(f"`{c}`") for c in counted.columns if c not in (*added, "__terms")]
-    scored = counted.select(*keep, score("__terms.t", "__terms.n", "__terms.rest").alias("__p"))
-    return scored.select(*keep, *[F.col(f"__p.{c}") for c in added])
-
-
 def score_toxicity(docs: DataFrame, model: Examples, text_col: str = "text", id_type: str = "bigint") -> DataFrame:
     """The other columns of ``docs`` plus score (0 to 1, higher: label 1 likelier), nearest (largest cosine),
-    evidence_ids (up to three nearest examples) and evidence_terms (the text's terms in the index).
+    evidence_ids (up to three nearest examples) and evidence_terms (up to 20 terms that add most to those cosines).
 
-    * NULL and empty texts, and texts without any term of the index, have no neighbour: vote 0, the lowest evidence.
+    * NULL and empty texts, and texts without any term of an example, have no neighbour: vote 0, the lowest evidence.
     * Equal cosines are ordered by example; without labels every score is the same small constant.
     * Repeated rows get equal scores; an empty table gives no rows; existing columns named like an added one are replaced.
     """
-    return score_counted(count_terms(docs, model.terms, text_col), model, id_type)
+    @pandas_udf(f"score double, nearest double, evidence_ids array<{id_type}>, evidence_terms array<string>")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        counter = TermCounter(model.terms)
+        for batch in texts:
+            yield pd.DataFrame([model.score(counter(t)) for t in batch], columns=["score", "nearest", "evidence_ids", "evidence_terms"])
+        counter.seen.clear()
+        give_back()
+
+    added = ("score", "nearest", "evidence_ids", "evidence_terms")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*added, text_col)]
+    scored = docs.select(*keep, score(F.col(text_col)).alias("__p"))
+    return scored.select(*keep, *[F.col(f"__p.{c}") for c in added])
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text",
                   **options) -> DataFrame:
-    """``fit_examples`` and ``score_toxicity`` in one pass over the texts: their terms are counted once and stored."""
-    stored: list[DataFrame] = []
-
-    def counted(terms: dict[str, int]) -> DataFrame:
-        stored.append(cut_lineage(count_terms(docs, terms, text_col)))
-        return stored[0]
-
-    model = fit_examples(docs, labels, label_col, usable, id_col, text_col, counted=counted, **options)
-    return score_counted(stored[0], model, dict(docs.dtypes)[id_col])
+    """``fit_examples``, then ``score_toxicity`` of the same documents."""
+    model = fit_examples(docs, labels, label_col, usable, id_col, text_col, **options)
+    return score_toxicity(docs, model, text_col, dict(docs.dtypes)[id_col])

@@ -71,3 +71,13 @@ def test_inflected_forms_edge_rows_and_evidence(spark, docs_of):
 def test_without_labels_scores_are_a_small_constant(spark, docs_of):
     model = X.fit_examples(docs_of([(1, "a")]), spark.createDataFrame([], "doc_id long, toxic long"), "toxic", F.lit(True))
     assert {r.score < 0.3 for r in X.score_toxicity(docs_of([(1, "a"), (2, None)]), model).collect()} == {True}
+
+
+def test_a_rare_toxic_word_is_indexed_and_copies_are_found(spark, docs_of):
+    rows = [(i, f"calm text number {i} about gardens") for i in range(60)] + [(100 + i, f"zorgle{chr(97 + i)} blat") for i in range(12)]
+    lab = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id long, toxic long")
+    lab = lab.union(spark.createDataFrame([(200, 1)], lab.schema))
+    model = X.fit_examples(docs_of(rows + [(200, "quxnog vlim")]), lab, "toxic", F.lit(True))
+    got = X.score_toxicity(docs_of([(1, "quxnog vlim"), (2, "calm gardens")]), model).orderBy("doc_id").collect()
+    assert got[0].evidence_ids[0] == 200 and math.isclose(got[0].nearest, 1.0, abs_tol=1e-9) and got[0].score > got[1].score
+    assert {"calm", "quxnog", "quxn*"} <= set(model.terms)  # one toxic example alone holds quxnog
