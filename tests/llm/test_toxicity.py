@@ -81,3 +81,13 @@ def test_a_rare_toxic_word_is_indexed_and_copies_are_found(spark, docs_of):
     got = X.score_toxicity(docs_of([(1, "quxnog vlim"), (2, "calm gardens")]), model).orderBy("doc_id").collect()
     assert got[0].evidence_ids[0] == 200 and math.isclose(got[0].nearest, 1.0, abs_tol=1e-9) and got[0].score > got[1].score
     assert {"calm", "quxnog", "quxn*"} <= set(model.terms)  # one toxic example alone holds quxnog
+
+
+def test_words_with_combining_marks_are_one_term_when_learned_and_when_scored(spark, docs_of):
+    bad = ["\u0917\u093e\u0932\u0940", "\u0e14\u0e35\u0e44\u0e21\u0e48", "re\u0301sume\u0301x"]  # Devanagari, Thai, decomposed accents
+    assert [X.WORD.findall(w) for w in bad] == [[w] for w in bad]
+    rows = [(i, f"calm words {i}" + (f" {bad[i % 3]}" if i % 4 == 0 else "")) for i in range(120)]
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic long")
+    model = X.fit_examples(docs_of(rows), lab, "toxic", F.lit(True))
+    got = X.score_toxicity(docs_of([*enumerate(bad), (9, "calm words")]), model).orderBy("doc_id").collect()
+    assert all(r.score > 0.3 and w in r.evidence_terms for r, w in zip(got, bad)) and got[3].score < 0.3
