@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns a DataFrame, which is written as Parquet and read again as the next
-stage's ``docs``. All stages but the last return the columns of ``documents``.
+stage's ``docs``. All stages but the last return the columns of ``documents``;
+the last adds the tokens and each document's place in the mix, since a reread
+does not keep the order of rows over several files.
 All of them take NULLs in any column, empty and very long texts, ties, repeated
 rows, empty tables and extra columns as their operators define it.
 """
@@ -41,13 +43,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in Pfair order of their sources, each source weighted by the square root of its size."""
+    """All documents in Pfair order of their sources, each source weighted by the square root of its size.
+
+    The order holds inside this stage's files; ``tokens`` finds the same places again for the same rows.
+    """
     return source_mix.in_mix_order(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids; ``round_trip`` says that decoding gives the text back."""
-    return sentencepiece_codec.encode_documents(docs, sentencepiece_codec.load_pieces(PIECE_MODEL))
+    """Documents in the order of the mix, with mix_slot, mix_offset and their token ids; ``round_trip`` says that decoding gives the text back.
+
+    Places depend on the ids and sources only, so the reread rows get those of the stage before. They are found and
+    sorted before the encoding, which keeps the order of rows. A reader of the result's files sorts by them.
+    """
+    placed = source_mix.mix_sources(docs).drop("mix_block", "mix_release", "mix_deadline")
+    return sentencepiece_codec.encode_documents(placed.orderBy("mix_slot", "mix_offset"), sentencepiece_codec.load_pieces(PIECE_MODEL))
 
 
 STAGES = [
@@ -63,11 +73,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each written to the shared checkpoint folder and read again."""
+    """The stages over ``documents``, each written to the shared checkpoint folder and read again; rows come in the order of the mix."""
     home = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{home}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return docs.orderBy("mix_slot", "mix_offset")

@@ -58,6 +58,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert done.round_trip.all() and start.shape[0] >= len(done)
 
 
+def test_pipeline_result_is_in_mix_order_after_rereading_several_files(spark):
+    import corpus_pipeline as P
+    from riskframe.llm import source_mix
+
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        out = P.run(spark, SF)
+        rows = out.select("doc_id", "source", "mix_slot", "mix_offset").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(out.inputFiles()) > 3
+    places = [(r.mix_slot, r.mix_offset) for r in rows]
+    assert places == sorted(places) and len(set(places)) == len(rows)
+    mixed = source_mix.in_mix_order(spark.createDataFrame([(r.doc_id, r.source) for r in rows], "doc_id long, source string"))
+    assert [r.doc_id for r in rows] == [r.doc_id for r in mixed.collect()]
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     import corpus_pipeline as P
 
