@@ -250,10 +250,11 @@ def q_registry(spark, sf):
 
 @register("L7_tree_contributions_top5")
 def q_tree_contrib(spark, sf):
-    """TreeSHAP contributions (log-odds) of a GBT model for test loans, top 5 per loan (rows-only; additivity unit-tested)."""
+    """TreeSHAP contributions (log-odds) of a GBT model for test loans, dummies summed to their column, top 5 per loan (rows-only; additivity unit-tested)."""
     from riskframe.operators import treeshap
 
     wide, feats = matrix(spark, sf)
     model = L.fit_gbt(wide.filter(F.col("split") == "train"), feats, "target", iters=20, depth=4)
     contrib = treeshap.gbt_contributions(wide.filter(F.col("split") == "test"), model, feats, "loan_id", checkpoint_dir(spark))
-    return R.top_reasons(contrib.filter(F.col("feature") != "__base__"), 5)
+    summed = treeshap.sum_to_parents(contrib, CAT)
+    return R.top_reasons(summed.filter(F.col("feature") != "__base__"), 5)

@@ -106,6 +106,31 @@ def test_gbt_treeshap_additivity(spark):
         assert abs(s - math.log(prob[i] / (1 - prob[i]))) < 1e-6
 
 
+def test_tree_contributions_of_dummies_are_summed_to_their_column(spark):
+    import math
+
+    from pyspark.ml.functions import vector_to_array
+
+    from riskframe.operators import treeshap
+    from riskframe.session import checkpoint_dir
+
+    feats = ["num__a", "cat__g_x", "cat__g_y", "cat__g_z", "cat__g_h_x"]
+    rows = [(i, float(i % 7), float(i % 3 == 0), float(i % 3 == 1), float(i % 3 == 2), float(i % 2), int((i % 7) + 3 * (i % 3) + i % 2 > 6)) for i in range(400)]
+    df = spark.createDataFrame(rows, ", ".join(["id long", *[f"{f} double" for f in feats], "target int"]))
+    model = L.fit_gbt(df, feats, "target", iters=8, depth=3)
+    some = df.limit(40)
+    raw = treeshap.gbt_contributions(some, model, feats, "id", checkpoint_dir(spark))
+    got = treeshap.sum_to_parents(raw, ["g", "g_h"]).toPandas()
+    assert {"cat__g", "cat__g_h"} <= set(got.feature) <= {"num__a", "cat__g", "cat__g_h", "__base__"} and not got.duplicated(["id", "feature"]).any()
+    parts = raw.toPandas()
+    want = parts[parts.feature.isin(["cat__g_x", "cat__g_y", "cat__g_z"])].groupby("id").value.sum()
+    have = got[got.feature == "cat__g"].set_index("id").value
+    assert len(want) == len(have) and all(abs(have[i] - v) < 1e-9 for i, v in want.items())
+    prob = {r.id: r.p for r in model.transform(L.assemble(some, feats)).select("id", vector_to_array("probability")[1].alias("p")).collect()}
+    for i, s in got.groupby("id").value.sum().items():
+        assert abs(s - math.log(prob[i] / (1 - prob[i]))) < 1e-6
+
+
 def test_scores_survive_a_failed_log_write(spark, tmp_path):
     src = X.scratch(spark, "t-x1")
     spark.createDataFrame([(i, float(i)) for i in range(20)], "id long, v double").write.parquet(src)
