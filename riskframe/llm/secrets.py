@@ -42,11 +42,9 @@ IDENTIFIERS = ("config configuration parameter environment variable connection d
 _HEX_ONLY = bytes(ord("x") if chr(b) in "0123456789abcdef" else ord(" ") for b in range(256))
 
 
-def corpus_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = 8000, sample_docs: int = 2000) -> list[str]:
-    """The most frequent letter-only words of a bounded, hash-chosen sample of documents, for the dictionary."""
-    some = docs.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("i")).orderBy("h", "i").limit(sample_docs).select("i").distinct()
-    words = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(some), "i").select(
-        F.explode(F.regexp_extract_all(F.col("t"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("w"))
+def corpus_words(docs: DataFrame, text_col: str = "text", max_words: int = 8000) -> list[str]:
+    """The most frequent letter-only words of all documents, for the dictionary."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("w"))
     return [r["w"] for r in words.groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(max_words).collect()]
 
 

@@ -51,3 +51,10 @@ def test_repeats_and_empty_table(docs_of):
     assert got[0].spans == got[1].spans == "assign:0:13"
     assert X.scan_secrets(docs_of([]), []).count() == 0
     assert X.corpus_words(docs_of([(1, "abc abc xyz"), (2, None)])) == ["abc", "xyz"]
+
+
+def test_dictionary_words_come_from_all_documents(docs_of):
+    rows = [(i, f"filler common{chr(97 + i % 26)}x") for i in range(2500)] + [(i, "seldom") for i in range(2500, 2503)]
+    assert X.corpus_words(docs_of(rows), max_words=1) == ["filler"]
+    words = X.corpus_words(docs_of([(i, f"w{'abcdefghij'[i // 1000]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}") for i in range(3000)]))
+    assert len(words) == 3000  # one word a document, none left out
