@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, plus compression novelty of strings in sensitive places.
 
-The fixed kinds are patterns. A further string is a candidate when it looks like
-a key (long, with a digit) and a sensitive word stands shortly before it. Its
-novelty is the number of compressed bytes that it adds to its surroundings, with
+The fixed kinds are patterns. Candidates are all strings of 16 or more key
+characters in the whole text; one counts when a sensitive word stands at most 48
+characters before or after it (see ``novel_spans``). Its novelty is the number of compressed bytes that it adds to its surroundings, with
 a zstandard dictionary of ordinary identifiers and corpus words: names and prose
 cost little, random keys cost nearly their own length. Incompressible candidates
 are reported as kind ``novel``.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,6 +34,10 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"(?i)password|passwd|pwd|secret|token|api_?key|access.?key|private.?key|credential|bearer|authorization|signature|session")
 SENSITIVE_WORDS = ("password", "passwd", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "signature", "session")
+#: A line that ends so (blanks aside) goes on in the next one: an assignment, a list, a quote, a PEM header.
+OPEN_END = re.compile(r"[:=|>\-(\[{,\"'`\\][^\S\n]*\n")
+#: What may lie between two parts of one value, such as the lines of a PEM body.
+WRAP = re.compile(r"[\s\"'+,\\]*")
 #: Ordinary identifiers of program text, the start of every dictionary.
 IDENTIFIERS = ("config configuration parameter environment variable connection database username user_name client_id client_secret "
                "access_key secret_key private_key public_key api_key auth_token refresh_token session_id request response "
@@ -66,24 +71,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], marginal, before: int = 48, around: int = 160,
+def candidates(text: str, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Strings that may be keys, over the whole text.
+
+    Sensitive words (their places ``words``) inside a run of key characters cut it; a run that leaves no part long enough is taken whole.
+    """
+    ends = [e for _, e in words]
+    for m in CANDIDATE.finditer(text):
+        at, stop = m.span()
+        parts, i = [], bisect_right(ends, at)
+        while i < len(words) and words[i][0] < stop:
+            parts.append((at, words[i][0]))
+            at = words[i][1]
+            i += 1
+        parts = [p for p in [*parts, (at, stop)] if p[1] - p[0] >= 16]
+        yield from parts or [m.span()]
+
+
+def novel_spans(text: str, taken: list[tuple[int, int, int]], marginal, near: int = 48, around: int = 160,
                 min_ratio: float = 0.6) -> list[tuple[int, int, int]]:
-    """Candidates near a sensitive word that overlap no base span and that the dictionary cannot explain."""
+    """Candidates in a sensitive place that overlap no base span and that the dictionary cannot explain.
+
+    A place is sensitive if a sensitive word ends at most ``near`` characters before it or starts at most ``near`` after it,
+    or lies in it, or if only a line break, blanks and quotes part it from another such candidate. A line end after the word
+    is passed if its line is left open (``OPEN_END``); one before the word always is.
+    """
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
+    words = [s.span() for s in SENSITIVE.finditer(text)]
+    if not words:
+        return []
+    starts, ends = [a for a, _ in words], [b for _, b in words]
+
+    def in_sensitive_place(a: int, b: int) -> bool:
+        i, j = bisect_right(ends, a) - 1, bisect_left(starts, a)
+        if i >= 0 and a - ends[i] <= near:
+            gap = text[ends[i]:a]
+            if "\n" not in gap or OPEN_END.match(gap, max(0, len(gap[:gap.index("\n")].rstrip()) - 1)):
+                return True
+        return j < len(words) and starts[j] - b <= near
+
     out, last = [], -1
-    for s in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, s.end(), min(len(text), s.end() + before)):
-            a = m.start()
-            b = CANDIDATE.match(text, a).end()  # a candidate that begins inside the window is taken whole
-            if a <= last or not any(c.isdigit() for c in m.group()) or "\n" in text[s.end():a]:
-                continue
-            if any(x < b and a < y for x, _, y in taken):
-                continue
-            if marginal(text[max(0, a - around):a], text[a:b], text[b:b + around]) >= min_ratio * (b - a):
-                out.append((a, 3, b))
-                last = b
+    for a, b in candidates(text, words):
+        if not (in_sensitive_place(a, b) or (last >= 0 and WRAP.fullmatch(text, last, a))):
+            continue
+        last = b
+        if any(x < b and a < y for x, _, y in taken):
+            continue
+        if marginal(text[max(0, a - around):a], text[a:b], text[b:b + around]) >= min_ratio * (b - a):
+            out.append((a, 3, b))
     return out
 
 

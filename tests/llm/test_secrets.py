@@ -58,3 +58,17 @@ def test_dictionary_words_come_from_all_documents(docs_of):
     assert X.corpus_words(docs_of(rows), max_words=1) == ["filler"]
     words = X.corpus_words(docs_of([(i, f"w{'abcdefghij'[i // 1000]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}") for i in range(3000)]))
     assert len(words) == 3000  # one word a document, none left out
+
+
+def test_novelty_finds_keys_wherever_they_stand_near_a_sensitive_word(docs_of):
+    rnd = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    draw = lambda n, chars: "".join(rnd.choice(chars) for _ in range(n))
+    a, b, c, d, e, f, g = (draw(40, letters + "0123456789") for _ in range(7))
+    plain, late = draw(40, letters), draw(60, letters) + "7" + draw(20, letters)
+    texts = [f"authorization {'-' * 4} here is, after some words, {a}", f"private key:\n  {b}", f'"session":\n    "{c}"',
+             f"{d} is my credential", f"bearer {plain}", f"bearer {late}", f"-----BEGIN PRIVATE KEY-----\n{e}\n{f}\n{g}\n-----END",
+             f"bearer{a}"]
+    want = [[a], [b], [c], [d], [plain], [late], [e, f, g], [a]]
+    for t, keys, r in zip(texts, want, scan(docs_of, texts)):
+        assert r.spans == X.joined([(t.index(k), 3, t.index(k) + len(k)) for k in keys]), t
