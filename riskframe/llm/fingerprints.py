@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is the set of its distinct paragraphs' 64-bit digests. A sketch has three
+A text is the set of its paragraphs' 64-bit digests; with ``finer`` cuts, repeats
+are salted with their occurrence number. A sketch has three
 sub-tables; each digest falls into one cell of each, and a cell holds the count,
 the XOR of its digests and the XOR of their checksums. Subtracting two sketches
 cancels what both texts share; peeling then recovers the differing digests, one
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import shuffle_partitions
 from riskframe.operators.windowing import search_sorted
 
-#: A paragraph is a line; a line longer than this is cut after the next sentence end.
+#: A paragraph is a line; a line longer than this is cut after the next '. ', with ``finer`` cuts also at other places of its content.
 LONG_LINE = 120
+#: Sentence ends of several scripts.
+SENTENCE_END = r"\. |[!?\u3002\uff01\uff1f\uff61\u0964\u0965\u061f\u06d4\u2026]"
 #: Cells per sub-table of the fingerprint, of a retried block, and of that block's own retries.
 BASE, BLOCK_SIZES = 8, (4, 16, 64)
 CELL = "struct<n:int,k:bigint,h:bigint>"
@@ -44,10 +47,31 @@ def _places(d: Column, c: int) -> Column:
     return F.array(*[(F.shiftrightunsigned(d, 14 * t).bitwiseAND(F.lit(16383)) % F.lit(c) + F.lit(t * c)).cast("int") for t in range(3)])
 
 
-def paragraphs(text: Column, long_line: int = LONG_LINE) -> Column:
-    """Distinct digests of the text's paragraphs (empty array for an empty text)."""
-    parts = F.regexp_extract_all(text, F.lit(r"[^\n]{%d,}?\. |[^\n]+" % long_line), F.lit(0))
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+def _numbered(digests: Column) -> Column:
+    """The digests in order, the n-th repeat of one salted with n."""
+    def runs(s):
+        starts = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(x != F.get(s, i - 1), F.lit(True)), i)), lambda i: i.isNotNull())
+        return _let(starts, lambda st: F.flatten(F.transform(st, lambda i, r: F.transform(
+            F.sequence(F.lit(0), F.coalesce(F.get(st, r + 1), F.size(s)) - i - 1),
+            lambda j: F.when(j == 0, F.get(s, i)).otherwise(F.xxhash64(F.get(s, i), j))))))
+
+    return _let(F.array_sort(digests), runs)
+
+
+def paragraphs(text: Column, long_line: int = LONG_LINE, finer: bool = False) -> Column:
+    """Digests of the text's paragraphs (empty array for an empty text): distinct ones, or with ``finer`` all, repeats salted.
+
+    With ``finer`` a longer line is cut after the first sentence end from ``long_line`` to twice that; where there is none, from half of it on after
+    a character that comes again within six characters (a place that depends on the content only), at 1.5 times at the latest.
+    """
+    if not finer:
+        parts = F.regexp_extract_all(text, F.lit(r"[^\n]{%d,}?\. |[^\n]+" % long_line), F.lit(0))
+        return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    n, least, most = long_line, max(1, long_line // 2), long_line + long_line // 2
+    pattern = (rf"[^\n]{{{n},{2 * n}}}?(?:{SENTENCE_END})|[^\n]{{1,{n}}}(?=\n|\z)"
+               rf"|[^\n]{{{least},{most}}}?([^\n])(?=[^\n]{{0,5}}\1)|[^\n]{{1,{most}}}")
+    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _numbered(F.transform(parts, lambda p: F.xxhash64(p)))
 
 
 def sketch(digests: Column, c: int = BASE) -> Column:
@@ -181,9 +205,11 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], rows_per_bucket:
     return rows.filter(~F.col("__in.copy")).drop("__nb", "__head", "__to", "__in")
 
 
-def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", finer: bool = False) -> DataFrame:
     """One row per document: fingerprint of its text and of an edited version, and likenesses.
 
+    ``finer`` cuts long lines without '. ' too and counts repeated paragraphs (see ``paragraphs``).
+
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all)
     of the next document by descending id; the last document's next is the first.
 
@@ -202,7 +228,7 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = rows.select("id", "t", n.alias("n"), F.coalesce("next_t", F.lit("")).alias("next_t"))
     rows = rows.withColumn("e", F.concat(F.left("t", F.col("n") - F.floor(F.col("n") / 2).cast("int")),
                                          F.left("next_t", F.floor(F.col("n") / 2).cast("int"))))
-    rows = rows.withColumns({"pt": paragraphs(F.col("t")), "pe": paragraphs(F.col("e")), "pn": paragraphs(F.col("next_t")),
+    rows = rows.withColumns({"pt": paragraphs(F.col("t"), finer=finer), "pe": paragraphs(F.col("e"), finer=finer), "pn": paragraphs(F.col("next_t"), finer=finer),
                              "sha": F.sha2(F.col("e").cast("binary"), 256)})
     rows = rows.select("id", "n", "sha", "pt", "pe", "pn", sketch(F.col("pt")).alias("st"), sketch(F.col("pe")).alias("se"),
                        sketch(F.col("pn")).alias("sn"))

@@ -49,7 +49,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op3_fingerprints")
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_versions(read_table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_versions(read_table(spark, sf_dir, "documents"), finer=True)
 
 
 @_query("op4_near_dedup", f"""

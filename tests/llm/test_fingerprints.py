@@ -69,3 +69,16 @@ def test_null_and_repeated_ids_and_tiny_tables(docs_of):
     twice = P.fingerprint_versions(docs_of([(5, "aa\nbb"), (5, "aa\nbb"), (4, "cc\ndd")])).collect()
     assert len(twice) == 3 and sorted(r.near_next for r in twice) == [0.0, 0.0, 1.0]
     assert P.fingerprint_versions(docs_of([])).count() == 0
+
+
+def test_texts_without_line_or_sentence_ends_and_repeated_sentences(docs_of):
+    rnd = random.Random(12)
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(3000))
+    thai = "".join(chr(0x0E01 + rnd.randrange(46)) for _ in range(3000))
+    code = "".join(rnd.choice("abcxyz019(){};=,") for _ in range(3000))
+    again = ("x" * 130 + ". ") * 20
+    rows = [(i, t) for i, t in enumerate([han, thai, code, "!" * 3000, again])]
+    got = {r.doc_id: r for r in P.fingerprint_versions(docs_of(rows), finer=True).collect()}
+    for i, t in rows:
+        assert got[i].n_paragraphs >= 15 and got[i].near_edited > 0.2 and got[i].decoded, i
+    assert got[4].n_paragraphs == 20
