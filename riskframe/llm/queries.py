@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact_dedup, fingerprints, language_id, minhash_dedup, quality, secrets, sentencepiece_codec, source_mix, toxicity
+from riskframe.llm import chat, exact_dedup, fingerprints, language_id, minhash_dedup, quality, secrets, sentencepiece_codec, source_divergence, source_mix, toxicity
 from riskframe.llm.common import LOWER, UPPER, held_out, read_table, small_batches
 
 #: Vocabulary file of the public BPE tokenizer; any other SentencePiece model may be given by path.
@@ -144,3 +144,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "text")
     scored = toxicity.fit_and_score(rows, labels, "toxic", ~held_out(F.col("doc_id"), 4, 2))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@_query("op13_source_divergence", f"""
+WITH d AS (SELECT row_number() OVER () AS u, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+o AS (SELECT u, lang, source, unnest(ts) AS t FROM d),
+kept AS (SELECT lang, t FROM o GROUP BY lang, t HAVING count(DISTINCT u) >= 30),
+c AS (SELECT lang, source, t, count(*) AS n FROM o JOIN kept USING (lang, t) GROUP BY lang, source, t),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM kept GROUP BY lang),
+x AS (SELECT g.lang, g.source, kept.t, coalesce(c.n, 0) AS n, v.v,
+        sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS total
+      FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = kept.t),
+p AS (SELECT lang, source, t, n, v, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (total + 5 * v) AS p FROM x),
+l AS (SELECT lang, t, v, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang) AS total FROM p GROUP BY lang, t, v),
+q AS (SELECT lang, t, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (total + 5 * v) AS q FROM l),
+dist AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source
+         GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(dist.value, 0) AS value
+          FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN dist ON dist.lang = a.lang AND dist.source = a.source AND dist.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, p - q AS value FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+both_parts AS (SELECT * FROM pairs UNION ALL SELECT * FROM terms),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM both_parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50
+""")
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return source_divergence.audit_sources(read_table(spark, sf_dir, "documents"), min_df=30, top_terms=50)
