@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact_dedup, fingerprints, language_id, minhash_dedup, quality, secrets, sentencepiece_codec, source_divergence, source_mix, toxicity
+from riskframe.llm import chat, exact_dedup, fingerprints, language_id, license_scan, minhash_dedup, quality, secrets, sentencepiece_codec, source_divergence, source_mix, toxicity
 from riskframe.llm.common import LOWER, UPPER, held_out, read_table, small_batches
 
 #: Vocabulary file of the public BPE tokenizer; any other SentencePiece model may be given by path.
@@ -146,6 +146,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    found = license_scan.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    span = lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"])
+    return found.withColumn("spans", F.concat_ws(",", F.transform("spans", span)))
+
+
 @_query("op13_source_divergence", f"""
 WITH d AS (SELECT row_number() OVER () AS u, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
              regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
