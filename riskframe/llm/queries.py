@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import chat, exact_dedup, fingerprints, language_id, license_scan, minhash_dedup, quality, secrets, sentencepiece_codec, source_divergence, source_mix, toxicity
+from riskframe.llm import chat, exact_dedup, fingerprints, language_id, license_scan, minhash_dedup, quality, secrets, sentencepiece_codec, source_divergence, source_mix, token_alignment, toxicity
 from riskframe.llm.common import LOWER, UPPER, held_out, read_table, small_batches
 
 #: Vocabulary file of the public BPE tokenizer; any other SentencePiece model may be given by path.
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: Vocabulary file of a byte-level BPE tokenizer.
+BYTE_BPE = os.environ.get("BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -146,6 +148,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@_query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = token_alignment.align_tokens(docs, token_alignment.load_tokenizers(BYTE_BPE, PIECE_MODEL))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return token_alignment.link_support(aligned.withColumn("groups_sha256", digest).drop("groups")).drop("row_id")
+
+
 @_query("op12_license_scan")
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
