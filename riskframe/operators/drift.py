@@ -1,33 +1,36 @@
 """Population stability (PSI) drift.
 
-One job covers every feature and every target population:
+The reference is fitted once into a **profile** (``fit_profile``): inner quantile edges per numeric feature
+(``windowing.fit_quantiles``) and the bucket counts of every feature with its shares. Any number of target
+populations is then one pass: bucket counts per (label, feature, bucket), joined to the profile.
 
-* numeric: reference quantile edges per feature (one ``groupBy(feature)`` over
-  the unpivoted reference; exact ``percentile`` or the bounded
-  ``percentile_approx``), right-closed bins by comparing with the <= bins-1 inner
-  edges carried on each row (edges table broadcast: one row per feature),
+* numeric: right-closed bins by comparing with the <= bins - 1 inner edges, which are numbers in the plan;
   NULL -> ``missing`` bucket;
-* categorical: one ``groupBy(feature, value)`` with reference and target counts;
-  target-only values pool into ``unseen``, NULL into ``missing``;
+* categorical: one bucket per value; target-only values pool into ``unseen``, NULL into ``missing``;
 * shares use all rows (NULLs included) as denominators, floored at 1e-4;
   PSI = sum((t - r) * ln(t / r)). Buckets empty on both sides contribute 0, so
   only buckets seen on either side are materialised.
 
 Buckets are tagged keys ``(kind, value)`` so a literal category named
-"missing" never collides with the missing bucket.
+"missing" never collides with the missing bucket. Bucket counts are sums: those of days, batches or partitions add
+up to those of their union, which is what ``drift_state`` keeps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe import specs
 from riskframe.functions.exprs import drift_level, ts_lit
 from riskframe.operators.binning import right_closed_bin
-from riskframe.operators.windowing import quantile_arrays
+from riskframe.operators.windowing import fit_quantiles
+from riskframe.session import cut_lineage
 
-KIND_VALUE, KIND_UNSEEN, KIND_MISSING = 0, 1, 2
+KIND_VALUE, KIND_MISSING, KIND_BIN = 0, 2, 3
+KIND_EDGES = -1  # a stored profile's rows that hold the edges of a numeric feature
 
 
 def _levels(bins: int) -> list[float]:
@@ -35,16 +38,6 @@ def _levels(bins: int) -> list[float]:
     return [i * (1 / bins) for i in range(1, bins)]
 
 
-
-
-def _long_num(df: DataFrame, cols, extra=()) -> DataFrame:
-    return df.select(*extra, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(list(extra), list(cols), "feature", "value")
-
-
-def _long_cat(df: DataFrame, cols, extra=()) -> DataFrame:
-    return df.select(*extra, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(list(extra), list(cols), "feature", "value")
-
-
 def _tagged(targets) -> DataFrame:
     """Union of target frames with a ``target_label`` column."""
     out = None
@@ -54,15 +47,71 @@ def _tagged(targets) -> DataFrame:
     return out
 
 
-def numeric_edges(reference: DataFrame, cols, bins: int = 10, exact: bool = True) -> DataFrame:
-    """(feature, inner) with inner = distinct reference quantiles at 1/bins ... (bins-1)/bins.
+def numeric_edges(reference: DataFrame, cols, bins: int = 10, exact: bool = True) -> dict[str, list[float]]:
+    """Distinct reference quantiles at 1/bins ... (bins-1)/bins per column, ascending.
 
-    NULLs are ignored by the percentile; an all-NULL feature gets no inner edge
-    (one (-inf, inf] bin).
+    NULLs are ignored; an all-NULL column gets no inner edge (one (-inf, inf] bin).
     """
-    long = _long_num(reference, cols)
-    q = quantile_arrays(long, ["feature"], "value", _levels(bins), exact)
-    return q.select("feature", F.coalesce(F.array_distinct("__q"), F.array().cast("array<double>")).alias("inner"))
+    fitted = fit_quantiles(reference, cols, _levels(bins), exact)
+    return {c: list(dict.fromkeys(x for x in q if x is not None)) for c, q in fitted.items()}
+
+
+def _bin(col: Column, edges: list[float]) -> Column:
+    return right_closed_bin(col, F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>"), len(edges))
+
+
+def bucket_counts(df: DataFrame, edges: dict[str, list[float]], categorical=(), keys=()) -> DataFrame:
+    """(keys..., feature, kind, value, n): rows of every bucket of every feature, in one pass with map-side sums."""
+    cells = []
+    for c, e in edges.items():
+        b = _bin(F.col(c).cast("double"), e).cast("string")
+        cells.append((c, F.when(b.isNull(), F.lit(KIND_MISSING)).otherwise(F.lit(KIND_BIN)), b))
+    for c in categorical:
+        v = F.col(c).cast("string")
+        cells.append((c, F.when(v.isNull(), F.lit(KIND_MISSING)).otherwise(F.lit(KIND_VALUE)), v))
+    structs = [F.struct(F.lit(c).alias("feature"), kind.alias("kind"), F.coalesce(v, F.lit("")).alias("value")) for c, kind, v in cells]
+    return df.select(*keys, F.inline(F.array(*structs))).groupBy(*keys, "feature", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@dataclass
+class Profile:
+    """A fitted reference: edges of the numeric features, and (feature, kind, value, n) of all buckets."""
+
+    edges: dict[str, list[float]]
+    categorical: list[str]
+    buckets: DataFrame
+
+    def shares(self) -> DataFrame:
+        """(feature, kind, value, __r, __g0, __base): floored share, its term against an empty target, and the sum of those terms."""
+        w = Window.partitionBy("feature")
+        r = self.buckets.withColumn("__r", _share(F.col("n"), F.sum("n").over(w)))
+        r = r.withColumn("__g0", _term(F.lit(specs.PSI_FLOOR), F.col("__r")))
+        return r.select("feature", "kind", "value", "__r", "__g0", F.sum("__g0").over(w).alias("__base"))
+
+    def counts(self, target: DataFrame, keys=()) -> DataFrame:
+        """Bucket counts of a target population, with this profile's edges."""
+        return bucket_counts(target, self.edges, self.categorical, keys)
+
+    def table(self) -> DataFrame:
+        """The profile as one table, for storing."""
+        rows = [(c, KIND_EDGES, "", None, e) for c, e in self.edges.items()]
+        edges = self.buckets.sparkSession.createDataFrame(rows, "feature string, kind int, value string, n long, edges array<double>")
+        return self.buckets.select("feature", F.col("kind").cast("int").alias("kind"), "value", "n",
+                                   F.lit(None).cast("array<double>").alias("edges")).unionByName(edges)
+
+    @staticmethod
+    def from_table(table: DataFrame) -> Profile:
+        """Read back ``table()``; one row per numeric feature reaches the driver."""
+        edges = {r.feature: list(r.edges) for r in table.filter(F.col("kind") == KIND_EDGES).select("feature", "edges").orderBy("feature").collect()}
+        buckets = table.filter(F.col("kind") != KIND_EDGES).select("feature", "kind", "value", "n")
+        found = [r.feature for r in buckets.filter(F.col("kind") != KIND_BIN).select("feature").distinct().orderBy("feature").collect()]
+        return Profile(edges, [c for c in found if c not in edges], buckets)
+
+
+def fit_profile(reference: DataFrame, numeric=(), categorical=(), bins: int = 10, exact: bool = True) -> Profile:
+    """Edges and bucket counts of the reference: three passes over it, whatever the number of targets."""
+    edges = numeric_edges(reference, list(numeric), bins, exact)
+    return Profile(edges, list(categorical), cut_lineage(bucket_counts(reference, edges, list(categorical))))
 
 
 def _share(n, total):
@@ -73,77 +122,53 @@ def _term(t: Column, r: Column) -> Column:
     return (t - r) * F.ln(t / r)
 
 
-def _psi(ref_b: DataFrame, tgt_b: DataFrame, keys, n_ref, label: str) -> DataFrame:
-    """PSI per (label, feature) from reference buckets (feature, *keys, n_ref) and target
-    buckets (label, feature, *keys, n_tgt, __n_tgt).
+def psi_of_counts(profile: Profile, counts: DataFrame, label: str = "target_label") -> DataFrame:
+    """(label, feature, psi) from target bucket counts (label, feature, kind, value, n).
 
     PSI = sum over reference buckets of f(floor, r) + sum over target buckets of
     [f(t, r) - f(floor, r)] (r = floor for buckets absent in the reference).
-    Only equi-joins on (feature, bucket): the reference is never replicated per
+    Only an equi-join on (feature, bucket): the reference is never replicated per
     target population, so any number of populations (e.g. days) is one job.
     """
-    floor = F.lit(specs.PSI_FLOOR)
-    ref_s = ref_b.withColumn("__r", _share(F.col("n_ref"), n_ref)).withColumn("__g0", _term(floor, F.col("__r")))
-    base = ref_s.groupBy("feature").agg(F.sum("__g0").alias("__base"))
-    j = tgt_b.join(ref_s.select("feature", *keys, "__r", "__g0"), ["feature", *keys], "left")
-    r = F.coalesce(F.col("__r"), floor)
-    t = _share(F.col("n_tgt"), F.col("__n_tgt"))
-    part = j.groupBy(label, "feature").agg(F.sum(_term(t, r) - F.coalesce(F.col("__g0"), F.lit(0.0))).alias("__part"))
-    return part.join(base, "feature", "left").select(
-        label, "feature", (F.col("__part") + F.coalesce(F.col("__base"), F.lit(0.0))).alias("psi"))
-
-
-def numeric_psi(reference: DataFrame, target: DataFrame, cols, label: str = "target_label", bins: int = 10,
-                exact: bool = True) -> DataFrame:
-    """D1 for many columns and populations: (label, feature, psi)."""
-    edges = F.broadcast(numeric_edges(reference, cols, bins, exact))  # one row per feature
-    bucket = F.coalesce(right_closed_bin("value", "inner", bins - 1), F.lit(-1)).alias("bucket")
-    n_ref = reference.agg(F.count(F.lit(1))).scalar()
-    ref_b = _long_num(reference, cols).join(edges, "feature").groupBy("feature", bucket).agg(F.count(F.lit(1)).alias("n_ref"))
-    sizes = target.groupBy(label).agg(F.count(F.lit(1)).alias("__n_tgt"))
-    tgt_b = (_long_num(target, cols, [label]).join(edges, "feature")
-             .groupBy(label, "feature", bucket).agg(F.count(F.lit(1)).alias("n_tgt"))
-             .join(sizes, label))
-    return _psi(ref_b, tgt_b, ["bucket"], n_ref, label)
-
-
-def categorical_psi(reference: DataFrame, target: DataFrame, cols, label: str = "target_label") -> DataFrame:
-    """D2 for many columns and populations: (label, feature, psi)."""
-    n_ref = reference.agg(F.count(F.lit(1))).scalar()
-    ref_v = _long_cat(reference, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n_ref"))
-    kind = F.when(F.col("value").isNull(), F.lit(KIND_MISSING)).otherwise(F.lit(KIND_VALUE))
-    # NULL (missing bucket) joins through a non-null surrogate value; ``kind`` keeps it distinct.
-    ref_b = ref_v.select("feature", kind.alias("kind"), F.coalesce(F.col("value"), F.lit("")).alias("value"), "n_ref")
-    vocab = ref_v.filter(F.col("value").isNotNull()).select("feature", "value", F.lit(True).alias("__seen"))
-    tgt_v = _long_cat(target, cols, [label]).groupBy(label, "feature", "value").agg(F.count(F.lit(1)).alias("n_tgt"))
-    tk = (F.when(F.col("value").isNull(), F.lit(KIND_MISSING))
-          .when(F.col("__seen"), F.lit(KIND_VALUE)).otherwise(F.lit(KIND_UNSEEN)))
-    tgt_k = tgt_v.join(vocab, ["feature", "value"], "left").select(
-        label, "feature", tk.alias("kind"), F.when(tk == KIND_VALUE, F.col("value")).otherwise(F.lit("")).alias("value"), "n_tgt")
-    sizes = target.groupBy(label).agg(F.count(F.lit(1)).alias("__n_tgt"))
-    tgt_b = tgt_k.groupBy(label, "feature", "kind", "value").agg(F.sum("n_tgt").alias("n_tgt")).join(sizes, label)
-    return _psi(ref_b, tgt_b, ["kind", "value"], n_ref, label)
-
-
-def drift_report_by(reference: DataFrame, target: DataFrame, numeric=(), categorical=(), label: str = "target_label",
+    floor, shares = F.lit(specs.PSI_FLOOR), profile.shares()
+    j = counts.join(shares.drop("__base"), ["feature", "kind", "value"], "left").withColumn("__all", F.sum("n").over(Window.partitionBy(label, "feature")))
+    unseen = (F.col("kind") == KIND_VALUE) & F.col("__r").isNull()  # pooled into one bucket
+    part = _term(_share(F.col("n"), F.col("__all")), F.coalesce(F.col("__r"), floor)) - F.coalesce(F.col("__g0"), F.lit(0.0))
+    sums = j.groupBy(label, "feature").agg(F.coalesce(F.sum(F.when(~unseen, part)), F.lit(0.0)).alias("__part"),
+                                           F.sum(F.when(unseen, F.col("n"))).alias("__new"), F.first("__all").alias("__all"))
+    pooled = F.when(F.col("__new").isNotNull(), _term(_share(F.col("__new"), F.col("__all")), floor)).otherwise(F.lit(0.0))
+    base = shares.groupBy("feature").agg(F.first("__base").alias("__base"))  # one row per feature
+    return sums.join(F.broadcast(base), "feature", "left").select(
+        label, "feature", (F.col("__part") + pooled + F.coalesce(F.col("__base"), F.lit(0.0))).alias("psi"))
+
+
+def report_of_counts(profile: Profile, counts: DataFrame, label: str = "target_label") -> DataFrame:
+    """(feature, PSI, drift_level, label) from target bucket counts."""
+    return psi_of_counts(profile, counts, label).select("feature", F.col("psi").alias("PSI"), drift_level(F.col("psi")).alias("drift_level"), label)
+
+
+def _profile_of(reference, numeric, categorical, bins: int, exact: bool) -> Profile:
+    """A profile given as such is narrowed to the features; a frame is fitted."""
+    if not isinstance(reference, Profile):
+        return fit_profile(reference, numeric, categorical, bins, exact)
+    edges = {c: reference.edges[c] for c in numeric}
+    return Profile(edges, list(categorical), reference.buckets.filter(F.col("feature").isin([*numeric, *categorical])))
+
+
+def drift_report_by(reference: DataFrame | Profile, target: DataFrame, numeric=(), categorical=(), label: str = "target_label",
                     bins: int = 10, exact: bool = True) -> DataFrame:
     """D3/D4 with the population given by a column of ``target``: (feature, PSI, drift_level, label)."""
-    parts = []
-    if numeric:
-        parts.append(numeric_psi(reference, target, list(numeric), label, bins, exact))
-    if categorical:
-        parts.append(categorical_psi(reference, target, list(categorical), label))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.select("feature", F.col("psi").alias("PSI"), drift_level(F.col("psi")).alias("drift_level"), label)
+    profile = _profile_of(reference, list(numeric), list(categorical), bins, exact)
+    return report_of_counts(profile, profile.counts(target, [label]), label)
 
 
-def drift_report_many(reference: DataFrame, targets: dict, numeric=(), categorical=(), bins: int = 10,
+def drift_report_many(reference: DataFrame | Profile, targets: dict, numeric=(), categorical=(), bins: int = 10,
                       exact: bool = True) -> DataFrame:
     """D3 + D4: (feature, PSI, drift_level, target_label) for every feature and named target population."""
     return drift_report_by(reference, _tagged(targets), numeric, categorical, "target_label", bins, exact)
 
 
-def drift_report(reference: DataFrame, target: DataFrame, numeric=(), categorical=(), label: str = "target",
+def drift_report(reference: DataFrame | Profile, target: DataFrame, numeric=(), categorical=(), label: str = "target",
                  bins: int = 10, exact: bool = True) -> DataFrame:
     """D3: full report for one target population."""
     return drift_report_many(reference, {label: target}, numeric, categorical, bins, exact)
@@ -176,71 +201,87 @@ def top_drift(report: DataFrame, k: int = 10) -> DataFrame:
     return report.orderBy(F.round(F.col("PSI"), 12).desc(), "feature", "target_label").limit(k)
 
 
-def drift_summary(reference: DataFrame, live: DataFrame, numeric=(), categorical=(), min_live: int = specs.MIN_LIVE_SAMPLE_SIZE,
+def drift_summary(reference: DataFrame | Profile, live: DataFrame, numeric=(), categorical=(), min_live: int = specs.MIN_LIVE_SAMPLE_SIZE,
                   bins: int = 10, exact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(level counts zero-filled with sizes and warning, report sorted by PSI)."""
-    report = drift_report(reference, live, numeric, categorical, "live", bins, exact)
-    lv = reference.sparkSession.createDataFrame([(x,) for x in ("stable", "moderate", "significant")], "drift_level string")
-    counts = lv.join(report.groupBy("drift_level").agg(F.count(F.lit(1)).alias("n")), "drift_level", "left").fillna(0, subset=["n"])
-    n_ref = reference.agg(F.count(F.lit(1))).scalar()
-    n_live = live.agg(F.count(F.lit(1))).scalar()
-    counts = counts.withColumns({
-        "reference_size": n_ref, "live_size": n_live,
-        "sample_size_warning": n_live < F.lit(min_live), "min_sample_threshold": F.lit(min_live),
+    """(level counts zero-filled with sizes and warning, report sorted by PSI); the live side is read once."""
+    profile = _profile_of(reference, list(numeric), list(categorical), bins, exact)
+    counts = cut_lineage(profile.counts(live).withColumn("target_label", F.lit("live")))
+    report = report_of_counts(profile, counts)
+    spark = report.sparkSession
+    lv = spark.createDataFrame([(x,) for x in ("stable", "moderate", "significant")], "drift_level string")
+    n = lv.join(report.groupBy("drift_level").agg(F.count(F.lit(1)).alias("n")), "drift_level", "left").fillna(0, subset=["n"])
+    n_ref, n_live = population(profile.buckets), population(counts)
+    n = n.withColumns({
+        "reference_size": F.lit(n_ref), "live_size": F.lit(n_live),
+        "sample_size_warning": F.lit(n_live < min_live), "min_sample_threshold": F.lit(min_live),
     })
-    return counts, report.orderBy(F.desc("PSI"), "feature")
-
-
-def numeric_overlay(reference: DataFrame, live: DataFrame, col: str, bins: int = 10, exact: bool = True) -> DataFrame:
-    """Reference edges, shares of NON-NULL rows per side, infinite ends as NULL, NULL % per side."""
-    edges = numeric_edges(reference, [col], bins, exact)
-    inner = edges.select("inner").scalar()
-    bucket = right_closed_bin(F.col(col).cast("double"), inner, bins - 1)
-    ref_c = reference.filter(F.col(col).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_ref"))
-    live_c = live.filter(F.col(col).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_live"))
-    spine = edges.select(F.explode(F.sequence(F.lit(0), F.size("inner"))).alias("bucket"), "inner")
-    j = spine.join(ref_c, "bucket", "left").join(live_c, "bucket", "left").fillna(0, subset=["n_ref", "n_live"])
-    ref_nn = reference.agg(F.count(F.col(col))).scalar()
-    live_nn = live.agg(F.count(F.col(col))).scalar()
-    return j.select(
-        "bucket",
-        F.when(F.col("bucket") > 0, F.element_at("inner", F.col("bucket"))).alias("range_start"),
-        F.when(F.col("bucket") < F.size("inner"), F.element_at("inner", F.col("bucket") + 1)).alias("range_end"),
-        F.coalesce(F.try_divide(F.col("n_ref").cast("double"), ref_nn), F.lit(0.0)).alias("reference_pct"),
-        F.coalesce(F.try_divide(F.col("n_live").cast("double"), live_nn), F.lit(0.0)).alias("live_pct"),
-        (F.lit(1.0) - F.try_divide(ref_nn.cast("double"), reference.agg(F.count(F.lit(1))).scalar())).alias("reference_missing_pct"),
-        (F.lit(1.0) - F.try_divide(live_nn.cast("double"), live.agg(F.count(F.lit(1))).scalar())).alias("live_missing_pct"),
-    )
-
-
-def categorical_overlay(reference: DataFrame, live: DataFrame, col: str) -> DataFrame:
-    """Union of categories with non-null shares per side and an unseen flag."""
-    r = reference.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n_ref"))
-    lv = live.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("category")).agg(F.count(F.lit(1)).alias("n_live"))
-    j = r.join(lv, "category", "full_outer").fillna(0, subset=["n_ref", "n_live"])
-    tr = reference.agg(F.count(F.col(col))).scalar()
-    tl = live.agg(F.count(F.col(col))).scalar()
-    return j.select(
-        "category",
-        F.coalesce(F.try_divide(F.col("n_ref").cast("double"), tr), F.lit(0.0)).alias("reference_pct"),
-        F.coalesce(F.try_divide(F.col("n_live").cast("double"), tl), F.lit(0.0)).alias("live_pct"),
-        ((F.col("n_ref") == 0) & (F.col("n_live") > 0)).alias("unseen"),
-    )
-
-
-def feature_detail(reference: DataFrame, live: DataFrame, feature: str, numeric, categorical) -> DataFrame:
-    """The overlay of one feature with its drift value and level; only that feature is read.
+    return n, report.orderBy(F.desc("PSI"), "feature")
+
+
+def population(counts: DataFrame) -> int:
+    """Number of rows behind bucket counts: every row is in one bucket of each feature."""
+    one = counts.groupBy("feature").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    return int(one or 0)
+
+
+def _side(counts: DataFrame, feature: str, name: str, key: Column) -> DataFrame:
+    """(key, n_<name>) of a feature's buckets that are not missing, with <name>_rows and <name>_present on every row."""
+    w = Window.partitionBy("feature")
+    present = F.col("kind") != KIND_MISSING
+    return counts.filter(F.col("feature") == feature).select(
+        key.alias("key"), "kind", F.col("n").alias(f"n_{name}"), F.sum("n").over(w).alias(f"{name}_rows"),
+        F.coalesce(F.sum(F.when(present, F.col("n"))).over(w), F.lit(0)).alias(f"{name}_present"))
+
+
+def numeric_overlay(reference: DataFrame | Profile, live: DataFrame, col: str, bins: int = 10, exact: bool = True) -> DataFrame:
+    """Reference edges, shares of NON-NULL rows per side, infinite ends as NULL, NULL % per side (one pass per side)."""
+    profile = _profile_of(reference, [col], [], bins, exact)
+    return _numeric_overlay(profile, profile.counts(live), col)
+
+
+def _numeric_overlay(profile: Profile, counts: DataFrame, col: str) -> DataFrame:
+    edges = profile.edges[col]
+    spark = counts.sparkSession
+    spine = spark.createDataFrame([(i, edges[i - 1] if i else None, edges[i] if i < len(edges) else None) for i in range(len(edges) + 1)],
+                                  "key int, range_start double, range_end double").withColumn("bucket", F.col("key"))
+    key = F.when(F.col("kind") == KIND_BIN, F.col("value").cast("int")).otherwise(F.lit(-1))
+    side = lambda c, s: _side(c, col, s, key).drop("kind")
+    j = spine.join(side(profile.buckets, "ref"), "key", "full_outer").join(side(counts, "live"), "key", "full_outer")  # bins and the missing bucket
+    j = j.withColumns({f"{s}_{x}": F.max(f"{s}_{x}").over(Window.partitionBy(F.lit(0))) for s in ("ref", "live") for x in ("rows", "present")})
+    j = j.filter(F.col("bucket").isNotNull())
+    share = lambda s: F.coalesce(F.try_divide(F.coalesce(F.col(f"n_{s}"), F.lit(0)).cast("double"), F.col(f"{s}_present")), F.lit(0.0))
+    missing = lambda s: F.lit(1.0) - F.try_divide(F.col(f"{s}_present").cast("double"), F.col(f"{s}_rows"))
+    return j.select("bucket", "range_start", "range_end", share("ref").alias("reference_pct"), share("live").alias("live_pct"),
+                    missing("ref").alias("reference_missing_pct"), missing("live").alias("live_missing_pct"))
+
+
+def categorical_overlay(reference: DataFrame | Profile, live: DataFrame, col: str) -> DataFrame:
+    """Union of categories with non-null shares per side and an unseen flag (one pass per side)."""
+    profile = _profile_of(reference, [], [col], 10, True)
+    return _categorical_overlay(profile, profile.counts(live), col)
+
+
+def _categorical_overlay(profile: Profile, counts: DataFrame, col: str) -> DataFrame:
+    side = lambda c, s: _side(c, col, s, F.col("value")).filter(F.col("kind") == KIND_VALUE).drop("kind")
+    j = side(profile.buckets, "ref").join(side(counts, "live"), "key", "full_outer").fillna(0, subset=["n_ref", "n_live"])
+    share = lambda s: F.coalesce(F.try_divide(F.col(f"n_{s}").cast("double"), F.col(f"{s}_present")), F.lit(0.0))
+    return j.select(F.col("key").alias("category"), share("ref").alias("reference_pct"), share("live").alias("live_pct"),
+                    ((F.col("n_ref") == 0) & (F.col("n_live") > 0)).alias("unseen"))
+
+
+def feature_detail(reference: DataFrame | Profile, live: DataFrame, feature: str, numeric, categorical) -> DataFrame:
+    """The overlay of one feature with its drift value and level; only that feature is read, once per side.
 
     Numeric features give bins, categorical ones their categories; a feature that is neither gives an empty frame.
     """
-    if feature in numeric:
-        overlay, rep = numeric_overlay(reference, live, feature), drift_report(reference, live, [feature], [], "live")
-    elif feature in categorical:
-        overlay, rep = categorical_overlay(reference, live, feature), drift_report(reference, live, [], [feature], "live")
-    else:
+    if feature not in numeric and feature not in categorical:
         return live.sparkSession.createDataFrame([], "feature string, psi double, drift_level string")
-    one = rep.select("feature", F.col("PSI").alias("psi"), "drift_level")
-    return overlay.withColumn("feature", F.lit(feature)).join(one, "feature")
+    is_numeric = feature in numeric
+    profile = _profile_of(reference, [feature] if is_numeric else [], [] if is_numeric else [feature], 10, True)
+    counts = cut_lineage(profile.counts(live).withColumn("target_label", F.lit("live")))
+    overlay = (_numeric_overlay if is_numeric else _categorical_overlay)(profile, counts, feature)
+    one = report_of_counts(profile, counts).select("feature", F.col("PSI").alias("psi"), "drift_level")
+    return overlay.withColumn("feature", F.lit(feature)).join(F.broadcast(one), "feature")
 
 
 def drift_history(snapshots: DataFrame, feature: str, days: int, as_of, ts: str = "computed_at") -> DataFrame:
@@ -283,5 +324,5 @@ def inject_drift(df: DataFrame, key: str, share: float = 0.3, seed: int = 42, in
 def equal_frequency_counts(df: DataFrame, col: str, n: int = 10, exact: bool = True) -> DataFrame:
     """``qcut``-style counts: edges are the column's own quantiles, lowest bin closed."""
     v = F.col(col).cast("double")
-    inner = quantile_arrays(df.select(v.alias("__x")), [], "__x", _levels(n), exact).select(F.array_distinct("__q")).scalar()
-    return df.filter(v.isNotNull()).groupBy(right_closed_bin(v, inner, n - 1).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    edges = numeric_edges(df, [col], n, exact)[col]
+    return df.filter(v.isNotNull()).groupBy(_bin(v, edges).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

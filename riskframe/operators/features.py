@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.profile import long_numeric, long_text
-from riskframe.operators.windowing import quantile_arrays, running_sums
+from riskframe.operators.windowing import fit_quantiles, running_sums
 from riskframe.session import cut_lineage
 
 MISSING = "missing"
@@ -26,9 +26,8 @@ MISSING = "missing"
 
 def fit_median(train: DataFrame, cols, exact: bool = True) -> DataFrame:
     """M1: (feature, median) of the non-null train values (linear interpolation; distributed exact by default)."""
-    long = long_numeric(train, cols).withColumnRenamed("column", "feature")
-    q = quantile_arrays(long, ["feature"], "value", [0.5], exact)
-    return q.select("feature", F.element_at("__q", 1).alias("median"))
+    fitted = fit_quantiles(train, cols, [0.5], exact)
+    return train.sparkSession.createDataFrame([(c, q[0]) for c, q in fitted.items()], "feature string, median double")
 
 
 def fit_scaler(train: DataFrame, cols, medians: DataFrame | None = None, exact: bool = True) -> DataFrame:

@@ -1,9 +1,9 @@
 """Profiling aggregates.
 
 Loops over columns become one ``unpivot`` followed by one ``groupBy``, so many
-features cost one shuffle, not one job each. Percentiles are exact
-(``percentile``, linear interpolation) by default; pass ``exact=False`` for the
-mergeable, bounded ``percentile_approx`` at very large scale.
+features cost one shuffle, not one job each. Percentiles are exact (linear
+interpolation, fitted by ``windowing.fit_quantiles``) by default; ``exact=False``
+gives the values of its mergeable sketch.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.exprs import bracket as bracket_expr
 from riskframe.functions.exprs import month_ordinal, round6, ts_lit
 from riskframe.operators.binning import equal_width_left_closed, equal_width_right_closed, linspace_edge
-from riskframe.operators.windowing import quantile_arrays
+from riskframe.operators.windowing import fit_quantiles, quantile_frame
 
 
 def long_numeric(df: DataFrame, cols, ids=()) -> DataFrame:
@@ -97,15 +97,10 @@ def rate_histogram(df: DataFrame, target: str, col: str, n: int = 10) -> tuple[D
 
 def describe(df: DataFrame, cols, exact: bool = True) -> DataFrame:
     """Count, mean, std (ddof 1), min, quartiles, max per column (moments in one aggregate)."""
-    long = long_numeric(df, cols)
-    q = quantile_arrays(long, ["column"], "value", [0.25, 0.5, 0.75], exact)
-    return long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ).join(q, "column").select(
+    q = quantile_frame(df.sparkSession, fit_quantiles(df, cols, [0.25, 0.5, 0.75], exact))  # one row per column
+    one = lambda v: F.struct(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    moments = df.agg(F.array(*[F.struct(F.lit(c).alias("column"), one(F.col(c).cast("double")).alias("m")) for c in cols]).alias("a"))
+    return moments.select(F.inline("a")).select("column", "m.*").join(F.broadcast(q), "column").select(
         "column", "count", "mean", "std", "min",
         F.col("__q")[0].alias("p25"), F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"), "max",
     )
@@ -113,8 +108,7 @@ def describe(df: DataFrame, cols, exact: bool = True) -> DataFrame:
 
 def quantiles(df: DataFrame, cols, qs, exact: bool = True) -> DataFrame:
     """(column, q, value) with linear interpolation, NULLs ignored."""
-    long = long_numeric(df, cols)
-    agg = quantile_arrays(long, ["column"], "value", qs, exact)
+    agg = quantile_frame(df.sparkSession, fit_quantiles(df, cols, qs, exact))
     levels = F.array(*[F.lit(float(x)) for x in qs])
     return agg.select("column", F.posexplode(F.arrays_zip(levels.alias("q"), F.col("__q").alias("v"))).alias("pos", "z")).select(
         "column", F.col("z.q").alias("q"), F.col("z.v").alias("value")
@@ -203,7 +197,7 @@ def kde(df: DataFrame, col: str, grid_points: int = 50, by: str | None = None) -
 def box_stats(df: DataFrame, cols, exact: bool = True) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers clipped to data, outlier counts per column."""
     long = long_numeric(df, cols).filter(F.col("value").isNotNull())
-    q = quantile_arrays(long, ["column"], "value", [0.25, 0.5, 0.75], exact).select(
+    q = quantile_frame(df.sparkSession, fit_quantiles(df, cols, [0.25, 0.5, 0.75], exact)).select(
         "column", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
     q = q.withColumns({"lo_fence": F.col("q1") - F.lit(1.5) * (F.col("q3") - F.col("q1")),
                        "hi_fence": F.col("q3") + F.lit(1.5) * (F.col("q3") - F.col("q1"))})
@@ -273,7 +267,7 @@ def same_null_rows(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def overview(df: DataFrame, as_of, ts: str = "logged_at", prob: str = "prob", pred: str = "pred", exact: bool = True) -> DataFrame:
     """Totals, recent counts, prediction split, score percentiles and time range in one aggregate."""
-    q = quantile_arrays(df.select(F.col(prob).alias("__p")), [], "__p", [0.5, 0.9, 0.95, 0.99], exact).select("__q").scalar()
+    q = [F.lit(x).cast("double") for x in fit_quantiles(df, [prob], [0.5, 0.9, 0.95, 0.99], exact)[prob]]
     now = ts_lit(as_of)
     return df.agg(
         F.count(F.lit(1)).alias("total_logged"),
@@ -306,7 +300,7 @@ def score_hist(df: DataFrame, bins: int = 30, prob: str = "prob") -> tuple[DataF
         F.when(F.col("bin") == bins - 1, F.lit(1.0)).otherwise((F.col("bin") + 1).cast("double") * F.lit(1.0 / bins)).alias("range_end"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
-    median = quantile_arrays(src, [], "p", [0.5]).select("__q").scalar()[0]
+    median = F.lit(fit_quantiles(src, ["p"], [0.5])["p"][0]).cast("double")
     summary = src.agg(F.avg("p").alias("mean"), median.alias("median"))
     return hist, summary
 

@@ -15,12 +15,18 @@ Bucketing is monotone in the ordered value, and rows inside a bucket are ordered
 by the value itself, so the result is exact for every orderable type. Group keys
 are compared as one struct, so NULL keys form groups of their own. Inputs are
 normally already-aggregated histograms (one row per distinct value per group),
-so a single hot value costs one row however many records carry it. Nothing here
-runs a job while the plan is built.
+so a single hot value costs one row however many records carry it. Nothing of
+this runs a job while the plan is built.
+
+``fit_quantiles`` is the fitting form for whole columns: a mergeable sketch gives
+each quantile a bracket of values, and a second pass counts what lies outside the
+brackets and sorts only what lies inside.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,3 +139,92 @@ def quantile_arrays(long: DataFrame, keys, value: str, qs, exact: bool = True, b
         out.append(F.when((lo == hi) | (a == b), a).otherwise((hi - pos) * a + (pos - lo) * b))
     q = F.when(F.col("__N") > 0, F.array(*out))
     return found.select(*keys, q.alias("__q"))
+
+
+# ------------------------------------------------------------------ fitted quantiles
+
+
+def _slot(value: Column, parts: list[tuple[float, float]]) -> Column:
+    """Where a value lies among disjoint closed brackets: 2j before the j-th, 2j + 1 inside it (NaN is the largest value)."""
+    steps = [((value >= F.lit(lo)).cast("int") + (value > F.lit(hi)).cast("int")) for lo, hi in parts]
+    out = F.lit(0)
+    for s in steps:
+        out = out + s
+    return out
+
+
+def _ranked(src: DataFrame, brackets: dict[int, list[tuple[float, float]]], wanted: dict[int, list[int]]) -> dict[tuple[int, int], tuple[int, float | None]]:
+    """One pass: {(column, wanted 0-based rank): (slot, value)}; the value is NULL in a gap between brackets."""
+    at = F.array(*[F.struct(F.lit(k).alias("k"), F.when(F.col(f"c{k}").isNotNull(), _slot(F.col(f"c{k}"), parts)).alias("s"), F.col(f"c{k}").alias("v"))
+                   for k, parts in brackets.items()])
+    rows = src.select(F.inline(at)).filter(F.col("s").isNotNull())
+    hist = rows.groupBy("k", "s", F.when(F.col("s") % 2 == 1, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    per_slot = hist.groupBy("k", "s").agg(F.sum("n").alias("t"))  # at most 2 brackets + 1 rows per column
+    before = F.coalesce(F.sum("t").over(Window.partitionBy("k").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = hist.withColumn("upto", F.sum("n").over(Window.partitionBy("k", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    placed = inside.join(F.broadcast(per_slot.select("k", "s", before.alias("before"))), ["k", "s"])
+    last = F.col("before") + F.col("upto")
+    ranks = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r).cast("long").alias("r")) for k, rs in wanted.items() for r in rs])
+    hit = F.filter(ranks, lambda x: (x["k"] == F.col("k")) & (x["r"] >= last - F.col("n")) & (x["r"] < last))
+    found = placed.select("k", "s", "v", F.explode(hit).alias("x")).select("k", "s", "v", F.col("x.r").alias("r"))
+    return {(f.k, f.r): (f.s, f.v) for f in found.collect()}  # one row per wanted rank
+
+
+def fit_quantiles(df: DataFrame, cols, qs, exact: bool = True, accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """Quantiles ``qs`` of every column, as Python numbers: (columns x levels) values reach the driver.
+
+    Exact (linear interpolation between the ranks around q (n - 1), NULLs ignored, as ``quantile_arrays``):
+    the first pass is a ``percentile_approx`` sketch, whose rank error of n / accuracy makes a bracket of four such
+    errors around each level; the second counts the rows of each gap between the brackets and ranks the rows inside.
+    A rank that falls into a gap (a sketch outside its error) is looked for in that whole gap by a further pass, so
+    the result does not depend on the sketch. ``exact=False`` returns the sketch's own values.
+    Columns without a value give None.
+    """
+    cols, qs = list(cols), [float(q) for q in qs]
+    if not cols:
+        return {}
+    src = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
+    slack = 2.0 / accuracy
+    levels = [x for q in qs for x in ([max(0.0, q - slack), min(1.0, q + slack)] if exact else [q])]
+    one = src.agg(*[x for k in range(len(cols)) for x in (
+        F.count(f"c{k}").alias(f"n{k}"), F.percentile_approx(f"c{k}", levels, accuracy if exact else 10 * accuracy).alias(f"q{k}"))]).first()
+    counts, near = [one[f"n{k}"] for k in range(len(cols))], [one[f"q{k}"] for k in range(len(cols))]
+    if not exact:
+        return {c: list(near[k]) if counts[k] else [None] * len(qs) for k, c in enumerate(cols)}
+    wanted = {k: sorted({f(q * (n - 1)) for q in qs for f in (math.floor, math.ceil)}) for k, n in enumerate(counts) if n}
+    brackets = {k: _apart(list(zip(near[k][::2], near[k][1::2]))) for k in wanted}
+    value: dict[tuple[int, int], float] = {}
+    while wanted:
+        got = _ranked(src, brackets, wanted)
+        value.update({key: v for key, (s, v) in got.items() if s % 2 == 1})
+        missed = {k: [r for r in rs if (k, r) not in value] for k, rs in wanted.items()}
+        wanted = {k: rs for k, rs in missed.items() if rs}
+        ends = {k: [-math.inf, *[x for part in brackets[k] for x in part], math.nan] for k in wanted}
+        brackets = {k: _apart([(ends[k][got[k, r][0]], ends[k][got[k, r][0] + 1]) for r in rs]) for k, rs in wanted.items()}
+    out: dict[str, list[float | None]] = {}
+    for k, c in enumerate(cols):
+        out[c] = [None] * len(qs)
+        for i, q in enumerate(qs if counts[k] else []):
+            pos = q * (counts[k] - 1)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            a, b = value[k, lo], value[k, hi]
+            out[c][i] = a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b
+    return out
+
+
+def _apart(parts: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Closed brackets merged where they touch, ascending (NaN counts as the largest value)."""
+    order = lambda x: (math.isnan(x), x)
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(parts, key=lambda p: (order(p[0]), order(p[1]))):
+        if out and order(lo) <= order(out[-1][1]):
+            out[-1] = (out[-1][0], max(hi, out[-1][1], key=order))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def quantile_frame(spark, fitted: dict[str, list[float | None]], name: str = "column") -> DataFrame:
+    """(name, __q array<double>) of ``fit_quantiles``, one row per column."""
+    rows = [(c, None if any(x is None for x in q) else q) for c, q in fitted.items()]
+    return spark.createDataFrame(rows, f"{name} string, __q array<double>")

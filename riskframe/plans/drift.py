@@ -17,6 +17,7 @@ from riskframe.plans.common import r6
 from riskframe.plans.registry import register
 from riskframe.sources import bindings as B
 from riskframe.sources.bindings import oracle
+from riskframe.sources.io import stored_table
 
 NUM = list(B.LOAN_ROLES.numeric)
 CAT = list(B.LOAN_ROLES.categorical)
@@ -33,6 +34,14 @@ def _split(spark, sf, name):
     return B.labelled(spark, sf).filter(F.col("split") == name)
 
 
+def reference_profile(spark, sf):
+    """The fitted train reference, stored once per input folder in the shared folder."""
+    inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "nation", "lineitem")]
+    num, cat = list(dict.fromkeys([*NUM, *LIVE_NUM])), list(dict.fromkeys([*CAT, *LIVE_CAT]))
+    table = stored_table(spark, f"profile-v{B.LABELLED_VERSION}", inputs, lambda: D.fit_profile(_train(spark, sf), num, cat).table())
+    return D.Profile.from_table(table)
+
+
 def shifted(df):
     """B4 drift rules on a loan frame (deterministic by loan_id)."""
     k = F.col("loan_id")
@@ -118,8 +127,10 @@ _VALTEST = "SELECT *, split AS target_label FROM labelled WHERE split IN ('val',
 _VAL = "SELECT *, 'val' AS target_label FROM labelled WHERE split = 'val'"
 
 
-def _valtest(spark, sf):
-    return {"val": _split(spark, sf, "val"), "test": _split(spark, sf, "test")}
+def _valtest_report(spark, sf):
+    """Both splits are one population column of one scan."""
+    target = B.labelled(spark, sf).filter(F.col("split").isin("val", "test")).withColumn("target_label", F.col("split"))
+    return D.drift_report_by(reference_profile(spark, sf), target, NUM, CAT)
 
 
 @register("D1_psi_numeric", report_sql(_REF, _VAL, NUM, []))
@@ -134,13 +145,13 @@ def q_psi_cat(spark, sf):
 
 @register("D3_D4_drift_report", report_sql(_REF, _VALTEST, NUM, CAT))
 def q_report(spark, sf):
-    return r6(D.drift_report_many(_train(spark, sf), _valtest(spark, sf), NUM, CAT))
+    return r6(_valtest_report(spark, sf))
 
 
 @register("D12_injected_drift_report",
           report_sql(_REF, "SELECT *, 'shifted' AS target_label FROM (" + _SHIFTED_SQL + ") s", NUM, CAT))
 def q_injected(spark, sf):
-    return r6(D.drift_report(_train(spark, sf), shifted(_split(spark, sf, "test")), NUM, CAT, "shifted"))
+    return r6(D.drift_report(reference_profile(spark, sf), shifted(_split(spark, sf, "test")), NUM, CAT, "shifted"))
 
 
 @register(
@@ -151,7 +162,7 @@ def q_injected(spark, sf):
   CAST(count(*) FILTER (WHERE drift_level = 'significant') AS BIGINT) AS significant FROM rep GROUP BY target_label"""),
 )
 def q_crosstab(spark, sf):
-    return D.level_crosstab(D.drift_report_many(_train(spark, sf), _valtest(spark, sf), NUM, CAT))
+    return D.level_crosstab(_valtest_report(spark, sf))
 
 
 @register(
@@ -160,7 +171,7 @@ def q_crosstab(spark, sf):
                select="SELECT feature, round(PSI, 6) AS PSI, drift_level, target_label FROM rep WHERE drift_level <> 'stable'"),
 )
 def q_flagged(spark, sf):
-    rep = D.drift_report(_train(spark, sf), shifted(_split(spark, sf, "test")), NUM, CAT, "shifted")
+    rep = D.drift_report(reference_profile(spark, sf), shifted(_split(spark, sf, "test")), NUM, CAT, "shifted")
     return r6(D.flagged(rep))
 
 
@@ -170,7 +181,7 @@ def q_flagged(spark, sf):
                select="SELECT feature, round(PSI, 6) AS PSI, drift_level, target_label FROM rep ORDER BY round(PSI, 12) DESC, feature, target_label LIMIT 10"),
 )
 def q_top(spark, sf):
-    return r6(D.top_drift(D.drift_report_many(_train(spark, sf), _valtest(spark, sf), NUM, CAT), 10))
+    return r6(D.top_drift(_valtest_report(spark, sf), 10))
 
 
 def _live(spark, sf):
@@ -183,7 +194,7 @@ _LIVE_TGT = "SELECT *, 'live' AS target_label FROM logs"
 
 @register("D6_live_drift_report", report_sql(_LIVE_REF, _LIVE_TGT, LIVE_NUM, LIVE_CAT, needs=("labelled", "logs")))
 def q_live_report(spark, sf):
-    return r6(D.drift_report(_train(spark, sf), _live(spark, sf), LIVE_NUM, LIVE_CAT, "live"))
+    return r6(D.drift_report(reference_profile(spark, sf), _live(spark, sf), LIVE_NUM, LIVE_CAT, "live"))
 
 
 @register(
@@ -196,7 +207,7 @@ FROM (VALUES ('stable'), ('moderate'), ('significant')) l(drift_level) LEFT JOIN
 GROUP BY l.drift_level"""),
 )
 def q_live_summary(spark, sf):
-    counts, _report = D.drift_summary(_train(spark, sf), _live(spark, sf), LIVE_NUM, LIVE_CAT)
+    counts, _report = D.drift_summary(reference_profile(spark, sf), _live(spark, sf), LIVE_NUM, LIVE_CAT)
     return counts.withColumns({"n": F.col("n").cast("bigint"), "reference_size": F.col("reference_size").cast("bigint"),
                                "live_size": F.col("live_size").cast("bigint"),
                                "min_sample_threshold": F.col("min_sample_threshold").cast("int")})
@@ -222,7 +233,7 @@ FROM e, range(0, 10) b(bucket) WHERE b.bucket <= len(e.inner)""",
 
 @register("D7_numeric_overlay", _OVERLAY_SQL)
 def q_num_overlay(spark, sf):
-    return r6(D.numeric_overlay(_train(spark, sf), _live(spark, sf), "annual_inc").withColumn("bucket", F.col("bucket").cast("int")))
+    return r6(D.numeric_overlay(reference_profile(spark, sf), _live(spark, sf), "annual_inc").withColumn("bucket", F.col("bucket").cast("int")))
 
 
 @register(
@@ -236,20 +247,18 @@ FULL OUTER JOIN (SELECT emp_length AS category, count(*) AS n FROM logs WHERE em
     ),
 )
 def q_cat_overlay(spark, sf):
-    return r6(D.categorical_overlay(_train(spark, sf), _live(spark, sf), "emp_length"))
+    return r6(D.categorical_overlay(reference_profile(spark, sf), _live(spark, sf), "emp_length"))
 
 
 def daily_snapshots(spark, sf):
     """Stored snapshot table, partitioned by day: live drift of each logged day vs the train reference."""
-    from riskframe.sources.io import stored_table
-
     inputs = [f"{sf.rstrip('/')}/{t}.parquet" for t in ("orders", "customer", "nation", "lineitem", "events")]
     return stored_table(spark, f"snapshots-v{B.LABELLED_VERSION}", inputs, lambda: _build_snapshots(spark, sf), ["snapshot_date"])
 
 
 def _build_snapshots(spark, sf):
     live = _live(spark, sf).withColumn("day", F.to_date("logged_at"))
-    rep = D.drift_report_by(_train(spark, sf), live, LIVE_NUM, LIVE_CAT, label="day")
+    rep = D.drift_report_by(reference_profile(spark, sf), live, LIVE_NUM, LIVE_CAT, label="day")
     return rep.select(
         (F.col("day").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")).alias("computed_at"),
         "feature", F.col("PSI").alias("psi"), "drift_level", F.lit("live").alias("target_label")).withColumn(

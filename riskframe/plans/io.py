@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskframe.operators import drift as D
 from riskframe.operators import profile as A
 from riskframe.plans.common import r6
-from riskframe.plans.drift import CAT, LIVE_CAT, LIVE_NUM, NUM, _REF, _VALTEST, report_sql
+from riskframe.plans.drift import CAT, LIVE_CAT, LIVE_NUM, NUM, _REF, _VALTEST, _valtest_report, reference_profile, report_sql
 from riskframe.plans.profile import _CUT_STATS, _CUT_VALS
 from riskframe.plans.profile import NUM as PROFILE_NUM
 from riskframe.plans.registry import register
@@ -74,11 +74,8 @@ def q_features_store(spark, sf):
 
 @register("S7_report_csv", report_sql(_REF, _VALTEST, NUM, CAT))
 def q_report_csv(spark, sf):
-    lab = B.labelled(spark, sf)
-    rep = D.drift_report_many(lab.filter(F.col("split") == "train"),
-                              {"val": lab.filter(F.col("split") == "val"), "test": lab.filter(F.col("split") == "test")}, NUM, CAT)
     path = scratch(spark, "drift-report")
-    IO.write_report_csv(rep, path)
+    IO.write_report_csv(_valtest_report(spark, sf), path)
     back = spark.read.schema("feature string, PSI double, drift_level string, target_label string").option("header", True).csv(path)
     return r6(back)
 
@@ -166,9 +163,7 @@ _DETAIL_EDGES = "SELECT e.inner FROM e WHERE e.feature = 'annual_inc'"
 FROM ({_DETAIL_EDGES}) x, range(0, 10) b(bucket), rep r WHERE b.bucket <= len(x.inner) AND r.feature = 'annual_inc'"""),
 )
 def q_detail(spark, sf):
-    ref = B.labelled(spark, sf).filter(F.col("split") == "train")
-    live = B.prediction_logs(spark, sf)
-    detail = D.feature_detail(ref, live, "annual_inc", LIVE_NUM, LIVE_CAT)
+    detail = D.feature_detail(reference_profile(spark, sf), B.prediction_logs(spark, sf), "annual_inc", LIVE_NUM, LIVE_CAT)
     return r6(detail.withColumn("bucket", F.col("bucket").cast("int")))
 
 
@@ -183,5 +178,4 @@ FROM (SELECT emp_length AS category, count(*) AS n FROM ref WHERE emp_length IS
 FULL OUTER JOIN (SELECT emp_length AS category, count(*) AS n FROM logs WHERE emp_length IS NOT NULL GROUP BY 1) l ON a.category = l.category"""),
 )
 def q_detail_categorical(spark, sf):
-    ref = B.labelled(spark, sf).filter(F.col("split") == "train")
-    return r6(D.feature_detail(ref, B.prediction_logs(spark, sf), "emp_length", LIVE_NUM, LIVE_CAT))
+    return r6(D.feature_detail(reference_profile(spark, sf), B.prediction_logs(spark, sf), "emp_length", LIVE_NUM, LIVE_CAT))

@@ -64,8 +64,8 @@ _EDGES = ("SELECT coalesce(list_sort(list_distinct(quantile_cont(annual_inc, ["
 def q_bin(spark, sf):
     from riskframe.operators.binning import right_closed_bin
 
-    edges = D.numeric_edges(_train(spark, sf), ["annual_inc"]).select("inner")
-    inner = edges.scalar()
+    edges = D.numeric_edges(_train(spark, sf), ["annual_inc"])["annual_inc"]
+    inner = F.array(*[F.lit(e) for e in edges])
     return B.loans(spark, sf).select("loan_id", right_closed_bin(F.col("annual_inc"), inner, 9).cast("bigint").alias("bin"))
 
 
