@@ -258,3 +258,15 @@ def q_tree_contrib(spark, sf):
     contrib = treeshap.gbt_contributions(wide.filter(F.col("split") == "test"), model, feats, "loan_id", checkpoint_dir(spark))
     summed = treeshap.sum_to_parents(contrib, CAT)
     return R.top_reasons(summed.filter(F.col("feature") != "__base__"), 5)
+
+
+@register("L7_forest_contributions_top5")
+def q_forest_contrib(spark, sf):
+    """Contributions (probability of default) of a random forest for test loans, dummies summed to their column, top 5 per loan."""
+    from riskframe.operators import treeshap
+
+    wide, feats = matrix(spark, sf)
+    model = L.fit_rf(wide.filter(F.col("split") == "train"), feats, "target", trees=20, depth=6)
+    contrib = treeshap.forest_contributions(wide.filter(F.col("split") == "test"), model, feats, "loan_id", checkpoint_dir(spark))
+    summed = treeshap.sum_to_parents(contrib, CAT)
+    return R.top_reasons(summed.filter(F.col("feature") != "__base__"), 5)

@@ -49,6 +49,12 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder this program wrote, in whatever store it is."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def stored_table(spark: SparkSession, name: str, inputs, build: Callable[[], DataFrame],
                  partition_by=None) -> DataFrame:
     """Read ``name``, built from the files under ``inputs``, from the shared checkpoint folder.
