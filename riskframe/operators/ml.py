@@ -48,19 +48,17 @@ def fit_scorecard(train: DataFrame, numeric, y: str = "target") -> DataFrame:
 def scorecard_rows(df: DataFrame, card: DataFrame, key: str, numeric) -> DataFrame:
     """L7 (linear), one row per record: id and ``contributions`` = array of (feature ``num__x``, value).
 
-    value = weight * standardised x. The card (one entry per feature) enters as one map, a scalar subquery,
-    so a record is scored where it lies: no unpivot, no join, no shuffle.
+    value = weight * standardised x. The card (one row per feature, so bounded by the columns) becomes numbers in
+    the expression: a record is scored where it lies, without subquery, unpivot, join or shuffle.
     """
-    entry = F.struct("feature", F.struct("median", "mean", "std", "weight"))
-    whole = card.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+    entries = {r.feature: r for r in card.filter(F.col("feature").isin(list(numeric))).collect()}
 
     def value(c):
-        e = F.col("__card")[c]
-        z = (F.coalesce(F.col(c).cast("double"), e["median"]) - e["mean"]) / e["std"]
-        return F.struct(F.lit(f"num__{c}").alias("feature"), (e["weight"] * z).alias("value"))
+        e = entries[c]
+        z = (F.coalesce(F.col(c).cast("double"), F.lit(e.median)) - F.lit(e["mean"])) / F.lit(e.std)
+        return F.struct(F.lit(f"num__{c}").alias("feature"), (F.lit(e.weight) * z).alias("value"))
 
-    rows = df.select(F.col(key).alias("id"), *numeric).withColumn("__card", whole)
-    return rows.select("id", F.array(*[value(c) for c in numeric]).alias("contributions"))
+    return df.select(F.col(key).alias("id"), F.array(*[value(c) for c in numeric]).alias("contributions"))
 
 
 def scorecard_contributions(df: DataFrame, card: DataFrame, key: str, numeric) -> DataFrame:

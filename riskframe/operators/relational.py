@@ -203,14 +203,13 @@ def top_reason_rows(rows: DataFrame, k: int = 5) -> DataFrame:
 def explain_rows(reasons: DataFrame, lookup: DataFrame) -> DataFrame:
     """J9 + L8 on ``top_reason_rows``: one row per reason with label, direction, magnitude and sentence.
 
-    The lookup (one entry per feature) enters as one map, so the reasons are neither joined nor shuffled.
+    The lookup has one row per feature: it is broadcast, and the reasons are not shuffled.
     """
     from riskframe.functions.exprs import humanise, strip_prefix
 
-    entry = F.struct("feature", F.struct("label", "up", "down"))
-    texts = lookup.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
-    r = reasons.withColumn("__texts", texts).select("id", "__texts", F.inline("reasons"))
-    r = r.withColumn("__t", F.try_element_at("__texts", strip_prefix(F.col("feature"))))
+    r = reasons.select("id", F.inline("reasons")).withColumn("__name", strip_prefix(F.col("feature")))
+    texts = lookup.select(F.col("feature").alias("__name"), F.struct("label", "up", "down").alias("__t"))
+    r = r.join(F.broadcast(texts), "__name", "left")
     up = F.col("value") > 0
     label = F.coalesce(F.col("__t.label"), humanise(F.col("feature")))
     generic = F.concat(label, F.when(up, F.lit(" increased")).otherwise(F.lit(" decreased")), F.lit(" the estimated risk."))
