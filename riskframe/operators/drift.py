@@ -92,6 +92,10 @@ class Profile:
         """Bucket counts of a target population, with this profile's edges."""
         return bucket_counts(target, self.edges, self.categorical, keys)
 
+    def of(self, numeric=(), categorical=()) -> Profile:
+        """The profile narrowed to some features."""
+        return Profile({c: self.edges[c] for c in numeric}, list(categorical), self.buckets.filter(F.col("feature").isin([*numeric, *categorical])))
+
     def table(self) -> DataFrame:
         """The profile as one table, for storing."""
         rows = [(c, KIND_EDGES, "", None, e) for c, e in self.edges.items()]
@@ -149,10 +153,7 @@ def report_of_counts(profile: Profile, counts: DataFrame, label: str = "target_l
 
 def _profile_of(reference, numeric, categorical, bins: int, exact: bool) -> Profile:
     """A profile given as such is narrowed to the features; a frame is fitted."""
-    if not isinstance(reference, Profile):
-        return fit_profile(reference, numeric, categorical, bins, exact)
-    edges = {c: reference.edges[c] for c in numeric}
-    return Profile(edges, list(categorical), reference.buckets.filter(F.col("feature").isin([*numeric, *categorical])))
+    return reference.of(numeric, categorical) if isinstance(reference, Profile) else fit_profile(reference, numeric, categorical, bins, exact)
 
 
 def drift_report_by(reference: DataFrame | Profile, target: DataFrame, numeric=(), categorical=(), label: str = "target_label",

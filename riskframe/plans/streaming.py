@@ -6,23 +6,32 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.operators import drift as D
 from riskframe.operators import ml as L
+from riskframe.operators.drift_state import DriftState
 from riskframe.plans.checks import EVENT_TYPES
-from riskframe.plans.drift import LIVE_CAT, LIVE_NUM, report_sql
+from riskframe.plans.drift import LIVE_CAT, LIVE_NUM, reference_profile, report_sql
 from riskframe.plans.registry import register
 from riskframe.sources import bindings as B
 from riskframe.sources.bindings import oracle
 from riskframe.streaming import jobs as X
 
-DELAY = "30 days"  # covers the lateness of the held-back rows, so the stream equals the batch answer
+DELAY = "2 days"  # far shorter than the data (30 days): windows close, and the rows held back to the last drop are late
+DROPS, FILES = 6, 4  # a trigger reads the files of one drop
 
 
 def _events_stream(spark, sf, name):
     ev = B.table(spark, sf, "events")
-    path = X.stage_event_files(spark, ev, X.scratch(spark, f"{name}-src"), 6)
+    path = X.stage_event_files(spark, ev, X.scratch(spark, f"{name}-src"), DROPS, files_per_drop=FILES)
     schema = T.StructType([*ev.schema.fields, T.StructField("drop", T.IntegerType())])
-    return X.read_stream(spark, path, schema, 1, event_time="ts").drop("drop")
+    return X.read_stream(spark, path, schema, FILES, event_time="ts").drop("drop")
+
+
+def _on_time_stream(spark, sf, name):
+    """(stream of the rows that are on time, folder of the late ones)."""
+    src = _events_stream(spark, sf, name)
+    on_time, late = X.scratch(spark, f"{name}-on-time"), X.scratch(spark, f"{name}-late")
+    X.split_late(src, "ts", DELAY, on_time, late, X.scratch(spark, f"{name}-marks"), X.scratch(spark, f"{name}-split-ckpt"))
+    return spark.readStream.schema(src.schema).option("maxFilesPerTrigger", FILES).parquet(on_time), late
 
 
 def _run(spark, df, name, mode="append"):
@@ -32,21 +41,42 @@ def _run(spark, df, name, mode="append"):
 
 
 _WITH_DUPS = "SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 50 = 0 AND event_id % 97 <> 0"
+# The staging rule, and the rule of lateness by drop: s holds the rows that are on time, wm the last watermark.
+_STAGED = {
+    "sl": f"""SELECT *, least(CAST(floor((CAST(epoch_us(ts) AS DOUBLE) - (SELECT min(CAST(epoch_us(ts) AS DOUBLE)) FROM events))
+  / ((SELECT max(CAST(epoch_us(ts) AS DOUBLE)) FROM events) - (SELECT min(CAST(epoch_us(ts) AS DOUBLE)) FROM events) + 1.0) * {DROPS}.0) AS INTEGER), {DROPS - 1}) AS slice
+FROM events""",
+    "st": f"""SELECT * EXCLUDE (slice), CASE WHEN event_id % 97 = 0 THEN {DROPS - 1} ELSE slice END AS d FROM sl
+UNION ALL SELECT * EXCLUDE (slice), least(slice + 1, {DROPS - 1}) AS d FROM sl WHERE event_id % 50 = 0 AND event_id % 97 <> 0""",
+    "mk": f"SELECT r.d, (SELECT max(ts) FROM st WHERE st.d < r.d) - INTERVAL {DELAY} AS edge FROM (SELECT DISTINCT d FROM st) r",
+    "s": "SELECT st.* FROM st JOIN mk ON mk.d = st.d WHERE mk.edge IS NULL OR st.ts >= mk.edge",
+    "wm": f"SELECT max(ts) - INTERVAL {DELAY} AS t FROM st",
+}
 
 
 @register(
     "X2_hourly_counts_stream",
     oracle("SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, count(*) AS count "
-           "FROM s GROUP BY 1, 2", extra={"s": _WITH_DUPS}),
+           "FROM s GROUP BY 1, 2 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT t FROM wm)", extra=_STAGED),
 )
 def q_x2(spark, sf):
-    out = _run(spark, X.hourly_counts(_events_stream(spark, sf, "x2"), "ts", DELAY), "x2", "update")
-    return X.wall_clock(X.latest_per_key(spark, out, ["window_start"]), "window_start", "window_end")
+    """Closed hours; an hour closes when the watermark passes its end."""
+    src, _ = _on_time_stream(spark, sf, "x2")
+    out = _run(spark, X.hourly_counts(src, "ts", DELAY), "x2")
+    return X.wall_clock(spark.read.parquet(out).drop("batch_id"), "window_start", "window_end")
+
 
+@register("X2_late_rows", oracle("SELECT st.event_id, st.ts, CAST(st.d AS INTEGER) AS batch_id FROM st JOIN mk ON mk.d = st.d WHERE st.ts < mk.edge", extra=_STAGED))
+def q_x2_late(spark, sf):
+    """The side output: rows that came too late, with the batch they came in."""
+    _, late = _on_time_stream(spark, sf, "x2l")
+    return X.wall_clock(spark.read.parquet(late).select("event_id", "ts", F.col("batch_id").cast("int").alias("batch_id")), "ts")
 
-@register("X3_dedupe_stream", oracle("SELECT event_id, ts FROM events"))
+
+@register("X3_dedupe_stream", oracle("SELECT DISTINCT event_id, ts FROM s", extra=_STAGED))
 def q_x3(spark, sf):
-    out = _run(spark, X.dedupe(_events_stream(spark, sf, "x3"), "event_id", "ts", DELAY).select("event_id", "ts"), "x3")
+    src, _ = _on_time_stream(spark, sf, "x3")
+    out = _run(spark, X.dedupe(src, "event_id", "ts", DELAY).select("event_id", "ts"), "x3")
     return X.wall_clock(spark.read.parquet(out).drop("batch_id"), "ts")
 
 
@@ -65,12 +95,13 @@ def q_x5(spark, sf):
 @register(
     "X6_sliding_counts_stream",
     oracle("""SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, count(*) AS count FROM (
-  SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS ws FROM s, range(0, 4) r(k)) x GROUP BY ws""",
-           extra={"s": _WITH_DUPS}),
+  SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS ws FROM s, range(0, 4) r(k)) x
+GROUP BY ws HAVING ws + INTERVAL 1 HOUR <= (SELECT t FROM wm)""", extra=_STAGED),
 )
 def q_x6(spark, sf):
-    out = _run(spark, X.sliding_counts(_events_stream(spark, sf, "x6"), "ts", "1 hour", "15 minutes", DELAY), "x6", "update")
-    return X.wall_clock(X.latest_per_key(spark, out, ["window_start"]), "window_start", "window_end")
+    src, _ = _on_time_stream(spark, sf, "x6")
+    out = _run(spark, X.sliding_counts(src, "ts", "1 hour", "15 minutes", DELAY), "x6")
+    return X.wall_clock(spark.read.parquet(out).drop("batch_id"), "window_start", "window_end")
 
 
 @register(
@@ -79,11 +110,12 @@ def q_x6(spark, sf):
 FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
       FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL
                             OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new
-            FROM s) a) b GROUP BY user_id, sid""", extra={"s": _WITH_DUPS}),
+            FROM s) a) b GROUP BY user_id, sid HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT t FROM wm)""", extra=_STAGED),
 )
 def q_sessions(spark, sf):
-    out = _run(spark, X.sessions(_events_stream(spark, sf, "x6s"), "user_id", "ts", "30 minutes", DELAY), "x6s", "complete")
-    return X.wall_clock(X.last_batch(spark, out), "session_start", "session_end")
+    src, _ = _on_time_stream(spark, sf, "x6s")
+    out = _run(spark, X.sessions(src, "user_id", "ts", "30 minutes", DELAY), "x6s")
+    return X.wall_clock(spark.read.parquet(out).drop("batch_id"), "session_start", "session_end")
 
 
 def _card_sql(feats):
@@ -144,13 +176,9 @@ def q_x4(spark, sf):
     src_path = X.scratch(spark, "x4-src")
     logs.withColumn("__d", F.dayofmonth("logged_at") % 3).write.partitionBy("__d").parquet(src_path)
     stream = spark.readStream.schema(spark.read.parquet(src_path).schema).option("maxFilesPerTrigger", 2).parquet(src_path)
-    ref = B.labelled(spark, sf).filter(F.col("split") == "train")
     log_path, snaps = X.scratch(spark, "x4-log"), X.scratch(spark, "x4-snap")
-
-    def report(reference, live):
-        return D.drift_report(reference, live.drop("__d"), LIVE_NUM, LIVE_CAT, "live")
-
-    X.snapshot_stream(stream, ref, log_path, snaps, X.scratch(spark, "x4-ckpt"), report)
+    state = DriftState(spark, X.scratch(spark, "x4-state")).fit(reference_profile(spark, sf).of(LIVE_NUM, LIVE_CAT))
+    X.snapshot_stream(stream, state, log_path, snaps, X.scratch(spark, "x4-ckpt"), compact_every=2)
     s = spark.read.parquet(snaps)
     last = s.agg(F.max("batch_id")).scalar()
     return r6(s.filter(F.col("batch_id") == last).select("feature", "PSI", "drift_level", "target_label"))

@@ -49,6 +49,19 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def finished_parts(spark: SparkSession, path: str, name: str) -> dict[int, str]:
+    """{n: folder} of the complete folders ``<name>=<n>`` under ``path``; a missing ``path`` has none."""
+    fs, p = _file_system(spark, path)
+    if not fs.exists(p):
+        return {}
+    found = {}
+    for f in fs.listStatus(p):
+        key, _, n = f.getPath().getName().partition("=")
+        if key == name and is_complete(spark, f"{path}/{key}={n}"):
+            found[int(n)] = f"{path}/{key}={n}"
+    return found
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder this program wrote, in whatever store it is."""
     fs, p = _file_system(spark, path)

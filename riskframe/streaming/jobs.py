@@ -1,7 +1,10 @@
 """Structured Streaming jobs.
 
 Sources are file streams (Parquet) read with an explicit schema. Stateful
-operators bound their state with watermarks. Results leave through
+operators bound their state with watermarks and run in append mode: a window,
+session or remembered key leaves the state when the watermark passes it. Rows
+later than that are not lost in the operator: ``split_late`` parts them off
+before, into a table of their own. Results leave through
 ``foreachBatch`` sinks that are idempotent per batch id (each batch writes its
 own ``batch_id=`` partition with overwrite, so a retried batch replaces itself),
 and every stream keeps its offsets in a checkpoint location under the shared
@@ -10,13 +13,16 @@ checkpoint folder, so a restarted job resumes exactly where it stopped.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.binning import equal_width_left_closed
+from riskframe.operators.drift_state import DriftState
 from riskframe.session import checkpoint_dir
+from riskframe.sources.io import finished_parts
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -25,13 +31,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stage_event_files(spark: SparkSession, events: DataFrame, out: str, n_files: int = 6, ts: str = "ts",
-                      key: str = "event_id") -> str:
+                      key: str = "event_id", files_per_drop: int | None = None) -> str:
     """Write ``events`` as ``n_files`` Parquet drops in time order, with every key % 50 == 0
     written a second time in the next drop and every key % 97 == 0 held back to the last drop.
 
     Drops are equal-width time slices (no global ordering window); each drop is
     its own folder ``drop=i``, written by all tasks that hold rows of it, one
-    drop after the other, so that file times follow the drop order.
+    drop after the other, so that file times follow the drop order. With
+    ``files_per_drop`` a drop has so many files, so a trigger of as many reads one drop.
     """
     t = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
     lo, hi = events.agg(F.min(t)).scalar(), events.agg(F.max(t)).scalar()
@@ -44,6 +51,7 @@ def stage_event_files(spark: SparkSession, events: DataFrame, out: str, n_files:
         src_slices = [i - 1] if i < n_files - 1 else [i - 1, i]
         dup = q.filter(F.col("__slice").isin(src_slices) & (F.col(key) % 50 == 0) & ~late) if i > 0 else None
         drop = part if dup is None else part.unionByName(dup)
+        drop = drop.repartition(files_per_drop) if files_per_drop else drop
         drop.drop("__slice").withColumn("drop", F.lit(i)).write.mode("append").partitionBy("drop").parquet(out)
     return out
 
@@ -65,11 +73,36 @@ def _batch_sink(out: str):
     return write
 
 
-def run_available(df: DataFrame, out: str, ckpt: str, mode: str = "append", sink=None) -> None:
-    """Process everything available now and stop (the bounded form of a continuous job)."""
+def run_available(df: DataFrame, out: str, ckpt: str, mode: str = "append", sink=None) -> list[dict]:
+    """Process everything available now and stop (the bounded form of a continuous job); returns the progress reports kept."""
     q = (df.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
          .foreachBatch(sink or _batch_sink(out)).trigger(availableNow=True).start())
     q.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress]
+
+
+def split_late(src: DataFrame, ts: str, delay: str, on_time_path: str, late_path: str, marks_path: str, ckpt: str) -> None:
+    """Part rows that come later than ``delay`` behind the newest event of all earlier batches from those that are on time.
+
+    Both go to tables of one folder per batch, with the batch id; ``marks_path`` keeps the newest event time after each
+    batch (one row), which is all that the next one needs. A row whose time is NULL is late. A repeated batch replaces its folders.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = finished_parts(spark, marks_path, "batch_id").get(batch_id - 1)
+        newest = spark.read.parquet(before).first()["newest"] if before else None
+        batch.persist()  # read once for both parts and the mark
+        try:
+            edge = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+            late = F.col(ts).isNull() | F.coalesce(F.col(ts) < edge, F.lit(False))
+            batch.filter(~late).write.mode("overwrite").parquet(f"{on_time_path}/batch_id={batch_id}")
+            batch.filter(late).write.mode("overwrite").parquet(f"{late_path}/batch_id={batch_id}")
+            mark = batch.agg(F.greatest(F.max(F.col(ts).cast("timestamp")), F.lit(newest).cast("timestamp")).alias("newest"))
+            mark.write.mode("overwrite").parquet(f"{marks_path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
+
+    src.writeStream.option("checkpointLocation", ckpt).foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
 
 
 def last_batch(spark: SparkSession, out: str) -> DataFrame:
@@ -159,21 +192,23 @@ def score_stream(src: DataFrame, validate, score, scores_path: str, log_path: st
     q.awaitTermination()
 
 
-def snapshot_stream(src: DataFrame, reference: DataFrame, log_path: str, snapshots_path: str, ckpt: str, report_fn,
-                    every: str | None = None) -> None:
-    """Each trigger appends the micro-batch to the log table, then appends a drift snapshot
-    of the accumulated log (read back from the table, not from stream state) vs the reference.
+def snapshot_stream(src: DataFrame, state: DriftState, log_path: str, snapshots_path: str, ckpt: str, ts: str = "logged_at",
+                    every: str | None = None, compact_every: int = 24) -> None:
+    """Each trigger adds the micro-batch to the log table and to the drift state, then writes a snapshot of the drift so far.
 
-    ``every`` sets a processing-time trigger (e.g. "60 minutes"); without it all
-    available input is processed now and the stream stops.
+    Only the micro-batch is read: the report comes from the state's sums, which every ``compact_every`` batches become
+    one table. ``every`` sets a processing-time trigger (e.g. "60 minutes"); without it all available input is processed
+    now and the stream stops. A repeated batch replaces its log part, its counts and its snapshot.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
-        live = spark.read.parquet(log_path)
-        rep = report_fn(reference, live)
+        part = f"{log_path}/batch_id={batch_id}"
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(part)
+        state.merge(batch.sparkSession.read.parquet(part), batch_id, F.col(ts))
+        rep = state.report()
         rep.withColumns({"computed_at": F.current_timestamp(), "batch_id": F.lit(batch_id)}).write.mode("overwrite").parquet(
             f"{snapshots_path}/batch_id={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            state.compact()
 
     w = src.writeStream.option("checkpointLocation", ckpt).foreachBatch(handle)
     w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
