@@ -16,9 +16,11 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ FREQUENT = 1_000_000
 MARK = "▁"
 #: A blank between ASCII letters: tokens of both kinds end there, and what follows is encoded as after a fresh start.
 SAFE_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: Encoded parts that an encoder remembers, and the tokens they may have in all.
+REMEMBERED, REMEMBERED_TOKENS = 400_000, 8_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -79,9 +83,22 @@ class Tokenizers:
         proto.ParseFromString(self.b_model)
         return proto
 
+    @cached_property
+    def a_ranks(self) -> dict[bytes, int] | None:
+        """A's merge ranks by token, where the vocabulary is numbered in merge order over plain byte-level splitting; else None."""
+        whole = json.loads(self.a_json)
+        pre, model, special = whole.get("pre_tokenizer") or {}, whole["model"], {t["id"] for t in whole["added_tokens"]}
+        plain = pre == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": pre.get("trim_offsets"), "use_regex": True}
+        if not plain or whole.get("normalizer") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+            return None
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != list(range(256, 256 + len(merged))):
+            return None
+        return {t: i for i, t in enumerate(self.a_bytes) if i not in special}
+
     @cached_property
     def may_cut(self) -> bool:
-        """Whether long texts may be encoded in parts cut at ``SAFE_CUT``."""
+        """Whether texts may be encoded in parts cut at ``SAFE_CUT``."""
         pre = json.loads(self.a_json).get("pre_tokenizer") or {}
         norm = self._b_proto.normalizer_spec
         plain = norm.add_dummy_prefix and norm.escape_whitespaces and not norm.precompiled_charsmap and not norm.remove_extra_whitespaces
@@ -89,6 +106,12 @@ class Tokenizers:
             not any(MARK in x.piece.lstrip(MARK) for x in self._b_proto.pieces)
 
 
+#: Fixed value: how byte-level BPE parts a text.
+BYTE_LEVEL_PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Parts in these characters (ASCII and Latin letters) mean the same to every version of Unicode.
+COMMON = re.compile(r"[\t\n\r\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]*")
+
+
 def load_tokenizers(a_json: str, b_model: str) -> Tokenizers:
     """Read both vocabulary files (paths on the driver)."""
     with open(a_json, encoding="utf-8") as a, open(b_model, "rb") as b:
@@ -145,13 +168,9 @@ def align(ea: np.ndarray, eb: np.ndarray, steps: int = PIECE_STEPS) -> tuple[np.
     return left, right, close_a, close_b
 
 
-def parts_of(text: str, may_cut: bool, most: int = PART_CHARS) -> list[str]:
-    """The text in parts of about ``most`` characters, without the blanks it is cut at; whole where there is no safe place."""
-    out, at = [], 0
-    while may_cut and len(text) - at > most and (m := SAFE_CUT.search(text, at + most)):
-        out.append(text[at:m.start()])
-        at = m.end()
-    return [*out, text[at:]]
+def parts_of(text: str, may_cut: bool) -> list[str]:
+    """The text in parts, mostly words, without the blanks it is cut at; whole where there is no safe place."""
+    return SAFE_CUT.split(text) if may_cut else [text]
 
 
 class Aligner:
@@ -165,6 +184,11 @@ class Aligner:
         from tokenizers import Tokenizer
 
         self.t = tokenizers
+        self.quick_a = None
+        if tokenizers.a_ranks:
+            import tiktoken
+
+            self.quick_a = tiktoken.Encoding("a", pat_str=BYTE_LEVEL_PARTS, mergeable_ranks=tokenizers.a_ranks, special_tokens={})
         self.a = Tokenizer.from_str(tokenizers.a_json)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=tokenizers.b_model)
@@ -172,17 +196,60 @@ class Aligner:
         self.size = [np.array([len(t) for t in x], np.int64) for x in (tokenizers.a_bytes, tokenizers.b_bytes)]
         written = [f"{i}{mark}" for i in range(len(self.size[0])) for mark in ",|"] + [f"{i}{mark}" for i in range(len(self.size[1])) for mark in ",;"]
         self.written = np.array(written, dtype=object)
+        self.forget()
+
+    def forget(self) -> None:
+        self.code: dict[str, int] = {}
+        self.flat, self.ends = (array("i"), array("i")), (array("q", [0]), array("q", [0]))
+
+    def encode_a(self, parts: list[str]) -> list[list[int]]:
+        """A's ids of blank + part: by its merge ranks where the characters are ``COMMON``, which gives the same, else by the tokenizer itself."""
+        if self.quick_a is None:
+            return [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
+        quick = self.quick_a.encode_ordinary
+        out = [quick(" " + p) if COMMON.fullmatch(p) else None for p in parts]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, e in zip(rest, self.a.encode_batch([" " + parts[k] for k in rest], add_special_tokens=False)):
+            out[k] = e.ids
+        return out
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode parts that are not remembered, by both tokenizers, some at a time."""
+        if len(self.code) > REMEMBERED or len(self.flat[0]) > REMEMBERED_TOKENS:
+            self.forget()
+        new = sorted({p for p in parts} - self.code.keys())
+        lo = 0
+        while lo < len(new):
+            hi, chars = lo + 1, len(new[lo])
+            while hi < len(new) and chars + len(new[hi]) <= PART_CHARS:
+                chars += len(new[hi])
+                hi += 1
+            some = new[lo:hi]
+            self.code.update(zip(some, range(len(self.code), len(self.code) + len(some))))
+            for k, lists in ((0, self.encode_a(some)), (1, self.b.encode(some, num_threads=1))):
+                self.ends[k].extend((len(self.flat[k]) + np.cumsum([len(ids) for ids in lists])).tolist())
+                self.flat[k].extend(chain.from_iterable(lists))
+            lo = hi
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids of all texts, offsets of the texts) for A and B; a text that does not decode to itself has no ids."""
+        """(ids of all texts, offsets of the texts) for A and B; a text that does not decode to itself has no ids.
+
+        Parts repeat, so each is encoded once while it is remembered.
+        """
         cut = [parts_of(t, self.t.may_cut) if t else [] for t in texts]
         parts = [p for ps in cut for p in ps]
+        self.learn(parts)
+        code = np.fromiter(map(self.code.__getitem__, parts), np.int64, len(parts))
         in_text = np.concatenate([[0], np.cumsum([len(ps) for ps in cut])]).astype(np.int64)
         found = []
-        for raw, size, lists in ((self.raw[0], self.size[0], [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]),
-                                 (self.raw[1], self.size[1], self.b.encode(parts, num_threads=1) if parts else [])):
-            ids = np.array([i for ids in lists for i in ids], np.int64)
-            at = np.concatenate([[0], np.cumsum([len(ids) for ids in lists])]).astype(np.int64)[in_text]
+        for k in (0, 1):
+            raw, size = self.raw[k], self.size[k]
+            ends, flat = np.array(self.ends[k], np.int64), np.frombuffer(self.flat[k], np.int32) if len(self.flat[k]) else np.zeros(0, np.int32)
+            n = ends[code + 1] - ends[code]
+            starts = np.concatenate([[0], np.cumsum(n)])
+            ids = flat[np.repeat(ends[code] - starts[:-1], n) + np.arange(starts[-1])].astype(np.int64)
+            del flat  # the array can grow again
+            at = starts[in_text]
             found.append((ids, at, np.concatenate([[0], np.cumsum(size[ids])])[at], b"".join(raw[ids].tolist())))
         want = [b" " + t.encode("utf-8") if t else b"" for t in texts]
         ends = np.concatenate([[0], np.cumsum([len(w) for w in want])])
@@ -229,7 +296,7 @@ def align_tokens(docs: DataFrame, tokenizers: Tokenizers, text_col: str = "text"
 
     * A text that is NULL or empty, or whose tokens of A or B do not give blank + text back, has no tokens: zeros,
       '' and empty lists. Strings of special tokens are plain text.
-    * Long texts are encoded in parts cut where both tokenizers must end a token, and aligned whole.
+    * Texts are encoded in parts cut where both tokenizers must end a token, and aligned whole.
     * Repeated rows are aligned alike; an empty table gives no rows; other columns pass through, and
       columns named like an added one are replaced.
     """

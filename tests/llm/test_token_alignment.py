@@ -104,12 +104,32 @@ def test_diagonals_divide_the_work_equally():
 def test_parts_of_long_texts_encode_like_the_whole(libraries, files):
     assert files.may_cut
     long = " ".join(random_texts(200, 2)).replace("▁", "").replace("\x00", "") + " tail words here" * 50
-    parts = X.parts_of(long, True, most=50)
+    parts = X.parts_of(long, True)
     a, b = libraries
-    assert len(parts) > 20 and " ".join(parts) == long
+    assert len(parts) > 100 and " ".join(parts) == long
     assert [i for p in parts for i in a.encode(" " + p, add_special_tokens=False).ids] == a.encode(" " + long, add_special_tokens=False).ids
     assert [i for p in parts for i in b.encode(p)] == b.encode(long)
-    assert X.parts_of("x" * 1000, True, most=50) == ["x" * 1000] and X.parts_of(long, False, most=50) == [long]
+    assert X.parts_of("x" * 1000, True) == ["x" * 1000] and X.parts_of(long, False) == [long]
+
+
+def test_merge_ranks_give_the_ids_of_the_tokenizer(libraries, files):
+    assert files.a_ranks is not None
+    rnd = random.Random(3)
+    bits = ["the", "The", " ", "  ", "\t", "\n", "\r\n", "'s", "'LL", "n't", "12", "3456", "...", "!?", "_x", "ization", "zzzz", "<|endoftext|>", "a" * 40, "{", "==", "é", "Ärger", "ñ", "ǅ", "ßœ", "ə"]
+    parts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(0, 12))) for _ in range(3000)] + ["é", "漢字 and", "\x1c\x0b", "x" * 5000]
+    aligner = X.Aligner(files)
+    assert aligner.encode_a(parts) == [libraries[0].encode(" " + p, add_special_tokens=False).ids for p in parts]
+
+
+def test_forgetting_and_small_steps_change_nothing(files, monkeypatch):
+    texts = [t or "" for t in TEXTS] + random_texts(80, 7)
+    whole = X.Aligner(files).align_texts(texts)
+    monkeypatch.setattr(X, "REMEMBERED", 5)
+    monkeypatch.setattr(X, "PART_CHARS", 30)
+    aligner = X.Aligner(files)
+    each = [aligner.align_texts([t]) for t in texts]
+    assert [r["groups"][0] for r in each] == whole["groups"]
+    assert np.concatenate([r["n_links"] for r in each]).tolist() == whole["n_links"].tolist()
 
 
 def test_very_long_text_and_empty_table(docs_of, files):
