@@ -220,3 +220,14 @@ def reason_strength(ratio) -> Column:
         .when(r > F.lit(specs.STRENGTH_MODERATE_ABOVE), F.lit("moderately"))
         .otherwise(F.lit("slightly"))
     )
+
+
+def keyed_normal(key: Column, name: str, seed: int) -> Column:
+    """Standard normal number of (key, name, seed): two 32-bit numbers of an MD5, turned by Box-Muller.
+
+    It depends on nothing else, so partitioning, order and retries do not change it, and any SQL engine can repeat it.
+    """
+    digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(name), F.lit(str(seed))).cast("binary"))
+    number = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("double")
+    u1, u2 = (number(1) + F.lit(1.0)) / F.lit(2.0 ** 32), number(9) / F.lit(2.0 ** 32)
+    return F.sqrt(F.lit(-2.0) * F.ln(u1)) * F.cos(F.lit(6.283185307179586) * u2)

@@ -1,13 +1,14 @@
 """Feature pipeline: fit on train, transform every split.
 
 Fitting is one aggregate job on the train split that yields a small **stats
-frame** (one row per numeric feature, one row per category level); transforms
-attach it by joining on the feature name (broadcast: bounded by the number of
-features and levels). Two output forms:
-
-* long (``key, name, value``), fully lazy: the sparse matrix as rows;
-* wide (``num__x``, ``cat__c_v`` columns): the column list is the fitted
-  vocabulary, which is read once to define the projection (schema-sized).
+frame** (one row per numeric feature, one row per category level). Three output forms:
+
+* sparse (``features`` vector), for learners: positions come from a stored
+  (feature, category) -> position table, joined per column; the vocabulary never
+  reaches the driver, whatever its size;
+* long (``key, name, value``), fully lazy: the same matrix as rows;
+* wide (``num__x``, ``cat__c_v`` columns), for small vocabularies: the column
+  list is the fitted vocabulary, read once to define the projection.
 """
 
 from __future__ import annotations
@@ -133,6 +134,64 @@ def transform_wide(df: DataFrame, stats: DataFrame, keep, numeric, categorical,
     return df.select(*cols)
 
 
+def feature_index(stats: DataFrame, numeric) -> DataFrame:
+    """(position, feature, category, name, level, n_levels): places of the sparse form's columns, stored like the stats.
+
+    Numerics come first in their given order, then the levels by (feature, category). A level's number within its feature is
+    a two-level running count, so no task ranks a whole vocabulary; only the (few) features are ranked in one window.
+    """
+    spark = stats.sparkSession
+    numeric = list(numeric)
+    nums = spark.createDataFrame([(i, c) for i, c in enumerate(numeric)], "position long, feature string")
+    nums = nums.select("position", "feature", F.lit(None).cast("string").alias("category"), F.lit(None).cast("long").alias("level"), F.lit(1).cast("long").alias("n_levels"))
+    levels = stats.filter(F.col("kind") == "cat").select("feature", "category").withColumn("one", F.lit(1))
+    ranked = running_sums(levels, "category", ["one"], ["feature"], total_prefix="all_")
+    sizes = levels.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))  # one row per feature
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("feature").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("feature", (before + F.lit(len(numeric))).alias("offset"))
+    cats = ranked.join(F.broadcast(offsets), "feature").select(
+        (F.col("offset") + F.col("cum_one") - 1).alias("position"), "feature", "category", (F.col("cum_one") - 1).cast("long").alias("level"),
+        F.col("all_one").cast("long").alias("n_levels"))
+    name = F.when(F.col("category").isNull(), F.concat(F.lit("num__"), "feature")).otherwise(F.concat(F.lit("cat__"), "feature", F.lit("_"), "category"))
+    return cut_lineage(nums.unionByName(cats).withColumn("name", name))
+
+
+def transform_sparse(df: DataFrame, stats: DataFrame, index: DataFrame, keep, numeric, categorical, out: str = "features") -> DataFrame:
+    """M5 sparse form: ``keep`` plus one vector, standardised numerics first, then one entry for each known level.
+
+    A category of ``df`` finds its level by a join per column (broadcast only where Spark measures the vocabulary as small, else
+    a shuffle with AQE's skew handling); an unknown one has no entry. Encoding and assembly are ML stages on the executors.
+    """
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+
+    entries = {r.feature: r for r in stats.filter(F.col("kind") == "num").collect()}  # one row per numeric feature
+    sizes = {r.feature: r.n for r in index.filter(F.col("category").isNotNull()).groupBy("feature").agg(F.max("n_levels").alias("n")).collect()}
+    categorical = [c for c in sorted(categorical) if c in sizes]
+    nums = [((F.coalesce(F.col(c).cast("double"), F.lit(entries[c].median)) - F.lit(entries[c]["mean"])) / F.lit(entries[c].std)).alias(f"__n{i}")
+            for i, c in enumerate(numeric)]
+    cats = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(f"__c{i}") for i, c in enumerate(categorical)]
+    rows = df.select(*keep, *nums, *cats)
+    for i, c in enumerate(categorical):
+        levels = index.filter((F.col("feature") == c) & F.col("category").isNotNull()).select(F.col("category").alias(f"__c{i}"), F.col("level").alias("__level"))
+        # the number after the last level stands for an unknown category
+        rows = rows.join(levels, f"__c{i}", "left").withColumn(f"__l{i}", F.coalesce(F.col("__level"), F.lit(sizes[c])).cast("double")).drop("__level")
+    parts = [f"__n{i}" for i in range(len(numeric))]
+    if categorical:
+        places, parts = [f"__l{i}" for i in range(len(categorical))], parts + [f"__v{i}" for i in range(len(categorical))]
+        last = df.sparkSession.createDataFrame([tuple(float(sizes[c] - 1) for c in categorical)], places)
+        encoder = OneHotEncoder(inputCols=places, outputCols=parts[len(numeric):], handleInvalid="keep", dropLast=True)  # "keep": beyond the last is all zeros
+        rows = encoder.fit(last).transform(rows)
+    return VectorAssembler(inputCols=parts, outputCol=out, handleInvalid="keep").transform(rows).select(*keep, out)
+
+
+def sparse_cells(matrix: DataFrame, keep, vector: str = "features") -> DataFrame:
+    """``keep`` plus (position, value) of a vector column's entries other than 0, whether it is stored sparse or dense."""
+    v = F.unwrap_udt(vector)
+    places = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    cells = F.filter(F.arrays_zip(places.alias("position"), v["values"].alias("value")), lambda x: x["value"] != 0)
+    return matrix.select(*keep, F.inline(cells))
+
+
 def ordinal(df: DataFrame, col: str, order, name: str | None = None) -> DataFrame:
     """M6: position in the given order (0-based); an unknown non-null value raises."""
     pos = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(col))

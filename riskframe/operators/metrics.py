@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe import specs
+from riskframe.functions.exprs import keyed_normal
 from riskframe.operators.binning import equal_width_right_closed
 from riskframe.operators.windowing import running_sums
 from riskframe.specs import CostSpec
@@ -352,3 +353,25 @@ def label_bias(naive: DataFrame, full: DataFrame, date: str = "issue_d", target:
     a = naive.groupBy(F.trunc(F.col(date), "month").alias("month")).agg(F.avg(_y(target).cast("double")).alias("naive_rate"))
     b = full.groupBy(F.trunc(F.col(date), "month").alias("month")).agg(F.avg(_y(target).cast("double")).alias("window_rate"))
     return a.join(b, "month", "full_outer")
+
+
+def perturbation_robustness(df: DataFrame, cols, key: str, score, sigmas, y: str = "target", seed: int = 42) -> DataFrame:
+    """(sigma, pr_auc, delta_pr_auc) with every column multiplied by 1 + sigma * N(0, 1), noise keyed by (key, column, seed).
+
+    ``score(rows)`` keeps ``sigma`` and ``y`` and adds ``p``. All strengths, and the unperturbed rows (sigma 0), are one job.
+    """
+    noise = df.withColumns({f"__z_{c}": keyed_normal(F.col(key), c, seed) for c in cols})
+    each = noise.withColumn("sigma", F.explode(F.array(*[F.lit(float(s)) for s in [0.0, *sigmas]])))
+    noisy = each.withColumns({c: F.col(c) * (F.lit(1.0) + F.col("sigma") * F.col(f"__z_{c}")) for c in cols}).drop(*[f"__z_{c}" for c in cols])
+    ap = average_precision(score(noisy), y, "p", ["sigma"])  # one row per strength
+    plain = F.max(F.when(F.col("sigma") == 0, F.col("pr_auc"))).over(Window.partitionBy(F.lit(0)))
+    return ap.select("sigma", "pr_auc", (F.col("pr_auc") - plain).alias("delta_pr_auc")).filter(F.col("sigma") != 0)
+
+
+def directional_expectation(df: DataFrame, col: str, delta: float, score) -> DataFrame:
+    """(feature, delta, n, mean_change_p, share_up) when ``col`` is raised by ``delta``; ``score(rows)`` keeps ``moved`` and ``id`` and adds ``p``."""
+    each = df.withColumn("moved", F.explode(F.array(F.lit(0), F.lit(1))))
+    moved = each.withColumn(col, F.col(col) + F.when(F.col("moved") == 1, F.lit(float(delta))).otherwise(F.lit(0.0)))
+    pairs = score(moved).groupBy("id").agg(F.max(F.when(F.col("moved") == 0, F.col("p"))).alias("p0"), F.max(F.when(F.col("moved") == 1, F.col("p"))).alias("p1"))
+    return pairs.agg(F.lit(col).alias("feature"), F.lit(float(delta)).alias("delta"), F.count(F.lit(1)).alias("n"),
+                     F.avg(F.col("p1") - F.col("p0")).alias("mean_change_p"), F.avg((F.col("p1") >= F.col("p0")).cast("double")).alias("share_up"))

@@ -77,6 +77,9 @@ def scorecard_scores(rows: DataFrame, base: float = 0.0, with_contributions: boo
 
 
 def assemble(df: DataFrame, features, out: str = "features") -> DataFrame:
+    """``features``: columns to put into one vector, or the name of a vector column (the sparse form of ``features.transform_sparse``)."""
+    if isinstance(features, str):
+        return df if features == out else df.withColumn(out, F.col(features))
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
 
 
@@ -120,9 +123,10 @@ def fit_gbt(df: DataFrame, features, y: str = "target", iters: int = 50, depth:
 
 def fit_mlp(df: DataFrame, features, y: str = "target", hidden=(128, 64), epochs: int = 30, block: int = 2048, seed: int = 42):
     """L4: multilayer perceptron [d, 128, 64, 2] (sigmoid hidden units)."""
-    layers = [len(features), *hidden, 2]
+    data = assemble(df, features)
+    layers = [data.select("features").head()["features"].size if isinstance(features, str) else len(features), *hidden, 2]
     mlp = MultilayerPerceptronClassifier(featuresCol="features", labelCol=y, layers=layers, maxIter=epochs, blockSize=block, seed=seed)
-    return mlp.fit(assemble(df, features).withColumn(y, F.col(y).cast("double")))
+    return mlp.fit(data.withColumn(y, F.col(y).cast("double")))
 
 
 def score(df: DataFrame, model, features, t: float = 0.5, prob: str = "p") -> DataFrame:
@@ -133,7 +137,7 @@ def score(df: DataFrame, model, features, t: float = 0.5, prob: str = "p") -> Da
 
 
 def lr_contributions(df: DataFrame, model, features, means: DataFrame, key: str) -> DataFrame:
-    """L7 (linear model): coef_f * (x_f - mean_f) per row in margin space, long form.
+    """L7 (linear model) on single columns: coef_f * (x_f - mean_f) per row in margin space, long form.
 
     ``means`` is (feature, mean) of the training matrix; the coefficient table
     (one row per feature) is broadcast.
@@ -145,15 +149,23 @@ def lr_contributions(df: DataFrame, model, features, means: DataFrame, key: str)
     return j.select(F.col(key).alias("id"), "feature", (F.col("coef") * (F.col("value") - F.col("mean"))).alias("value"))
 
 
-def odds_ratios(model, features, k: int = 10) -> DataFrame:
-    """exp(coef) of the k largest and k smallest coefficients (coefficient table = one row per feature)."""
+def coefficients(model, features, index: DataFrame | None = None) -> DataFrame:
+    """(feature, coef) of a linear model; for the sparse form the names come from its ``index`` (joined by position)."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
-    rows = [(f, float(c)) for f, c in zip(features, model.coefficients.toArray())]
-    df = spark.createDataFrame(rows, "feature string, coef double").withColumn("odds_ratio", F.exp("coef"))
-    top = df.orderBy(F.desc("coef")).limit(k).withColumn("side", F.lit("top"))
-    bottom = df.orderBy(F.asc("coef")).limit(k).withColumn("side", F.lit("bottom"))
+    coefs = [float(c) for c in model.coefficients.toArray()]
+    if index is None:
+        return spark.createDataFrame(list(zip(features, coefs)), "feature string, coef double")
+    at = spark.createDataFrame(list(enumerate(coefs)), "position long, coef double")
+    return at.join(index.select("position", F.col("name").alias("feature")), "position").select("feature", "coef")
+
+
+def odds_ratios(model, features, k: int = 10, index: DataFrame | None = None) -> DataFrame:
+    """exp(coef) of the k largest and k smallest coefficients (coefficient table = one row per feature)."""
+    df = coefficients(model, features, index).withColumn("odds_ratio", F.exp("coef"))
+    top = df.orderBy(F.desc("coef"), "feature").limit(k).withColumn("side", F.lit("top"))
+    bottom = df.orderBy(F.asc("coef"), "feature").limit(k).withColumn("side", F.lit("bottom"))
     return top.unionByName(bottom)
 
 
@@ -201,5 +213,7 @@ def search(train: DataFrame, folds: DataFrame, features, y: str, candidates, key
 
 
 def savable_model(features, estimator) -> Pipeline:
-    """A savable pipeline (assembler + estimator) for S16/L11 model storage."""
+    """A savable pipeline (assembler, unless the features are one vector already, and estimator) for S16/L11 model storage."""
+    if isinstance(features, str):
+        return Pipeline(stages=[estimator])
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep"), estimator])

@@ -77,12 +77,25 @@ def q_transform_long(spark, sf):
     return r6(M.transform_long(df, stats, "loan_id", NUM, CAT))
 
 
-@register("M5_transform_matrix")
-def q_transform_wide(spark, sf):
-    """Wide matrix for every split (column list = fitted vocabulary; rows-only check)."""
-    df = B.labelled(spark, sf)
+_POSITIONS = " UNION ALL ".join(f"SELECT 'num__{c}' AS name, CAST({i} AS BIGINT) AS position" for i, c in enumerate(NUM)) + f"""
+UNION ALL SELECT 'cat__' || feature || '_' || category, {len(NUM)} + row_number() OVER (ORDER BY feature, category) - 1 FROM voc"""
+
+
+MATRIX_SQL = oracle(f"SELECT c.loan_id, p.position, c.value FROM ({_LONG_SQL}) c JOIN pos p USING (name) WHERE abs(c.value) >= 0.0000005", "labelled",
+                    extra={"tr": TRAIN, "med": _MED, "sc": _SCALER, "voc": _VOCAB, "pos": _POSITIONS})
+
+
+def matrix_cells(matrix):
+    """(loan_id, position, value): the cells of a sparse matrix that are not 0 at the result's 6 places."""
+    cells = r6(M.sparse_cells(matrix, ["loan_id"]))
+    return cells.select("loan_id", F.col("position").cast("long").alias("position"), "value").filter(F.abs("value") >= 0.0000005)
+
+
+@register("M5_transform_matrix", MATRIX_SQL)
+def q_transform_matrix(spark, sf):
+    """The sparse matrix of every split, as its cells."""
     stats = M.fit(_train(spark, sf), NUM, CAT)
-    return M.transform_wide(df, stats, ["loan_id", "split", "target"], NUM, CAT)
+    return matrix_cells(M.transform_sparse(B.labelled(spark, sf), stats, M.feature_index(stats, NUM), ["loan_id"], NUM, CAT))
 
 
 @register(

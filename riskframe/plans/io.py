@@ -14,9 +14,11 @@ from riskframe.operators import drift as D
 from riskframe.operators import profile as A
 from riskframe.plans.common import r6
 from riskframe.plans.drift import CAT, LIVE_CAT, LIVE_NUM, NUM, _REF, _VALTEST, _valtest_report, reference_profile, report_sql
+from riskframe.plans.features import MATRIX_SQL, matrix_cells
 from riskframe.plans.profile import _CUT_STATS, _CUT_VALS
 from riskframe.plans.profile import NUM as PROFILE_NUM
 from riskframe.plans.registry import register
+from riskframe.session import cut_lineage
 from riskframe.sources import bindings as B
 from riskframe.sources import io as IO
 from riskframe.sources.bindings import oracle
@@ -51,25 +53,25 @@ def q_csv(spark, sf):
 @register("S3_S4_S5_build_and_load_splits", oracle("SELECT loan_id, split FROM labelled", "labelled"))
 def q_build_load(spark, sf):
     path = scratch(spark, "dataset")
-    train, val, test, receipt = IO.build_dataset(spark, lambda: B.build_labelled(spark, sf), path)
+    checks = {"target is 0 or 1": F.col("target").isin(0, 1), "loan_id is known": F.col("loan_id").isNotNull()}
+    train, val, test, receipt = IO.build_dataset(spark, lambda: B.build_labelled(spark, sf), path, checks=checks)
     # second call finds every output and skips the build
     again = IO.build_dataset(spark, lambda: B.build_labelled(spark, sf), path)
     assert again[3].count() == receipt.count()
     return train.unionByName(val).unionByName(test).select("loan_id", "split")
 
 
-@register("S6_feature_matrix_store")
+@register("S6_feature_matrix_store", MATRIX_SQL)
 def q_features_store(spark, sf):
-    """Matrix and fitted stats written as Parquet and read back (rows-only)."""
+    """Sparse matrix and fitted stats published together, read back and unpacked to cells."""
     from riskframe.operators import features as M
 
     lab = B.labelled(spark, sf)
     stats = M.fit(lab.filter(F.col("split") == "train"), NUM, CAT)
-    matrix = M.transform_wide(lab, stats, ["loan_id", "split", "target"], NUM, CAT)
+    matrix = M.transform_sparse(lab, stats, M.feature_index(stats, NUM), ["loan_id", "split", "target"], NUM, CAT)
     path = scratch(spark, "features")
     IO.write_features(matrix, stats, path)
-    m, _s = IO.load_features(spark, path)
-    return m
+    return matrix_cells(IO.load_features(spark, path)[0])
 
 
 @register("S7_report_csv", report_sql(_REF, _VALTEST, NUM, CAT))
@@ -95,9 +97,10 @@ def q_append_log(spark, sf):
     logs = B.prediction_logs(spark, sf).withColumn("reason_codes", reasons)
     path = scratch(spark, "log-table")
     spec = [*_LOG_COLS, "reason_codes"]
-    IO.append_log(logs.filter(F.col("request_id") % 2 == 0), path, spec)
-    IO.append_log(logs.filter(F.col("request_id") % 2 == 1), path, spec)
-    back = spark.read.parquet(path)
+    IO.append_log(logs.filter(F.col("request_id") % 2 == 0), path, spec, "even")
+    for _ in range(2):  # the second run is repeated, as after a failure
+        IO.append_log(logs.filter(F.col("request_id") % 2 == 1), path, spec, "odd")
+    back = IO.read_runs(spark, path)
     if back.columns != [*spec, "log_date"]:
         raise ValueError("the log table has lost its column order")
     return r6(back.select("request_id", "logged_at", "issue_d", "loan_amnt", "annual_inc", "dti", "term", "purpose", "addr_state", "pred",
@@ -112,12 +115,13 @@ def q_append_log(spark, sf):
   (SELECT count(*) FROM logs) AS live_size, TIMESTAMP '2024-01-31 00:00:00' AS computed_at FROM rep"""),
 )
 def q_snapshot(spark, sf):
-    ref = B.labelled(spark, sf).filter(F.col("split") == "train")
-    live = B.prediction_logs(spark, sf)
-    rep = D.drift_report(ref, live, LIVE_NUM, LIVE_CAT, "live")
+    profile = reference_profile(spark, sf).of(LIVE_NUM, LIVE_CAT)
+    counts = cut_lineage(profile.counts(B.prediction_logs(spark, sf)).withColumn("target_label", F.lit("live")))  # the log is read once
     path = scratch(spark, "snapshots")
-    IO.append_snapshot(rep, path, datetime(2024, 1, 31), ref.agg(F.count(F.lit(1))).scalar(), live.agg(F.count(F.lit(1))).scalar())
-    back = spark.read.parquet(path).drop("snapshot_date")
+    sizes = [F.lit(D.population(c)) for c in (profile.buckets, counts)]
+    for _ in range(2):  # a repeated run replaces its rows
+        IO.append_snapshot(D.report_of_counts(profile, counts), path, datetime(2024, 1, 31), *sizes)
+    back = IO.read_runs(spark, path).drop("snapshot_date")
     return r6(back)
 
 

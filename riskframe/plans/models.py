@@ -19,8 +19,10 @@ from riskframe.operators import runs as RUNS
 from riskframe.plans.common import r6
 from riskframe.plans.evaluation import _GRID, rank_sql, thr_sql
 from riskframe.plans.registry import register
+from riskframe.plans.relational import _CARD_CTES
 from riskframe.session import checkpoint_dir
 from riskframe.sources import bindings as B
+from riskframe.sources import versions as V
 from riskframe.sources.bindings import oracle
 from riskframe.specs import CostSpec
 
@@ -29,58 +31,60 @@ CAT = list(B.LOAN_ROLES.categorical)
 RUN_METRICS = ["roc_auc", "pr_auc", "brier", "precision", "recall"]
 
 
-def matrix(spark, sf, df=None):
-    """Wide feature matrix of every split (stats fit on train) and its feature columns."""
+FEATURES = "features"  # the sparse form's vector column
+
+
+def matrix(spark, sf, df=None, keep=("loan_id", "split", "target")):
+    """Sparse feature matrix of every split (stats fit on train), the vector column's name, and the index of its positions."""
     lab = B.labelled(spark, sf)
     stats = M.fit(lab.filter(F.col("split") == "train"), NUM, CAT)
-    wide = M.transform_wide(df if df is not None else lab, stats, ["loan_id", "split", "target"], NUM, CAT)
-    feats = [c for c in wide.columns if c.startswith(("num__", "cat__"))]
-    return wide, feats
+    index = M.feature_index(stats, NUM)
+    return M.transform_sparse(df if df is not None else lab, stats, index, list(keep), NUM, CAT), FEATURES, index
 
 
 def _fit_lr(spark, sf):
-    wide, feats = matrix(spark, sf)
-    model = L.fit_lr(wide.filter(F.col("split") == "train"), feats, "target", c=1.0)
-    return wide, feats, model
+    rows, feats, index = matrix(spark, sf)
+    model = L.fit_lr(rows.filter(F.col("split") == "train"), feats, "target", c=1.0)
+    return rows, feats, model, index
 
 
 @register("L1_L6_logistic_regression_scores")
 def q_lr(spark, sf):
-    wide, feats, model = _fit_lr(spark, sf)
+    wide, feats, model, _ = _fit_lr(spark, sf)
     return L.score(wide.filter(F.col("split") == "test"), model, feats, 0.5).select("loan_id", "split", "target", "p", "pred")
 
 
 @register("L1_balanced_lr_metrics")
 def q_lr_balanced(spark, sf):
-    wide, feats = matrix(spark, sf)
+    wide, feats, index = matrix(spark, sf)
     model = L.fit_lr(wide.filter(F.col("split") == "train"), feats, "target", balanced=True)
     return E.ranking_metrics(L.score(wide, model, feats), "target", "p", ["split"])
 
 
 @register("L2_random_forest_metrics")
 def q_rf(spark, sf):
-    wide, feats = matrix(spark, sf)
+    wide, feats, index = matrix(spark, sf)
     model = L.fit_rf(wide.filter(F.col("split") == "train"), feats, "target", trees=100, depth=10, seed=42)
     return E.ranking_metrics(L.score(wide, model, feats), "target", "p", ["split"])
 
 
 @register("L3_gradient_boosting_metrics")
 def q_gbt(spark, sf):
-    wide, feats = matrix(spark, sf)
+    wide, feats, index = matrix(spark, sf)
     model = L.fit_gbt(wide.filter(F.col("split") == "train"), feats, "target", iters=50, depth=5, step=0.1)
     return E.ranking_metrics(L.score(wide, model, feats), "target", "p", ["split"])
 
 
 @register("L4_mlp_metrics")
 def q_mlp(spark, sf):
-    wide, feats = matrix(spark, sf)
+    wide, feats, index = matrix(spark, sf)
     model = L.fit_mlp(wide.filter(F.col("split") == "train"), feats, "target", hidden=(128, 64), epochs=30)
     return E.ranking_metrics(L.score(wide, model, feats), "target", "p", ["split"])
 
 
 @register("L5_time_fold_search")
 def q_search(spark, sf):
-    wide, feats = matrix(spark, sf)
+    wide, feats, index = matrix(spark, sf)
     lab = B.labelled(spark, sf).filter(F.col("split") == "train")
     train = wide.filter(F.col("split") == "train").join(lab.select("loan_id", "issue_d"), "loan_id")
     folds = R.time_folds(lab.select("loan_id", "issue_d"), "issue_d", "loan_id", 5).select("loan_id", "fold", "part")
@@ -89,13 +93,13 @@ def q_search(spark, sf):
 
 @register("L9_odds_ratios")
 def q_odds(spark, sf):
-    _wide, feats, model = _fit_lr(spark, sf)
-    return L.odds_ratios(model, feats, 10)
+    _rows, feats, model, index = _fit_lr(spark, sf)
+    return L.odds_ratios(model, feats, 10, index)
 
 
 @register("L10_ensemble_evaluation")
 def q_ensemble(spark, sf):
-    wide, feats = matrix(spark, sf)
+    wide, feats, index = matrix(spark, sf)
     tr = wide.filter(F.col("split") == "train")
     lr = L.fit_lr(tr, feats, "target")
     gbt = L.fit_gbt(tr, feats, "target", iters=30, depth=4)
@@ -105,37 +109,48 @@ def q_ensemble(spark, sf):
     return E.evaluate(ens, "target", "p", "split", CostSpec(), "val")
 
 
-@register("E22_perturbation_robustness")
+def _scorer(spark, sf, *kept):
+    """Rows -> (id, kept columns, p) by the scorecard fitted on train."""
+    card = L.fit_scorecard(B.labelled(spark, sf).filter(F.col("split") == "train"), NUM)
+
+    def score(rows):
+        keyed = rows.withColumn("__id", F.struct(F.col("loan_id").alias("id"), *kept))
+        return L.scorecard_scores(L.scorecard_rows(keyed, card, "__id", NUM)).select("id.*", "p")
+
+    return score
+
+
+def _z_sql(c: str, seed: int) -> str:
+    m = f"md5(concat_ws('|', CAST(loan_id AS VARCHAR), '{c}', '{seed}'))"
+    h = lambda at: f"CAST(CAST(concat('0x', substr({m}, {at}, 8)) AS BIGINT) AS DOUBLE)"
+    return f"sqrt(-2.0 * ln(({h(1)} + 1.0) / 4294967296.0)) * cos(6.283185307179586::DOUBLE * ({h(9)} / 4294967296.0))"
+
+
+_SIGMAS = (0.02, 0.05, 0.10)
+_CARD_ONLY = {k: _CARD_CTES[k] for k in ("tr", "te", "med", "card")}
+_MARGIN = " + ".join(f"(SELECT c.weight * (coalesce(CAST(x.{c} AS DOUBLE), c.median) - c.mean) / c.std FROM card c WHERE c.feature = '{c}')" for c in NUM)
+_NOISY = "SELECT loan_id, target, s.sigma, " + ", ".join(f"CAST({c} AS DOUBLE) * (1.0 + s.sigma * ({_z_sql(c, 42)})) AS {c}" for c in NUM) + \
+    " FROM te, (VALUES (0.0::DOUBLE), " + ", ".join(f"({x}::DOUBLE)" for x in _SIGMAS) + ") s(sigma)"
+
+
+@register("E22_perturbation_robustness", oracle(
+    "SELECT sigma, round(pr_auc, 6) AS pr_auc, round(pr_auc - (SELECT pr_auc FROM ap WHERE sigma = 0), 6) AS delta_pr_auc FROM ap WHERE sigma <> 0",
+    "labelled", extra={**_CARD_ONLY, "noisy": _NOISY, "ps": f"SELECT sigma, target, 1 / (1 + exp(-({_MARGIN}))) AS p FROM noisy x",
+                       "ap": """SELECT sigma, sum(CAST(pos AS DOUBLE) / tot * cp / (cp + cn)) AS pr_auc FROM (
+  SELECT *, sum(pos) OVER (PARTITION BY sigma ORDER BY p DESC) AS cp, sum(neg) OVER (PARTITION BY sigma ORDER BY p DESC) AS cn, sum(pos) OVER (PARTITION BY sigma) AS tot
+  FROM (SELECT sigma, p, sum(target) AS pos, count(*) - sum(target) AS neg FROM ps GROUP BY sigma, p) h) c GROUP BY sigma"""}))
 def q_perturb(spark, sf):
-    lab = B.labelled(spark, sf)
-    stats = M.fit(lab.filter(F.col("split") == "train"), NUM, CAT)
-    wide = M.transform_wide(lab, stats, ["loan_id", "split", "target"], NUM, CAT)
-    feats = [c for c in wide.columns if c.startswith(("num__", "cat__"))]
-    model = L.fit_lr(wide.filter(F.col("split") == "train"), feats, "target")
-    test = lab.filter(F.col("split") == "test")
-    base = E.average_precision(L.score(M.transform_wide(test, stats, ["loan_id", "target"], NUM, CAT), model, feats), "target", "p")
-    out = None
-    for sigma in (0.02, 0.05, 0.10):
-        noisy = test.withColumns({c: F.col(c) * (F.lit(1.0) + F.lit(sigma) * F.randn(11 + i)) for i, c in enumerate(NUM)})
-        ap = E.average_precision(L.score(M.transform_wide(noisy, stats, ["loan_id", "target"], NUM, CAT), model, feats), "target", "p")
-        row = ap.select(F.lit(sigma).alias("sigma"), (F.col("pr_auc") - base.select("pr_auc").scalar()).alias("delta_pr_auc"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-@register("E23_directional_expectation")
+    test = B.labelled(spark, sf).filter(F.col("split") == "test")
+    return r6(E.perturbation_robustness(test, NUM, "loan_id", _scorer(spark, sf, "target", "sigma"), _SIGMAS))
+
+
+@register("E23_directional_expectation", oracle(
+    "SELECT 'dti' AS feature, 5.0::DOUBLE AS delta, count(*) AS n, round(avg(p1 - p0), 6) AS mean_change_p, round(avg(CAST(p1 >= p0 AS INTEGER)), 6) AS share_up FROM ps",
+    "labelled", extra={**_CARD_ONLY, "ps": f"""SELECT 1 / (1 + exp(-({_MARGIN}))) AS p0,
+  1 / (1 + exp(-({_MARGIN.replace("CAST(x.dti AS DOUBLE)", "CAST(x.dti AS DOUBLE) + 5.0")}))) AS p1 FROM te x"""}))
 def q_directional(spark, sf):
-    lab = B.labelled(spark, sf)
-    stats = M.fit(lab.filter(F.col("split") == "train"), NUM, CAT)
-    wide = M.transform_wide(lab, stats, ["loan_id", "split", "target"], NUM, CAT)
-    feats = [c for c in wide.columns if c.startswith(("num__", "cat__"))]
-    model = L.fit_lr(wide.filter(F.col("split") == "train"), feats, "target")
-    test = lab.filter(F.col("split") == "test")
-    before = L.score(M.transform_wide(test, stats, ["loan_id"], NUM, CAT), model, feats).select("loan_id", F.col("p").alias("p0"))
-    bumped = test.withColumn("dti", F.col("dti") + F.lit(5.0))
-    after = L.score(M.transform_wide(bumped, stats, ["loan_id"], NUM, CAT), model, feats).select("loan_id", F.col("p").alias("p1"))
-    return before.join(after, "loan_id").agg(F.lit("dti").alias("feature"), F.lit(5.0).alias("delta"),
-                                               F.avg(F.col("p1") - F.col("p0")).alias("mean_change_p"))
+    test = B.labelled(spark, sf).filter(F.col("split") == "test")
+    return r6(E.directional_expectation(test, "dti", 5.0, _scorer(spark, sf, "moved")))
 
 
 # ---------------------------------------------------------------- run registry on the two deterministic scores
@@ -222,30 +237,31 @@ def q_metrics_json(spark, sf):
 
 @register("L11_S16_model_registry")
 def q_registry(spark, sf):
-    """Fit two versions, save them as pipelines in the shared folder, register, promote by val PR-AUC, resolve and score."""
-    wide, feats = matrix(spark, sf)
-    tr = wide.filter(F.col("split") == "train")
-    base = f"{checkpoint_dir(spark).rstrip('/')}/riskframe-models"
-    entries = []
-    for i, c in enumerate((0.1, 1.0)):
-        from pyspark.ml.classification import LogisticRegression
-
-        n = tr.count()
+    """Fit two models, publish each as a new version in the shared folder, register, promote by val PR-AUC, resolve and score.
+
+    A version's folder is never written again, and the alias moves only from the version it was seen at.
+    """
+    from pyspark.ml.classification import LogisticRegression
+
+    rows, feats, _ = matrix(spark, sf)
+    tr = rows.filter(F.col("split") == "train").withColumn("target", F.col("target").cast("double"))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/riskframe-models/credit_lr"
+    _, champion_before = V.alias_state(spark, root, "champion")
+    n, entries = tr.count(), []
+    for c in (0.1, 1.0):
         est = LogisticRegression(featuresCol="features", labelCol="target", regParam=1.0 / (c * n), standardization=False)
-        model = L.savable_model(feats, est).fit(tr.withColumn("target", F.col("target").cast("double")))
-        path = f"{base}/lr-c{c}"
-        model.write().overwrite().save(path)
-        val = model.transform(wide.filter(F.col("split") == "val")).withColumn(
-            "p", F.element_at(vector_to_array(F.col("probability")), 2))
+        model = L.savable_model(feats, est).fit(tr)
+        version = V.publish(spark, root, lambda folder, m=model: m.write().save(f"{folder}/model"))
+        val = model.transform(rows.filter(F.col("split") == "val")).withColumn("p", vector_to_array(F.col("probability"))[1])
         ap = E.average_precision(val, "target", "p").select("pr_auc").first()[0]
-        entries.append(("credit_lr", path, float(ap), i))
-    reg = RUNS.register_models(spark.createDataFrame(entries, "name string, path string, metric double, registered_at int"))
-    reg = RUNS.promote(reg, "metric", "champion")
-    row = RUNS.resolve_model(reg, "credit_lr", "champion").first()
-    champion = PipelineModel.load(row["path"])
-    scored = champion.transform(wide.filter(F.col("split") == "test")).withColumn(
-        "p", F.element_at(vector_to_array(F.col("probability")), 2))
-    return scored.select("loan_id", "p", F.lit(row["version"]).alias("version"), F.lit(row["path"]).alias("path"))
+        entries.append(("credit_lr", f"{V.folder_of(spark, root, version)}/model", float(ap), version))
+    reg = RUNS.promote(spark.createDataFrame(entries, "name string, path string, metric double, version int"), "metric", "champion")
+    best = RUNS.resolve_model(reg, "credit_lr", "champion").first()
+    V.set_alias(spark, root, "champion", best["version"], expected=champion_before)
+    _, version = V.alias_state(spark, root, "champion")
+    path = f"{V.folder_of(spark, root, version)}/model"
+    scored = PipelineModel.load(path).transform(rows.filter(F.col("split") == "test")).withColumn("p", vector_to_array(F.col("probability"))[1])
+    return scored.select("loan_id", "p", F.lit(version).alias("version"), F.lit(path).alias("path"))
 
 
 @register("L7_tree_contributions_top5")
@@ -253,9 +269,9 @@ def q_tree_contrib(spark, sf):
     """TreeSHAP contributions (log-odds) of a GBT model for test loans, dummies summed to their column, top 5 per loan (rows-only; additivity unit-tested)."""
     from riskframe.operators import treeshap
 
-    wide, feats = matrix(spark, sf)
+    wide, feats, index = matrix(spark, sf)
     model = L.fit_gbt(wide.filter(F.col("split") == "train"), feats, "target", iters=20, depth=4)
-    contrib = treeshap.gbt_contributions(wide.filter(F.col("split") == "test"), model, feats, "loan_id", checkpoint_dir(spark))
+    contrib = treeshap.gbt_contributions(wide.filter(F.col("split") == "test"), model, feats, "loan_id", checkpoint_dir(spark), index)
     summed = treeshap.sum_to_parents(contrib, CAT)
     return R.top_reasons(summed.filter(F.col("feature") != "__base__"), 5)
 
@@ -265,8 +281,8 @@ def q_forest_contrib(spark, sf):
     """Contributions (probability of default) of a random forest for test loans, dummies summed to their column, top 5 per loan."""
     from riskframe.operators import treeshap
 
-    wide, feats = matrix(spark, sf)
+    wide, feats, index = matrix(spark, sf)
     model = L.fit_rf(wide.filter(F.col("split") == "train"), feats, "target", trees=20, depth=6)
-    contrib = treeshap.forest_contributions(wide.filter(F.col("split") == "test"), model, feats, "loan_id", checkpoint_dir(spark))
+    contrib = treeshap.forest_contributions(wide.filter(F.col("split") == "test"), model, feats, "loan_id", checkpoint_dir(spark), index)
     summed = treeshap.sum_to_parents(contrib, CAT)
     return R.top_reasons(summed.filter(F.col("feature") != "__base__"), 5)

@@ -8,11 +8,12 @@ several jobs share are written once to the shared checkpoint folder
 from __future__ import annotations
 
 import hashlib
+import re
 import threading
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -25,7 +26,7 @@ _READERS: dict[tuple[str, str], DataFrame] = {}
 _BUILD_LOCK = threading.RLock()  # a build may itself read a stored table
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """(file system, path) of Hadoop, whatever store the path is in."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -35,7 +36,7 @@ def input_fingerprint(spark: SparkSession, paths) -> str:
     """Digest of the names, sizes and modification times of all files under ``paths``."""
     seen = []
     for path in paths:
-        fs, p = _file_system(spark, path)
+        fs, p = file_system(spark, path)
         files = fs.listFiles(p, True)
         while files.hasNext():
             f = files.next()
@@ -45,13 +46,13 @@ def input_fingerprint(spark: SparkSession, paths) -> str:
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` ended: Spark leaves ``_SUCCESS`` as its last step."""
-    fs, p = _file_system(spark, f"{path}/_SUCCESS")
+    fs, p = file_system(spark, f"{path}/_SUCCESS")
     return fs.exists(p)
 
 
 def finished_parts(spark: SparkSession, path: str, name: str) -> dict[int, str]:
     """{n: folder} of the complete folders ``<name>=<n>`` under ``path``; a missing ``path`` has none."""
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
         return {}
     found = {}
@@ -64,7 +65,7 @@ def finished_parts(spark: SparkSession, path: str, name: str) -> dict[int, str]:
 
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder this program wrote, in whatever store it is."""
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     fs.delete(p, True)
 
 
@@ -128,51 +129,106 @@ def parse_month_dates(df: DataFrame, cols, drop_bad: bool = True) -> DataFrame:
 # ----------------------------------------------------------------- S3 - S6
 
 
-def write_splits(df: DataFrame, path: str, split: str = "split", target: str = "target") -> DataFrame:
-    """S3: one Parquet table partitioned by split, plus a receipt (rows and default rate per split).
+def write_checked(df: DataFrame, path: str, metrics: dict[str, Column], partition_by=None) -> dict[str, object]:
+    """Write ``df`` as Parquet and return aggregates over the written rows, both in one pass (Spark's ``observe``)."""
+    seen = Observation()
+    w = df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite")
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    return seen.get
 
+
+def split_metrics(splits, split: str, target: str, checks: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Aggregates of a build: rows, positives per split, all rows, and the violations of each check (a condition that must hold)."""
+    out = {"rows": F.count(F.lit(1))}
+    for s in splits:
+        inside = F.col(split) == F.lit(s)
+        out[f"rows {s}"] = F.count_if(inside)
+        out[f"bad {s}"] = F.sum(F.when(inside, F.col(target).cast("double")))
+        out[f"known {s}"] = F.count_if(inside & F.col(target).isNotNull())
+    for name, holds in (checks or {}).items():
+        out[f"check {name}"] = F.count_if(~F.coalesce(holds, F.lit(False)))
+    return out
+
+
+class BuildRejected(ValueError):
+    """A build's rows break its checks; nothing was published."""
+
+
+def write_splits(df: DataFrame, path: str, split: str = "split", target: str = "target", splits=("train", "val", "test"),
+                 checks: dict[str, Column] | None = None) -> DataFrame:
+    """S3: publish one Parquet table partitioned by split, plus a receipt (rows and default rate per split), as a new version.
+
+    The receipt and the checks are observed while the table is written, so the build is one pass. A row outside ``splits``
+    or a row that breaks a check rejects the build: the version is not published and readers keep the last one.
     Returns the receipt frame (already written as JSON next to the table).
     """
-    df.write.mode("overwrite").partitionBy(split).parquet(f"{path}/splits")
-    receipt = df.groupBy(split).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col(target)).alias("default_rate"))
-    receipt.coalesce(1).write.mode("overwrite").json(f"{path}/receipt")
-    return df.sparkSession.read.json(f"{path}/receipt")
+    from riskframe.sources.versions import folder_of, publish
+
+    spark = df.sparkSession
+
+    def write(folder: str) -> None:
+        got = write_checked(df, f"{folder}/splits", split_metrics(splits, split, target, checks), split)
+        broken = {n.removeprefix("check "): v for n, v in got.items() if n.startswith("check ") and v}
+        if got["rows"] != sum(got[f"rows {s}"] for s in splits):
+            broken["rows outside the splits"] = got["rows"] - sum(got[f"rows {s}"] for s in splits)
+        if broken:
+            raise BuildRejected(str(broken))
+        rows = [(s, got[f"rows {s}"], got[f"bad {s}"] / got[f"known {s}"] if got[f"known {s}"] else None) for s in splits if got[f"rows {s}"]]
+        spark.createDataFrame(rows, f"{split} string, rows long, default_rate double").coalesce(1).write.json(f"{folder}/receipt")
+
+    return spark.read.json(f"{folder_of(spark, path, publish(spark, path, write))}/receipt")
 
 
 def outputs_exist(spark: SparkSession, outputs: dict[str, str]) -> bool:
-    """True only if every output (path -> format) can be opened."""
+    """True only if every output (path -> format) was written to its end and can be opened."""
     for path, fmt in outputs.items():
         try:
+            if not is_complete(spark, path):
+                return False
             spark.read.format(fmt).load(path).schema  # noqa: B018
         except AnalysisException:
             return False
     return True
 
 
-def build_dataset(spark: SparkSession, build: Callable[[], DataFrame], path: str, force_rebuild: bool = False):
-    """S3 + S4: skip the build when all outputs exist, unless forced."""
-    if not force_rebuild and outputs_exist(spark, {f"{path}/splits": "parquet", f"{path}/receipt": "json"}):
-        return load_splits(spark, path)
-    write_splits(build(), path)
+def build_dataset(spark: SparkSession, build: Callable[[], DataFrame], path: str, force_rebuild: bool = False, checks: dict[str, Column] | None = None):
+    """S3 + S4: skip the build when a version is published and whole, unless forced."""
+    from riskframe.sources.versions import current
+
+    folder = current(spark, path)
+    if force_rebuild or folder is None or not outputs_exist(spark, {f"{folder}/splits": "parquet", f"{folder}/receipt": "json"}):
+        write_splits(build(), path, checks=checks)
     return load_splits(spark, path)
 
 
-def load_splits(spark: SparkSession, path: str, split: str = "split"):
-    """(train, val, test, receipt); all outputs are required (raises if any is missing)."""
-    t = spark.read.parquet(f"{path}/splits")
-    receipt = spark.read.json(f"{path}/receipt")
+def load_splits(spark: SparkSession, path: str, split: str = "split", version: int | None = None):
+    """(train, val, test, receipt) of a published version, the newest by default; raises if there is none."""
+    from riskframe.sources.versions import folder_of
+
+    folder = folder_of(spark, path, version)
+    t = spark.read.parquet(f"{folder}/splits")
+    receipt = spark.read.json(f"{folder}/receipt")
     return (t.filter(F.col(split) == "train"), t.filter(F.col(split) == "val"), t.filter(F.col(split) == "test"), receipt)
 
 
-def write_features(matrix: DataFrame, stats: DataFrame, path: str) -> None:
-    """Feature matrix and fitted stats table, both Parquet."""
-    matrix.write.mode("overwrite").partitionBy("split").parquet(f"{path}/matrix")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
+def write_features(matrix: DataFrame, stats: DataFrame, path: str, partition_by: str | None = "split") -> int:
+    """Feature matrix and fitted stats table, published together; returns the version."""
+    from riskframe.sources.versions import publish
+
+    def write(folder: str) -> None:
+        w = matrix.write
+        (w.partitionBy(partition_by) if partition_by else w).parquet(f"{folder}/matrix")
+        stats.write.parquet(f"{folder}/stats")
+
+    return publish(matrix.sparkSession, path, write)
+
 
+def load_features(spark: SparkSession, path: str, version: int | None = None):
+    """(matrix, stats) of a published version, the newest by default."""
+    from riskframe.sources.versions import folder_of
 
-def load_features(spark: SparkSession, path: str):
-    """(matrix, stats)."""
-    return spark.read.parquet(f"{path}/matrix"), spark.read.parquet(f"{path}/stats")
+    folder = folder_of(spark, path, version)
+    return spark.read.parquet(f"{folder}/matrix"), spark.read.parquet(f"{folder}/stats")
 
 
 # ----------------------------------------------------------------- S7 - S11
@@ -193,18 +249,34 @@ def load_prediction_log(df: DataFrame, nullable_cols=None, date_cols=("issue_d",
     return df.withColumns(fixes)
 
 
-def append_log(df: DataFrame, path: str, spec, partition: str = "log_date", ts: str = "logged_at") -> None:
-    """Append records in the fixed column order of ``spec``, partitioned by log date."""
-    df.select(*spec).withColumn(partition, F.to_date(F.col(ts))).write.mode("append").partitionBy(partition).parquet(path)
+def append_run(df: DataFrame, path: str, run: str, partition_by: str) -> None:
+    """Append rows under a run's key: the run's folder is written whole, so the same run again replaces its rows."""
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", run):
+        raise ValueError("a run's key is made of letters, digits, '.', '_' and '-'")
+    df.write.mode("overwrite").partitionBy(partition_by).parquet(f"{path.rstrip('/')}/run={run}")
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the runs whose write ended, without the run key; raises if there is none."""
+    fs, p = file_system(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    whole = sorted(f"{path.rstrip('/')}/{n}" for n in names if n.startswith("run=") and is_complete(spark, f"{path.rstrip('/')}/{n}"))
+    if not whole:
+        raise FileNotFoundError(f"no finished run under {path}")
+    return spark.read.option("basePath", path).parquet(*whole).drop("run")
+
+
+def append_log(df: DataFrame, path: str, spec, run: str, partition: str = "log_date", ts: str = "logged_at") -> None:
+    """Append records in the fixed column order of ``spec``, partitioned by log date, under the key of the run that logged them."""
+    append_run(df.select(*spec).withColumn(partition, F.to_date(F.col(ts))), path, run, partition)
 
 
-def append_snapshot(report: DataFrame, path: str, as_of, n_ref: Column, n_live: Column) -> None:
-    """Append drift snapshot rows, partitioned by snapshot date."""
-    (report.select("feature", F.col("PSI").alias("psi"), "drift_level", F.col("target_label"),
-                   n_ref.cast("bigint").alias("reference_size"), n_live.cast("bigint").alias("live_size"),
-                   ts_lit(as_of).alias("computed_at"))
-     .withColumn("snapshot_date", F.to_date("computed_at"))
-     .write.mode("append").partitionBy("snapshot_date").parquet(path))
+def append_snapshot(report: DataFrame, path: str, as_of, n_ref: Column, n_live: Column, run: str | None = None) -> None:
+    """Append drift snapshot rows, partitioned by snapshot date; a run's key is its time unless given."""
+    rows = report.select("feature", F.col("PSI").alias("psi"), "drift_level", F.col("target_label"),
+                         n_ref.cast("bigint").alias("reference_size"), n_live.cast("bigint").alias("live_size"),
+                         ts_lit(as_of).alias("computed_at")).withColumn("snapshot_date", F.to_date("computed_at"))
+    append_run(rows, path, run or f"{as_of:%Y%m%dT%H%M%S}", "snapshot_date")
 
 
 def load_reference(spark: SparkSession, path: str, fraction: float | None = None, seed: int = 42) -> DataFrame:
