@@ -14,6 +14,9 @@
 
 from __future__ import annotations
 
+import json
+import math
+import random
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
@@ -25,7 +28,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import sigmoid
@@ -212,6 +215,76 @@ def search(train: DataFrame, folds: DataFrame, features, y: str, candidates, key
     return spark.createDataFrame(results, "candidate int, params string, mean_pr_auc double")
 
 
+def sample_trials(space: dict, n: int, seed: int = 42) -> list[dict]:
+    """``n`` parameter sets drawn from ``space``: name -> list of choices, or (low, high) of whole numbers or decimals."""
+    rng = random.Random(seed)
+
+    def draw(s):
+        if isinstance(s, list):
+            return rng.choice(s)
+        return rng.randint(*s) if all(isinstance(x, int) for x in s) else rng.uniform(*s)
+
+    return [{k: draw(s) for k, s in space.items()} for _ in range(n)]
+
+
+def halving_search(train: DataFrame, folds: DataFrame, features, y: str, trials: list[dict], key: str, fit_fn, trials_path: str,
+                   keep: float = 1 / 3, max_parallel: int = 4) -> DataFrame:
+    """L5 by successive halving: (trial, params, folds, mean_pr_auc, rank), best first.
+
+    All trials are scored on the first time fold; of each rung only the best ``keep`` go on to the next fold, so weak
+    candidates cost one fit each. Every finished (trial, fold) is a row of the trials table under its own key in
+    ``trials_path``: a stopped search that is started again with the same trials does only what is missing. Trials that got
+    further rank first, then the mean over their folds, then the trial number. Fits are Spark jobs; a thread
+    pool only submits them.
+    """
+    from pyspark import StorageLevel
+
+    from riskframe.operators.metrics import average_precision
+    from riskframe.sources.io import append_run, read_runs
+
+    spark = train.sparkSession
+    fold_ids = sorted(r["fold"] for r in folds.select("fold").distinct().collect())  # <= k rows
+    names = [json.dumps(t, sort_keys=True) for t in trials]
+
+    def table():
+        try:
+            return read_runs(spark, trials_path)
+        except FileNotFoundError:
+            return spark.createDataFrame([], "trial int, params string, pr_auc double, fold int")
+
+    done = {(r.trial, r.fold): r.pr_auc for r in table().collect() if r.params == names[r.trial]}  # one row per finished fit
+    tagged = train.join(folds, key).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def run(job):
+        trial, fold = job
+        part = tagged.filter(F.col("fold") == fold)
+        model = fit_fn(part.filter(F.col("part") == "train").drop("fold", "part"), features, y, **trials[trial])
+        scored = score(part.filter(F.col("part") == "test").drop("fold", "part"), model, features)
+        ap = average_precision(scored, y, "p").select("pr_auc").first()[0]
+        row = spark.createDataFrame([(trial, names[trial], ap, int(fold))], "trial int, params string, pr_auc double, fold int")
+        append_run(row.coalesce(1), trials_path, f"t{trial}-f{fold}", "fold")
+        done[trial, fold] = ap
+
+    def mean(trial, upto):
+        values = [done[trial, f] for f in fold_ids[:upto]]
+        return sum(-1.0 if v is None else v for v in values) / len(values)
+
+    alive = list(range(len(trials)))
+    try:
+        with ThreadPoolExecutor(max_workers=max_parallel) as pool:
+            for rung, fold in enumerate(fold_ids):
+                list(pool.map(run, [(t, fold) for t in alive if (t, fold) not in done]))
+                if rung + 1 < len(fold_ids):
+                    best = sorted(alive, key=lambda t: (-mean(t, rung + 1), t))
+                    alive = sorted(best[:max(1, math.ceil(keep * len(best)))])
+    finally:
+        tagged.unpersist()
+    known = table().join(spark.createDataFrame(list(enumerate(names)), "trial int, params string"), ["trial", "params"])
+    out = known.groupBy("trial", "params").agg(F.count(F.lit(1)).cast("int").alias("folds"), F.avg(F.coalesce("pr_auc", F.lit(-1.0))).alias("mean_pr_auc"))
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("folds"), F.desc("mean_pr_auc"), "trial")  # one row per trial
+    return out.withColumn("rank", F.row_number().over(order)).orderBy("rank")
+
+
 def savable_model(features, estimator) -> Pipeline:
     """A savable pipeline (assembler, unless the features are one vector already, and estimator) for S16/L11 model storage."""
     if isinstance(features, str):

@@ -25,6 +25,7 @@ from riskframe.sources import bindings as B
 from riskframe.sources import versions as V
 from riskframe.sources.bindings import oracle
 from riskframe.specs import CostSpec
+from riskframe.streaming.jobs import scratch
 
 NUM = list(B.LOAN_ROLES.numeric)
 CAT = list(B.LOAN_ROLES.categorical)
@@ -91,6 +92,21 @@ def q_search(spark, sf):
     return L.search(train, folds, feats, "target", [{"c": 0.1}, {"c": 1.0}], "loan_id", L.fit_lr, max_parallel=2)
 
 
+#: Eight parameters of the boosted trees.
+BOOSTING_SPACE = {"iters": (1, 3), "depth": (2, 4), "step": (0.05, 0.5), "subsample": (0.5, 1.0), "min_instances": (1, 30), "min_gain": (0.0, 0.01),
+                  "feature_subset": ["all", "sqrt", "onethird", "log2"], "max_bins": (8, 64)}
+
+
+@register("L5_halving_search")
+def q_halving(spark, sf):
+    """50 trials of 8 boosting parameters over 5 expanding time folds; two thirds of each rung stop."""
+    rows, feats, _ = matrix(spark, sf)
+    lab = B.labelled(spark, sf).filter(F.col("split") == "train")
+    folds = R.time_folds(lab.select("loan_id", "issue_d"), "issue_d", "loan_id", 5).select("loan_id", "fold", "part")
+    trials = L.sample_trials(BOOSTING_SPACE, 50)
+    return L.halving_search(rows.filter(F.col("split") == "train"), folds, feats, "target", trials, "loan_id", L.fit_gbt, scratch(spark, "trials"))
+
+
 @register("L9_odds_ratios")
 def q_odds(spark, sf):
     _rows, feats, model, index = _fit_lr(spark, sf)
