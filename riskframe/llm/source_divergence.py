@@ -6,8 +6,10 @@ language. Its sparse document vectors are summed per (language, source) as spars
 are then evaluated in blocks: sources of a language in blocks of about ``BLOCK_SOURCES``, kept terms in blocks of about
 ``BLOCK_TERMS``; a task holds one block pair for one term block as a small matrix and returns one number per pair.
 
-A fit brings its vocabulary to the driver and to every executor. An estimate of the number of distinct terms, taken
-before, splits the terms by hash into as many fits as keep each below ``max_terms``; results do not depend on it.
+A fit brings its vocabulary to the driver and to every executor. A kept term is in at least ``minDF`` documents, so a
+sample of the documents holds most kept terms, and the number of distinct terms in it bounds the number of kept ones from
+above. From that estimate the terms are split by hash into as many fits as keep each below ``max_terms``; results do
+not depend on it.
 """
 
 from __future__ import annotations
@@ -22,14 +24,15 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import ascii_lower, give_back, ship_by_value
+from riskframe.llm.common import LOWER, UPPER, give_back, ship_by_value
 from riskframe.session import cut_lineage
 
 ship_by_value(__name__)
 
-#: Everything between terms: ASCII that is no letter.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts terms: all of ASCII but letters.
+BETWEEN = "".join(chr(b) for b in range(128) if chr(b) not in UPPER + LOWER)
 TAG = "\0"  # cannot occur in a term
+SAMPLED = 1 / 16
 MOST_WORDS = 2**31 - 1
 SCALE = 1_000_000_000
 PRIOR = 5
@@ -38,9 +41,11 @@ BLOCK_TERMS = 4096
 EMPTY_VOCABULARY = "vocabulary size should be > 0"
 
 
-def terms_of(text: Column) -> Column:
-    """Maximal runs of letters (every character beyond ASCII counts as one), A-Z lower-cased."""
-    return F.filter(F.split(ascii_lower(text), BETWEEN), lambda t: t != "")
+def tagged_terms(lang: Column, text: Column) -> Column:
+    """Maximal runs of letters (every character beyond ASCII counts as one), A-Z lower-cased, each after the language in hex and ``TAG``."""
+    tag = F.concat(F.hex(lang), F.lit(TAG))
+    spaced = F.concat(F.lit(" "), F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN)))
+    return F.array_remove(F.array_remove(F.split(F.replace(spaced, F.lit(" "), F.concat(F.lit(" "), tag)), " "), ""), tag)
 
 
 def probability(n: Column, total: Column, kept: Column) -> Column:
@@ -53,9 +58,10 @@ def probability(n: Column, total: Column, kept: Column) -> Column:
 def kept_counts(rows: DataFrame, min_df: int, max_terms: int) -> tuple[DataFrame, DataFrame]:
     """((lang, term, term_id), (lang, source, term, term_id, n)) of the kept terms; ``rows``: lang, source, text, without NULLs."""
     spark = rows.sparkSession
-    tagged = rows.select("lang", "source", F.transform(terms_of(F.col("text")), lambda t: F.concat("lang", F.lit(TAG), t)).alias("terms"))
-    distinct = tagged.select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
-    fits = max(1, math.ceil(1.1 * distinct / max_terms))
+    tagged = rows.select("lang", "source", tagged_terms(F.col("lang"), F.col("text")).alias("terms"))
+    distinct = tagged.sample(SAMPLED, seed=1).select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
+    held = 1.0 - (1.0 - SAMPLED) ** min_df  # the share of the rarest kept terms that a sample holds
+    fits = max(1, math.ceil(1.1 * distinct / held / max_terms))
     vocabulary, counts = spark.createDataFrame([], "lang string, term string, term_id long"), None
     for k in range(fits):
         part = tagged
@@ -68,10 +74,9 @@ def kept_counts(rows: DataFrame, min_df: int, max_terms: int) -> tuple[DataFrame
                 raise
             continue  # no term of this part is frequent enough
         words = pd.DataFrame({"i": np.arange(len(model.vocabulary), dtype=np.int32), "t": model.vocabulary})
-        at = F.length("t") - F.locate(TAG, F.reverse("t"))  # the last mark: a language may hold one itself
+        both = F.split("t", TAG)
         known = spark.createDataFrame(words, "i int, t string").select(
-            "i", F.substring("t", F.lit(1), at).alias("lang"), F.substring("t", at + 2, F.length("t")).alias("term"),
-            (F.col("i").cast("long") * fits + k).alias("term_id"))
+            "i", F.unhex(both[0]).cast("string").alias("lang"), both[1].alias("term"), (F.col("i").cast("long") * fits + k).alias("term_id"))
         vector = F.unwrap_udt("v")
         sums = model.transform(part).select("lang", "source", F.explode(F.arrays_zip(vector.indices.alias("i"), vector["values"].alias("n"))).alias("e")) \
             .groupBy("lang", "source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
