@@ -8,10 +8,15 @@ over the released blocks fills every slot and meets every deadline, so after any
 number of slots each source is less than one block away from its weight, while
 no source has run out.
 
-The windows repeat every ``h`` slots, so one period is scheduled (a fold over
-``h`` slots of one row holding the sources' quotas; its size depends on the
-number of sources, not on the rows) and every block finds its slot by
-arithmetic: cycle ``k div q`` times ``h`` plus the slot of block ``k mod q``.
+The windows repeat every ``h`` slots, so one period is scheduled and every block
+finds its slot by arithmetic: cycle ``k div q`` times ``h`` plus the slot of block
+``k mod q``. The period is long enough that the smallest weight gets ``FINEST``
+blocks, whatever the number of sources. Sources of equal quota q are one class:
+m of them share ``q * m`` blocks in turn, which keeps each of them less than one
+block from its weight (the class is less than one block away, and turns share
+that out). So the schedule is a fold over ``h`` slots of at most about
+``sqrt(2 h)`` classes, independent of the rows; beyond ``MOST_STEPS`` slots times
+classes it is refused with an error.
 
 Row order uses a two-level rank (hash prefix bucket, then inside the bucket), so
 a source with a third of all rows is spread over all tasks.
@@ -24,6 +29,11 @@ from pyspark.sql import functions as F
 
 from riskframe.session import cut_lineage
 
+#: Blocks of a period that the smallest positive weight gets at least.
+FINEST = 10
+#: Slots times classes that a schedule may take; more is refused.
+MOST_STEPS = 1_000_000_000
+
 
 def _ranked(rows: DataFrame, prefix_digits: int) -> DataFrame:
     """Adds ``__mk``, the 0-based rank inside the source by (``__mh``, ``__mid``)."""
@@ -49,20 +59,29 @@ def quotas(rows: DataFrame, weights: dict[str, float] | None, alpha: float, peri
         w = F.lit(0.0)
         for name, value in weights.items():
             w = F.when(F.col("__ms") == F.lit("s" + name), F.lit(float(value))).otherwise(w)
-    every = Window.partitionBy()
-    q = F.greatest(F.lit(1), F.floor(F.lit(period) * F.col("__mw") / F.greatest(F.sum("__mw").over(every), F.lit(1e-300)) + 0.5))
-    return sizes.withColumn("__mw", w).select("__ms", q.cast("long").alias("__mq")).withColumn(
-        "__mlen", F.sum("__mq").over(every))
+    sizes = sizes.withColumn("__mw", w)
+    whole = sizes.agg(F.sum("__mw").alias("total"), F.min(F.when(F.col("__mw") > 0, F.col("__mw"))).alias("least"))
+    total, least = whole.select("total").scalar(), whole.select("least").scalar()
+    length = F.greatest(F.lit(period), F.ceil(F.lit(float(FINEST)) * total / least))  # NULL without a positive weight: the period as given
+    q = F.greatest(F.lit(1), F.floor(length * F.col("__mw") / F.greatest(total, F.lit(1e-300)) + 0.5))
+    quota = sizes.select("__ms", q.cast("long").alias("__mq"))
+    return quota.withColumn("__mlen", quota.agg(F.sum("__mq")).scalar())
 
 
 def one_period(quota: DataFrame) -> DataFrame:
     """Earliest-deadline-first schedule of one period: (source key, quota, length, block in period, slot)."""
-    table = quota.agg(F.array_sort(F.collect_list(F.struct("__ms", "__mq"))).alias("__ss"),
-                      F.max("__mlen").alias("__mlen")).filter(F.size("__ss") > 0)
+    quota = cut_lineage(quota)  # one row per source
+    classes = quota.groupBy("__mq").agg(F.min("__ms").alias("__first"), F.count(F.lit(1)).alias("__mm"), F.max("__mlen").alias("__mlen"))
+    size = classes.agg(F.count(F.lit(1)).alias("classes"), F.max("__mlen").alias("slots")).first()
+    if size.classes * (size.slots or 0) > MOST_STEPS:
+        raise ValueError(f"a period of {size.slots} slots for {size.classes} different weights is too long to schedule: round the weights or raise the smallest")
+    part = max(1, int((size.slots or 0) ** 0.5))  # slots are written in parts, so that no long array grows slot by slot
+    table = classes.agg(F.array_sort(F.collect_list(F.struct("__first", "__mq", "__mm"))).alias("__ss"), F.max("__mlen").alias("__mlen")).filter(F.size("__ss") > 0)
+    table = table.withColumn("__qs", F.transform("__ss", lambda x: x["__mq"] * x["__mm"]))
 
     def step(state, slot):
         due = F.transform(
-            F.arrays_zip(F.col("__ss.__mq").alias("q"), state["next"].alias("k")),
+            F.arrays_zip(F.col("__qs").alias("q"), state["next"].alias("k")),
             lambda x, i: F.when(
                 F.floor(x["k"] * F.col("__mlen") / x["q"]) <= slot,
                 F.struct(F.ceil((x["k"] + 1) * F.col("__mlen") / x["q"]).alias("d"), i.alias("i"))))
@@ -71,15 +90,24 @@ def one_period(quota: DataFrame) -> DataFrame:
             F.transform(state["next"], lambda k, i: F.when(i == p, k + 1).otherwise(k)).alias("next"),
             F.concat(state["out"], F.array(p)).alias("out")))[0]
 
+    def steps(state, first):
+        slots = F.sequence(first, F.least(first + part, F.col("__mlen")) - 1)
+        fresh = F.struct(state["next"].alias("next"), F.array().cast("array<int>").alias("out"))
+        done = F.aggregate(slots, fresh, step)
+        return F.transform(F.array(done), lambda d: F.struct(d["next"].alias("next"), F.concat(state["out"], F.array(d["out"])).alias("out")))[0]
+
     start = F.struct(F.transform("__ss", lambda s: F.lit(0).cast("long")).alias("next"),
-                     F.array().cast("array<int>").alias("out"))
-    plan = table.select("__ss", "__mlen", F.aggregate(
-        F.sequence(F.lit(0).cast("long"), F.col("__mlen") - 1), start, step, lambda s: s["out"]).alias("__mout"))
-    slots = plan.select("__ss", "__mlen", F.posexplode("__mout").alias("__mslot", "__mi"))
-    slots = slots.select(F.col("__ss")[F.col("__mi")].alias("__s"), "__mlen", F.col("__mslot").cast("long").alias("__mslot"))
+                     F.array().cast("array<array<int>>").alias("out"))
+    plan = table.select("__ss", F.aggregate(
+        F.sequence(F.lit(0).cast("long"), F.col("__mlen") - 1, F.lit(part).cast("long")), start, steps, lambda s: s["out"]).alias("__mout"))
+    parts = plan.select("__ss", F.posexplode("__mout").alias("__mpart", "__mis"))
+    slots = parts.select("__ss", "__mpart", F.posexplode("__mis").alias("__min", "__mi")).select(
+        F.col("__ss")[F.col("__mi")].alias("__s"), (F.col("__mpart").cast("long") * part + F.col("__min")).alias("__mslot"))
     own = Window.partitionBy("__s").orderBy("__mslot")
-    return slots.select(F.col("__s.__ms").alias("__ms"), F.col("__s.__mq").alias("__mq"), "__mlen", "__mslot",
-                        (F.row_number().over(own) - 1).cast("long").alias("__mj"))
+    turns = slots.select(F.col("__s.__mq").alias("__mq"), F.col("__s.__mm").alias("__mm"), "__mslot", (F.row_number().over(own) - 1).cast("long").alias("__mb"))
+    turns = turns.select("__mq", "__mslot", F.expr("__mb div __mm").alias("__mj"), (F.col("__mb") % F.col("__mm")).alias("__mturn"))
+    members = quota.withColumn("__mturn", (F.row_number().over(Window.partitionBy("__mq").orderBy("__ms")) - 1).cast("long"))
+    return turns.join(members, ["__mq", "__mturn"]).select("__ms", "__mq", "__mlen", "__mslot", "__mj")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
@@ -89,7 +117,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     Sorting by (mix_slot, mix_offset) gives the mix. ``weights`` maps source
     names to target weights; by default a source weighs rows ** alpha. Weights
-    are rounded to ``period`` parts. Once a source has run out, its slots stay
+    are rounded to ``period`` parts, or to as many as give the smallest one ``FINEST`` of them. Once a source has run out, its slots stay
     empty and the others keep their order.
 
     * A NULL source is a source of its own; NULL ids are ordinary rows, ordered first.
@@ -106,10 +134,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     })
     period_plan = cut_lineage(one_period(quotas(rows.select("__ms"), weights, alpha, period)))
     quota = period_plan.select("__ms", "__mq", "__mlen").distinct()
-    k = _ranked(rows, prefix_digits).join(F.broadcast(quota), "__ms")
+    k = _ranked(rows, prefix_digits).join(quota, "__ms")
     k = k.withColumn("mix_block", F.floor(F.col("__mk") / F.lit(block_rows)).cast("long"))
     k = k.withColumn("__mj", F.col("mix_block") % F.col("__mq"))
-    placed = k.join(F.broadcast(period_plan.select("__ms", "__mj", "__mslot")), ["__ms", "__mj"])
+    placed = k.join(period_plan.select("__ms", "__mj", "__mslot"), ["__ms", "__mj"])
     return placed.select(
         *[F.col(f"`{c}`") for c in keep],
         "mix_block",
