@@ -12,6 +12,7 @@ from pyspark.sql.types import MapType
 from riskframe import specs
 from riskframe.functions.exprs import ts_lit
 from riskframe.operators import prep
+from riskframe.operators.duplicates import repeated_rows
 
 
 def null_rates(df: DataFrame, cols=None) -> DataFrame:
@@ -36,9 +37,8 @@ def payload_columns(df: DataFrame, exclude=None) -> list[str]:
 
 
 def duplicate_payloads(df: DataFrame, exclude=None) -> DataFrame:
-    """H3: number of duplicated payload groups and extra rows (NULLs compare equal)."""
-    cols = payload_columns(df, exclude)
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    """H3: number of duplicated payload groups and extra rows (NULLs compare equal); digests are shuffled, not payloads."""
+    groups = repeated_rows(df, payload_columns(df, exclude))
     return groups.agg(
         F.count(F.lit(1)).cast("bigint").alias("duplicate_payload_groups"),
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_payload_extra_rows"),
@@ -64,28 +64,35 @@ def burst_ratio(df: DataFrame, ts: str = "logged_at", threshold: float = 0.5) ->
                       F.coalesce((F.col("n") > 0) & (ratio < F.lit(threshold)), F.lit(False)).alias("scripted_traffic"))
 
 
-def data_health(df: DataFrame, categorical, ts: str = "logged_at", exclude=None) -> DataFrame:
+def data_health(df: DataFrame, categorical, ts: str = "logged_at", exclude=None, max_n: int = specs.SINGLETON_COUNT_THRESHOLD,
+                limit: int = specs.OUTLIER_LIST_LIMIT, threshold: float = 0.5) -> DataFrame:
     """H7: one-row health document (scalar parts); lists (H1, H2, H5) are their own frames.
 
-    Every value is a scalar subquery over the log, so the row is computed
-    without any join of one-row frames.
+    Every row gives one cell per thing counted (its time, its hour, its categories, the rules it breaks); one aggregate
+    counts equal cells and a second sums them up. Only repeated payloads are a frame of their own (H3).
     """
-    dup = duplicate_payloads(df, exclude)
-    shared = shared_timestamps(df, ts)
-    burst = burst_ratio(df, ts)
-    rare = rare_categories(df, categorical)
-    outl = prep.flag_outliers(df)
-    return df.sparkSession.range(1).select(
-        df.agg(F.count(F.lit(1))).scalar().alias("n_rows"),
-        dup.select("duplicate_payload_groups").scalar().alias("duplicate_payload_groups"),
-        dup.select("duplicate_payload_extra_rows").scalar().alias("duplicate_payload_extra_rows"),
-        shared.select("duplicate_logged_at_count").scalar().alias("duplicate_logged_at_count"),
-        burst.select("distinct_hours").scalar().alias("distinct_hours"),
-        burst.select("span_hours").scalar().alias("span_hours"),
-        burst.select("scripted_traffic").scalar().alias("scripted_traffic"),
-        rare.agg(F.count(F.lit(1))).scalar().alias("n_rare_categories"),
-        outl.agg(F.count(F.lit(1))).scalar().alias("n_outliers_listed"),
+    t = F.col(ts).cast("timestamp")
+    cells = [("row", F.lit("")), ("time", F.coalesce(F.unix_micros(t).cast("string"), F.lit(""))), ("hour", F.date_trunc("hour", t).cast("string"))]
+    cells += [("category " + c, F.col(c).cast("string")) for c in categorical if c in df.columns]
+    cells += [("outlier " + c, F.when(F.col(c).cast("double") > F.lit(float(b)), F.lit(""))) for c, b in specs.OUTLIER_RULES.items() if c in df.columns]
+    each = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in cells]))).filter(F.col("value").isNotNull())
+    counts = each.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind: F.col("kind") == F.lit(kind)
+    total = lambda cond, n: F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
+    micros = F.when(of("time"), F.col("value").try_cast("long"))
+    one = counts.agg(
+        total(of("row"), F.col("n")).alias("n_rows"),
+        total(of("time") & (F.col("n") > 1), F.col("n")).alias("duplicate_logged_at_count"),
+        F.count_if(of("hour")).cast("bigint").alias("distinct_hours"),
+        (F.floor((F.max(micros) - F.min(micros)) / F.lit(3_600_000_000)) + 1).cast("bigint").alias("span_hours"),
+        F.count_if(F.col("kind").startswith("category ") & (F.col("n") <= max_n)).cast("bigint").alias("n_rare_categories"),
+        total(F.col("kind").startswith("outlier "), F.least(F.col("n"), F.lit(limit))).alias("n_outliers_listed"),
     )
+    dup = duplicate_payloads(df, exclude).select(F.struct("duplicate_payload_groups", "duplicate_payload_extra_rows")).scalar()
+    scripted = (F.col("n_rows") > 0) & (F.col("distinct_hours") / F.col("span_hours") < F.lit(threshold))
+    return one.withColumn("__dup", dup).select(
+        "n_rows", "__dup.duplicate_payload_groups", "__dup.duplicate_payload_extra_rows", "duplicate_logged_at_count", "distinct_hours", "span_hours",
+        F.coalesce(scripted, F.lit(False)).alias("scripted_traffic"), "n_rare_categories", "n_outliers_listed")
 
 
 def hour_spine(spark, start: Column, end: Column) -> DataFrame:

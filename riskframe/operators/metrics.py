@@ -20,6 +20,7 @@ from riskframe import specs
 from riskframe.functions.exprs import keyed_normal
 from riskframe.operators.binning import equal_width_right_closed
 from riskframe.operators.windowing import running_sums
+from riskframe.session import cut_lineage
 from riskframe.specs import CostSpec
 
 
@@ -43,14 +44,16 @@ def score_histogram(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     )
 
 
-def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", keys=(), buckets: int = 4096,
+def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", keys=(), buckets: int = 512,
                     skip_one_class: bool = False) -> DataFrame:
     """E1 + E2: exact ROC-AUC (ties count half) and average precision per group."""
     keys, df, drop = _group(df, keys)
-    hist = score_histogram(df, y, p, keys)
-    cum = running_sums(hist, "__p", ["pos", "neg"], keys, descending=True, buckets=buckets)
-    totals = hist.groupBy(*keys).agg(F.sum("pos").alias("__tot_pos"), F.sum("neg").alias("__tot_neg"))
-    cum = cum.join(totals, keys)
+    return _ranking(score_histogram(df, y, p, keys), keys, buckets, skip_one_class).drop(*drop)
+
+
+def _ranking(hist: DataFrame, keys, buckets: int = 512, skip_one_class: bool = False) -> DataFrame:
+    """``ranking_metrics`` from a score histogram (keys..., __p, pos, neg)."""
+    cum = running_sums(hist, "__p", ["pos", "neg"], keys, descending=True, buckets=buckets, total_prefix="__tot_")
     P, N = F.col("__tot_pos"), F.col("__tot_neg")
     Pd = P.cast("double")
     # one-class groups (P = 0 or N = 0) give NULL instead of failing; they are undefined, not zero
@@ -69,9 +72,7 @@ def ranking_metrics(df: DataFrame, y: str = "y", p: str = "p", keys=(), buckets:
         F.col("n_pos").cast("bigint").alias("n_pos"),
         F.col("n_neg").cast("bigint").alias("n_neg"),
     )
-    if skip_one_class:
-        out = out.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-    return out.drop(*drop)
+    return out.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0)) if skip_one_class else out
 
 
 def roc_auc(df, y="y", p="p", keys=()) -> DataFrame:
@@ -96,6 +97,21 @@ def threshold_metrics(df: DataFrame, y: str, p: str, t, keys=()) -> DataFrame:
         F.count_if(~pred & (yy == 1)).cast("bigint").alias("fn"),
         F.count_if(pred & (yy == 1)).cast("bigint").alias("tp"),
     )
+    return _with_precision_recall(agg)
+
+
+def _at_threshold(hist: DataFrame, t: float, keys) -> DataFrame:
+    """``threshold_metrics`` from a score histogram."""
+    pred, n = F.col("__p") >= F.lit(float(t)), F.col("pos") + F.col("neg")
+    total = lambda cond, c: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint")
+    squares = F.col("pos") * F.pow(F.col("__p") - 1.0, F.lit(2.0)) + F.col("neg") * F.pow(F.col("__p"), F.lit(2.0))
+    agg = hist.groupBy(*keys).agg(
+        F.try_divide(F.sum(squares), F.sum(F.when(F.col("__p").isNotNull(), n))).alias("brier"),
+        total(~pred, "neg").alias("tn"), total(pred, "neg").alias("fp"), total(~pred, "pos").alias("fn"), total(pred, "pos").alias("tp"))
+    return _with_precision_recall(agg)
+
+
+def _with_precision_recall(agg: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("tp").cast("double"), F.col("fp").cast("double"), F.col("fn").cast("double")
     return agg.withColumns({
         "precision": F.when(F.col("tp") + F.col("fp") > 0, tp / (tp + fp)).otherwise(F.lit(0.0)),
@@ -142,6 +158,11 @@ def cost_curve(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
     k = grid_rank(F.col(p).cast("double"))
     hist = df.filter(F.col(p).isNotNull()).groupBy(*keys, k.alias("k")).agg(
         F.sum(_y(y)).alias("pos"), (F.count(F.lit(1)) - F.sum(_y(y))).alias("neg"))
+    return _curve(hist, keys).drop(*drop)
+
+
+def _curve(hist: DataFrame, keys) -> DataFrame:
+    """``cost_curve`` from counts per grid rank (keys..., k, pos, neg)."""
     grid = F.explode(F.sequence(F.lit(0), F.lit(specs.GRID_POINTS - 1))).alias("i")
     spine = hist.select(*keys).distinct().select(*keys, grid)
     j = spine.join(hist.withColumnRenamed("k", "i"), keys + ["i"], "left").fillna(0, subset=["pos", "neg"])
@@ -156,12 +177,15 @@ def cost_curve(df: DataFrame, y: str, p: str, keys=()) -> DataFrame:
         "fn",
         (pall - F.col("fn")).cast("bigint").alias("tp"),
         F.col("__neg_le").cast("bigint").alias("tn"),
-    ).drop(*drop)
+    )
 
 
 def tune_threshold(df: DataFrame, y: str = "y", p: str = "p", costs: CostSpec = CostSpec(), keys=()) -> DataFrame:
     """Grid threshold minimising fp*fp_cost + fn*fn_cost; first (smallest) on ties."""
-    curve = cost_curve(df, y, p, keys)
+    return _cheapest(cost_curve(df, y, p, keys), costs, keys)
+
+
+def _cheapest(curve: DataFrame, costs: CostSpec, keys=()) -> DataFrame:
     cost = F.col("fp").cast("double") * F.lit(costs.fp_cost) + F.col("fn").cast("double") * F.lit(costs.fn_cost)
     return curve.withColumn("cost", cost).groupBy(*keys).agg(
         F.min_by("threshold", F.struct("cost", "i")).alias("threshold"),
@@ -173,14 +197,15 @@ def evaluate(df: DataFrame, y: str = "y", p: str = "p", split: str = "split", co
              tune_on: str = "val") -> DataFrame:
     """Tune the threshold on one split, then score every split at it.
 
-    The tuned threshold (one row) is attached by a join on a constant key, so it
-    is an ordinary column of the scoring aggregate.
+    The scores are read once, into one histogram per split (a row per distinct score), which is stored; ranking,
+    tuning and the metrics at the tuned threshold (one number) all come from it.
     """
-    t = tune_threshold(df.filter(F.col(split) == tune_on), y, p, costs).select("threshold").withColumn("__g", F.lit(0))
-    scored = df.withColumn("__g", F.lit(0)).join(F.broadcast(t), "__g").drop("__g")
-    rank = ranking_metrics(df, y, p, [split])
-    thr = threshold_metrics(scored, y, p, F.col("threshold"), [split, "threshold"])
-    return rank.join(thr, split)
+    hist = cut_lineage(score_histogram(df, y, p, [split]))
+    ranks = hist.filter(F.col(split) == tune_on).groupBy(F.lit(0).alias("__g"), grid_rank("__p").alias("k")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    best = _cheapest(_curve(ranks, ["__g"]), costs).first()
+    t = best["threshold"] if best else None
+    at = _at_threshold(hist, t if t is not None else 0.0, [split]).withColumn("threshold", F.lit(t).cast("double"))
+    return _ranking(hist, [split]).join(at.filter(F.lit(t is not None)), split)
 
 
 def calibration(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10, keys=()) -> DataFrame:
@@ -290,13 +315,14 @@ def segments_long(df: DataFrame, y: str, p: str, cols) -> DataFrame:
 def segment_metrics(df: DataFrame, y: str, p: str, t: float, cols) -> DataFrame:
     """Per (feature, segment): n, positives, base rate, ROC-AUC, PR-AUC, mean p, Brier,
     precision, recall; one-class segments skipped. One unpivot covers every feature."""
-    long = segments_long(df, y, p, cols)
     keys = ["feature", "segment"]
-    rank = ranking_metrics(long, "__y", "__p", keys, skip_one_class=True)
-    thr = threshold_metrics(long, "__y", "__p", t, keys)
-    extra = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("__p").cast("double")).alias("mean_p"),
-                                    F.avg(_y("__y").cast("double")).alias("base_rate"))
-    return rank.join(thr, keys).join(extra, keys).select(
+    hist = cut_lineage(segments_long(df, y, p, cols).groupBy(*keys, F.col("__p").cast("double").alias("__p")).agg(
+        F.sum(_y("__y")).alias("pos"), (F.count(F.lit(1)) - F.sum(_y("__y"))).alias("neg")))
+    known = hist.filter(F.col("__p").isNotNull())
+    n, scored = F.col("pos") + F.col("neg"), F.col("__p").isNotNull()
+    extra = hist.groupBy(*keys).agg(F.sum(n).cast("bigint").alias("n"), F.try_divide(F.sum(F.col("__p") * n), F.sum(F.when(scored, n))).alias("mean_p"),
+                                    (F.sum("pos") / F.sum(n)).alias("base_rate"))
+    return _ranking(known, keys, skip_one_class=True).join(_at_threshold(hist, t, keys), keys).join(extra, keys).select(
         *keys, "n", "n_pos", "base_rate", "roc_auc", "pr_auc", "mean_p", "brier", "precision", "recall")
 
 

@@ -31,7 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.exprs import sigmoid
+from riskframe.functions.exprs import decide, sigmoid
 from riskframe.operators import features as M
 from riskframe.operators.profile import long_numeric
 from riskframe.session import cut_lineage
@@ -136,7 +136,7 @@ def score(df: DataFrame, model, features, t: float = 0.5, prob: str = "p") -> Da
     """Batch scoring: probability of class 1 and the decision p >= t."""
     out = model.transform(assemble(df, features))
     out = out.withColumn(prob, vector_to_array(F.col("probability"))[1])
-    return out.withColumn("pred", (F.col(prob) >= F.lit(float(t))).cast("int")).drop("features", "rawPrediction", "probability", "prediction")
+    return out.withColumn("pred", decide(prob, t)).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def lr_contributions(df: DataFrame, model, features, means: DataFrame, key: str) -> DataFrame:

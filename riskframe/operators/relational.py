@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.exprs import reason_strength
+from riskframe.operators.duplicates import repeated_rows
 from riskframe.operators.windowing import running_sums
 
 
@@ -30,11 +31,6 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-def attach_stats(df: DataFrame, stats: DataFrame, on) -> DataFrame:
-    """Attach a fitted stats frame keyed by ``on``; Spark broadcasts it when its measured size is small."""
-    return df.join(stats, on, "left")
-
-
 def align_counts(ref: DataFrame, live: DataFrame, col: str) -> DataFrame:
     """Full-outer alignment of reference and live value counts, zero-filled."""
     r = ref.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n_ref"))
@@ -59,30 +55,6 @@ def semi_join(df: DataFrame, allowed: DataFrame, col: str) -> DataFrame:
     return df.join(allowed.select(F.col(col)).distinct(), col, "left_semi")
 
 
-def explain_join(reasons: DataFrame, lookup: DataFrame, feature: str = "feature", value: str = "value") -> DataFrame:
-    """J9 + L8: plain-language reasons.
-
-    ``reasons`` (id, feature, value); ``lookup`` (feature, label, up, down). The
-    prefix ``num__``/``cat__`` is stripped for the lookup; a missing entry falls
-    back to a humanised label and a generic sentence. Magnitude is relative to
-    the strongest reason of the same id (W4).
-    """
-    from riskframe.functions.exprs import humanise, strip_prefix
-
-    r = reasons.withColumn("__base", strip_prefix(F.col(feature)))
-    j = r.join(lookup.withColumnRenamed("feature", "__base"), "__base", "left")
-    w = Window.partitionBy("id")
-    mx = F.max(F.abs(F.col(value))).over(w)
-    ratio = F.abs(F.col(value)) / F.when(mx == 0, F.lit(1.0)).otherwise(mx)
-    direction = F.when(F.col(value) > 0, F.lit("up")).otherwise(F.lit("down"))
-    label = F.coalesce(F.col("label"), humanise(F.col(feature)))
-    generic = F.concat(label, F.lit(" "), F.when(direction == "up", F.lit("increased")).otherwise(F.lit("decreased")),
-                       F.lit(" the estimated risk."))
-    sentence = F.coalesce(F.when(direction == "up", F.col("up")).otherwise(F.col("down")), generic)
-    return j.select("id", F.col(feature).alias("feature"), F.col(value).alias("value"), label.alias("label"),
-                    direction.alias("direction"), reason_strength(ratio).alias("magnitude"), sentence.alias("sentence"))
-
-
 # ------------------------------------------------------------------ sets
 
 
@@ -107,9 +79,8 @@ def vocabulary_matches(vocab: DataFrame, declared) -> DataFrame:
 
 
 def overlap(dfs) -> DataFrame:
-    """U4: fully duplicated rows across the concatenated frames (one row: groups, rows)."""
-    u = reduce(lambda a, b: a.unionByName(b), dfs)
-    g = u.groupBy(*u.columns).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    """U4: fully duplicated rows across the concatenated frames (one row: groups, rows); digests are shuffled, not rows."""
+    g = repeated_rows(reduce(lambda a, b: a.unionByName(b), dfs))
     return g.agg(F.count(F.lit(1)).cast("bigint").alias("duplicate_groups"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 

@@ -173,20 +173,30 @@ def q_flags(spark, sf):
     return M.missing_flags(df, ["annual_inc", "dti", "emp_length", "dti"]).drop("annual_inc", "dti", "emp_length")
 
 
-@register("M9_combined_preprocessor")
+_B_CTE = ("SELECT loan_id, coalesce(addr_state, chr(0)) AS cat, CAST(target AS DOUBLE) AS y, "
+          "(loan_id * 7919) % 5 AS fold FROM labelled WHERE split = 'train'")
+_M9_SQL = f"""{_LONG_SQL}
+UNION ALL SELECT loan_id, 'missing__annual_inc', CAST(annual_inc IS NULL AS INTEGER)::DOUBLE FROM labelled
+UNION ALL SELECT loan_id, 'missing__dti', CAST(dti IS NULL AS INTEGER)::DOUBLE FROM labelled
+UNION ALL SELECT loan_id, 'te__addr_state', te__addr_state FROM oof
+UNION ALL SELECT l.loan_id, 'te__addr_state', round(coalesce(te.encoding, (SELECT avg(CAST(target AS DOUBLE)) FROM tr)), 6)
+  FROM labelled l LEFT JOIN te ON te.category = coalesce(l.addr_state, chr(0)) WHERE l.split IN ('val', 'test')"""
+
+
+@register("M9_combined_preprocessor", oracle(_M9_SQL, "labelled", extra={
+    "tr": TRAIN, "med": _MED, "sc": _SCALER, "voc": _VOCAB, "te": _TE_FULL, "b": _B_CTE, "oof": _OOF}))
 def q_combined(spark, sf):
-    """Numeric + categorical + missing indicators + out-of-fold target encoding, long form (rows-only)."""
+    """Numeric + categorical + missing indicators + out-of-fold target encoding, long form."""
     lab = B.labelled(spark, sf)
     tr = lab.filter(F.col("split") == "train")
-    stats = M.fit(tr, NUM, CAT)
-    base = M.transform_long(lab, stats, "loan_id", NUM, CAT)
+    base = M.transform_long(lab, M.fit(tr, NUM, CAT), "loan_id", NUM, CAT)
     flags = M.missing_flags(lab.select("loan_id", "annual_inc", "dti"), ["annual_inc", "dti"]).select(
-        "loan_id", F.lit("missing__annual_inc").alias("name"), F.col("missing__annual_inc").cast("double").alias("value"))
+        "loan_id", F.inline(F.array(*[F.struct(F.lit(f"missing__{c}").alias("name"), F.col(f"missing__{c}").cast("double").alias("value")) for c in ("annual_inc", "dti")])))
     enc, prior = M.target_encoding(tr, "addr_state", "target")
-    te_tr = M.target_encode_oof(tr, "addr_state", "loan_id", "target", 5)
+    te_tr = M.target_encode_oof(tr, "addr_state", "loan_id", "target", 5, fold_col=_folds())
     te_other = M.apply_target_encoding(lab.filter(F.col("split") != "train").select("loan_id", "addr_state"), enc, "addr_state", prior)
     te = te_tr.unionByName(te_other.drop("addr_state")).select("loan_id", F.lit("te__addr_state").alias("name"), F.col("te__addr_state").alias("value"))
-    return base.unionByName(flags).unionByName(te)
+    return r6(base.unionByName(flags).unionByName(te))
 
 
 @register(

@@ -167,3 +167,15 @@ _KINDS = {"number": ["loan_id", "loan_amnt", "annual_inc", "dti", "target"], "st
     f"SELECT '{k}' AS kind, '{c}' AS column, count({c}) AS n_values FROM labelled" for k, cs in _KINDS.items() for c in cs), "labelled"))
 def q_kinds(spark, sf):
     return prep.kind_counts(B.labelled(spark, sf).select(*[c for cs in _KINDS.values() for c in cs]))
+
+
+@register("F6_decide", oracle("SELECT id, CAST(p >= 0.16 AS INTEGER) AS pred, CAST(p2 >= p AS INTEGER) AS p2_at_least_p FROM scored", "scored"))
+def q_decide(spark, sf):
+    return B.scored(spark, sf).select("id", X.decide("p", 0.16).alias("pred"), X.decide("p2", F.col("p")).alias("p2_at_least_p"))
+
+
+@register("F18_days_between", oracle(
+    "SELECT loan_id, CAST(date_diff('day', CAST(earliest_cr_line AS DATE), CAST(issue_d AS DATE)) AS INTEGER) AS credit_days, "
+    "CAST(date_diff('day', CAST(issue_d AS DATE), CAST(last_pymnt_d AS DATE)) AS INTEGER) AS paid_days FROM loans", "loans"))
+def q_days(spark, sf):
+    return B.loans(spark, sf).select("loan_id", X.days_between("issue_d", "earliest_cr_line").alias("credit_days"), X.days_between("last_pymnt_d", "issue_d").alias("paid_days"))

@@ -20,7 +20,7 @@ from riskframe.plans.common import r6
 from riskframe.plans.evaluation import _GRID, rank_sql, thr_sql
 from riskframe.plans.registry import register
 from riskframe.plans.relational import _CARD_CTES
-from riskframe.session import checkpoint_dir
+from riskframe.session import checkpoint_dir, cut_lineage
 from riskframe.sources import bindings as B
 from riskframe.sources import versions as V
 from riskframe.sources.bindings import oracle
@@ -93,7 +93,7 @@ def q_search(spark, sf):
 
 
 #: Eight parameters of the boosted trees.
-BOOSTING_SPACE = {"iters": (1, 3), "depth": (2, 4), "step": (0.05, 0.5), "subsample": (0.5, 1.0), "min_instances": (1, 30), "min_gain": (0.0, 0.01),
+BOOSTING_SPACE = {"iters": (1, 2), "depth": (2, 3), "step": (0.05, 0.5), "subsample": (0.5, 1.0), "min_instances": (1, 30), "min_gain": (0.0, 0.01),
                   "feature_subset": ["all", "sqrt", "onethird", "log2"], "max_bins": (8, 64)}
 
 
@@ -104,7 +104,7 @@ def q_halving(spark, sf):
     lab = B.labelled(spark, sf).filter(F.col("split") == "train")
     folds = R.time_folds(lab.select("loan_id", "issue_d"), "issue_d", "loan_id", 5).select("loan_id", "fold", "part")
     trials = L.sample_trials(BOOSTING_SPACE, 50)
-    return L.halving_search(rows.filter(F.col("split") == "train"), folds, feats, "target", trials, "loan_id", L.fit_gbt, scratch(spark, "trials"))
+    return L.halving_search(rows.filter(F.col("split") == "train"), folds, feats, "target", trials, "loan_id", L.fit_gbt, scratch(spark, "trials"), max_parallel=8)
 
 
 @register("L9_odds_ratios")
@@ -211,13 +211,21 @@ def q_runs_long(spark, sf):
     return r6(_runs_long(spark, sf))
 
 
-@register("S12_runs_table")
+@register("S12_runs_table", oracle("""SELECT run_name, 'metrics' AS kind, key, round(value, 6) AS value FROM rl
+UNION ALL SELECT r, 'selected', NULL, CAST(r = 'p' AS INTEGER)::DOUBLE FROM (VALUES ('p'), ('p2')) x(r)
+UNION ALL SELECT r, 'score column', r, NULL FROM (VALUES ('p'), ('p2')) x(r)""", "scored", extra=_RUN_CTES))
 def q_runs_table(spark, sf):
+    """The table of runs with its metrics, params and tags maps, opened up into rows."""
     long = _runs_long(spark, sf)
     params = long.select("run_name").distinct().select("run_name", F.lit("score_column").alias("key"), F.col("run_name").alias("value"))
     tags = long.select("run_name").distinct().select("run_name", F.lit("selected").alias("key"),
                                                      (F.col("run_name") == "p").cast("string").alias("value"))
-    return RUNS.runs_table(long, params, tags)
+    runs = cut_lineage(RUNS.runs_table(long, params, tags))
+    part = lambda kind, key, value: (F.lit(kind).alias("kind"), key.alias("key"), value.cast("double").alias("value"))
+    metrics = runs.select("run_name", F.explode("metrics").alias("k", "v")).select("run_name", *part("metrics", F.col("k"), F.col("v")))
+    tags = runs.select("run_name", *part("selected", F.lit(None).cast("string"), (F.col("tags")["selected"] == "true").cast("int")))
+    names = runs.select("run_name", *part("score column", F.col("params")["score_column"], F.lit(None)))
+    return r6(metrics.unionByName(tags).unionByName(names))
 
 
 @register("S13_query_runs", oracle("SELECT run_name, key, round(value, 6) AS value FROM rl WHERE key = 'test_pr_auc' AND value > 0", "scored",
@@ -246,9 +254,22 @@ def q_compare_models(spark, sf):
     return r6(RUNS.compare_models(_runs_long(spark, sf), ["p", "p2"], "p"))
 
 
-@register("S14_metrics_to_json")
+@register("S14_metrics_to_json", oracle("SELECT run_name, split, roc_auc, pr_auc, brier, precision, recall FROM ev", "scored", extra=_RUN_CTES))
 def q_metrics_json(spark, sf):
-    return RUNS.metrics_to_json(_evals(spark, sf), ["run_name", "split"], RUN_METRICS + ["threshold", "tn", "fp", "fn", "tp"])
+    """Each evaluation as a JSON document, read back as a reader of the document would."""
+    docs = RUNS.metrics_to_json(_evals(spark, sf), ["run_name", "split"], RUN_METRICS + ["threshold", "tn", "fp", "fn", "tp"])
+    got = F.from_json("document", ", ".join(f"{m} double" for m in RUN_METRICS))
+    return r6(docs.select("run_name", "split", got.alias("m")).select("run_name", "split", "m.*"))
+
+
+_MEAN_CTES = {"g": _GRID, "s_m": "SELECT id, y, (p + p2) / 2.0 AS p, split FROM scored", "c_m": _curve("s_m"), "ev": _e7_sql("m", "s_m")}
+
+
+@register("L10_F21_mean_score", oracle("SELECT split, roc_auc, pr_auc, brier, precision, recall FROM ev", "scored", extra=_MEAN_CTES))
+def q_mean_score(spark, sf):
+    """The mean of the two scores, its threshold tuned anew on val."""
+    ens = L.ensemble(B.scored(spark, sf).select("y", "split", "p", "p2"), ["p", "p2"], "p_ensemble")
+    return r6(E.evaluate(ens, "y", "p_ensemble", "split", CostSpec(), "val").select("split", *RUN_METRICS))
 
 
 @register("L11_S16_model_registry")
