@@ -1,14 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 The examples are a bounded sample of labelled rows. A word's terms are the word
-itself and its proper beginnings of 3 to 9 characters (written with ``*``), so
+itself and its proper beginnings of 4 and 5 characters (written with ``*``), so
 that inflected and compound forms share terms. Every term of every example is
 indexed, with a TF-IDF weight (document frequencies over all documents) times an
 emphasis of 0.05 to 1 that grows with the term's tie to label 1. Words of a text that
 share no term with any example cannot match; they count in its length, each with
-weight 1. A text's nearest examples are found exactly: blocks of examples are read
-by descending upper bound (sum over the text's terms of term weight times the
-block's largest weight), and none that can beat the k-th best is left out.
+weight 1. A text's nearest examples are found exactly: terms that many examples hold
+are whole rows of weights and give every example a first score; blocks of examples
+whose best score plus upper bound (sum over the text's other terms of term weight times
+the block's largest weight) is below the k-th best are passed over, and the postings of
+the others are added. Documents are cut into terms once; frequencies and scores use the
+stored counts.
 Similarity-weighted votes of the neighbours, calibrated by a logistic curve on
 leave-one-out votes, give the score; the neighbours and the terms that bind the
 text to them are its evidence. Every whole text is scored.
@@ -20,17 +23,20 @@ import math
 import re
 import sys
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from riskframe.llm.common import give_back, labelled_sample, ship_by_value
+from riskframe.session import checkpoint_dir
 
 ship_by_value(__name__)
 
@@ -45,8 +51,10 @@ def _marks() -> str:
 #: Letters, digits, combining marks and underscores; the one tokenizer of learning, frequencies and scores.
 WORD = re.compile(rf"[\w{_marks()}]+")
 BLOCK = 64
+#: A term that at least one example in so many holds is common.
+COMMON_SHARE = 4
 #: Lengths of word beginnings that are terms.
-STEMS = (3, 4, 5, 6, 7, 8, 9)
+STEMS = (4, 5)
 
 
 def word_terms(w: str) -> list[str]:
@@ -135,52 +143,71 @@ class BlockMaxIndex:
         self.block = (self.examples[starts] // BLOCK).astype(np.int32)
         self.largest = np.maximum.reduceat(self.weights, starts) if len(starts) else np.empty(0)
         self.first = np.searchsorted(t[starts], np.arange(terms + 1)).astype(np.int32)
-
-    def _entries(self, vec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The vector's entries, the place of each one's term in the vector, and that term's weight."""
-        t, q = _arrays(vec)
+        self.vectors = parts
+        held = np.bincount(t, minlength=terms)
+        common = np.flatnonzero(held * COMMON_SHARE >= max(1, self.size))
+        self.row_of = np.full(terms, -1, np.int32)
+        self.row_of[common] = np.arange(len(common))
+        self.rows = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"rows": None}  # built again where it is used
+
+    def common_rows(self) -> np.ndarray:
+        """Weights of the common terms in all examples (at most COMMON_SHARE times the postings)."""
+        if self.rows is None:
+            common = np.flatnonzero(self.row_of >= 0)
+            rows = np.zeros((len(common), self.size))
+            at, _ = spread(self.first[common], self.first[common + 1])
+            p, owner = self._postings(at)
+            term = np.repeat(np.arange(len(common)), self.first[common + 1] - self.first[common])
+            rows[term[owner], self.examples[p]] = self.weights[p]
+            self.rows = rows
+        return self.rows
+
+    def _entries(self, t: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms' entries, and the weight asked for each one's term."""
         at, owner = spread(self.first[t], self.first[t + 1])
-        return at, owner, q[owner]
+        return at, q[owner]
 
     def _postings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return spread(self.starts[at], self.starts[at + 1])
 
     def nearest(self, vec, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine as (cosine, example), ties by example; ``without`` is left out.
-
-        The blocks of the largest bounds are read first, then all others that can hold an example as good as the k-th best.
-        """
+        """The k examples of largest positive cosine as (cosine, example), ties by example; ``without`` is left out."""
         if not len(vec) or not self.size:
             return []
-        at, _, q = self._entries(vec)
-        block = self.block[at]
-        bound = np.bincount(block, q * self.largest[at], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for group in (order[:4], order[4:]):
-            floor = -best[-1][0] if len(best) == k else 0.0
-            group = group[(bound[group] > 0) & (bound[group] >= floor - 1e-9)]
-            if not len(group):
-                continue
-            chosen = np.zeros(self.blocks, bool)
-            chosen[group] = True
-            here = np.flatnonzero(chosen[block])
-            p, owner = self._postings(at[here])
-            score = np.round(np.bincount(self.examples[p], q[here][owner] * self.weights[p], minlength=self.size), 12)
-            hits = np.flatnonzero((score > 0) & (score >= floor))
-            hits = hits[hits != without]
-            hits = hits[np.argsort(-score[hits], kind="stable")[:k]]
-            best = sorted(best + [(-float(score[i]), int(i)) for i in hits])[:k]
-        return [(-s, i) for s, i in best]
+        t, q = _arrays(vec)
+        row = self.row_of[t]
+        common = row >= 0
+        score = q[common] @ self.common_rows()[row[common]] if common.any() else np.zeros(self.size)
+        if without >= 0:
+            score[without] = 0.0
+        floor = float(np.partition(score, -k)[-k]) if self.size > k else 0.0
+        at, w = self._entries(t[~common], q[~common])
+        gain = np.bincount(self.block[at], w * self.largest[at], minlength=self.blocks)
+        alive = np.maximum.reduceat(score, np.arange(0, self.size, BLOCK)) + gain >= floor - 1e-9
+        here = alive[self.block[at]]
+        p, owner = self._postings(at[here])
+        score = score + np.bincount(self.examples[p], w[here][owner] * self.weights[p], minlength=self.size)
+        if without >= 0:
+            score[without] = 0.0
+        score = np.round(score, 12)
+        least = np.partition(score, -k)[-k] if self.size > k else 0.0
+        hits = np.flatnonzero((score > 0) & (score >= least))
+        hits = hits[np.argsort(-score[hits], kind="stable")[:k]]
+        return [(float(score[i]), int(i)) for i in hits]
 
     def shared(self, vec, examples: list[int]) -> np.ndarray:
         """What each of the vector's terms adds to the cosines with these examples."""
-        at, owner, q = self._entries(vec)
-        here = np.flatnonzero(np.isin(self.block[at], np.array(examples, np.int32) // BLOCK))
-        p, o = self._postings(at[here])
-        hit = np.isin(self.examples[p], examples)
-        p, o = p[hit], here[o[hit]]
-        return np.bincount(owner[o], q[o] * self.weights[p], minlength=len(_arrays(vec)[0]))
+        t, q = _arrays(vec)
+        out = np.zeros(len(t))
+        for i in examples:
+            e, w = self.vectors[i]
+            at = np.minimum(np.searchsorted(t, e), max(0, len(t) - 1))
+            hit = t[at] == e if len(t) else np.zeros(len(e), bool)
+            out[at[hit]] += q[at[hit]] * w[hit]
+        return out
 
 
 @dataclass
@@ -273,6 +300,12 @@ def fit_examples(docs: DataFrame, labels: DataFrame, label_col: str, usable: Col
 
     Equal texts are one example (the smallest id, the rounded mean label).
     """
+    return _fit(docs, labels, label_col, usable, id_col, text_col, [], max_per_label, k)[0]
+
+
+def _fit(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str, text_col: str, keep, max_per_label: int,
+         k: int) -> tuple[Examples, DataFrame]:
+    """The model, and the documents' columns ``keep`` with their stored term counts (``__terms``)."""
     sample = labelled_sample(labels, label_col, usable, id_col, max_per_label)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(sample), "id")
     texts = texts.groupBy(F.md5(F.lower("t").cast("binary")).alias("h")).agg(
@@ -284,7 +317,8 @@ def fit_examples(docs: DataFrame, labels: DataFrame, label_col: str, usable: Col
 
     names = texts.select(F.explode(all_terms("t")).alias("w")).distinct().toArrow()["w"].to_pylist()  # bounded by the examples' words
     terms = {w: t for t, w in enumerate(sorted(names))}
-    df, n = document_frequencies(count_terms(docs.select(F.col(text_col).alias("text")), terms)), docs.count()
+    counted = stored(count_terms(docs.select(*[F.col(f"`{c}`").alias(c) for c in keep], F.col(text_col).alias("__text")), terms, "__text"))
+    df, n = document_frequencies(counted), counted.count()
     rows = count_terms(texts.select("id", "y", F.col("t").alias("text")), terms).select("id", "y", "__terms.*").toArrow()
     texts.unpersist()
     ids, ys = rows["id"].to_pylist(), rows["y"].to_pylist()
@@ -310,7 +344,7 @@ def fit_examples(docs: DataFrame, labels: DataFrame, label_col: str, usable: Col
     model = Examples(terms, idf, BlockMaxIndex(vecs, len(terms)), [ids[i] for i in order], y, weight, k)
     votes = np.array([model.vote(v, i)[0] for i, v in enumerate(vecs)])
     model.slope, model.offset = calibrate(votes, y, weight)
-    return model
+    return model, counted
 
 
 def score_toxicity(docs: DataFrame, model: Examples, text_col: str = "text", id_type: str = "bigint") -> DataFrame:
@@ -336,7 +370,27 @@ def score_toxicity(docs: DataFrame, model: Examples, text_col: str = "text", id_
 
 
 def fit_and_score(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_col: str = "doc_id", text_col: str = "text",
-                  **options) -> DataFrame:
-    """``fit_examples``, then ``score_toxicity`` of the same documents."""
-    model = fit_examples(docs, labels, label_col, usable, id_col, text_col, **options)
-    return score_toxicity(docs, model, text_col, dict(docs.dtypes)[id_col])
+                  max_per_label: int = 2500, k: int = 15) -> DataFrame:
+    """``fit_examples``, then ``score_toxicity`` of the same documents from the term counts that the fit has stored."""
+    added = ("score", "nearest", "evidence_ids", "evidence_terms")
+    keep = [c for c in docs.columns if c not in (*added, text_col)]
+    model, counted = _fit(docs, labels, label_col, usable, id_col, text_col, keep, max_per_label, k)
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+
+    @pandas_udf(f"score double, nearest double, evidence_ids array<{dict(docs.dtypes)[id_col]}>, evidence_terms array<string>")
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = cloudpickle.loads(sent.value)
+        for b in batches:
+            yield pd.DataFrame([m.score((dict(zip(t.tolist(), n.tolist())), r)) for t, n, r in zip(b["t"], b["n"], b["rest"])], columns=list(added))
+        give_back()
+
+    scored = counted.select(*[F.col(f"`{c}`") for c in keep], score(F.col("__terms")).alias("__p"))
+    return scored.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"__p.{c}") for c in added])
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet to the shared checkpoint folder, and read again."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/counted-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
