@@ -8,7 +8,7 @@ from pyspark.sql.types import DateType, DoubleType, LongType, StringType, Struct
 from riskframe.functions import exprs as X
 from riskframe.operators import features as M
 from riskframe.operators import prep
-from riskframe.operators.scenarios import expand_profile
+from riskframe.operators.scenarios import expand_profile, full_application
 from riskframe.plans.common import r6
 from riskframe.plans.registry import register
 from riskframe.sources import bindings as B
@@ -107,6 +107,96 @@ def q_profile(spark, sf):
     return out.select(*cols).withColumn("risk_score", X.round6(F.col("risk_score")))
 
 
+_APP_INPUTS_SQL = _INPUTS_SQL.replace(" FROM logs", ", term, emp_length, home_ownership, purpose FROM logs")
+_LATE = "delinq_2yrs > 0"
+
+
+def _when(cond, then, other="NULL"):
+    return f"CASE WHEN {cond} THEN {then} ELSE {other} END"
+
+
+# The form's rules once more, one level of names at a time.
+_APP_LEVELS = [
+    f"""*, {_RISK_SQL} AS r, {_APR_SQL} AS apr""",
+    f"""*, {_inst_sql('loan_amnt', 'apr', 'term_months')} AS installment, {_c('revol_util * 1.05', '0.0', '100.0')} AS bcu,
+  {_jr(_c('annual_inc * 0.22 * (1.0 - 0.4 * r)', '2000.0', '250000.0'))} AS total_rev_hi_lim,
+  greatest(CAST(open_acc AS DOUBLE), {_jr('open_acc + credit_history_years * 0.6 + r * 2.0')}) AS total_acc,
+  {_when("home_ownership = 'MORTGAGE'", _jr('1.0 + (1.0 - r) * 2.0'), '0.0')} AS mort_acc, {_jr(_c('24.0 - r * 20.0', '1.0', '60.0'))} AS mo_sin_rcnt_tl,
+  {_jr('annual_inc * 0.15 * (1.0 - r * 0.3)')} AS total_il_high_credit_limit, {_jr('1.0 + 3.0 * r')} AS num_tl_op_past_12m""",
+    f"""*, {_jr('revol_util / 100.0 * total_rev_hi_lim')} AS revol_bal, {_jr('total_rev_hi_lim * 0.6')} AS total_bc_limit,
+  greatest(1.0, {_jr('total_acc * 0.55')}) AS num_rev_accts, mo_sin_rcnt_tl + {_jr('r * 3.0')} AS mo_sin_rcnt_rev_tl_op""",
+    f"""*, least(CAST(open_acc AS DOUBLE), num_rev_accts) AS num_op_rev_tl, {_jr('revol_bal + total_il_high_credit_limit * 0.3')} AS total_bal_ex_mort""",
+    f"""*, greatest(1.0, {_jr('num_op_rev_tl * 0.8')}) AS num_actv_rev_tl, {_jr('total_bal_ex_mort + ' + _when('mort_acc > 0', 'annual_inc * 1.5', '0.0'))} AS tot_cur_bal""",
+    f"""*, greatest(0.0, {_jr('num_actv_rev_tl * 0.5')}) AS num_actv_bc_tl""",
+    f"""*, greatest(num_actv_bc_tl, {_jr('num_rev_accts * 0.4')}) AS num_bc_tl""",
+]
+_APP_OWN = {
+    "pub_rec": _when("r > 0.75", "1.0", "0.0"), "tax_liens": _when("r > 0.9", "1.0", "0.0"),
+    "collections_12_mths_ex_med": _when("r > 0.7", "1.0", "0.0"), "chargeoff_within_12_mths": _when("r > 0.8", "1.0", "0.0"),
+    "acc_now_delinq": _when("delinq_2yrs >= 4", "1.0", "0.0"), "num_accts_ever_120_pd": _when("delinq_2yrs >= 2", "1.0", "0.0"),
+    "num_tl_90g_dpd_24m": _when("delinq_2yrs >= 3", "1.0", "0.0"), "num_tl_30dpd": _when("delinq_2yrs >= 1 AND r > 0.7", "1.0", "0.0"),
+    "delinq_amnt": _when("delinq_2yrs >= 4", _jr("200.0 + 800.0 * r"), "0.0"), "tot_coll_amt": _when("r > 0.6", _jr("500.0 * r"), "0.0"),
+    "acc_open_past_24mths": _jr("num_tl_op_past_12m * 1.5"), "avg_cur_bal": _jr("tot_cur_bal / greatest(1.0, total_acc)"),
+    "bc_open_to_buy": f"greatest(0.0, {_jr('total_bc_limit - bcu / 100.0 * total_bc_limit')})", "bc_util": _jr("bcu"),
+    "mo_sin_old_il_acct": f"greatest(12.0, {_jr('credit_history_years * 12.0 * 0.8')})",
+    "mo_sin_old_rev_tl_op": "greatest(12.0, credit_history_years * 12.0 - mo_sin_rcnt_rev_tl_op)",
+    "num_bc_sats": f"greatest(0.0, {_jr('num_bc_tl * (1.0 - r * 0.1)')})", "num_il_tl": f"greatest(0.0, {_jr('total_acc - num_rev_accts - mort_acc')})",
+    "num_rev_tl_bal_gt_0": f"greatest(0.0, {_jr('num_actv_rev_tl * 0.85')})", "num_sats": f"least(total_acc, {_jr('total_acc * (1.0 - r * 0.15)')})",
+    "num_tl_120dpd_2m": "0.0", "pct_tl_nvr_dlq": _jr(_c("100.0 - r * 35.0", "60.0", "100.0")), "percent_bc_gt_75": _jr(_c("(bcu - 50.0) * 2.0", "0.0", "100.0")),
+    "pub_rec_bankruptcies": _when("r > 0.75", "1.0", "0.0"),
+    "tot_hi_cred_lim": _jr("total_rev_hi_lim + total_il_high_credit_limit + " + _when("mort_acc > 0", "annual_inc * 2.0", "0.0")),
+    "fico_range_high": "fico_range_low + 4", "mths_since_last_delinq": _when(_LATE, _jr("greatest(1.0, 24.0 - delinq_2yrs * 4.0)")),
+    "mths_since_last_record": _when("r > 0.75", _jr("30.0 + 20.0 * r")), "mths_since_last_major_derog": _when("r > 0.75", _jr("20.0 - 10.0 * r")),
+    "mths_since_recent_bc": _jr("6.0 + 30.0 * (1.0 - r)"), "mths_since_recent_bc_dlq": _when(f"{_LATE} AND r > 0.5", _jr("12.0 + 20.0 * r")),
+    "mths_since_recent_inq": _when("inq_last_6mths > 0", _jr("1.0 + greatest(0.0, 6.0 - inq_last_6mths)"), _jr("12.0 + (1.0 - r) * 20.0")),
+    "mths_since_recent_revol_delinq": _when(f"{_LATE} AND r > 0.5", _jr("15.0 + 25.0 * r")),
+    "earliest_cr_line": "CAST(CAST('2024-01-31' AS DATE) - to_years(credit_history_years) AS DATE)",
+    "verification_status": "CASE WHEN r < 0.3 THEN 'Verified' WHEN r < 0.6 THEN 'Source Verified' ELSE 'Not Verified' END",
+    "addr_state": "'CA'", "initial_list_status": "'w'",
+}
+_APP_TEXT = {"earliest_cr_line", "term", "emp_length", "home_ownership", "verification_status", "purpose", "addr_state", "initial_list_status"}
+_APP_FROM = "inp"
+for _level in _APP_LEVELS:
+    _APP_FROM = f"(SELECT {_level} FROM {_APP_FROM}) x"
+APPLICATION_SQL = "SELECT id, " + ", ".join(
+    f"{_APP_OWN.get(f, f)} AS {f}" if f in _APP_TEXT else f"CAST({_APP_OWN.get(f, f)} AS DOUBLE) AS {f}" for f in specs.APPLICATION_FIELDS) + f" FROM {_APP_FROM}"
+
+
+def application_inputs(logs):
+    """The form's inputs as the prediction log has them."""
+    k = F.col("request_id")
+    return logs.select(
+        k.alias("id"), "loan_amnt", _term_months().alias("term_months"), "annual_inc", "dti", "fico_range_low", "revol_util",
+        F.floor(F.datediff("issue_d", "earliest_cr_line") / F.lit(365.25)).cast("int").alias("credit_history_years"),
+        "delinq_2yrs", (k % 7).cast("double").alias("inq_last_6mths"), (F.lit(3) + k % 20).cast("int").alias("open_acc"),
+        "term", "emp_length", "home_ownership", "purpose")
+
+
+@register("F13_full_application", oracle(APPLICATION_SQL, "logs", extra={"inp": _APP_INPUTS_SQL}))
+def q_application(spark, sf):
+    return full_application(application_inputs(B.prediction_logs(spark, sf)), B.LOG_AS_OF)
+
+
+@register("S9_log_full_records", oracle(
+    f"SELECT a.* EXCLUDE (id), l.request_id, l.logged_at, l.issue_d, l.pred, round(l.prob, 6) AS prob, CAST(l.logged_at AS DATE) AS log_date "
+    f"FROM ({APPLICATION_SQL}) a JOIN logs l ON l.request_id = a.id", "logs", extra={"inp": _APP_INPUTS_SQL}))
+def q_log_records(spark, sf):
+    """Log records of all 66 inputs in their fixed order, appended by two runs (one of them repeated) and read back."""
+    from riskframe.sources import io as IO
+    from riskframe.streaming.jobs import scratch
+
+    logs = B.prediction_logs(spark, sf)
+    full = full_application(application_inputs(logs), B.LOG_AS_OF).withColumnRenamed("id", "request_id")
+    records = full.join(logs.select("request_id", "logged_at", "issue_d", "pred", "prob"), "request_id")
+    spec, path = ["request_id", "logged_at", "issue_d", *specs.APPLICATION_FIELDS, "pred", "prob"], scratch(spark, "full-log")
+    for run, part in (("even", 0), ("odd", 1), ("odd", 1)):
+        IO.append_log(records.filter(F.col("request_id") % 2 == part), path, spec, run)
+    back = IO.read_runs(spark, path)
+    if back.columns != [*spec, "log_date"]:
+        raise ValueError("the log table has lost its column order")
+    return back.withColumn("prob", X.round6(F.col("prob")))
+
+
 _NAMES_SQL = """SELECT DISTINCT 'cat__emp_length_' || coalesce(emp_length, 'missing') AS name FROM labelled WHERE split = 'train'
 UNION SELECT DISTINCT 'cat__purpose_' || coalesce(purpose, 'missing') FROM labelled WHERE split = 'train'
 UNION SELECT 'num__' || f FROM (VALUES ('annual_inc'), ('dti'), ('loan_amnt')) v(f)"""

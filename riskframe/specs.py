@@ -189,3 +189,40 @@ class CostSpec:
     @property
     def theoretical_threshold(self) -> float:
         return self.fp_cost / (self.fp_cost + self.fn_cost)
+
+
+# ----------------------------------------------------------------- full application (fixed values)
+
+#: The 66 inputs of an application, in the order in which the prediction log stores them.
+APPLICATION_FIELDS = """
+loan_amnt installment annual_inc dti delinq_2yrs inq_last_6mths open_acc pub_rec revol_bal revol_util total_acc
+collections_12_mths_ex_med acc_now_delinq tot_coll_amt tot_cur_bal total_rev_hi_lim acc_open_past_24mths avg_cur_bal bc_open_to_buy
+bc_util chargeoff_within_12_mths delinq_amnt mo_sin_old_il_acct mo_sin_old_rev_tl_op mo_sin_rcnt_rev_tl_op mo_sin_rcnt_tl mort_acc
+num_accts_ever_120_pd num_actv_bc_tl num_actv_rev_tl num_bc_sats num_bc_tl num_il_tl num_op_rev_tl num_rev_accts num_rev_tl_bal_gt_0
+num_sats num_tl_120dpd_2m num_tl_30dpd num_tl_90g_dpd_24m num_tl_op_past_12m pct_tl_nvr_dlq percent_bc_gt_75 pub_rec_bankruptcies
+tax_liens tot_hi_cred_lim total_bal_ex_mort total_bc_limit total_il_high_credit_limit fico_range_low fico_range_high
+mths_since_last_delinq mths_since_last_record mths_since_last_major_derog mths_since_recent_bc mths_since_recent_bc_dlq
+mths_since_recent_inq mths_since_recent_revol_delinq earliest_cr_line term emp_length home_ownership verification_status purpose
+addr_state initial_list_status
+""".split()
+
+#: 1 where the risk score lies above the bound, else 0.
+FLAGS_ABOVE_RISK = {"pub_rec": 0.75, "tax_liens": 0.9, "collections_12_mths_ex_med": 0.7, "chargeoff_within_12_mths": 0.8}
+#: 1 from that number of delinquencies in two years, else 0.
+FLAGS_FROM_DELINQ = {"acc_now_delinq": 4, "num_accts_ever_120_pd": 2, "num_tl_90g_dpd_24m": 3}
+#: Rounded base + a * risk + b * (1 - risk).
+RISK_LINES = {
+    "num_tl_op_past_12m": (1.0, 3.0, 0.0),
+    "delinq_amnt": (200.0, 800.0, 0.0),
+    "tot_coll_amt": (0.0, 500.0, 0.0),
+    "mths_since_last_record": (30.0, 20.0, 0.0),
+    "mths_since_last_major_derog": (20.0, -10.0, 0.0),
+    "mths_since_recent_bc": (6.0, 0.0, 30.0),
+    "mths_since_recent_bc_dlq": (12.0, 20.0, 0.0),
+    "mths_since_recent_revol_delinq": (15.0, 25.0, 0.0),
+}
+#: Verification status by risk score: below the bound; else the last.
+VERIFICATION_BY_RISK = [(0.3, "Verified"), (0.6, "Source Verified")]
+VERIFICATION_ELSE = "Not Verified"
+#: What the form does not ask.
+APPLICATION_CONSTANTS = {"addr_state": "CA", "initial_list_status": "w"}
