@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import shuffle_partitions
-from riskframe.operators.windowing import search_sorted
+from riskframe.operators.windowing import _rank_value, search_sorted
 
 #: A paragraph is a line; a line longer than this is cut after the next '. ', with ``finer`` cuts also at other places of its content.
 LONG_LINE = 120
@@ -143,7 +143,8 @@ def _outcome(p: Column) -> Column:
 def add_difference(rows: DataFrame, out: str, digests_a: str, sketch_a: str, digests_b: str, sketch_b: str) -> DataFrame:
     """Adds ``out`` = struct(ok, found): digests only in one text, recovered from the sketches.
 
-    ``ok`` is false only if a block's largest sketch fails; ``found`` then holds what was recovered elsewhere.
+    A block whose largest sketch fails too is compared digest by digest, so ``found`` is always the whole difference;
+    ``ok`` says that the sketches alone gave it.
     """
     none = F.array().cast("array<array<bigint>>")
     keep = rows.columns
@@ -158,7 +159,10 @@ def add_difference(rows: DataFrame, out: str, digests_a: str, sketch_a: str, dig
     for c in BLOCK_SIZES:
         rows = rows.withColumn("__r", F.transform("__r", lambda r, i: F.when(r["ok"], r).otherwise(_let(
             peel(subtract(sketch(F.col("__x")[i], c), sketch(F.col("__y")[i], c)), c), _outcome))))
-    larger = F.struct(F.forall("__r", lambda r: r["ok"]).alias("ok"), F.flatten("__r.found").alias("found"))
+    signed = lambda d, s: F.transform(d, lambda x: F.struct(x.alias("d"), F.lit(s).alias("s")))
+    apart = lambda i: F.concat(signed(F.array_except(F.col("__x")[i], F.col("__y")[i]), 1), signed(F.array_except(F.col("__y")[i], F.col("__x")[i]), -1))
+    whole = F.transform("__r", lambda r, i: F.when(r["ok"], r["found"]).otherwise(apart(i)))
+    larger = F.struct(F.forall("__r", lambda r: r["ok"]).alias("ok"), F.flatten(whole).alias("found"))
     return rows.select(*keep, F.when(F.col("__p.ok"), F.col("__p")).otherwise(larger).alias(out))
 
 
@@ -186,9 +190,10 @@ def with_next(docs: DataFrame, id_col: str, carried: list[str], rows_per_bucket:
     n = docs.count()
     buckets = int(min(65_536, max(8 * shuffle_partitions(spark), n // rows_per_bucket, 2)))
     levels = [i / buckets for i in range(1, buckets)]
-    edges = docs.agg(F.percentile_approx(F.col(id_col), levels, 10 * buckets)).first()[0] or []
+    place = _rank_value(docs, id_col)  # grows with the id, whatever its type
+    edges = docs.agg(F.percentile_approx(place, levels, 10 * buckets)).first()[0] or []
     edges = sorted(set(edges))
-    b = search_sorted(F.col(id_col), F.array(*[F.lit(e) for e in edges]), len(edges)) if edges else F.lit(0)
+    b = search_sorted(place, F.array(*[F.lit(e) for e in edges]), len(edges)) if edges else F.lit(0)
     spread = F.lit(-1) - F.pmod(F.xxhash64(*[F.col(c) for c in carried]), F.lit(buckets)).cast("int")
     # first row (largest id) of each non-empty range, and the range that comes before it by descending id
     heads = docs.select(id_col).filter(F.col(id_col).isNotNull()).groupBy(b.alias("__nb")).agg(F.max(id_col).alias("__head"))
@@ -215,7 +220,7 @@ def fingerprint_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Columns: id, n_chars, n_paragraphs, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next, edited_added and edited_removed (recovered digests, only in the edited / only in the
-    original text), decoded (both differences were recovered whole).
+    original text), decoded (both differences came from the sketches alone).
 
     * NULL text is empty: no paragraphs, an all-zero fingerprint, likeness 1 with another empty text, else 0.
     * A NULL id has no next document: the edited text is cut, near_next compares with an empty text.

@@ -143,7 +143,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, words: list[str], text_col: str = "text", min_ratio: float = 0.6) -> DataFrame:
     """``docs`` plus n_assign, n_access, n_hex, n_novel, base_spans and spans.
 
-    Spans are ``kind:start:end`` in code points, end exclusive, ordered by start then kind, comma-joined.
+    Spans are ``kind:start:end`` in code points, end exclusive, ordered by start then kind, comma-joined. Novel strings are
+    looked for within 48 characters of a sensitive word on either side (see ``novel_spans``).
 
     * NULL and empty texts have no spans (zero counts, empty strings). Whole texts are scanned.
     * A place that fits several base kinds is listed once for each; novelty adds only places that no base span touches.

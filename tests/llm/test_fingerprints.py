@@ -82,3 +82,23 @@ def test_texts_without_line_or_sentence_ends_and_repeated_sentences(docs_of):
     for i, t in rows:
         assert got[i].n_paragraphs >= 15 and got[i].near_edited > 0.2 and got[i].decoded, i
     assert got[4].n_paragraphs == 20
+
+
+def test_a_block_that_never_peels_is_compared_whole(docs_of, monkeypatch):
+    texts = ["\n".join(f"line {i}" for i in range(a, b)) for a, b in ((0, 60), (5, 90), (200, 260), (30, 31))]
+    want = [r.asDict() for r in P.fingerprint_versions(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    monkeypatch.setattr(P, "BLOCK_SIZES", ())  # every block that the first sketch leaves fails
+    got = [r.asDict() for r in P.fingerprint_versions(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert any(w["decoded"] and not g["decoded"] for w, g in zip(want, got))
+    for w, g in zip(want, got):
+        assert (g["near_edited"], g["near_next"]) == (w["near_edited"], w["near_next"])
+        assert sorted(g["edited_added"]) == sorted(w["edited_added"]) and sorted(g["edited_removed"]) == sorted(w["edited_removed"])
+
+
+def test_ids_may_be_text(spark):
+    rows = [(f"doc-{i:03}", f"text number {i}") for i in range(40)]
+    got = P.fingerprint_versions(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    byte = {r.doc_id: r for r in got}
+    assert len(byte) == 40
+    numbered = P.fingerprint_versions(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {f"doc-{r.doc_id:03}": r.edited_sha256 for r in numbered} == {k: r.edited_sha256 for k, r in byte.items()}
