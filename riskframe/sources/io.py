@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -26,7 +27,7 @@ _READERS: dict[tuple[str, str], DataFrame] = {}
 _BUILD_LOCK = threading.RLock()  # a build may itself read a stored table
 
 
-def file_system(spark: SparkSession, path: str):
+def _file_system(spark: SparkSession, path: str):
     """(file system, path) of Hadoop, whatever store the path is in."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -36,7 +37,7 @@ def input_fingerprint(spark: SparkSession, paths) -> str:
     """Digest of the names, sizes and modification times of all files under ``paths``."""
     seen = []
     for path in paths:
-        fs, p = file_system(spark, path)
+        fs, p = _file_system(spark, path)
         files = fs.listFiles(p, True)
         while files.hasNext():
             f = files.next()
@@ -46,13 +47,13 @@ def input_fingerprint(spark: SparkSession, paths) -> str:
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` ended: Spark leaves ``_SUCCESS`` as its last step."""
-    fs, p = file_system(spark, f"{path}/_SUCCESS")
+    fs, p = _file_system(spark, f"{path}/_SUCCESS")
     return fs.exists(p)
 
 
 def finished_parts(spark: SparkSession, path: str, name: str) -> dict[int, str]:
     """{n: folder} of the complete folders ``<name>=<n>`` under ``path``; a missing ``path`` has none."""
-    fs, p = file_system(spark, path)
+    fs, p = _file_system(spark, path)
     if not fs.exists(p):
         return {}
     found = {}
@@ -65,7 +66,7 @@ def finished_parts(spark: SparkSession, path: str, name: str) -> dict[int, str]:
 
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder this program wrote, in whatever store it is."""
-    fs, p = file_system(spark, path)
+    fs, p = _file_system(spark, path)
     fs.delete(p, True)
 
 
@@ -130,11 +131,24 @@ def parse_month_dates(df: DataFrame, cols, drop_bad: bool = True) -> DataFrame:
 
 
 def write_checked(df: DataFrame, path: str, metrics: dict[str, Column], partition_by=None) -> dict[str, object]:
-    """Write ``df`` as Parquet and return aggregates over the written rows, both in one pass (Spark's ``observe``)."""
-    seen = Observation()
-    w = df.observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    return seen.get
+    """Write ``df`` as Parquet and return aggregates over the written rows, both in one pass (Spark's ``observe``).
+
+    The write runs in a session of its own, with the same settings: a session that has observed something can no longer be
+    sent along with an ML model's training summary, and learners use the caller's session.
+    """
+    spark, view = df.sparkSession, f"observed_{uuid.uuid4().hex}"
+    other = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            other.conf.set(key, value)
+    df.createGlobalTempView(view)
+    try:
+        seen = Observation()
+        w = other.table(f"global_temp.{view}").observe(seen, *[c.alias(n) for n, c in metrics.items()]).write.mode("overwrite")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+        return seen.get
+    finally:
+        spark.catalog.dropGlobalTempView(view)
 
 
 def split_metrics(splits, split: str, target: str, checks: dict[str, Column] | None = None) -> dict[str, Column]:
@@ -258,7 +272,7 @@ def append_run(df: DataFrame, path: str, run: str, partition_by: str) -> None:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """All rows of the runs whose write ended, without the run key; raises if there is none."""
-    fs, p = file_system(spark, path)
+    fs, p = _file_system(spark, path)
     names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
     whole = sorted(f"{path.rstrip('/')}/{n}" for n in names if n.startswith("run=") and is_complete(spark, f"{path.rstrip('/')}/{n}"))
     if not whole:

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
-from riskframe.sources.io import delete_folder, file_system
+from riskframe.sources.io import delete_folder, _file_system
 
 
 class Conflict(RuntimeError):
@@ -26,7 +26,7 @@ class Conflict(RuntimeError):
 
 def _create(spark: SparkSession, path: str, text: str) -> bool:
     """Create a small file; False if it exists already."""
-    fs, p = file_system(spark, path)
+    fs, p = _file_system(spark, path)
     try:
         out = fs.create(p, False)
     except Py4JJavaError:
@@ -39,7 +39,7 @@ def _create(spark: SparkSession, path: str, text: str) -> bool:
 
 
 def _read(spark: SparkSession, path: str) -> str:
-    fs, p = file_system(spark, path)
+    fs, p = _file_system(spark, path)
     stream = fs.open(p)
     try:
         return bytes(stream.readAllBytes()).decode()
@@ -49,7 +49,7 @@ def _read(spark: SparkSession, path: str) -> str:
 
 def _log(spark: SparkSession, folder: str) -> dict[int, str]:
     """{number: text} of the pointers in a folder; one that is being written (empty) does not count."""
-    fs, p = file_system(spark, folder)
+    fs, p = _file_system(spark, folder)
     if not fs.exists(p):
         return {}
     found = {int(f.getPath().getName()): f"{folder}/{f.getPath().getName()}" for f in fs.listStatus(p) if f.getLen() and f.getPath().getName().isdigit()}

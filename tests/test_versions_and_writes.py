@@ -144,3 +144,17 @@ def test_features_are_published_together(spark, root):
     m, s = loans(spark), spark.range(2)
     assert IO.write_features(m, s, root) == 1 and IO.write_features(m.limit(5), s, root) == 2
     assert IO.load_features(spark, root)[0].count() == 5 and IO.load_features(spark, root, 1)[0].count() == 60
+
+
+def test_learners_work_after_an_observed_write(spark, root):
+    from riskframe.operators import ml as L
+
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = IO.write_checked(loans(spark).groupBy("split").count(), f"{root}/t", {"rows": F.count(F.lit(1)), "n": F.sum("count")})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == {"rows": 3, "n": 60}
+    df = loans(spark).withColumn("x", F.col("loan_id").cast("double"))
+    model = L.fit_lr(df, ["x"], max_iter=2)
+    assert model.hasSummary and L.score(df, model, ["x"]).filter("p > 0").count() == 60
