@@ -156,19 +156,20 @@ def top_reason_rows(rows: DataFrame, k: int = 5) -> DataFrame:
 
     Order as in ``top_reasons``; ratio is relative to the record's strongest reason. Nothing is unpivoted or shuffled.
     """
-    strength = lambda c: F.round(F.abs(c["value"]), 12)
-    first = lambda a, b: F.when(strength(a) > strength(b), -1).when(strength(a) < strength(b), 1).when(
-        a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0)
-    best = F.slice(F.array_sort("contributions", first), 1, k)
-    other = [c for c in rows.columns if c != "contributions"]
-    top = rows.select(*other, best.alias("__best")).withColumn("__max", F.array_max(F.transform("__best", lambda c: F.abs(c["value"]))))
-
-    def reason(c, i):
-        ratio = F.abs(c["value"]) / F.when(F.col("__max") == 0, F.lit(1.0)).otherwise(F.col("__max"))
-        return F.struct(c["feature"].alias("feature"), c["value"].alias("value"), (i + 1).alias("rank"), ratio.alias("ratio"),
-                        reason_strength(ratio).alias("magnitude"))
-
-    return top.select(*other, F.transform("__best", reason).alias("reasons"))
+    keyed = F.transform("contributions", lambda c: F.struct((-F.round(F.abs(c["value"]), 12)).alias("k"), c["feature"].alias("feature"), c["value"].alias("value")))
+    best = F.slice(F.array_sort(keyed), 1, k)  # strongest first, then by name
+
+    def reason(largest):
+        def one(c, i):
+            ratio = F.abs(c["value"]) / F.when(largest == 0, F.lit(1.0)).otherwise(largest)
+            return F.struct(c["feature"].alias("feature"), c["value"].alias("value"), (i + 1).alias("rank"), ratio.alias("ratio"),
+                            reason_strength(ratio).alias("magnitude"))
+        return one
+
+    # a one-element array holds what is used more than once, so that it is evaluated once
+    reasons = F.transform(F.array(best), lambda b: F.transform(
+        F.array(F.array_max(F.transform(b, lambda c: F.abs(c["value"])))), lambda m: F.transform(b, reason(m)))[0])[0]
+    return rows.select(*[c for c in rows.columns if c != "contributions"], reasons.alias("reasons"))
 
 
 def explain_rows(reasons: DataFrame, lookup: DataFrame) -> DataFrame:
