@@ -79,3 +79,16 @@ def test_keyed_noise_does_not_depend_on_partitioning(spark):
     assert abs(mean) < 0.05 and abs(sum((x - mean) ** 2 for x in z) / len(z) - 1) < 0.06
     other = {r.id: r.z for r in df.select("id", keyed_normal(F.col("id"), "y", 7).alias("z")).collect()}
     assert sum(a[i] == other[i] for i in a) == 0
+
+
+def test_a_large_matrix_is_dealt_to_even_tasks(spark, monkeypatch):
+    df = rows(spark, 600).coalesce(1)
+    stats = M.fit(df, NUM, CAT)
+    index = M.feature_index(stats, NUM)
+    cells = lambda m: sorted(map(tuple, M.sparse_cells(m, ["id"]).collect()))
+    whole = cells(M.transform_sparse(df, stats, index, ["id"], NUM, CAT))
+    monkeypatch.setattr(M, "TASK_CELLS", 1000, raising=False)
+    monkeypatch.setattr(M, "TASK_ROWS", 10, raising=False)
+    dealt = M.transform_sparse(df, stats, index, ["id"], NUM, CAT)
+    sizes = [len(x) for x in dealt.select("id").rdd.glom().collect()]
+    assert len(sizes) == 6 and max(sizes) <= 110 and cells(dealt) == whole
