@@ -66,3 +66,15 @@ def test_trials_are_drawn_from_the_space():
     got = L.sample_trials(space, 40, 1)
     assert got == L.sample_trials(space, 40, 1) and got != L.sample_trials(space, 40, 2)
     assert {t["a"] for t in got} == {1, 2, 3} and all(0.5 <= t["b"] <= 0.6 and t["c"] in "xy" for t in got)
+
+
+def test_a_search_of_few_rows_runs_few_tasks(spark, data, tmp_path):
+    seen = []
+
+    def fit(df, features, y, **other):
+        seen.append(df.rdd.getNumPartitions())
+        return L.fit_lr(df, features, y, max_iter=2)
+
+    L.halving_search(*data, ["x"], "target", [{"other": 1}, {"other": 2}], "id", fit, str(tmp_path / "t"), max_parallel=1).collect()
+    L.search(*data, ["x"], "target", [{"other": 1}], "id", fit)
+    assert set(seen) == {1}  # 300 rows: one task a pass, not one for each of the shuffle's partitions
