@@ -17,6 +17,7 @@ from riskframe.streaming import jobs as X
 
 DELAY = "2 days"  # far shorter than the data (30 days): windows close, and the rows held back to the last drop are late
 DROPS, FILES = 6, 4  # a trigger reads the files of one drop
+TRIGGERS = 4  # of the scoring stream, however many files its requests lie in
 
 
 def _events_stream(spark, sf, name):
@@ -149,7 +150,9 @@ def q_x1(spark, sf):
     req = requests(spark, sf)
     src_path = X.scratch(spark, "x1-src")
     req.withColumn("__d", F.col("request_id") % 4).write.partitionBy("__d").parquet(src_path)
-    stream = spark.readStream.schema("request_id long, payload string, __d int").option("maxFilesPerTrigger", 1).parquet(src_path)
+    schema = "request_id long, payload string, __d int"
+    files = len(spark.read.schema(schema).parquet(src_path).inputFiles())  # one task of the write leaves up to 4
+    stream = X.read_stream(spark, src_path, schema, X.files_per_trigger(files, TRIGGERS))
 
     def validate(batch):
         return V.validate_requests(batch, "payload", SCORE_FEATS, nullable=["mths_since_last_delinq"], dates=["earliest_cr_line"],

@@ -62,6 +62,11 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int =
     return df.withColumn(event_time, F.col(event_time).cast("timestamp")) if event_time else df
 
 
+def files_per_trigger(files: int, triggers: int) -> int:
+    """Files that a trigger reads, so that ``files`` take at most ``triggers`` batches: a batch's fixed cost is not paid per file."""
+    return max(1, -(-files // triggers))
+
+
 def wall_clock(df: DataFrame, *cols: str) -> DataFrame:
     """Window bounds back to wall-clock TIMESTAMP_NTZ (the inverse of the cast in ``read_stream``)."""
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cols})

@@ -123,3 +123,14 @@ def test_snapshots_never_read_the_log_again(spark, tmp_path, monkeypatch):
     assert s.select("batch_id").distinct().count() == 3
     live = logs(spark, 100).unionByName(logs(spark, 200)).unionByName(logs(spark, 300))
     assert rows_of(s.filter("batch_id = 2")) == rows_of(D.drift_report(logs(spark, 400).withColumn("x", F.col("x") + 1), live, ["x"], ["c"], "live"))
+
+
+def test_a_scoring_stream_of_many_files_takes_few_batches(spark, monkeypatch):
+    from riskframe.plans import checks, streaming
+    from riskframe.sources.io import finished_parts
+
+    real, run, paths = checks.requests, X.score_stream, []
+    monkeypatch.setattr(checks, "requests", lambda *a: real(*a).repartition(6))
+    monkeypatch.setattr(X, "score_stream", lambda *a: (run(*a), paths.append(a[3])))
+    out = streaming.q_x1(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and 1 < len(finished_parts(spark, paths[0], "batch_id")) <= 4  # of 24 files
