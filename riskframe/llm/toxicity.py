@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -223,9 +223,27 @@ class Examples:
     k: int
     slope: float = 0.0
     offset: float = 0.0
+    names: object = None  # of the terms, by number
 
     def __post_init__(self) -> None:
-        self.names = list(self.terms)
+        if self.names is None:
+            self.names = list(self.terms)
+
+    def packed(self) -> dict:
+        """All that scoring counted terms needs, as plain arrays: a worker that receives them holds them once."""
+        ix = self.index
+        t, w = (np.concatenate([np.empty(0, kind), *[v[i] for v in ix.vectors]]) for i, kind in ((0, np.int64), (1, np.float64)))
+        kept = {k: v for k, v in ix.__getstate__().items() if k != "vectors"}
+        return {"index": kept, "t": t.astype(np.int32), "w": w, "ends": np.cumsum([0, *[len(v[0]) for v in ix.vectors]]), "names": pa.array(self.names, pa.string()),
+                "idf": self.idf, "ids": self.ids, "y": self.y, "weight": self.weight, "k": self.k, "slope": self.slope, "offset": self.offset}
+
+    @classmethod
+    def unpacked(cls, p: dict) -> Examples:
+        """The model of ``packed`` arrays, without copies of them and without the dictionary of terms, which only cutting texts needs."""
+        index = BlockMaxIndex.__new__(BlockMaxIndex)
+        index.__dict__.update(p["index"])
+        index.vectors = [(p["t"][a:b], p["w"][a:b]) for a, b in zip(p["ends"], p["ends"][1:])]
+        return cls({}, p["idf"], index, p["ids"], p["y"], p["weight"], p["k"], p["slope"], p["offset"], p["names"])
 
     def vote(self, vec, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
         """Mean of similarity times +-1 over the neighbours, each weighted by its class's share and its similarity.
@@ -245,7 +263,7 @@ class Examples:
             return score, 0.0, [], []
         part = self.index.shared(vec, [i for _, i in near[:evidence]])
         top = [i for i in np.argsort(-part, kind="stable")[:shown].tolist() if part[i] > 0]
-        return score, near[0][0], [self.ids[i] for _, i in near[:evidence]], [self.names[vec[0][i]] for i in top]
+        return score, near[0][0], [self.ids[i] for _, i in near[:evidence]], [str(self.names[int(vec[0][i])]) for i in top]
 
 
 def emphasis(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float, full: float = 14.0, least: float = 0.05) -> np.ndarray:
@@ -375,11 +393,12 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, label_col: str, usable: Co
     added = ("score", "nearest", "evidence_ids", "evidence_terms")
     keep = [c for c in docs.columns if c not in (*added, text_col)]
     model, counted = _fit(docs, labels, label_col, usable, id_col, text_col, keep, max_per_label, k)
-    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    sent = docs.sparkSession.sparkContext.broadcast(model.packed())
+    del model
 
     @pandas_udf(f"score double, nearest double, evidence_ids array<{dict(docs.dtypes)[id_col]}>, evidence_terms array<string>")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = cloudpickle.loads(sent.value)
+        m = Examples.unpacked(sent.value)
         for b in batches:
             yield pd.DataFrame([m.score((dict(zip(t.tolist(), n.tolist())), r)) for t, n, r in zip(b["t"], b["n"], b["rest"])], columns=list(added))
         give_back()

@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 
 import numpy as np
@@ -91,3 +92,13 @@ def test_words_with_combining_marks_are_one_term_when_learned_and_when_scored(sp
     model = X.fit_examples(docs_of(rows), lab, "toxic", F.lit(True))
     got = X.score_toxicity(docs_of([*enumerate(bad), (9, "calm words")]), model).orderBy("doc_id").collect()
     assert all(r.score > 0.3 and w in r.evidence_terms for r, w in zip(got, bad)) and got[3].score < 0.3
+
+
+def test_a_sent_model_scores_alike_without_its_dictionary(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").limit(300).cache(), spark.read.parquet(f"{SF}/labels.parquet")
+    model = X.fit_examples(docs, labels, "toxic", F.lit(True))
+    sent = X.Examples.unpacked(pickle.loads(pickle.dumps(model.packed())))
+    counter = X.TermCounter(model.terms)
+    assert sent.terms == {} and sent.index.vectors[1][1].base is not None  # views of the arrays that were sent, no copies
+    for r in docs.limit(40).collect():
+        assert sent.score(counter(r.text)) == model.score(counter(r.text))
