@@ -6,12 +6,13 @@ that inflected and compound forms share terms. Every term of every example is
 indexed, with a TF-IDF weight (document frequencies over all documents) times an
 emphasis of 0.05 to 1 that grows with the term's tie to label 1. Words of a text that
 share no term with any example cannot match; they count in its length, each with
-weight 1. A text's nearest examples are found exactly: terms that many examples hold
-are whole rows of weights and give every example a first score; blocks of examples
-whose best score plus upper bound (sum over the text's other terms of term weight times
-the block's largest weight) is below the k-th best are passed over, and the postings of
-the others are added. Documents are cut into terms once; frequencies and scores use the
-stored counts.
+weight 1. A text's nearest examples are found exactly, for many texts at a time: terms
+that many examples hold are whole rows of weights and give every example a first score
+(one matrix product); blocks of examples whose best score plus upper bound (sum over the
+text's other terms of term weight times the block's largest weight) is below the k-th
+best are passed over, and the postings of the others are added. Those sums are in single
+precision; every example within their error of the k-th best is summed again in double
+precision. Documents are cut into terms once; frequencies and scores use the stored counts.
 Similarity-weighted votes of the neighbours, calibrated by a logistic curve on
 leave-one-out votes, give the score; the neighbours and the terms that bind the
 text to them are its evidence. Every whole text is scored.
@@ -24,7 +25,7 @@ import re
 import sys
 import unicodedata
 import uuid
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from riskframe.llm.common import give_back, labelled_sample, ship_by_value
 from riskframe.session import checkpoint_dir
@@ -50,9 +51,13 @@ def _marks() -> str:
 
 #: Letters, digits, combining marks and underscores; the one tokenizer of learning, frequencies and scores.
 WORD = re.compile(rf"[\w{_marks()}]+")
+#: Every ASCII character but letters, digits and underscores becomes a blank, in UTF-8.
+SPACED = bytes(b if b > 127 or chr(b).isalnum() or chr(b) == "_" else 32 for b in range(256))
 BLOCK = 64
 #: A term that at least one example in so many holds is common.
-COMMON_SHARE = 4
+COMMON_SHARE = 32
+#: Texts that a matrix product takes at once; words that are counted and postings that are added in one step, unless one text alone has more.
+AT_ONCE, WORDS, STEP = 512, 200_000, 60_000
 #: Lengths of word beginnings that are terms.
 STEMS = (4, 5)
 
@@ -62,35 +67,72 @@ def word_terms(w: str) -> list[str]:
     return [w, *(w[:n] + "*" for n in STEMS if n < len(w))]
 
 
+class _Slots(dict):
+    """token -> number, given by ``learn`` when a token is first asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = at = self.learn(token)
+        return at
+
+
 class TermCounter:
-    """text -> ({term number: occurrences}, words without a term) of the whole lower-cased text; remembers recent words."""
+    """Counts terms and words without a term of whole lower-cased texts; remembers recent words."""
 
     def __init__(self, terms: dict[str, int], remember: int = 150_000):
-        self.terms, self.remember, self.seen = terms, remember, {}
+        self.terms, self.remember = terms, remember
         self.heads = {t.rstrip("*")[:STEMS[0]] for t in terms}
-
-    def of_word(self, w: str) -> tuple[int, ...]:
-        found: tuple[int, ...] = ()
-        if w[:STEMS[0]] in self.heads:
-            found = tuple(self.terms[s] for s in word_terms(w) if s in self.terms)
-        if len(self.seen) >= self.remember:
-            self.seen.clear()
-        self.seen[w] = found
-        return found
+        self.forget()
+
+    def forget(self) -> None:
+        self.seen, self.found, self.ends, self.rest = _Slots(self.learn), array("i"), array("q", [0]), array("i")
+
+    def learn(self, token: bytes) -> int:
+        """Store the terms of a run between ASCII blanks, and its words without a term; a run beyond ASCII may hold several words."""
+        rest, terms, w = 0, self.terms, token.decode("utf-8", "surrogatepass")
+        for w in (w,) if token.isascii() else WORD.findall(w):
+            known = [terms[s] for s in word_terms(w) if s in terms] if w[:STEMS[0]] in self.heads else ()
+            if known:
+                self.found.extend(known)
+            else:
+                rest += 1
+        self.rest.append(rest)
+        self.ends.append(len(self.found))
+        return len(self.rest) - 1
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of many texts: terms (in order inside a text), their occurrences, number of terms of each text, its words without a term."""
+        done, slots, held = [self._count([])], [], 0
+        for text in texts:
+            tokens = text.lower().encode("utf-8", "surrogatepass").translate(SPACED).split() if text else []
+            slots.append(np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens)))
+            held += len(tokens)
+            if held >= WORDS:
+                done.append(self._count(slots))
+                slots, held = [], 0
+        done.append(self._count(slots))
+        return tuple(np.concatenate(x) for x in zip(*done))
+
+    def _count(self, slots: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        at = np.concatenate([np.empty(0, np.int64), *slots])
+        owner = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
+        found, ends, rest = np.frombuffer(self.found, np.int32) if self.found else np.empty(0, np.int32), np.frombuffer(self.ends, np.int64), self.rest
+        rests = np.bincount(owner, np.frombuffer(rest, np.int32)[at], minlength=len(slots)) if rest else np.zeros(len(slots))
+        p, which = spread(ends[at], ends[at + 1])
+        width = max(1, len(self.terms))
+        key, n = np.unique(owner[which] * width + found[p], return_counts=True)
+        del found, ends
+        if len(self.rest) >= self.remember:
+            self.forget()
+        return (key % width).astype(np.int32), n.astype(np.int32), np.bincount(key // width, minlength=len(slots)), rests.astype(np.int32)
 
     def __call__(self, text: str | None) -> tuple[dict[int, int], int]:
-        every: list[int] = []
-        rest = 0
-        if text:
-            get, of_word = self.seen.get, self.of_word
-            for w, n in Counter(WORD.findall(text.lower())).items():
-                found = get(w)
-                if found is None:
-                    found = of_word(w)
-                every += found if n == 1 else found * n
-                if not found:
-                    rest += n
-        return dict(Counter(every)), rest
+        """({term number: occurrences}, words without a term) of one text."""
+        t, n, _, rest = self.batch([text])
+        return dict(zip(t.tolist(), n.tolist())), int(rest[0])
 
 
 def weighed(t: np.ndarray, tf: np.ndarray, rest: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +176,19 @@ class BlockMaxIndex:
         parts = [_arrays(v) for v in vectors]
         t = np.concatenate([np.empty(0, np.int64), *[p[0] for p in parts]])
         w = np.concatenate([np.empty(0), *[p[1] for p in parts]])
-        e = np.repeat(np.arange(self.size), [len(p[0]) for p in parts]).astype(np.int64)
+        self.own_terms, self.own_weights, self.own_ends = t.astype(np.int32), w, np.cumsum([0, *[len(p[0]) for p in parts]])
+        e = np.repeat(np.arange(self.size), np.diff(self.own_ends)).astype(np.int64)
         order = np.argsort(t, kind="stable")  # examples stay in order inside a term
-        t, self.weights, self.examples = t[order], w[order], e[order].astype(np.int32)
+        t, self.weights, self.examples = t[order], w[order].astype(np.float32), e[order].astype(np.int32)
         key = t * max(1, self.blocks) + self.examples // BLOCK
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         self.starts = np.append(starts, len(t)).astype(np.int32)
         self.block = (self.examples[starts] // BLOCK).astype(np.int32)
-        self.largest = np.maximum.reduceat(self.weights, starts) if len(starts) else np.empty(0)
+        self.largest = np.maximum.reduceat(self.weights, starts) if len(starts) else np.empty(0, np.float32)
         self.first = np.searchsorted(t[starts], np.arange(terms + 1)).astype(np.int32)
-        self.vectors = parts
         held = np.bincount(t, minlength=terms)
         common = np.flatnonzero(held * COMMON_SHARE >= max(1, self.size))
+        common = common[np.argsort(-held[common], kind="stable")]
         self.row_of = np.full(terms, -1, np.int32)
         self.row_of[common] = np.arange(len(common))
         self.rows = None
@@ -153,11 +196,16 @@ class BlockMaxIndex:
     def __getstate__(self):
         return self.__dict__ | {"rows": None}  # built again where it is used
 
+    @property
+    def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, weights) of each example, as views."""
+        return [(self.own_terms[a:b], self.own_weights[a:b]) for a, b in zip(self.own_ends, self.own_ends[1:])]
+
     def common_rows(self) -> np.ndarray:
-        """Weights of the common terms in all examples (at most COMMON_SHARE times the postings)."""
+        """Weights of the common terms in all examples (at most COMMON_SHARE times the postings), in single precision."""
         if self.rows is None:
-            common = np.flatnonzero(self.row_of >= 0)
-            rows = np.zeros((len(common), self.size))
+            common = np.argsort(self.row_of, kind="stable")[int((self.row_of < 0).sum()):]
+            rows = np.zeros((len(common), self.size), np.float32)
             at, _ = spread(self.first[common], self.first[common + 1])
             p, owner = self._postings(at)
             term = np.repeat(np.arange(len(common)), self.first[common + 1] - self.first[common])
@@ -165,48 +213,83 @@ class BlockMaxIndex:
             self.rows = rows
         return self.rows
 
-    def _entries(self, t: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The terms' entries, and the weight asked for each one's term."""
-        at, owner = spread(self.first[t], self.first[t + 1])
-        return at, q[owner]
-
     def _postings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return spread(self.starts[at], self.starts[at + 1])
 
     def nearest(self, vec, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest positive cosine as (cosine, example), ties by example; ``without`` is left out."""
-        if not len(vec) or not self.size:
-            return []
-        t, q = _arrays(vec)
-        row = self.row_of[t]
-        common = row >= 0
-        score = q[common] @ self.common_rows()[row[common]] if common.any() else np.zeros(self.size)
-        if without >= 0:
-            score[without] = 0.0
-        floor = float(np.partition(score, -k)[-k]) if self.size > k else 0.0
-        at, w = self._entries(t[~common], q[~common])
-        gain = np.bincount(self.block[at], w * self.largest[at], minlength=self.blocks)
-        alive = np.maximum.reduceat(score, np.arange(0, self.size, BLOCK)) + gain >= floor - 1e-9
-        here = alive[self.block[at]]
-        p, owner = self._postings(at[here])
-        score = score + np.bincount(self.examples[p], w[here][owner] * self.weights[p], minlength=self.size)
-        if without >= 0:
-            score[without] = 0.0
-        score = np.round(score, 12)
-        least = np.partition(score, -k)[-k] if self.size > k else 0.0
-        hits = np.flatnonzero((score > 0) & (score >= least))
-        hits = hits[np.argsort(-score[hits], kind="stable")[:k]]
-        return [(float(score[i]), int(i)) for i in hits]
+        return self.nearest_many([_arrays(vec)], k, [without])[0]
+
+    def nearest_many(self, vecs: list, k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """``nearest`` of many (terms, weights)."""
+        if not self.size:
+            return [[] for _ in vecs]
+        out: list = [None] * len(vecs)
+        asked, ids, weights, ends = np.zeros(len(self.row_of)), self.own_terms, self.own_weights, self.own_ends.tolist()
+        for group in self._alike(vecs):
+            part = [vecs[i] for i in group]
+            left = np.array([without[i] if without is not None else -1 for i in group])
+            for i, near in zip(group, self._near(part, k, left)):
+                t, q = vecs[i]
+                asked[t] = q
+                score = np.round([asked.take(ids[ends[e]:ends[e + 1]]) @ weights[ends[e]:ends[e + 1]] for e in near.tolist()], 12)
+                asked[t] = 0.0
+                best = np.argsort(-score, kind="stable")[:k]
+                out[i] = [(x, e) for x, e in zip(score[best].tolist(), near[best].tolist()) if x > 0]
+        return out
+
+    def _alike(self, vecs: list) -> list[list[int]]:
+        """The vectors in groups of at most AT_ONCE, those that share their most common terms together: a group then needs few of the rows."""
+        keys = []
+        for t, _ in vecs:
+            row = self.row_of[t]
+            keys.append(np.sort(row[row >= 0])[:8].tolist())
+        order = sorted(range(len(vecs)), key=keys.__getitem__)
+        return [order[a:a + AT_ONCE] for a in range(0, len(order), AT_ONCE)]
+
+    def _near(self, vecs: list, k: int, left: np.ndarray) -> Iterator[np.ndarray]:
+        """Per vector the examples, in order, that can be among its k nearest: no sum of products in single precision is off by more than a share ``slack``."""
+        rows = self.common_rows()
+        slack = 4.0 * (len(rows) + 8) * 2.0**-24
+        sizes = [len(t) for t, _ in vecs]
+        t, q = (np.concatenate([np.empty(0, kind), *[v[j] for v in vecs]]) for j, kind in ((0, np.int64), (1, np.float64)))
+        d, row = np.repeat(np.arange(len(vecs)), sizes), self.row_of[t]
+        used = np.flatnonzero(np.bincount(row[row >= 0], minlength=len(rows)))
+        asked = np.zeros((len(vecs), len(rows)), np.float32)
+        asked[d[row >= 0], row[row >= 0]] = q[row >= 0]
+        score = asked[:, used] @ rows[used] if 2 * len(used) < len(rows) else asked @ rows
+        score[np.flatnonzero(left >= 0), left[left >= 0]] = 0.0
+        kth = (lambda s: np.partition(s, -k, axis=1)[:, -k]) if self.size > k else (lambda s: np.zeros(len(s), s.dtype))
+        floor = kth(score)
+        best = np.maximum.reduceat(score, np.arange(0, self.size, BLOCK), axis=1)
+        t, q, d = t[row < 0], q[row < 0], d[row < 0]
+        ends = np.cumsum(np.bincount(d, self.starts[self.first[t + 1]] - self.starts[self.first[t]], minlength=len(vecs)))
+        a = 0
+        while a < len(vecs):  # as many vectors as have STEP postings
+            b = max(a + 1, int(np.searchsorted(ends, STEP + (ends[a - 1] if a else 0), "right")))
+            here = slice(*np.searchsorted(d, [a, b]))
+            at, owner = spread(self.first[t[here]], self.first[t[here] + 1])
+            cell, asked = (d[here][owner] - a) * self.blocks + self.block[at], q[here][owner]
+            gain = np.bincount(cell, asked * self.largest[at], minlength=(b - a) * self.blocks).reshape(b - a, self.blocks)
+            alive = (best[a:b] + gain >= floor[a:b, None] * (1.0 - slack) - 1e-9).ravel()[cell]
+            p, owner = self._postings(at[alive])
+            cell = (cell[alive] // self.blocks)[owner] * self.size + self.examples[p]
+            full = score[a:b] + np.bincount(cell, asked[alive][owner] * self.weights[p], minlength=(b - a) * self.size).reshape(b - a, self.size)
+            full[np.flatnonzero(left[a:b] >= 0), left[a:b][left[a:b] >= 0]] = 0.0
+            near = (full > 0) & (full >= kth(full)[:, None] * (1.0 - slack) - 1e-11)
+            yield from (np.flatnonzero(x) for x in near)
+            a = b
 
     def shared(self, vec, examples: list[int]) -> np.ndarray:
         """What each of the vector's terms adds to the cosines with these examples."""
         t, q = _arrays(vec)
         out = np.zeros(len(t))
         for i in examples:
-            e, w = self.vectors[i]
-            at = np.minimum(np.searchsorted(t, e), max(0, len(t) - 1))
-            hit = t[at] == e if len(t) else np.zeros(len(e), bool)
-            out[at[hit]] += q[at[hit]] * w[hit]
+            a, b = self.own_ends[i:i + 2]
+            e, w = self.own_terms[a:b], self.own_weights[a:b]
+            at = np.minimum(np.searchsorted(e, t), max(0, len(e) - 1))
+            hit = e[at] == t if len(e) else np.zeros(len(t), bool)
+            out[hit] += q[hit] * w[at[hit]]
         return out
 
 
@@ -224,6 +307,7 @@ class Examples:
     slope: float = 0.0
     offset: float = 0.0
     names: object = None  # of the terms, by number
+    id_type: pa.DataType = pa.int64()
 
     def __post_init__(self) -> None:
         if self.names is None:
@@ -231,39 +315,60 @@ class Examples:
 
     def packed(self) -> dict:
         """All that scoring counted terms needs, as plain arrays: a worker that receives them holds them once."""
-        ix = self.index
-        t, w = (np.concatenate([np.empty(0, kind), *[v[i] for v in ix.vectors]]) for i, kind in ((0, np.int64), (1, np.float64)))
-        kept = {k: v for k, v in ix.__getstate__().items() if k != "vectors"}
-        return {"index": kept, "t": t.astype(np.int32), "w": w, "ends": np.cumsum([0, *[len(v[0]) for v in ix.vectors]]), "names": pa.array(self.names, pa.string()),
-                "idf": self.idf, "ids": self.ids, "y": self.y, "weight": self.weight, "k": self.k, "slope": self.slope, "offset": self.offset}
+        return {"index": self.index.__getstate__(), "names": pa.array(self.names, pa.string()),
+                "idf": self.idf, "ids": self.ids, "y": self.y, "weight": self.weight, "k": self.k, "slope": self.slope, "offset": self.offset,
+                "id_type": self.id_type}
 
     @classmethod
     def unpacked(cls, p: dict) -> Examples:
         """The model of ``packed`` arrays, without copies of them and without the dictionary of terms, which only cutting texts needs."""
         index = BlockMaxIndex.__new__(BlockMaxIndex)
         index.__dict__.update(p["index"])
-        index.vectors = [(p["t"][a:b], p["w"][a:b]) for a, b in zip(p["ends"], p["ends"][1:])]
-        return cls({}, p["idf"], index, p["ids"], p["y"], p["weight"], p["k"], p["slope"], p["offset"], p["names"])
+        return cls({}, p["idf"], index, p["ids"], p["y"], p["weight"], p["k"], p["slope"], p["offset"], p["names"], p["id_type"])
 
-    def vote(self, vec, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        """Mean of similarity times +-1 over the neighbours, each weighted by its class's share and its similarity.
+    def votes(self, vecs: list, without: list[int] | None = None) -> list[tuple[float, list[tuple[float, int]]]]:
+        """Per vector the mean of similarity times +-1 over the neighbours, each weighted by its class's share and its similarity; and those.
 
         0, the lowest evidence, without any neighbour or if label 0 prevails: a text like clean ones is no less toxic than an empty one.
         """
-        near = self.index.nearest(vec, self.k, without)
-        mass = sum(s * self.weight[i] for s, i in near)
-        total = sum(s * s * self.weight[i] * (2.0 * self.y[i] - 1.0) for s, i in near)
-        return (max(0.0, total / mass) if mass > 0 else 0.0), near
+        out = []
+        for near in self.index.nearest_many(vecs, self.k, without):
+            mass = sum(s * self.weight[i] for s, i in near)
+            total = sum(s * s * self.weight[i] * (2.0 * self.y[i] - 1.0) for s, i in near)
+            out.append((max(0.0, total / mass) if mass > 0 else 0.0, near))
+        return out
+
+    def score_vectors(self, vecs: list, evidence: int = 3, shown: int = 20) -> list[tuple[float, float, list, list[int]]]:
+        """Per (terms, weights): score, largest cosine, nearest examples, numbers of the terms that add most."""
+        out = []
+        for vec, (v, near) in zip(vecs, self.votes(vecs)):
+            score = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.slope * v + self.offset))))
+            if not near:
+                out.append((score, 0.0, [], []))
+                continue
+            part = self.index.shared(vec, [i for _, i in near[:evidence]])
+            some = np.flatnonzero(part > 0)
+            top = some[np.argsort(-part[some], kind="stable")[:shown]]
+            out.append((score, near[0][0], [self.ids[i] for _, i in near[:evidence]], vec[0][top].tolist()))
+        return out
 
     def score(self, counts: tuple[dict[int, int], int], evidence: int = 3, shown: int = 20) -> tuple[float, float, list, list[str]]:
-        vec = counted_vector(counts, self.idf)
-        v, near = self.vote(vec)
-        score = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.slope * v + self.offset))))
-        if not near:
-            return score, 0.0, [], []
-        part = self.index.shared(vec, [i for _, i in near[:evidence]])
-        top = [i for i in np.argsort(-part, kind="stable")[:shown].tolist() if part[i] > 0]
-        return score, near[0][0], [self.ids[i] for _, i in near[:evidence]], [str(self.names[int(vec[0][i])]) for i in top]
+        found = self.score_vectors([counted_vector(counts, self.idf)], evidence, shown)[0]
+        return *found[:3], [str(self.names[i]) for i in found[3]]
+
+    def scored(self, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, rest: np.ndarray) -> pa.StructArray:
+        """Scores and evidence of a batch of counted texts."""
+        ends = np.cumsum([0, *sizes])
+        names = self.names if isinstance(self.names, pa.Array) else pa.array(self.names, pa.string())
+        found = []
+        for a in range(0, len(sizes), 4 * AT_ONCE):
+            b = a + 4 * AT_ONCE
+            found += self.score_vectors([weighed(t[i:j], tf[i:j], int(r), self.idf) for i, j, r in zip(ends[a:b], ends[a + 1:b + 1], rest[a:b])])
+        score, nearest, ids, terms = zip(*found) if found else ((), (), (), ())
+        cut = pa.array(np.cumsum([0, *map(len, terms)]), pa.int32())
+        shown = names.take(pa.array([i for x in terms for i in x], pa.int32()))
+        return pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(nearest, pa.float64()), pa.array(ids, pa.list_(self.id_type)),
+                                           pa.ListArray.from_arrays(cut, shown)], ["score", "nearest", "evidence_ids", "evidence_terms"])
 
 
 def emphasis(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float, full: float = 14.0, least: float = 0.05) -> np.ndarray:
@@ -294,13 +399,15 @@ def calibrate(votes: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 def count_terms(docs: DataFrame, terms: dict[str, int], text_col: str = "text") -> DataFrame:
     """The other columns of ``docs`` and ``__terms`` = struct(t, n, rest): the terms of each whole text, their numbers, other words."""
-    @pandas_udf("t array<int>, n array<int>, rest int")
-    def count(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf("t array<int>, n array<int>, rest int")
+    def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = TermCounter(terms)
         for batch in texts:
-            rows = [counter(t) for t in batch]
-            yield pd.DataFrame({"t": [list(c) for c, _ in rows], "n": [list(c.values()) for c, _ in rows], "rest": [r for _, r in rows]})
-        counter.seen.clear()
+            t, n, sizes, rest = counter.batch(batch.to_pylist())
+            ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(t)), pa.ListArray.from_arrays(ends, pa.array(n)), pa.array(rest)],
+                                             ["t", "n", "rest"])
+        counter.forget()
         give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "__terms")], count(F.col(text_col)).alias("__terms"))
@@ -339,7 +446,7 @@ def _fit(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_
     df, n = document_frequencies(counted), counted.count()
     rows = count_terms(texts.select("id", "y", F.col("t").alias("text")), terms).select("id", "y", "__terms.*").toArrow()
     texts.unpersist()
-    ids, ys = rows["id"].to_pylist(), rows["y"].to_pylist()
+    ids, ys, id_type = rows["id"].to_pylist(), rows["y"].to_pylist(), rows["id"].type
     counts = [(t.values.to_numpy(), n.values.to_numpy(), r.as_py()) for t, n, r in zip(rows["t"], rows["n"], rows["rest"])]
     holders = lambda lab: np.bincount(np.concatenate([np.empty(0, np.int32), *[c[0] for c, y in zip(counts, ys) if y == lab]]), minlength=len(terms))
     pos, neg = holders(1), holders(0)
@@ -359,8 +466,8 @@ def _fit(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_
     shares = labels.filter(usable & F.col(label_col).isNotNull()).agg(F.avg(F.col(label_col).cast("double"))).first()[0] or 0.0
     rate = y.mean() if len(y) else 0.5
     weight = np.where(y == 1, shares / max(rate, 1e-9), (1 - shares) / max(1 - rate, 1e-9))
-    model = Examples(terms, idf, BlockMaxIndex(vecs, len(terms)), [ids[i] for i in order], y, weight, k)
-    votes = np.array([model.vote(v, i)[0] for i, v in enumerate(vecs)])
+    model = Examples(terms, idf, BlockMaxIndex(vecs, len(terms)), [ids[i] for i in order], y, weight, k, id_type=id_type)
+    votes = np.array([v for v, _ in model.votes(vecs, list(range(len(vecs))))])
     model.slope, model.offset = calibrate(votes, y, weight)
     return model, counted
 
@@ -373,12 +480,12 @@ def score_toxicity(docs: DataFrame, model: Examples, text_col: str = "text", id_
     * Equal cosines are ordered by example; without labels every score is the same small constant.
     * Repeated rows get equal scores; an empty table gives no rows; existing columns named like an added one are replaced.
     """
-    @pandas_udf(f"score double, nearest double, evidence_ids array<{id_type}>, evidence_terms array<string>")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf(f"score double, nearest double, evidence_ids array<{id_type}>, evidence_terms array<string>")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = TermCounter(model.terms)
         for batch in texts:
-            yield pd.DataFrame([model.score(counter(t)) for t in batch], columns=["score", "nearest", "evidence_ids", "evidence_terms"])
-        counter.seen.clear()
+            yield model.scored(*counter.batch(batch.to_pylist()))
+        counter.forget()
         give_back()
 
     added = ("score", "nearest", "evidence_ids", "evidence_terms")
@@ -395,12 +502,14 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, label_col: str, usable: Co
     model, counted = _fit(docs, labels, label_col, usable, id_col, text_col, keep, max_per_label, k)
     sent = docs.sparkSession.sparkContext.broadcast(model.packed())
     del model
+    id_type = dict(docs.dtypes)[id_col]
 
-    @pandas_udf(f"score double, nearest double, evidence_ids array<{dict(docs.dtypes)[id_col]}>, evidence_terms array<string>")
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @arrow_udf(f"score double, nearest double, evidence_ids array<{id_type}>, evidence_terms array<string>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Examples.unpacked(sent.value)
         for b in batches:
-            yield pd.DataFrame([m.score((dict(zip(t.tolist(), n.tolist())), r)) for t, n, r in zip(b["t"], b["n"], b["rest"])], columns=list(added))
+            t, n, rest = b.flatten()
+            yield m.scored(t.flatten().to_numpy(), n.flatten().to_numpy(), t.value_lengths().to_numpy(), rest.to_numpy())
         give_back()
 
     scored = counted.select(*[F.col(f"`{c}`") for c in keep], score(F.col("__terms")).alias("__p"))
@@ -408,8 +517,8 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, label_col: str, usable: Co
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written once as Parquet to the shared checkpoint folder, and read again."""
+    """The rows written once as Parquet to the shared checkpoint folder, and read again; numbers in order are stored as differences."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/counted-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,8 @@
 import math
+import os
 import pickle
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -102,3 +104,54 @@ def test_a_sent_model_scores_alike_without_its_dictionary(spark):
     assert sent.terms == {} and sent.index.vectors[1][1].base is not None  # views of the arrays that were sent, no copies
     for r in docs.limit(40).collect():
         assert sent.score(counter(r.text)) == model.score(counter(r.text))
+
+
+def test_many_texts_at_a_time_give_what_single_ones_give(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").limit(300).cache(), spark.read.parquet(f"{SF}/labels.parquet")
+    model = X.fit_examples(docs, labels, "toxic", F.lit(True))
+    texts = [r.text for r in docs.collect()] + [None, "", "über-groß — quux naïve " * 3, "Σίσυφος ΣΑΣ", "a" * 50_000]
+    counter = X.TermCounter(model.terms, remember=50)
+    counted = counter.batch(texts)
+    ends = np.cumsum([0, *counted[2]])
+    for i, text in enumerate(texts):  # cut by the tokenizer alone
+        words = X.WORD.findall((text or "").lower())
+        want = Counter(model.terms[t] for w in words for t in X.word_terms(w) if t in model.terms)
+        assert dict(zip(counted[0][ends[i]:ends[i + 1]].tolist(), counted[1][ends[i]:ends[i + 1]].tolist())) == want
+        assert counted[3][i] == sum(not any(t in model.terms for t in X.word_terms(w)) for w in words)
+    got = model.scored(*counted).to_pylist()
+    for r, text in zip(got, texts):
+        assert list(r.values()) == [*model.score(counter(text))]
+
+
+def test_nearest_of_many_vectors_is_exact_with_rows_blocks_and_ties(monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(X, "STEP", 40)
+    monkeypatch.setattr(X, "AT_ONCE", 128)
+    vecs = []
+    for _ in range(500):
+        t = np.unique(np.minimum(rng.zipf(1.4, rng.integers(0, 20)), 300) - 1)
+        w = rng.random(len(t)) + 0.01
+        vecs.append((t, w / max(1e-9, np.linalg.norm(w))))
+    vecs[7] = vecs[450] = vecs[8]
+    dense = np.zeros((500, 300))
+    for i, (t, w) in enumerate(vecs):
+        dense[i, t] = w
+    index = X.BlockMaxIndex(vecs, 300)
+    assert 0 < len(index.common_rows()) < 300
+    for k in (1, 15, 600):
+        for i, near in enumerate(index.nearest_many(vecs, k, list(range(500)))):
+            cos = np.round(dense @ dense[i], 12)
+            cos[i] = 0
+            want = [e for e in np.argsort(-cos, kind="stable")[:k] if cos[e] > 0]
+            assert [e for _, e in near] == want and np.allclose([s for s, _ in near], cos[want])
+
+
+def test_stored_counts_are_small_and_read_back(spark, docs_of):
+    rng = np.random.default_rng(4)
+    terms = {f"w{i:05d}": i for i in range(50_000)}
+    rows = [(i, " ".join(f"w{t:05d}" for t in rng.choice(50_000, 400, replace=False))) for i in range(300)]
+    counted = X.count_terms(docs_of(rows), terms)
+    kept = X.stored(counted)
+    assert kept.select("doc_id", "__terms").orderBy("doc_id").collect() == counted.select("doc_id", "__terms").orderBy("doc_id").collect()
+    size = sum(os.path.getsize(f.removeprefix("file://")) for f in kept.inputFiles())
+    assert size < 300 * 400 * 1.7  # bytes a term and its number; over 4 when stored plainly
