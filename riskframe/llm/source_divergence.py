@@ -2,7 +2,8 @@
 
 One ``CountVectorizer`` fit with ``minDF`` and the largest integer ``vocabSize`` learns the vocabularies of all
 languages together: every term carries its language, so document frequencies, and with them the kept terms, are per
-language. Its sparse document vectors are summed per (language, source) as sparse (term, count) rows. Pairs of sources
+language. Texts are cut into terms batch by batch in Arrow; the fit gets each document's distinct terms, the vectors are made of
+all terms that a batch has of one (language, source), and are summed per (language, source) as sparse (term, count) rows. Pairs of sources
 are then evaluated in blocks: sources of a language in blocks of about ``BLOCK_SOURCES``, kept terms in blocks of about
 ``BLOCK_TERMS``; a task holds one block pair for one term block as a small matrix and returns one number per pair.
 
@@ -15,10 +16,14 @@ not depend on it.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
@@ -29,8 +34,8 @@ from riskframe.session import cut_lineage
 
 ship_by_value(__name__)
 
-#: What parts terms: all of ASCII but letters.
-BETWEEN = "".join(chr(b) for b in range(128) if chr(b) not in UPPER + LOWER)
+#: In UTF-8, A-Z becomes a-z and every other ASCII character but a-z a blank.
+LETTERS = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b) in UPPER + LOWER else 32 for b in range(256))
 TAG = "\0"  # cannot occur in a term
 SAMPLED = 1 / 16
 MOST_WORDS = 2**31 - 1
@@ -41,11 +46,34 @@ BLOCK_TERMS = 4096
 EMPTY_VOCABULARY = "vocabulary size should be > 0"
 
 
-def tagged_terms(lang: Column, text: Column) -> Column:
-    """Maximal runs of letters (every character beyond ASCII counts as one), A-Z lower-cased, each after the language in hex and ``TAG``."""
-    tag = F.concat(F.hex(lang), F.lit(TAG))
-    spaced = F.concat(F.lit(" "), F.translate(text, UPPER + BETWEEN, LOWER + " " * len(BETWEEN)))
-    return F.array_remove(F.array_remove(F.split(F.replace(spaced, F.lit(" "), F.concat(F.lit(" "), tag)), " "), ""), tag)
+def term_rows(rows: DataFrame, distinct: bool) -> DataFrame:
+    """(lang, source, terms) of lang, source, text; a term is a maximal run of letters (every character beyond ASCII counts as one), A-Z lower-cased,
+    after the language in hex and ``TAG``.
+
+    ``distinct``: a row a document, each of its terms once, as document frequencies ask. Otherwise all occurrences, the documents that one
+    Arrow batch has of a (lang, source) in one row, as sums ask.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined: dict[tuple, list[bytes]] = {}
+            held: Counter = Counter()
+            columns = batch["lang"].to_pylist(), batch["source"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist()
+            for i, (lang, source, text) in enumerate(zip(*columns)):
+                words = text.translate(LETTERS).split()
+                words, key = (dict.fromkeys(words), (lang, source, i)) if distinct else (words, (lang, source))
+                parts = joined.setdefault(key, [])
+                if words:
+                    held[key] += len(words)
+                    tag = (lang.encode().hex() + TAG).encode()
+                    parts.append(tag + (b" " + tag).join(words))
+            whole = b" ".join(x for parts in joined.values() for x in parts)
+            terms = pc.split_pattern(pa.array([whole], pa.binary()), b" ").flatten() if whole else pa.array([], pa.binary())
+            ends = pa.array(np.cumsum([0, *(held[k] for k in joined)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in joined], pa.string()), pa.array([k[1] for k in joined], pa.string()),
+                                              pa.ListArray.from_arrays(ends, terms.view(pa.string()))], ["lang", "source", "terms"])
+        give_back()
+
+    return rows.select("lang", "source", "text").mapInArrow(cut, "lang string, source string, terms array<string>")
 
 
 def probability(n: Column, total: Column, kept: Column) -> Column:
@@ -58,17 +86,17 @@ def probability(n: Column, total: Column, kept: Column) -> Column:
 def kept_counts(rows: DataFrame, min_df: int, max_terms: int) -> tuple[DataFrame, DataFrame]:
     """((lang, term, term_id), (lang, source, term, term_id, n)) of the kept terms; ``rows``: lang, source, text, without NULLs."""
     spark = rows.sparkSession
-    tagged = rows.select("lang", "source", tagged_terms(F.col("lang"), F.col("text")).alias("terms"))
-    distinct = tagged.sample(SAMPLED, seed=1).select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
+    distinct = term_rows(rows.sample(SAMPLED, seed=1), True).select(F.explode("terms").alias("t")).agg(F.approx_count_distinct("t", 0.02)).first()[0]
     held = 1.0 - (1.0 - SAMPLED) ** min_df  # the share of the rarest kept terms that a sample holds
     fits = max(1, math.ceil(1.1 * distinct / held / max_terms))
     vocabulary, counts = spark.createDataFrame([], "lang string, term string, term_id long"), None
     for k in range(fits):
-        part = tagged
+        sets, bags = term_rows(rows, True), term_rows(rows, False)
         if fits > 1:
-            part = tagged.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(fits)) == k))
+            mine = F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(fits)) == k)
+            sets, bags = sets.withColumn("terms", mine), bags.withColumn("terms", mine)
         try:
-            model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_df), vocabSize=MOST_WORDS).fit(part)
+            model = CountVectorizer(inputCol="terms", outputCol="v", minDF=float(min_df), vocabSize=MOST_WORDS).fit(sets)
         except IllegalArgumentException as e:
             if EMPTY_VOCABULARY not in str(e):
                 raise
@@ -78,7 +106,7 @@ def kept_counts(rows: DataFrame, min_df: int, max_terms: int) -> tuple[DataFrame
         known = spark.createDataFrame(words, "i int, t string").select(
             "i", F.unhex(both[0]).cast("string").alias("lang"), both[1].alias("term"), (F.col("i").cast("long") * fits + k).alias("term_id"))
         vector = F.unwrap_udt("v")
-        sums = model.transform(part).select("lang", "source", F.explode(F.arrays_zip(vector.indices.alias("i"), vector["values"].alias("n"))).alias("e")) \
+        sums = model.transform(bags).select("lang", "source", F.explode(F.arrays_zip(vector.indices.alias("i"), vector["values"].alias("n"))).alias("e")) \
             .groupBy("lang", "source", F.col("e.i").alias("i")).agg(F.sum(F.col("e.n").cast("long")).alias("n"))
         sums = cut_lineage(sums)
         found = sums.join(known.select("i", "term", "term_id"), "i").select("lang", "source", "term", "term_id", "n")

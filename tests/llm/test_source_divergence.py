@@ -68,3 +68,14 @@ def test_no_kept_terms_and_empty_table(docs_of):
     rows = [("one", "en", "a"), ("two", "en", "b"), (None, None, None)]
     assert sorted(audit(docs_of, rows, min_df=30)) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
     assert audit(docs_of, [], min_df=30) == []
+
+
+def test_terms_of_a_batch_come_once_a_document_or_in_one_row_a_source(docs_of):
+    rows = [("The the É\u00a0é漢 x1y q\0r", "e n", "s"), ("", "e n", "s"), ("the end", "e n", "s"), ("the", "", "s"), ("--", "", "t")]
+    df = docs_of([(i, t, g, s) for i, (t, g, s) in enumerate(rows)]).coalesce(1).select("lang", "source", "text")
+    tag = "65206e\0"
+    sets = [sorted(r.terms) for r in D.term_rows(df, True).collect()]
+    first = sorted(tag + t for t in ["the", "É\u00a0é漢", "x", "y", "q", "r"])
+    assert sorted(sets) == sorted([first, [], [tag + "end", tag + "the"], ["\0the"], []])
+    bags = {(r.lang, r.source): sorted(r.terms) for r in D.term_rows(df, False).collect()}
+    assert bags == {("e n", "s"): sorted([*first, tag + "the", tag + "the", tag + "end"]), ("", "s"): ["\0the"], ("", "t"): []}
