@@ -6,13 +6,14 @@ that inflected and compound forms share terms. Every term of every example is
 indexed, with a TF-IDF weight (document frequencies over all documents) times an
 emphasis of 0.05 to 1 that grows with the term's tie to label 1. Words of a text that
 share no term with any example cannot match; they count in its length, each with
-weight 1. A text's nearest examples are found exactly, for many texts at a time: terms
-that many examples hold are whole rows of weights and give every example a first score
-(one matrix product); blocks of examples whose best score plus upper bound (sum over the
-text's other terms of term weight times the block's largest weight) is below the k-th
-best are passed over, and the postings of the others are added. Those sums are in single
-precision; every example within their error of the k-th best is summed again in double
-precision. Documents are cut into terms once; frequencies and scores use the stored counts.
+weight 1. A text's nearest examples are found exactly, for many texts at a time: the
+postings of terms that few examples hold give every example a first score; terms that many
+hold are whole rows of weights. A block of examples whose best first score plus upper bound
+(sum over the text's common terms of term weight times the block's largest weight) is below
+the k-th best, for all texts of a group, is passed over; to the other blocks' scores a matrix
+product adds the rows. Those sums are in single precision; every example within their error
+of the k-th best is summed again in double precision. Documents are cut into terms once;
+frequencies and scores use the stored counts.
 Similarity-weighted votes of the neighbours, calibrated by a logistic curve on
 leave-one-out votes, give the score; the neighbours and the terms that bind the
 text to them are its evidence. Every whole text is scored.
@@ -25,13 +26,13 @@ import re
 import sys
 import unicodedata
 import uuid
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
@@ -51,13 +52,15 @@ def _marks() -> str:
 
 #: Letters, digits, combining marks and underscores; the one tokenizer of learning, frequencies and scores.
 WORD = re.compile(rf"[\w{_marks()}]+")
-#: Every ASCII character but letters, digits and underscores becomes a blank, in UTF-8.
-SPACED = bytes(b if b > 127 or chr(b).isalnum() or chr(b) == "_" else 32 for b in range(256))
+#: Starts and ends of the ranges of code points that ``WORD`` takes.
+RANGES = np.array([m.span() for m in WORD.finditer("".join(map(chr, range(sys.maxunicode + 1))))])
 BLOCK = 64
 #: A term that at least one example in so many holds is common.
 COMMON_SHARE = 32
-#: Texts that a matrix product takes at once; words that are counted and postings that are added in one step, unless one text alone has more.
-AT_ONCE, WORDS, STEP = 512, 200_000, 60_000
+#: Texts that a matrix product takes at once; postings that are added in one step, unless one text alone has more.
+AT_ONCE, STEP = 256, 60_000
+#: Tasks that the examples' texts are dealt to: they are bounded, and each task builds the counter of terms.
+FEW = 16
 #: Lengths of word beginnings that are terms.
 STEMS = (4, 5)
 
@@ -67,67 +70,69 @@ def word_terms(w: str) -> list[str]:
     return [w, *(w[:n] + "*" for n in STEMS if n < len(w))]
 
 
-class _Slots(dict):
-    """token -> number, given by ``learn`` when a token is first asked for."""
+def _code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    def __init__(self, learn):
-        super().__init__()
-        self.learn = learn
 
-    def __missing__(self, token: bytes) -> int:
-        self[token] = at = self.learn(token)
-        return at
+def _words(code_points: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Words of the given numbers of characters, each character as 4 bytes."""
+    ends = np.cumsum(np.append(0, sizes)) * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(code_points)])
 
 
 class TermCounter:
-    """Counts terms and words without a term of whole lower-cased texts; remembers recent words."""
+    """Counts terms and words without a term of whole lower-cased texts; remembers the words of so many characters at a time."""
 
-    def __init__(self, terms: dict[str, int], remember: int = 150_000):
+    def __init__(self, terms: dict[str, int], remember: int = 2_000_000):
         self.terms, self.remember = terms, remember
-        self.heads = {t.rstrip("*")[:STEMS[0]] for t in terms}
-        self.forget()
-
-    def forget(self) -> None:
-        self.seen, self.found, self.ends, self.rest = _Slots(self.learn), array("i"), array("q", [0]), array("i")
-
-    def learn(self, token: bytes) -> int:
-        """Store the terms of a run between ASCII blanks, and its words without a term; a run beyond ASCII may hold several words."""
-        rest, terms, w = 0, self.terms, token.decode("utf-8", "surrogatepass")
-        for w in (w,) if token.isascii() else WORD.findall(w):
-            known = [terms[s] for s in word_terms(w) if s in terms] if w[:STEMS[0]] in self.heads else ()
-            if known:
-                self.found.extend(known)
-            else:
-                rest += 1
-        self.rest.append(rest)
-        self.ends.append(len(self.found))
-        return len(self.rest) - 1
+        self.letters = np.zeros(sys.maxunicode + 1, bool)
+        self.letters[spread(*RANGES.T)[0]] = True
+        names, numbers = list(terms), np.fromiter(terms.values(), np.int32, len(terms))
+        sizes = np.fromiter(map(len, names), np.int64, len(names))
+        words, star = _words(_code_points(names), sizes), np.fromiter((t.endswith("*") for t in names), bool, len(names))
+        self.known = {}  # by length of a beginning, 0 for whole words
+        for cut in (0, *STEMS):
+            some = np.flatnonzero(star & (sizes == cut + 1) if cut else ~star)
+            keys = words.take(pa.array(some))
+            keys = pc.binary_slice(keys, 0, 4 * cut) if cut else keys
+            self.known[cut] = dict(zip(keys.to_numpy(zero_copy_only=False).tolist(), numbers[some].tolist()))
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of many texts: terms (in order inside a text), their occurrences, number of terms of each text, its words without a term."""
-        done, slots, held = [self._count([])], [], 0
+        done, part, held = [self._count([])], [], 0
         for text in texts:
-            tokens = text.lower().encode("utf-8", "surrogatepass").translate(SPACED).split() if text else []
-            slots.append(np.fromiter(map(self.seen.__getitem__, tokens), np.int64, len(tokens)))
-            held += len(tokens)
-            if held >= WORDS:
-                done.append(self._count(slots))
-                slots, held = [], 0
-        done.append(self._count(slots))
+            part.append(f"{text.lower()} " if text else " ")
+            held += len(part[-1])
+            if held >= self.remember:
+                done.append(self._count(part))
+                part, held = [], 0
+        done.append(self._count(part))
         return tuple(np.concatenate(x) for x in zip(*done))
 
-    def _count(self, slots: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-        at = np.concatenate([np.empty(0, np.int64), *slots])
-        owner = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
-        found, ends, rest = np.frombuffer(self.found, np.int32) if self.found else np.empty(0, np.int32), np.frombuffer(self.ends, np.int64), self.rest
-        rests = np.bincount(owner, np.frombuffer(rest, np.int32)[at], minlength=len(slots)) if rest else np.zeros(len(slots))
-        p, which = spread(ends[at], ends[at + 1])
+    def _count(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Counts of texts that end with a blank: all are cut at once, and each distinct word is looked up once."""
+        points = _code_points(texts)
+        inside = self.letters[points]
+        starts, stops = np.flatnonzero(np.diff(inside, prepend=False)).reshape(-1, 2).T
+        coded = _words(points[inside], stops - starts).dictionary_encode()
+        held = np.searchsorted(starts, np.cumsum([len(x) for x in texts]))
+        owner, code = np.repeat(np.arange(len(texts)), np.diff(held, prepend=0)), coded.indices.to_numpy()
+        found = self._found(coded.dictionary)
+        rest = np.bincount(owner, (found < 0).all(axis=0)[code], minlength=len(texts))
         width = max(1, len(self.terms))
-        key, n = np.unique(owner[which] * width + found[p], return_counts=True)
-        del found, ends
-        if len(self.rest) >= self.remember:
-            self.forget()
-        return (key % width).astype(np.int32), n.astype(np.int32), np.bincount(key // width, minlength=len(slots)), rests.astype(np.int32)
+        key = [(owner * width + at)[at >= 0] for at in (f[code] for f in found)]
+        key, n = np.unique(np.concatenate(key), return_counts=True)
+        return (key % width).astype(np.int32), n.astype(np.int32), np.bincount(key // width, minlength=len(texts)), rest.astype(np.int32)
+
+    def _found(self, words: pa.Array) -> np.ndarray:
+        """Numbers of the terms of distinct words, -1 for none: a row for whole words and one for each length of beginnings."""
+        sizes, found = pc.binary_length(words).to_numpy(), []
+        for cut, known in self.known.items():
+            coded = pc.binary_slice(words, 0, 4 * cut).dictionary_encode() if cut else None
+            keys = (coded.dictionary if cut else words).to_numpy(zero_copy_only=False)
+            at = np.fromiter((known.get(x, -1) for x in keys.tolist()), np.int32, len(keys))
+            found.append(np.where(sizes > 4 * cut, at[coded.indices.to_numpy()], -1) if cut else at)
+        return np.array(found)
 
     def __call__(self, text: str | None) -> tuple[dict[int, int], int]:
         """({term number: occurrences}, words without a term) of one text."""
@@ -138,9 +143,15 @@ class TermCounter:
 def weighed(t: np.ndarray, tf: np.ndarray, rest: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms in order and their weights: (1 + ln tf) * idf (emphasis included) over the vector's length (other words included)."""
     order = np.argsort(t)
-    t, tf = t[order], tf[order]
-    raw = (1.0 + np.log(tf)) * idf[t]
-    return t, raw / math.sqrt(float(raw @ raw) + rest) if len(t) else raw
+    return weighed_many(t[order], tf[order], np.array([len(t)]), np.array([rest]), idf)[0]
+
+
+def weighed_many(t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, rest: np.ndarray, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``weighed`` of many texts whose terms are in order."""
+    owner, raw = np.repeat(np.arange(len(sizes)), sizes), (1.0 + np.log(tf)) * idf[t]
+    w = raw / np.sqrt(np.bincount(owner, raw * raw, minlength=len(sizes)) + rest)[owner]
+    ends = np.cumsum([0, *sizes]).tolist()
+    return [(t[a:b], w[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def counted_vector(counted: tuple[dict[int, int], int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -168,6 +179,12 @@ def _arrays(vec) -> tuple[np.ndarray, np.ndarray]:
     return np.array([t for t, _ in vec], np.int64), np.array([w for _, w in vec], np.float64)
 
 
+def _joined(vecs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms and weights of all vectors, and the vector that each belongs to."""
+    t, q = (np.concatenate([np.empty(0, kind), *[v[j] for v in vecs]]) for j, kind in ((0, np.int64), (1, np.float64)))
+    return t, q, np.repeat(np.arange(len(vecs)), [len(t) for t, _ in vecs])
+
+
 class BlockMaxIndex:
     """Postings of unit vectors, by term and example; the postings of one term in a block of 64 examples are an entry with its largest weight."""
 
@@ -191,10 +208,10 @@ class BlockMaxIndex:
         common = common[np.argsort(-held[common], kind="stable")]
         self.row_of = np.full(terms, -1, np.int32)
         self.row_of[common] = np.arange(len(common))
-        self.rows = None
+        self.rows = self.peaks = None
 
     def __getstate__(self):
-        return self.__dict__ | {"rows": None}  # built again where it is used
+        return self.__dict__ | {"rows": None, "peaks": None}  # built again where they are used
 
     @property
     def vectors(self) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -210,9 +227,12 @@ class BlockMaxIndex:
             p, owner = self._postings(at)
             term = np.repeat(np.arange(len(common)), self.first[common + 1] - self.first[common])
             rows[term[owner], self.examples[p]] = self.weights[p]
-            self.rows = rows
+            self.rows, self.peaks = rows, np.maximum.reduceat(rows, self.block_starts(), axis=1) if self.size else rows
         return self.rows
 
+    def block_starts(self) -> np.ndarray:
+        return np.arange(0, self.size, BLOCK)
+
     def _postings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return spread(self.starts[at], self.starts[at + 1])
 
@@ -225,71 +245,108 @@ class BlockMaxIndex:
         if not self.size:
             return [[] for _ in vecs]
         out: list = [None] * len(vecs)
+        self.common_rows()
         asked, ids, weights, ends = np.zeros(len(self.row_of)), self.own_terms, self.own_weights, self.own_ends.tolist()
         for group in self._alike(vecs):
-            part = [vecs[i] for i in group]
             left = np.array([without[i] if without is not None else -1 for i in group])
-            for i, near in zip(group, self._near(part, k, left)):
+            for i, near in zip(group, self._near([vecs[i] for i in group], k, left)):
+                if not len(near):
+                    out[i] = []
+                    continue
                 t, q = vecs[i]
                 asked[t] = q
-                score = np.round([asked.take(ids[ends[e]:ends[e + 1]]) @ weights[ends[e]:ends[e + 1]] for e in near.tolist()], 12)
+                spans = [(ends[e], ends[e + 1]) for e in near.tolist()]
+                part = asked.take(np.concatenate([ids[a:b] for a, b in spans])) * np.concatenate([weights[a:b] for a, b in spans])
+                score = np.round(np.add.reduceat(part, np.cumsum([0, *[b - a for a, b in spans[:-1]]])), 12)
                 asked[t] = 0.0
                 best = np.argsort(-score, kind="stable")[:k]
                 out[i] = [(x, e) for x, e in zip(score[best].tolist(), near[best].tolist()) if x > 0]
         return out
 
     def _alike(self, vecs: list) -> list[list[int]]:
-        """The vectors in groups of at most AT_ONCE, those that share their most common terms together: a group then needs few of the rows."""
-        keys = []
-        for t, _ in vecs:
-            row = self.row_of[t]
-            keys.append(np.sort(row[row >= 0])[:8].tolist())
-        order = sorted(range(len(vecs)), key=keys.__getitem__)
-        return [order[a:a + AT_ONCE] for a in range(0, len(order), AT_ONCE)]
+        """The vectors in groups of at most AT_ONCE whose blocks have like bounds (by common terms): a group then needs few of the blocks."""
+        bounds = np.zeros((len(vecs), max(1, self.blocks)), np.float32)
+        for a in range(0, len(vecs), AT_ONCE):
+            t, q, d = _joined(vecs[a:a + AT_ONCE])
+            bounds[a:a + AT_ONCE] = self._asked(t, q, d, AT_ONCE)[:len(vecs) - a] @ self.peaks
+        bounds /= np.maximum(bounds.max(axis=1, keepdims=True), 1e-30)
+        done, left = [], [np.arange(len(vecs))]
+        while left:  # halved by the block whose bounds differ most
+            group = left.pop()
+            if len(group) <= AT_ONCE:
+                done.append(group.tolist())
+            else:
+                by = bounds[group]
+                group = group[np.argsort(by[:, np.argmax(by.var(axis=0))], kind="stable")]
+                left += np.array_split(group, 2)
+        return done
+
+    def _asked(self, t: np.ndarray, q: np.ndarray, d: np.ndarray, vectors: int) -> np.ndarray:
+        """Weights of the common terms of joined vectors, a row for each vector."""
+        row = self.row_of[t]
+        asked = np.zeros((vectors, len(self.rows)), np.float32)
+        asked[d[row >= 0], row[row >= 0]] = q[row >= 0]
+        return asked
 
     def _near(self, vecs: list, k: int, left: np.ndarray) -> Iterator[np.ndarray]:
         """Per vector the examples, in order, that can be among its k nearest: no sum of products in single precision is off by more than a share ``slack``."""
-        rows = self.common_rows()
+        rows, peaks = self.rows, self.peaks
         slack = 4.0 * (len(rows) + 8) * 2.0**-24
-        sizes = [len(t) for t, _ in vecs]
-        t, q = (np.concatenate([np.empty(0, kind), *[v[j] for v in vecs]]) for j, kind in ((0, np.int64), (1, np.float64)))
-        d, row = np.repeat(np.arange(len(vecs)), sizes), self.row_of[t]
-        used = np.flatnonzero(np.bincount(row[row >= 0], minlength=len(rows)))
-        asked = np.zeros((len(vecs), len(rows)), np.float32)
-        asked[d[row >= 0], row[row >= 0]] = q[row >= 0]
-        score = asked[:, used] @ rows[used] if 2 * len(used) < len(rows) else asked @ rows
-        score[np.flatnonzero(left >= 0), left[left >= 0]] = 0.0
-        kth = (lambda s: np.partition(s, -k, axis=1)[:, -k]) if self.size > k else (lambda s: np.zeros(len(s), s.dtype))
-        floor = kth(score)
-        best = np.maximum.reduceat(score, np.arange(0, self.size, BLOCK), axis=1)
-        t, q, d = t[row < 0], q[row < 0], d[row < 0]
-        ends = np.cumsum(np.bincount(d, self.starts[self.first[t + 1]] - self.starts[self.first[t]], minlength=len(vecs)))
+        t, q, d = _joined(vecs)
+        asked, rare = self._asked(t, q, d, len(vecs)), self.row_of[t] < 0
+        score = self._rare(t[rare], q[rare], d[rare], len(vecs))
+        used = np.flatnonzero(asked.any(axis=0))
+        if 5 * len(used) < 4 * len(rows):
+            asked, rows, peaks = asked[:, used], rows[used], peaks[used]
+        bound = np.maximum.reduceat(score, self.block_starts(), axis=1) + asked @ peaks
+        kth = lambda s: np.partition(s, -k, axis=1)[:, -k, None] if s.shape[1] > k else np.zeros((len(s), 1), s.dtype)
+        some = np.zeros(self.blocks, bool)  # blocks of large bounds come first: their k-th best score lets others be passed over
+        some[np.argsort(-bound.sum(axis=0), kind="stable")[:-(-self.blocks // 4)]] = True
+        for seen in (np.repeat(some, BLOCK)[:self.size], slice(None)):
+            edges = np.flatnonzero(np.diff(some, prepend=False, append=False)).reshape(-1, 2) * BLOCK
+            for a, b in edges.tolist():
+                score[:, a:b] += asked @ rows[:, a:b]
+            score[np.flatnonzero(left >= 0), left[left >= 0]] = 0.0
+            best = kth(score[:, seen])
+            bound[:, some] = 0.0  # done
+            some = ((bound > 0) & (bound >= best * (1.0 - slack) - 1e-9)).any(axis=0)
+        near = (score > 0) & (score >= best * (1.0 - slack) - 1e-11)
+        yield from (np.flatnonzero(x) for x in near)
+
+    def _rare(self, t: np.ndarray, q: np.ndarray, d: np.ndarray, vectors: int) -> np.ndarray:
+        """First scores of all examples: the sums over terms (in order of their vectors ``d``) that are no rows."""
+        score = np.empty((vectors, self.size), np.float32)
+        starts = self.starts[self.first[t]].astype(np.int64)
+        sizes = self.starts[self.first[t + 1]] - starts
+        ends = np.cumsum(np.bincount(d, sizes, minlength=vectors))
         a = 0
-        while a < len(vecs):  # as many vectors as have STEP postings
+        while a < vectors:  # as many vectors as have STEP postings
             b = max(a + 1, int(np.searchsorted(ends, STEP + (ends[a - 1] if a else 0), "right")))
             here = slice(*np.searchsorted(d, [a, b]))
-            at, owner = spread(self.first[t[here]], self.first[t[here] + 1])
-            cell, asked = (d[here][owner] - a) * self.blocks + self.block[at], q[here][owner]
-            gain = np.bincount(cell, asked * self.largest[at], minlength=(b - a) * self.blocks).reshape(b - a, self.blocks)
-            alive = (best[a:b] + gain >= floor[a:b, None] * (1.0 - slack) - 1e-9).ravel()[cell]
-            p, owner = self._postings(at[alive])
-            cell = (cell[alive] // self.blocks)[owner] * self.size + self.examples[p]
-            full = score[a:b] + np.bincount(cell, asked[alive][owner] * self.weights[p], minlength=(b - a) * self.size).reshape(b - a, self.size)
-            full[np.flatnonzero(left[a:b] >= 0), left[a:b][left[a:b] >= 0]] = 0.0
-            near = (full > 0) & (full >= kth(full)[:, None] * (1.0 - slack) - 1e-11)
-            yield from (np.flatnonzero(x) for x in near)
+            n = sizes[here]
+            p = np.repeat(starts[here] - (np.cumsum(n) - n), n)
+            p += np.arange(len(p))
+            cell = np.repeat((d[here] - a) * self.size, n)
+            cell += self.examples.take(p)
+            score[a:b] = np.bincount(cell, np.repeat(q[here], n) * self.weights.take(p), minlength=(b - a) * self.size).reshape(b - a, self.size)
             a = b
+        return score
 
     def shared(self, vec, examples: list[int]) -> np.ndarray:
         """What each of the vector's terms adds to the cosines with these examples."""
-        t, q = _arrays(vec)
-        out = np.zeros(len(t))
-        for i in examples:
-            a, b = self.own_ends[i:i + 2]
-            e, w = self.own_terms[a:b], self.own_weights[a:b]
-            at = np.minimum(np.searchsorted(e, t), max(0, len(e) - 1))
-            hit = e[at] == t if len(e) else np.zeros(len(t), bool)
-            out[hit] += q[hit] * w[at[hit]]
+        return self.shared_many([_arrays(vec)], [examples])[0]
+
+    def shared_many(self, vecs: list, examples: list[list[int]]) -> list[np.ndarray]:
+        """``shared`` of many (terms, weights), each with examples of its own."""
+        out, place, ends = [], np.full(len(self.row_of), -1, np.int32), self.own_ends.tolist()
+        for (t, q), some in zip(vecs, examples):
+            place[t] = np.arange(len(t), dtype=np.int32)
+            at = place.take(np.concatenate([self.own_terms[:0], *[self.own_terms[ends[e]:ends[e + 1]] for e in some]]))
+            w = np.concatenate([self.own_weights[:0], *[self.own_weights[ends[e]:ends[e + 1]] for e in some]])
+            hit = np.flatnonzero(at >= 0)
+            at = at.take(hit)
+            out.append(np.bincount(at, q.take(at) * w.take(hit), minlength=len(t)))
+            place[t] = -1
         return out
 
 
@@ -340,13 +397,13 @@ class Examples:
 
     def score_vectors(self, vecs: list, evidence: int = 3, shown: int = 20) -> list[tuple[float, float, list, list[int]]]:
         """Per (terms, weights): score, largest cosine, nearest examples, numbers of the terms that add most."""
-        out = []
-        for vec, (v, near) in zip(vecs, self.votes(vecs)):
+        out, votes = [], self.votes(vecs)
+        parts = self.index.shared_many(vecs, [[i for _, i in near[:evidence]] for _, near in votes])
+        for vec, (v, near), part in zip(vecs, votes, parts):
             score = 1.0 / (1.0 + math.exp(-max(-50.0, min(50.0, self.slope * v + self.offset))))
             if not near:
                 out.append((score, 0.0, [], []))
                 continue
-            part = self.index.shared(vec, [i for _, i in near[:evidence]])
             some = np.flatnonzero(part > 0)
             top = some[np.argsort(-part[some], kind="stable")[:shown]]
             out.append((score, near[0][0], [self.ids[i] for _, i in near[:evidence]], vec[0][top].tolist()))
@@ -358,12 +415,8 @@ class Examples:
 
     def scored(self, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, rest: np.ndarray) -> pa.StructArray:
         """Scores and evidence of a batch of counted texts."""
-        ends = np.cumsum([0, *sizes])
         names = self.names if isinstance(self.names, pa.Array) else pa.array(self.names, pa.string())
-        found = []
-        for a in range(0, len(sizes), 4 * AT_ONCE):
-            b = a + 4 * AT_ONCE
-            found += self.score_vectors([weighed(t[i:j], tf[i:j], int(r), self.idf) for i, j, r in zip(ends[a:b], ends[a + 1:b + 1], rest[a:b])])
+        found = self.score_vectors(weighed_many(t, tf, sizes, rest, self.idf))
         score, nearest, ids, terms = zip(*found) if found else ((), (), (), ())
         cut = pa.array(np.cumsum([0, *map(len, terms)]), pa.int32())
         shown = names.take(pa.array([i for x in terms for i in x], pa.int32()))
@@ -407,7 +460,6 @@ def count_terms(docs: DataFrame, terms: dict[str, int], text_col: str = "text")
             ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
             yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(t)), pa.ListArray.from_arrays(ends, pa.array(n)), pa.array(rest)],
                                              ["t", "n", "rest"])
-        counter.forget()
         give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "__terms")], count(F.col(text_col)).alias("__terms"))
@@ -434,7 +486,7 @@ def _fit(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, id_
     sample = labelled_sample(labels, label_col, usable, id_col, max_per_label)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(sample), "id")
     texts = texts.groupBy(F.md5(F.lower("t").cast("binary")).alias("h")).agg(
-        F.min("id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y"), F.min_by("t", F.struct("id", "t")).alias("t")).cache()
+        F.min("id").alias("id"), (F.avg("y") >= 0.5).cast("int").alias("y"), F.min_by("t", F.struct("id", "t")).alias("t")).coalesce(FEW).cache()
 
     @pandas_udf("array<string>")
     def all_terms(batch: pd.Series) -> pd.Series:
@@ -485,7 +537,6 @@ def score_toxicity(docs: DataFrame, model: Examples, text_col: str = "text", id_
         counter = TermCounter(model.terms)
         for batch in texts:
             yield model.scored(*counter.batch(batch.to_pylist()))
-        counter.forget()
         give_back()
 
     added = ("score", "nearest", "evidence_ids", "evidence_terms")

@@ -155,3 +155,39 @@ def test_stored_counts_are_small_and_read_back(spark, docs_of):
     assert kept.select("doc_id", "__terms").orderBy("doc_id").collect() == counted.select("doc_id", "__terms").orderBy("doc_id").collect()
     size = sum(os.path.getsize(f.removeprefix("file://")) for f in kept.inputFiles())
     assert size < 300 * 400 * 1.7  # bytes a term and its number; over 4 when stored plainly
+
+
+def test_blocks_that_cannot_hold_a_nearest_example_are_not_multiplied():
+    rng = np.random.default_rng(12)
+    vecs = []
+    for e in range(640):  # two languages, each with common and rare words of its own
+        t = np.unique(np.concatenate([rng.choice(40, 15), 40 + rng.choice(2000, 5)])) + (2040 if e >= 320 else 0)
+        w = rng.random(len(t)) + 0.1
+        vecs.append((t, w / np.linalg.norm(w)))
+    index = X.BlockMaxIndex(vecs, 4080)
+    want = index.nearest_many(vecs[:320], 15)
+    assert all(len(near) == 15 and max(e for _, e in near) < 320 for near in want)
+    index.common_rows()[:, 320:] = np.nan  # a product with these would spoil every score
+    assert index.nearest_many(vecs[:320], 15) == want
+
+
+def test_each_distinct_word_of_a_step_is_looked_up_once_and_cut_as_the_tokenizer_does():
+    class Asked(dict):
+        asked = 0
+
+        def get(self, *a):
+            Asked.asked += 1
+            return super().get(*a)
+
+    texts = ["Über naïve_1 été \U00010400\U00010401x", "ΣΑΣ İstanbul-izmir x", "a\ud800b गाली!", None, "", " ", "straße\x00straße*"] * 40
+    words = [X.WORD.findall((t or "").lower()) for t in texts]
+    terms = {t: i for i, t in enumerate(sorted({s for w in words[0] + words[1] + words[6] for s in X.word_terms(w)}))}
+    counter = X.TermCounter(terms)
+    counter.known = {cut: Asked(known) for cut, known in counter.known.items()}
+    t, n, sizes, rest = counter.batch(texts)
+    assert 0 < Asked.asked <= 3 * len({w for ws in words for w in ws})
+    ends = np.cumsum([0, *sizes])
+    for i, ws in enumerate(words):
+        want = Counter(terms[s] for w in ws for s in X.word_terms(w) if s in terms)
+        assert dict(zip(t[ends[i]:ends[i + 1]].tolist(), n[ends[i]:ends[i + 1]].tolist())) == want
+        assert rest[i] == sum(not any(s in terms for s in X.word_terms(w)) for w in ws)
