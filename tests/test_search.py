@@ -78,3 +78,19 @@ def test_a_search_of_few_rows_runs_few_tasks(spark, data, tmp_path):
     L.halving_search(*data, ["x"], "target", [{"other": 1}, {"other": 2}], "id", fit, str(tmp_path / "t"), max_parallel=1).collect()
     L.search(*data, ["x"], "target", [{"other": 1}], "id", fit)
     assert set(seen) == {1}  # 300 rows: one task a pass, not one for each of the shuffle's partitions
+
+
+def test_the_search_draws_from_the_whole_boosting_space():
+    from riskframe.plans.models import BOOSTING_SPACE
+
+    trials = L.sample_trials(BOOSTING_SPACE, 50)
+    assert len(BOOSTING_SPACE) == 8 and len(trials) == 50
+    for name, low, high in (("iters", 100, 1000), ("depth", 3, 10), ("step", 0.01, 0.3), ("subsample", 0.5, 1.0), ("feature_subset", 0.5, 1.0)):
+        values = [t[name] for t in trials]
+        assert all(low <= v <= high for v in values) and max(values) - min(values) > 0.8 * (high - low)
+    assert 0.03 < sorted(t["step"] for t in trials)[25] < 0.1  # even on a log scale
+
+
+def test_boosting_takes_a_share_of_the_features(data):
+    model = L.fit_gbt(data[0], ["x", "z"], "target", iters=2, depth=2, feature_subset=0.5)
+    assert model.getFeatureSubsetStrategy() == "0.5" and model.getNumTrees == 2
