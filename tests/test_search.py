@@ -94,3 +94,28 @@ def test_the_search_draws_from_the_whole_boosting_space():
 def test_boosting_takes_a_share_of_the_features(data):
     model = L.fit_gbt(data[0], ["x", "z"], "target", iters=2, depth=2, feature_subset=0.5)
     assert model.getFeatureSubsetStrategy() == "0.5" and model.getNumTrees == 2
+
+
+def test_a_rung_reads_its_own_fold_and_scores_once(spark, data, tmp_path, monkeypatch):
+    df, folds = data
+    seen, calls, real = [], spark.sparkContext.accumulator(0), L.score
+
+    def fit(rows, features, y, **other):
+        seen.append((rows.count(), str(rows._jdf.queryExecution().optimizedPlan())))
+        return L.fit_lr(rows, features, y, max_iter=2)
+
+    @F.udf("double")
+    def counted(p):
+        calls.add(1)
+        return p
+
+    def score(rows, model, features, **kw):
+        return real(rows, model, features, **kw).withColumn("p", counted.asNondeterministic()("p"))
+
+    monkeypatch.setattr(L, "score", score)
+    L.halving_search(df, folds, ["x"], "target", [{"other": 1}, {"other": 2}], "id", fit, str(tmp_path / "t"), max_parallel=1).collect()
+    want = {f: folds.filter((F.col("fold") == f) & (F.col("part") == "train")).count() for f in range(3)}
+    assert [n for n, _ in seen] == [want[0], want[0], want[1], want[2]]
+    assert all("fold#" not in plan.split("StorageLevel")[0] for _, plan in seen)  # no filter by fold over the rows of all folds
+    tests = {f: folds.filter((F.col("fold") == f) & (F.col("part") == "test")).count() for f in range(3)}
+    assert calls.value == 2 * tests[0] + tests[1] + tests[2]  # each test row once a fit
